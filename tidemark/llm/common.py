@@ -8,9 +8,12 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import mix
+
 #: Words of every contract: runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,18 +54,24 @@ FILTER_BITS = 1 << 28
 
 
 class Bitmap:
-    """A fixed-size membership prefilter over 64-bit keys, built by Spark's bitmap aggregates.
+    """A fixed-size membership prefilter over rows of integers, built by Spark's bitmap aggregates.
 
     It answers "surely not" or "maybe".  Callers only use it to leave out rows that cannot
     matter, so its size bound costs selectivity at most, never rows.
     """
 
-    def __init__(self, keys: DataFrame, column: str, max_bits: int = FILTER_BITS):
+    def __init__(self, keys: DataFrame, *columns: str, max_bits: int = FILTER_BITS):
         n = keys.count()
         self.bits = min(max_bits, max(1 << 16, 1 << int(16 * n).bit_length()))
-        place = F.shiftrightunsigned(F.col(column), 64 - (self.bits.bit_length() - 1))
+        shift = np.uint64(64 - (self.bits.bit_length() - 1))
+
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array((_key([c.to_numpy() for c in batch.columns]) >> shift).astype(np.int64) + 1)], ["p"])
+
         rows = (
-            keys.select((place + 1).alias("p"))
+            keys.select(*columns)
+            .mapInArrow(run, "p long")
             .groupBy(F.bitmap_bucket_number("p").alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("map"))
             .collect()  # bits / 32768 rows of 4 KB at most
@@ -72,17 +81,16 @@ class Bitmap:
             raw[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
         self.shared = keys.sparkSession.sparkContext.broadcast(raw)
 
-    def maybe(self, keys: np.ndarray) -> np.ndarray:
-        place = keys.view(np.uint64) >> np.uint64(64 - (self.bits.bit_length() - 1))
+    def maybe(self, *columns: np.ndarray) -> np.ndarray:
+        place = _key(columns) >> np.uint64(64 - (self.bits.bit_length() - 1))
         return (self.shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
 
-    def __getstate__(self):
-        return {"bits": self.bits, "shared": self.shared}
-
 
-def spread_key(column: str | Column) -> Column:
-    """A hash of an id whose upper bits are even, for a Bitmap."""
-    return F.xxhash64(column)
+def _key(columns) -> np.ndarray:
+    out = mix(columns[0].view(np.uint64))
+    for c in columns[1:]:
+        out = mix(out ^ c.view(np.uint64))
+    return out
 
 
 def small_enough(df: DataFrame, rows: int) -> bool:

@@ -153,8 +153,9 @@ def covered(first: np.ndarray, rows: np.ndarray, starts: np.ndarray, sizes: np.n
     """Which items of the rows (row r's begin at first[r]) lie in a span; spans are given by row, start in it and size."""
     n = int(first[-1])
     step = np.zeros(n + 1, np.int64)
-    np.add.at(step, first[rows] + starts, 1)
-    np.add.at(step, np.minimum(first[rows] + starts + sizes, first[rows + 1]), -1)
+    starts = np.minimum(first[rows] + starts, first[rows + 1])
+    np.add.at(step, starts, 1)
+    np.add.at(step, np.minimum(starts + sizes, first[rows + 1]), -1)
     return np.cumsum(step[:-1]) > 0
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, warc
+from . import debruijn, fertility, langid, line_dedup, mixing, warc
 from .common import documents
 
 
@@ -23,6 +23,17 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
 """
 
 
+def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held = langid.held_out("doc_id", 3, 1)
+    model = langid.fit(docs.where(~held))
+    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.remove_boilerplate(documents(spark, sf_dir))
     return kept.select("doc_id", "_lines.n_lines", "_lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -44,8 +55,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).drop("source", "copies")
 
 
+def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fertility.judge(fertility.measure(documents(spark, sf_dir))).drop("band")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op7_line_dedup": op7_line_dedup, "op8_mixing": op8_mixing}
+    return {f.__name__: f for f in (op1_warc, op2_debruijn, op4_langid, op7_line_dedup, op8_mixing, op9_fertility)}
 
 
 def oracle_sql() -> dict[str, str]:
