@@ -27,7 +27,7 @@ LOWER[65:91] += 32
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
@@ -102,6 +102,13 @@ def range_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return mix(out)
 
 
+def sliding_hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the bytes i:i+size for every i (of range_hashes, but for the part that tells sizes apart)."""
+    out = sums[size:] - sums[:-size]
+    out *= _power_tables(len(sums))[1][: len(out)]
+    return mix(out)
+
+
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each word."""
     return range_hashes(prefix_sums(data), start, end)

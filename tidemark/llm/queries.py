@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, fertility, langid, line_dedup, mixing, warc
+from . import debruijn, fertility, langid, line_dedup, mixing, suffix_dedup, warc
 from .common import documents
 
 
@@ -34,6 +34,10 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeated(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.remove_boilerplate(documents(spark, sf_dir))
     return kept.select("doc_id", "_lines.n_lines", "_lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -60,7 +64,7 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_debruijn, op4_langid, op7_line_dedup, op8_mixing, op9_fertility)}
+    return {f.__name__: f for f in (op1_warc, op2_debruijn, op4_langid, op5_suffix, op7_line_dedup, op8_mixing, op9_fertility)}
 
 
 def oracle_sql() -> dict[str, str]:
