@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import new_path, saved, shared_dir  # noqa: F401
 from .kernels import mix
 
 #: Words of every contract: runs of anything but the six ASCII white-space characters.
@@ -22,33 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, where, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def one_row_per_id(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows without an id have no identity to report under: they are left out."""
-    return df.where(F.col(id_col).isNotNull())
-
-
 #: A prefilter never has more bits than this (32 MB); beyond its capacity it lets more through, and results stay the same.
 FILTER_BITS = 1 << 28
 
@@ -91,8 +60,3 @@ def _key(columns) -> np.ndarray:
     for c in columns[1:]:
         out = mix(out ^ c.view(np.uint64))
     return out
-
-
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows (it looks at no more than one beyond)."""
-    return len(df.limit(rows + 1).select(F.lit(1)).collect()) <= rows

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, fertility, langid, line_dedup, mixing, suffix_dedup, warc
+from . import debruijn, fertility, langid, line_dedup, lm, minhash, mixing, suffix_dedup, warc
 from .common import documents
 
 
@@ -38,6 +38,10 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), langid.held_out("doc_id", 7, 2))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.remove_boilerplate(documents(spark, sf_dir))
     return kept.select("doc_id", "_lines.n_lines", "_lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -63,8 +67,12 @@ def op9_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(fertility.measure(documents(spark, sf_dir))).drop("band")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(documents(spark, sf_dir), k=3, at_least=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_debruijn, op4_langid, op5_suffix, op7_line_dedup, op8_mixing, op9_fertility)}
+    return {f.__name__: f for f in (op1_warc, op2_debruijn, op4_langid, op5_suffix, op6_lm, op7_line_dedup, op8_mixing, op9_fertility, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
