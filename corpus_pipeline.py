@@ -1,11 +1,71 @@
-"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing."""
+"""The corpus pipeline: language ID, line dedup, near-dedup, decontamination, mixing.
 
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next stage's docs.  All but the last return the columns of documents.
+
+Rows without a doc_id can't be named by a decision: they pass the stages that remove whole
+documents by id, and are mixed like others.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, langid, line_dedup, minhash, mixing
+from tidemark.llm.common import bounded_batches, saved
+
+#: Posterior of the predicted language under which a document is rejected.
+MIN_SCORE = 0.5
+
+#: No SQL expresses the language model, the sketches or the sampling; tests hold the stages against brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or with no language that stands out, go."""
+    bounded_batches(spark)
+    seen = langid.predict(docs, langid.fit(docs), pred_col="_lang_pred", score_col="_lang_score")
+    return seen.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= MIN_SCORE)).drop("_lang_pred", "_lang_score")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go, but where they are first; documents that were nothing else go."""
+    kept = line_dedup.remove_boilerplate(docs)
+    some = (F.col("_lines.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(some).drop("_lines").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, that with the smallest id."""
+    bounded_batches(spark)
+    gone = minhash.components(docs, k=5, at_least=80).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(saved(gone, "near-duplicates"), "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, unchanged or edited, go."""
+    bounded_batches(spark)
+    gone = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return docs.join(saved(gone, "contaminated"), "doc_id", "left_anti").select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Copies of each document in the mixture of sources."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mix),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import saved
@@ -186,11 +187,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(languages, pieces, np.vstack([p, np.zeros((1, len(languages)))]))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score after its columns."""
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """docs with pred_col and score_col after its columns."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
     if not model.languages:
-        return docs.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select("*", F.lit("und").alias(pred_col), F.lit(0.0).alias(score_col))
     shared, letters = docs.sparkSession.sparkContext.broadcast(model), "_has_letter"
 
     def run(batches):
@@ -213,6 +214,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 here = slice(row, row + len(top))
                 best[here] = np.where(known[here], top, len(m.languages))
                 score[here] = np.where(known[here], 1 / np.exp(total).sum(axis=1), 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names[:-1], pred_col, score_col])
 
     return docs.select("*", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters)).mapInArrow(run, schema)

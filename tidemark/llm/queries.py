@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import debruijn, fertility, langid, line_dedup, lm, minhash, mixing, suffix_dedup, warc
+from . import debruijn, decontaminate, fertility, langid, line_dedup, lm, minhash, mixing, suffix_dedup, warc
 from .common import documents
 
 
@@ -27,6 +27,10 @@ def op2_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_cgk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held = langid.held_out("doc_id", 3, 1)
@@ -72,7 +76,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_debruijn, op4_langid, op5_suffix, op6_lm, op7_line_dedup, op8_mixing, op9_fertility, op10_minhash)}
+    return {f.__name__: f for f in (op1_warc, op2_debruijn, op3_cgk, op4_langid, op5_suffix, op6_lm, op7_line_dedup, op8_mixing, op9_fertility, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

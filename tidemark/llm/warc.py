@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, saved
+from .common import bounded_batches, new_path, saved
 
 #: Bytes of records after which a writer begins the next archive.
 ROLL_BYTES = 16 << 20
@@ -229,5 +229,6 @@ def read_records(index: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """pages written to WARC, normalised, and read back by offset."""
     spark = pages.sparkSession
+    bounded_batches(spark)
     archives = write_archives(with_revisits(pages), new_path(spark, "warc-raw"))
     return read_records(normalise(archives, new_path(spark, "warc")))
