@@ -44,7 +44,7 @@ class Blocks:
     """The blocks of a slice: first position, number of positions, row; and the hashes of their cores and spans."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray, threshold: int, gram: int):
-        self.threshold, self.at, n = threshold, at, len(data)
+        self.threshold, self.gram, self.at, n = threshold, gram, at, len(data)
         self.sums = K.prefix_sums(data)
         self.places = np.zeros(0, np.int64)
         if n < threshold:
@@ -68,7 +68,7 @@ class Blocks:
         high = np.minimum(low + step - 1, self.threshold - 1)
         # the core lies in all strings of the whole block; with the widest blocks it may be no more than the anchor
         end = np.maximum(a - high + self.threshold, a + 1)
-        core = K.range_hashes(self.sums, a - low, np.maximum(end, a - low + 1)) if step < self.threshold else K.range_hashes(self.sums, a, a + GRAM)
+        core = K.range_hashes(self.sums, a - low, np.maximum(end, a - low + 1)) if step < self.threshold else K.range_hashes(self.sums, a, a + self.gram)
         core = K.mix(core ^ K.mix(low.astype(np.uint64)))
         span = K.mix(K.range_hashes(self.sums, start, start + size + self.threshold - 1) ^ K.mix((a - start).astype(np.uint64)))
         return start, size, np.searchsorted(self.at, start, side="right") - 1, core, span
