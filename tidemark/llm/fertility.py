@@ -27,7 +27,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 REACH = 4.0
 LEAST = {"chars_per_token": 0.15, "fallback": 0.01, "entropy": 0.25}
 MIN_WORDS = 50
-SLICE = 16 << 20
+SLICE = 8 << 20
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _SCRIPTS = ["latin", "greek", "cyrillic", "hebrew_arabic", "indic", "east_asian", "other"]
 
