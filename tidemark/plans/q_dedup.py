@@ -1 +1,146 @@
-"""Queries."""
+"""Queries of sets, duplicates and graphs."""
+
+from pyspark.sql import functions as F
+
+from ..operators import dedup as D
+from ..operators import graph as G
+from ..operators.components import connected_components
+from .registry import query
+
+
+@query("set01_ordered_distinct", "SELECT conv_id, first_seen FROM (SELECT conv_id, list(role ORDER BY turn) AS first_seen FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2) GROUP BY conv_id)", "t:conversations")
+def _(conversations):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    return conversations.groupBy("conv_id").agg(F.array_distinct(ordered).alias("first_seen"))
+
+
+@query("set02_subtraction", "SELECT DISTINCT id FROM audit WHERE id NOT IN (SELECT id FROM issues WHERE resolved)", "audit", "issues")
+def _(audit, issues):
+    return audit.select("id").distinct().join(issues.where("resolved").select("id"), "id", "left_anti")
+
+
+@query("set03_union_minus_seen", "(SELECT primary_name AS k FROM chunks UNION SELECT namespace FROM chunks UNION SELECT parent_class FROM chunks WHERE parent_class IS NOT NULL) EXCEPT SELECT primary_name FROM chunks WHERE id % 3 = 0", "chunks")
+def _(chunks):
+    names = chunks.select(F.col("primary_name").alias("k")).union(chunks.select("namespace")).union(chunks.where("parent_class is not null").select("parent_class")).distinct()
+    return names.exceptAll(chunks.where("id % 3 = 0").select("primary_name").distinct().join(names, F.col("primary_name") == F.col("k"), "left_semi"))
+
+
+@query("set05_promotion", "WITH k AS (SELECT DISTINCT path FROM issues WHERE id < 700), c AS (SELECT project_id AS request, count(*) AS n, count(k.path) AS k FROM issues LEFT JOIN k USING (path) GROUP BY 1) SELECT request, CASE WHEN k = n THEN 'EXACT' WHEN k > 0 THEN 'PARTIAL' ELSE 'NONE' END AS reuse, k < n AS needs_context FROM c", "issues")
+def _(issues):
+    commits = issues.select(F.col("project_id").alias("request"), F.col("id").alias("commit"), F.col("path").alias("patch"))
+    return D.promotion(commits, issues.where("id < 700").select(F.col("path").alias("patch"), F.lit("main").alias("target")))
+
+
+@query("ded01_content_best", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY path, text ORDER BY score DESC, id) AS r FROM chunks) WHERE r = 1", "chunks")
+def _(chunks):
+    return D.keep_best(chunks).select("id")
+
+
+@query("ded02_branch_priority", "WITH o AS (SELECT DISTINCT path FROM chunks WHERE branch = 'main') SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY path, branch, substr(text, 1, 100) ORDER BY score DESC, id) AS r FROM chunks WHERE branch = 'main' OR path NOT IN (SELECT path FROM o)) WHERE r = 1", "chunks")
+def _(chunks):
+    return D.branch_priority(chunks, "main").select("id")
+
+
+@query("ded03_layer_priority", "SELECT id FROM (SELECT id, CASE branch WHEN 'feature/search' THEN 3 WHEN 'develop' THEN 2 ELSE 1 END AS p, max(CASE branch WHEN 'feature/search' THEN 3 WHEN 'develop' THEN 2 ELSE 1 END) OVER (PARTITION BY path) AS m FROM chunks) WHERE p = m", "chunks")
+def _(chunks):
+    return D.layer_priority(chunks, F.when(F.col("branch") == "feature/search", 3).when(F.col("branch") == "develop", 2).otherwise(1)).select("id")
+
+
+@query("ded04_narrative", r"WITH i AS (SELECT id, resolved, path || chr(1) || trim(regexp_replace(regexp_replace(lower(title), '\b(at |on |in )?lines? \d+\b', ' ', 'g'), '(^|\s)\d+(\s|$)', ' \2', 'g')) || chr(1) || lower(reason) AS k, line, reason FROM issues) SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY k ORDER BY (line IS NOT NULL) DESC, id) AS r, resolved FROM i WHERE NOT resolved) WHERE r = 1 UNION ALL SELECT id FROM i WHERE resolved", "issues")
+def _(issues):
+    from ..functions import text as T
+
+    rows = issues.select(F.col("id").alias("seq"), "path", "title", "reason", "severity", "line", "resolved", F.lit("d").alias("diff"))
+    key = F.concat_ws("\u0001", "path", T.normal_title(F.col("title")), T.normal_line(F.lower("reason")))
+    return D.absorb(rows, F.when(F.length("reason") >= D.NARRATIVE, key), F.col("line").isNotNull().cast("int")).select(F.col("seq").alias("id"))
+
+
+@query("ded06_merge_promotion", f"SELECT path, min(id) AS id, CASE min(CASE severity WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END) WHEN 1 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE 'INFO' END AS severity, CAST(count(DISTINCT line) AS BIGINT) - max(CASE WHEN id = m AND line IS NOT NULL THEN 1 ELSE 0 END) AS others FROM (SELECT *, min(id) OVER (PARTITION BY path) AS m FROM issues WHERE NOT resolved) GROUP BY path", "issues")
+def _(issues):
+    rows = issues.where("not resolved").select(F.col("id").alias("seq"), "path", "severity", F.col("line").cast("long"), "resolved", F.lit("d").alias("diff"))
+    out = D.absorb(rows, F.col("path"), F.lit(0))
+    return out.select("path", F.col("seq").alias("id"), "severity", F.size(F.coalesce("places", F.array())).cast("long").alias("others")).withColumn("others", F.when(F.col("others") < 0, 0).otherwise(F.col("others")))
+
+
+@query("ded07_prompt_fingerprint", "SELECT id, path || '::' || CAST(coalesce(CAST(floor(line / 3) AS BIGINT), 0) AS STRING) || '::' || severity || '::' || substr(lower(reason), 1, 50) AS fp FROM issues", "issues")
+def _(issues):
+    return issues.select("id", D.prompt_fingerprint(F.col("path"), F.col("line"), F.col("severity"), F.col("reason")).alias("fp"))
+
+
+@query("ded09_similar_pairs", "SELECT a.id AS a, b.id AS b FROM issues a JOIN issues b ON a.path = b.path AND a.project_id = b.project_id AND a.id < b.id AND abs(a.line - b.line) <= 3", "issues")
+def _(issues):
+    return D.similar_pairs(issues.withColumnRenamed("id", "seq").where("line is not null"), ["path", "project_id"]).select("a", "b")
+
+
+@query("ded10_clusters", "WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM issues a JOIN issues b ON a.path = b.path AND a.id < b.id AND abs(a.line - b.line) <= 3 WHERE a.project_id < 10 AND b.project_id < 10), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node", "issues")
+def _(issues):
+    rows = issues.where("project_id < 10 and line is not null").withColumnRenamed("id", "seq")
+    return D.clusters(D.similar_pairs(rows, ["path"]))
+
+
+@query("ded11_greedy", None, "issues")
+def _(issues):
+    return D.greedy(issues.where("project_id < 10").select(F.col("id").alias("seq"), "path", F.col("line").cast("double"), "reason"), "path")
+
+
+@query("ded12_stale", "WITH c AS (SELECT DISTINCT path FROM chunks WHERE id % 3 = 2), f AS (SELECT DISTINCT path FROM chunks WHERE branch = 'feature/search' AND score > 0.4) SELECT id, path IN (SELECT path FROM c) AS stale FROM chunks WHERE branch = 'main' AND (path NOT IN (SELECT path FROM c) OR path NOT IN (SELECT path FROM f)) UNION ALL SELECT id, false FROM chunks WHERE branch = 'feature/search' AND score > 0.4 AND path IN (SELECT path FROM c)", "chunks")
+def _(chunks):
+    c = chunks.select("id", "path", "branch", "score")
+    return D.replace_stale(c.where("branch = 'main'"), c.where("branch = 'feature/search' and score > 0.4"), c.where("id % 3 = 2")).select("id", "stale")
+
+
+@query("ded13_flatten", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY path, text ORDER BY id % 6, id) AS r FROM chunks) WHERE r = 1", "chunks")
+def _(chunks):
+    return D.flatten_groups(chunks.select("id", "path", "text", (F.col("id") % 6).alias("grp"), F.col("id").alias("seq"))).select("id")
+
+
+REACH = "WITH RECURSIVE s AS (SELECT src AS a, dst AS b FROM edges{w} UNION SELECT dst, src FROM edges{w}), r AS (SELECT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node"
+
+
+@query("grf01_review_groups", REACH.format(w=" WHERE src % 3 = 0 AND dst % 3 = 0 AND src <> dst"), "edges")
+def _(edges):
+    changed = edges.select(F.col("src").alias("path")).union(edges.select("dst")).where("path % 3 = 0")
+    return G.review_groups(edges, changed)
+
+
+@query("grf02_components", REACH.format(w=" WHERE src <> dst"), "edges")
+def _(edges):
+    return connected_components(edges, "src", "dst")
+
+
+@query("grf03_build", "WITH n AS (SELECT DISTINCT src AS node FROM edges), i AS (SELECT src, dst, kind, weight FROM edges WHERE dst IN (SELECT node FROM n) AND src <> dst) SELECT src, dst, CAST(max(weight) AS DOUBLE) AS weight, min(kind) AS kind FROM (SELECT * FROM i UNION ALL SELECT dst, src, kind, weight FROM i) GROUP BY 1, 2", "edges")
+def _(edges):
+    return G.build(edges.withColumn("weight", F.col("weight").cast("double")), edges.select(F.col("src").alias("node")))
+
+
+@query("grf04_batches", None, "edges", "chunks")
+def _(edges, chunks):
+    files = chunks.groupBy((F.col("id") % 25).alias("component"), "path").agg(F.sum("score").alias("strength"), F.min("id").alias("priority"), F.sum(F.length("text")).alias("chars"))
+    return G.batches(files)
+
+
+@query("grf05_undirected", "SELECT a, b, kind, round(least(max(w) + 0.2 * (sum(w) - max(w)), 8.0), 6) AS weight FROM (SELECT least(src, dst) % 100 AS a, greatest(src, dst) % 100 AS b, kind, CAST(weight AS DOUBLE) AS w FROM edges) GROUP BY 1, 2, 3", "edges")
+def _(edges):
+    e = edges.select((F.least("src", "dst") % 100).alias("x"), (F.greatest("src", "dst") % 100).alias("y"), "kind", F.col("weight").cast("double").alias("w"))
+    both = F.max("w") + 0.2 * (F.sum("w") - F.max("w"))
+    return e.groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "kind").agg(F.round(F.least(both, F.lit(8.0)), 6).alias("weight"))
+
+
+@query("grf06_imports", "WITH e AS (SELECT DISTINCT path, primary_name || namespace || parent_class AS name FROM chunks WHERE id % 2 = 0), o AS (SELECT name, min(path) AS target FROM e WHERE name IS NOT NULL GROUP BY name HAVING count(*) = 1), u AS (SELECT DISTINCT path AS source, primary_name || namespace || parent_class AS name FROM chunks WHERE id % 2 = 1 OR id % 4 = 0) SELECT source, target, name FROM u JOIN o USING (name) WHERE source <> target", "chunks")
+def _(chunks):
+    rows = chunks.select("id", "path", F.concat("primary_name", "namespace", "parent_class").alias("name"))
+    return G.imports(rows.where("id % 2 = 0").select("path", "name"), rows.where("id % 2 = 1 or id % 4 = 0").select("path", "name"))
+
+
+@query("grf07_contracts", "WITH f AS (SELECT DISTINCT path, id FROM chunks WHERE id < 400) SELECT DISTINCT b.path AS source, a.path AS target, 's' || a.id AS name FROM f a JOIN f b ON b.id = a.id + 1 WHERE a.path <> b.path", "chunks")
+def _(chunks):
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    text = F.concat(F.lit('{"$id": "'), name(F.col("id")), F.lit('", "items": {"$ref": "'), name(F.col("id") - 1), F.lit('#/x"}}'))
+    return G.contract_references(chunks.where("id < 400").select("path", text.alias("text")))
+
+
+@query("grf08_focus", "SELECT id, [path] AS paths FROM chunks WHERE path IN ('src/src1/en/part1.java', 'src/src2/en/part2.ts')", "chunks")
+def _(chunks):
+    fact = lambda p: F.struct(F.lit("a").alias("source"), F.lit("calls").alias("relation"), F.lit("b").alias("target"), p.alias("path"))
+    packets = chunks.select("id", F.array(fact(F.col("path")), fact(F.concat(F.lit("other/"), F.col("path")))).alias("facts"))
+    return G.focus(packets, ["src/src1/en/part1.java", "src/src2/en/part2.ts"]).select("id", "paths")

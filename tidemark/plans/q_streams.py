@@ -1 +1,53 @@
-"""Queries."""
+"""Queries of incremental operators; the streams themselves are in the tests."""
+
+from pyspark.sql import functions as F
+
+from ..streaming import streams as S
+from .registry import query
+
+
+@query("str02_newest_wins", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1", "t:events")
+def _(events):
+    old, new = events.where("event_id % 2 = 0"), events.where("event_id % 2 = 1")
+    return S.merge_newest(S.newest(old, "user_id", "ts", "event_id"), new, "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("str03_incremental_changes", "SELECT id, path FROM chunks WHERE branch = 'main' AND path NOT IN (SELECT path FROM chunks WHERE id % 7 = 0) UNION ALL SELECT id, path FROM chunks WHERE branch = 'develop' AND path IN (SELECT path FROM chunks WHERE id % 7 = 0) AND CAST(regexp_extract(path, 'part([0-9]+)', 1) AS INTEGER) % 2 = 0", "chunks")
+def _(chunks):
+    c = chunks.select("id", "path", "branch")
+    kind = F.when(F.regexp_extract("path", "part([0-9]+)", 1).cast("int") % 2 == 0, "update").otherwise("delete")
+    changes = c.where("id % 7 = 0").select("path", kind.alias("change")).distinct()
+    return S.apply_changes(c.where("branch = 'main'").select("id", "path"), changes, c.where("branch = 'develop'").select("id", "path"))
+
+
+@query("str04_vector_reuse", "SELECT vec_id AS id, vec_id % 3 = 0 AND label % 2 = 0 AS reused FROM embeddings", "t:embeddings")
+def _(embeddings):
+    cache = embeddings.where("vec_id % 3 = 0").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.lit("a").alias("scope"), F.lit(0).alias("input"))
+    new = embeddings.select(F.col("vec_id").alias("id"), F.lit("a").alias("scope"), (F.col("label") % 2).alias("input"))
+    return S.reuse_vectors(new, cache, ["scope", "input"]).select("id", "reused")
+
+
+@query("str05_copy_branches", "SELECT vec_id AS id FROM embeddings WHERE label % 3 <> 0 AND vec_id % 4 <> 0", "t:embeddings")
+def _(embeddings):
+    points = embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("label") % 3 == 0, "main").otherwise("dev").alias("branch"), F.when(F.col("vec_id") % 4 == 0, F.slice("embedding", 1, 8)).otherwise(F.col("embedding")).alias("vector"))
+    return S.copy_branches(points, "main", 64).select("id")
+
+
+@query("str06_rate_windows", "SELECT user_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2", "t:events")
+def _(events):
+    return S.fixed_windows(events, "user_id").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("str06_over_limit", "SELECT user_id, CAST(count(*) AS BIGINT) AS windows FROM (SELECT user_id, date_trunc('day', ts) AS d, count(*) AS n FROM events GROUP BY 1, 2) WHERE n > 3 GROUP BY 1", "t:events")
+def _(events):
+    return S.over_limit(S.fixed_windows(events, "user_id", size="1 day"), 3).groupBy("user_id").agg(F.count("*").alias("windows"))
+
+
+@query("extra_sessions", "WITH m AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) <= 7200000000 THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m) SELECT user_id, CAST(count(DISTINCT s) AS BIGINT) AS sessions FROM s GROUP BY 1", "t:events")
+def _(events):
+    return S.sessions(events, "user_id", "ts", 7200).groupBy("user_id").agg(F.count("*").alias("sessions"))
+
+
+@query("str18_seal", "SELECT CAST(count(*) AS BIGINT) AS members FROM chunks", "chunks")
+def _(chunks):
+    return S.seal(chunks.select("id", "path", "text")).select("members")
