@@ -234,10 +234,13 @@ def diff_summary(lines: Column, headers: int = 20, unique: int = 80) -> Column:
 # --- what needs a program: small functions over one value, in Arrow batches
 
 
-@F.pandas_udf("double")
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def sequence_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity (not an edit distance, and not symmetric)."""
-    return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+    def run(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right)])
+
+    return F.pandas_udf(run, "double")(a, b)
 
 
 def _pieces(text: str, size: int, overlap_: int, separators: list[str]) -> list[str]:

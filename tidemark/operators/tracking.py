@@ -13,8 +13,8 @@ PASSES = (("EXACT", ("fingerprint", "line", "line_hash")), ("SHIFTED", ("fingerp
 SCHEMA = "file string, raw_seq long, base_seq long, how string"
 
 
-def _match_file(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Within a file: in each pass every new finding, in order, takes the nearest free old one of its key (the first of equals)."""
+def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Within a fingerprint of a file: in each pass every new finding, in order, takes the nearest free old one of its key (the first of equals)."""
     raws = list(pdf[pdf["side"] == "raw"].sort_values("seq").itertuples(index=False))
     bases = list(pdf[pdf["side"] == "base"].sort_values("seq").itertuples(index=False))
     used, done, out = set(), set(), []
@@ -44,8 +44,9 @@ def _match_file(pdf: pd.DataFrame) -> pd.DataFrame:
 def match(raws: DataFrame, bases: DataFrame) -> DataFrame:
     """(file, seq, fingerprint, line, line_hash) of both sides: SCHEMA rows.
 
-    Keys that are unique on both sides in the first pass are matched by a join; only the rest,
-    where order decides, is folded file by file.
+    Keys that are unique on both sides in the first pass are matched by a join.  Every pass asks for
+    equal fingerprints, so only fingerprints of a file that are open on both sides are folded, each
+    on its own; all other rows are new or gone at once.
     """
     cols = ["file", "seq", "fingerprint", "line", "line_hash"]
     key = ["file", "fingerprint", "line", "line_hash"]
@@ -56,7 +57,11 @@ def match(raws: DataFrame, bases: DataFrame) -> DataFrame:
     rest_raw = raws.select(*cols).join(sure.select(F.col("raw_seq").alias("seq"), "file"), ["file", "seq"], "left_anti").select(*cols, F.lit("raw").alias("side"))
     rest_base = bases.select(*cols).join(sure.select(F.col("base_seq").alias("seq"), "file"), ["file", "seq"], "left_anti").select(*cols, F.lit("base").alias("side"))
     rest = rest_raw.unionByName(rest_base)
-    return exact.unionByName(rest.groupBy("file").applyInPandas(_match_file, SCHEMA))
+    open_ = rest.where("fingerprint is not null").groupBy("file", "fingerprint").agg(F.count_distinct("side").alias("_sides")).where("_sides = 2").drop("_sides")
+    folded = rest.join(open_, ["file", "fingerprint"], "left_semi").groupBy("file", "fingerprint").applyInPandas(_match_group, SCHEMA)
+    seq = lambda side: F.when(F.col("side") == side, F.col("seq"))
+    alone = rest.join(open_, ["file", "fingerprint"], "left_anti").select("file", seq("raw").alias("raw_seq"), seq("base").alias("base_seq"), F.when(F.col("side") == "raw", "NEW").otherwise("GONE").alias("how"))
+    return exact.unionByName(folded).unionByName(alone)
 
 
 def track(previous: DataFrame, current: DataFrame, lines: DataFrame, sources: DataFrame) -> DataFrame:

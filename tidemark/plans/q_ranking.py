@@ -105,7 +105,7 @@ def _(chunks):
     return out.select("id", F.round("score", 6).alias("score"))
 
 
-@query("scr08_group_score", "SELECT id, CASE id % 5 WHEN 0 THEN 0.95 WHEN 1 THEN 0.92 WHEN 2 THEN 0.86 WHEN 3 THEN 0.84 ELSE 0.8 END AS score FROM chunks", "chunks")
+@query("scr08_group_score", "SELECT id, CAST(CASE id % 5 WHEN 0 THEN 0.95 WHEN 1 THEN 0.92 WHEN 2 THEN 0.86 WHEN 3 THEN 0.84 ELSE 0.8 END AS DOUBLE) AS score FROM chunks", "chunks")
 def _(chunks):
     k = F.col("id") % 5
     group = F.when(k == 0, "changed_files").when(k == 1, "definitions").when(k == 2, "class_context").when(k == 3, "namespace_context").otherwise("other")

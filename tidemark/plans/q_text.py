@@ -112,7 +112,7 @@ def _(issues):
     return issues.select("id", T.identifiers(F.col("path")).alias("ids"))
 
 
-@query("txt22_task_terms", f"SELECT id, list_transform(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(reason), '([a-z]{{3,}})', 1)), w -> NOT list_contains({STOP}, w)), w -> {{'n': -length(w), 'w': w}})), x -> x.w) AS terms FROM issues", "issues")
+@query("txt22_task_terms", f"SELECT id, list_transform(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(reason), '([a-z]{{3,}})', 1)), lambda w: NOT list_contains({STOP}, w)), lambda w: {{'n': -length(w), 'w': w}})), lambda x: x.w) AS terms FROM issues", "issues")
 def _(issues):
     return issues.select("id", T.task_terms(F.col("reason")).alias("terms"))
 
@@ -124,10 +124,10 @@ def _(issues):
 
 @query("txt24_sequence_ratio", None, "issues")
 def _(issues):
-    return issues.where("id < 2000").select("id", F.round(T.sequence_ratio(F.col("title"), F.col("reason")), 6).alias("ratio"))
+    return issues.select("id", F.round(T.sequence_ratio(F.col("title"), F.col("reason")), 6).alias("ratio"))
 
 
-@query("txt25_overlap", f"WITH t AS (SELECT id, list_filter(list_distinct(regexp_split_to_array(lower(title), '[^a-z0-9_]+')), w -> length(w) > 1 AND NOT list_contains({STOP}, w)) AS a, list_filter(list_distinct(regexp_split_to_array(lower(reason), '[^a-z0-9_]+')), w -> length(w) > 1 AND NOT list_contains({STOP}, w)) AS b FROM issues), n AS (SELECT id, length(list_intersect(a, b)) AS c, length(a) AS x, length(b) AS y FROM t) SELECT id, CAST(c AS INTEGER) AS common, round(c / least(x, y), 6) AS containment, round(c / (x + y - c), 6) AS jaccard FROM n", "issues")
+@query("txt25_overlap", f"WITH t AS (SELECT id, list_filter(list_distinct(regexp_split_to_array(lower(title), '[^a-z0-9_]+')), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w)) AS a, list_filter(list_distinct(regexp_split_to_array(lower(reason), '[^a-z0-9_]+')), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w)) AS b FROM issues), n AS (SELECT id, length(list_intersect(a, b)) AS c, length(a) AS x, length(b) AS y FROM t) SELECT id, CAST(c AS INTEGER) AS common, round(c / least(x, y), 6) AS containment, round(c / (x + y - c), 6) AS jaccard FROM n", "issues")
 def _(issues):
     o = T.overlap(T.token_set(F.col("title")), T.token_set(F.col("reason")))
     return issues.select("id", o["common"].alias("common"), F.round(o["containment"], 6).alias("containment"), F.round(o["jaccard"], 6).alias("jaccard"))

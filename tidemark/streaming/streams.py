@@ -46,7 +46,8 @@ def over_limit(windows: DataFrame, limit: int) -> DataFrame:
 def sessions(events: DataFrame, key: str, at: str, gap_s: int) -> DataFrame:
     """An extra: runs of events with no gap longer than so many seconds."""
     w = Window.partitionBy(key).orderBy(at)
-    new = F.when(F.unix_micros(at) - F.lag(F.unix_micros(at)).over(w) <= gap_s * 1_000_000, 0).otherwise(1)
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    new = F.when(micros - F.lag(micros).over(w) <= gap_s * 1_000_000, 0).otherwise(1)
     marked = events.withColumn("_new", new).withColumn("_s", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(key, "_s").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("n")).drop("_s")
 
