@@ -35,7 +35,7 @@ BAND = 4
 MANTISSA = 10
 ROUNDS = 3
 #: Standard deviations that an estimate may lie below the threshold.
-SLACK = 5.0
+SLACK = 4.0
 #: Members of a side of a block in the exhaustive step.
 BLOCK = 1024
 
@@ -195,25 +195,43 @@ def links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, of: int,
 
 
 def _exhaust(share: float):
-    """One block: strays by members of a bucket; pairs of different components whose estimate passes and whose first common band this is."""
-
-    def run(pdf):
-        import pandas as pd
-
-        key = np.uint64(int(pdf["key"].iloc[0]) & 0xFFFFFFFFFFFFFFFF)
-        x, y = pdf[pdf["stray"]], pdf[~pdf["stray"]]
-        found = []
-        if len(x) and len(y):
-            rx, ry = (np.frombuffer(b"".join(z["registers"]), np.uint16).reshape(-1, REGISTERS) for z in (x, y))
-            kx, ky = band_keys(rx), band_keys(ry)
-            ids, comps, sizes = y["id"].to_numpy(), y["component"].to_numpy(), y["n"].to_numpy(float)
-            band = int(np.flatnonzero(kx[0] == key)[0])
-            for i, (doc, comp, n) in enumerate(zip(x["id"], x["component"], x["n"])):
-                other = (comps != comp) & ~(ky[:, :band] == kx[i, :band]).any(axis=1)
-                at = np.flatnonzero(other)
-                at = at[passes(rx[i][None, :], ry[at], np.full(len(at), float(n)), sizes[at], share)]
-                found += [(min(doc, z), max(doc, z)) for z in ids[at]]
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+    """Blocks (key, members): pairs of a stray and a member of another component whose estimate passes and whose first common band this is."""
+    # both-empty registers count as equal here, which only lets more through
+    screen = share * REGISTERS - SLACK * np.sqrt(share * (1 - share) * REGISTERS)
+
+    def run(batches):
+        for batch in batches:
+            keys, lists = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
+            rows, cut = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            stray, ids, comps, sizes, registers = (rows.field(i) for i in range(5))
+            stray, ids, comps, sizes = stray.to_numpy(zero_copy_only=False), ids.to_numpy(), comps.to_numpy(), sizes.to_numpy()
+            us, vs = [], []
+            for key, lo, hi in zip(keys, cut[:-1], cut[1:]):
+                x, y = np.flatnonzero(stray[lo:hi]) + lo, np.flatnonzero(~stray[lo:hi]) + lo
+                if not len(x) or not len(y):
+                    continue
+                y = y[np.argsort(sizes[y], kind="stable")]
+                low, high = np.searchsorted(sizes[y], share * sizes[x] - 1e-9), np.searchsorted(sizes[y], sizes[x] / share + 1e-9, side="right")
+                rx, ry = _registers(registers.take(pa.array(x))), _registers(registers.take(pa.array(y)))
+                left, right = [], []
+                for i in range(len(x)):
+                    near = slice(low[i], high[i])
+                    hit = np.flatnonzero((np.count_nonzero(ry[near] == rx[i], axis=1) >= screen) & (comps[y[near]] != comps[x[i]])) + low[i]
+                    left.append(np.full(len(hit), i))
+                    right.append(hit)
+                left, right = np.concatenate(left), np.concatenate(right)
+                if not len(left):
+                    continue
+                kx, ky = band_keys(rx), band_keys(ry)
+                band = int(np.flatnonzero(kx[0] == key)[0])
+                ok = ~(kx[left, :band] == ky[right, :band]).any(axis=1)
+                left, right = left[ok], right[ok]
+                ok = passes(rx[left], ry[right], sizes[x[left]].astype(float), sizes[y[right]].astype(float), share)
+                a, b = ids[x[left[ok]]], ids[y[right[ok]]]
+                us.append(np.minimum(a, b))
+                vs.append(np.maximum(a, b))
+            none = [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us or none)), pa.array(np.concatenate(vs or none))], ["u", "v"])
 
     return run
 
@@ -245,11 +263,13 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for turn in range(ROUNDS + 1):
         placed = buckets.join(comps, "id")
         if turn:
-            mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
+            # the first pivot and the second cover all pairs of two or three members
+            mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"))
+            mixed = mixed.where((F.col("c0") < F.col("c1")) & (F.col("size") > min(turn + 1, 3))).select("key")
             placed = placed.join(mixed, "key")
         placed = saved(placed, "placed")
         if turn < ROUNDS:
-            order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
+            order = F.col("id") if turn == 0 else -F.col("id") if turn == 1 else F.xxhash64(F.lit(turn), "id")
             pivots = placed.groupBy("key").agg(F.min_by("id", order).alias("pivot"), F.min_by("component", order).alias("pivot_component"))
             pairs = placed.join(pivots, "key").where("component <> pivot_component").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
             more = links(pairs, reps, texts, k, of, at_least)
@@ -260,8 +280,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             spread = lambda df, own, other: df.withColumn(own, part(own)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
             strays = spread(members.where("component <> main"), "p", "q").withColumn("stray", F.lit(True))
             others = spread(members, "q", "p").withColumn("stray", F.lit(False))
-            blocks = strays.unionByName(others).select("key", "p", "q", "stray", "id", "n", "component", "registers")
-            pairs = blocks.groupBy("key", "p", "q").applyInPandas(_exhaust(at_least / of), "u long, v long").distinct()
+            blocks = strays.unionByName(others).groupBy("key", "p", "q").agg(F.collect_list(F.struct("stray", "id", "component", "n", "registers")).alias("members"))
+            pairs = blocks.select("key", "members").mapInArrow(_exhaust(at_least / of), "u long, v long").distinct()
             more = links(pairs, reps, texts, k, of, at_least, estimated=True)
         more = saved(more, "links")
         if turn and more.isEmpty() and turn == ROUNDS:
