@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .aggregates import severity_rank
 from .components import connected_components
+from .folds import fold
 from .ranking import first_rows
 
 #: Reasons shorter than this don't identify a finding by themselves.
@@ -96,20 +96,22 @@ def clusters(pairs: DataFrame) -> DataFrame:
 def greedy(rows: DataFrame, by: str, ratio: float = 0.88) -> DataFrame:
     """In order of seq, a finding is absorbed by the first kept one with the same anchor and a like reason, or the same title and place.
 
-    Order decides, so a file is one fold (applyInPandas); a file's findings are few.
+    Order decides, so the findings of one line (or of none) of a file are one fold (applyInPandas).
     """
     import difflib
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, into = [], []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            like = next((k for k in kept if (k.line == r.line or (pd.isna(k.line) and pd.isna(r.line))) and (k.reason == r.reason or difflib.SequenceMatcher(None, k.reason, r.reason).ratio() >= ratio)), None)
+    def run(group: list) -> list[tuple]:
+        kept, into = {}, []  # the first finding of each reason
+        for r in group:
+            like = kept.get(r.reason)
             if like is None:
-                kept.append(r)
-            into.append((r.seq, like.seq if like is not None else r.seq))
-        return pd.DataFrame(into, columns=["seq", "kept_seq"])
+                like = next((seq for reason, seq in kept.items() if difflib.SequenceMatcher(None, reason, r.reason).ratio() >= ratio), None)
+            if like is None:
+                kept[r.reason] = r.seq
+            into.append((r.seq, r.seq if like is None else like))
+        return into
 
-    return rows.groupBy(by).applyInPandas(run, "seq long, kept_seq long")
+    return fold(rows, [by, "line"], ["seq"], run, "seq long, kept_seq long")
 
 
 def flatten_groups(rows: DataFrame) -> DataFrame:

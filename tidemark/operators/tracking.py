@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold
 from .joins import FAR
 
 #: The passes of the match, in order: the columns that must be equal (and known).
@@ -13,10 +14,9 @@ PASSES = (("EXACT", ("fingerprint", "line", "line_hash")), ("SHIFTED", ("fingerp
 SCHEMA = "file string, raw_seq long, base_seq long, how string"
 
 
-def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
+def _match_group(rows: list) -> list[tuple]:
     """Within a fingerprint of a file: in each pass every new finding, in order, takes the nearest free old one of its key (the first of equals)."""
-    raws = list(pdf[pdf["side"] == "raw"].sort_values("seq").itertuples(index=False))
-    bases = list(pdf[pdf["side"] == "base"].sort_values("seq").itertuples(index=False))
+    raws, bases = [r for r in rows if r.side == "raw"], [r for r in rows if r.side == "base"]
     used, done, out = set(), set(), []
     for how, key in PASSES:
         by: dict[tuple, list] = {}
@@ -37,8 +37,7 @@ def _match_group(pdf: pd.DataFrame) -> pd.DataFrame:
                 done.add(r.seq)
                 out.append((r.file, r.seq, best.seq, how))
     out += [(r.file, r.seq, None, "NEW") for r in raws if r.seq not in done]
-    out += [(b.file, None, b.seq, "GONE") for b in bases if b.seq not in used]
-    return pd.DataFrame(out, columns=["file", "raw_seq", "base_seq", "how"]).astype({"raw_seq": "Int64", "base_seq": "Int64"})
+    return out + [(b.file, None, b.seq, "GONE") for b in bases if b.seq not in used]
 
 
 def match(raws: DataFrame, bases: DataFrame) -> DataFrame:
@@ -58,7 +57,7 @@ def match(raws: DataFrame, bases: DataFrame) -> DataFrame:
     rest_base = bases.select(*cols).join(sure.select(F.col("base_seq").alias("seq"), "file"), ["file", "seq"], "left_anti").select(*cols, F.lit("base").alias("side"))
     rest = rest_raw.unionByName(rest_base)
     open_ = rest.where("fingerprint is not null").groupBy("file", "fingerprint").agg(F.count_distinct("side").alias("_sides")).where("_sides = 2").drop("_sides")
-    folded = rest.join(open_, ["file", "fingerprint"], "left_semi").groupBy("file", "fingerprint").applyInPandas(_match_group, SCHEMA)
+    folded = rest.join(open_, ["file", "fingerprint"], "left_semi").transform(fold, ["file", "fingerprint"], ["seq"], _match_group, SCHEMA)
     seq = lambda side: F.when(F.col("side") == side, F.col("seq"))
     alone = rest.join(open_, ["file", "fingerprint"], "left_anti").select("file", seq("raw").alias("raw_seq"), seq("base").alias("base_seq"), F.when(F.col("side") == "raw", "NEW").otherwise("GONE").alias("how"))
     return exact.unionByName(folded).unionByName(alone)
