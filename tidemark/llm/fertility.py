@@ -27,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 REACH = 4.0
 LEAST = {"chars_per_token": 0.15, "fallback": 0.01, "entropy": 0.25}
 MIN_WORDS = 50
+#: Bands that are broadcast at most (some MB); more of them are joined by a shuffle.
+MAX_BANDS = 20_000
 SLICE = 8 << 20
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 _SCRIPTS = ["latin", "greek", "cyrillic", "hebrew_arabic", "indic", "east_asian", "other"]
@@ -140,6 +142,8 @@ def judge(measured: DataFrame) -> DataFrame:
     cuts = [F.percentile_approx(c, [0.25, 0.75], 1000).alias(c) for c in LEAST]
     bands = measured.where(F.col("n_words") >= MIN_WORDS).groupBy("band").agg(*cuts)
     bands = bands.select(F.col("band").alias("b"), *(F.struct(F.col(c)[0].alias("lo"), F.col(c)[1].alias("hi"), F.greatest(F.lit(w), F.col(c)[1] - F.col(c)[0]).alias("w")).alias(f"b_{c}") for c, w in LEAST.items()))
+    bands = saved(bands, "bands")
+    bands = F.broadcast(bands) if bands.count() <= MAX_BANDS else bands  # a few languages hold all rows: a shuffle by band would be uneven
     inside = F.lit(True)
     for c in LEAST:
         b = F.col(f"b_{c}")
