@@ -175,6 +175,39 @@ def test_lm_levels(spark):
     assert (grams.levels(np.random.default_rng(3).integers(0, 2**63, 3000).view(np.uint64)) > 0).mean() < 0.1
 
 
+def test_lm_keeps_pairs_seen_once_in_any_number_of_ranges(spark, monkeypatch):
+    """Nothing is dropped as the filter grows: scores are those of the whole model, pairs seen once included, however many ranges there are."""
+    rng = random.Random(12)
+    vocab = prose(rng, 300, "abcdefghijkl")
+    texts = [" ".join(rng.choice(vocab) for _ in range(40)) for _ in range(80)]
+    rows = [(i, t, *[None] * 7) for i, t in enumerate(texts)] + [(i + 100, texts[i], *[None] * 7) for i in range(0, 80, 9)]
+    held = {r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 7 == 2}
+    words, pairs, n_docs = Counter(), Counter(), 0
+    for d, t, *_ in rows:
+        own = [*t.split(), None]
+        if d not in held:
+            n_docs += 1
+            words.update(own)
+            pairs.update(zip(["<s>", *own[:-1]], own))
+    assert sum(n == 1 for n in pairs.values()) > 1000
+    mid = lambda n: float(lm.counts_of(np.array([n.bit_length()]))[0])
+    total, known, want = sum(words.values()), len(words), {}
+    for d, t, *_ in rows:
+        own, score = [*t.split(), None], 0.0
+        for h, w in zip(["<s>", *own[:-1]], own):
+            ch, c = n_docs if h == "<s>" else mid(words[h]), mid(words[w])
+            x = lm.WEIGHT * ch / (ch + 4)
+            score += math.log10(x * min(mid(pairs[h, w]), ch) / max(ch, 1) + (1 - x) * (c + 1) / (total + known + 1))
+        want[d] = score
+    for tokens_each, unit in ((1 << 19, 1 << 20), (20, 200)):  # one range; hundreds of ranges, blocks and units
+        monkeypatch.setattr(lm, "RANGE_TOKENS", tokens_each, raising=False)
+        monkeypatch.setattr(lm, "UNIT_TOKENS", unit, raising=False)
+        got = {r["doc_id"]: r["score"] for r in lm.score(frame(spark, rows), langid.held_out("doc_id", 7, 2)).collect()}
+        assert set(got) == set(want)
+        # false hits raise some counts by a level; without the pairs seen once scores differ by tens
+        assert np.mean([abs(got[d] - want[d]) for d in want]) < 1.0
+
+
 def test_lm_empty_and_untrained(spark):
     from pyspark.sql import functions as F
 
