@@ -41,6 +41,20 @@ def test_greedy_keeps_the_first(spark):
     assert found(dedup.greedy(rows, "file"), "seq", "kept_seq") == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
 
 
+def test_greedy_absorbs_equal_narratives_anywhere_in_a_file(spark):
+    null, other = "value may be null here", "the lock is never released"
+    rows = [("f", 1, 3, "Null!", null), ("f", 2, 90, "null", "Value may be  null here"), ("f", 3, 90, "Else", null), ("f", 4, None, "Null", null), ("g", 5, 3, "Null", null), ("f", 6, 3, "Lock", "value may be null there"), ("f", 7, 90, "Lock", other), ("f", 8, 90, "Lock", other)]
+    got = found(dedup.greedy(spark.createDataFrame(rows, "file string, seq long, line int, title string, reason string"), "file"), "seq", "kept_seq")
+    assert got == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5), (6, 1), (7, 7), (8, 7)]
+
+
+def test_greedy_query_covers_all_findings(spark):
+    from tidemark.plans import registry, standins
+
+    path = "/root/testdata/sf0.001"
+    assert registry.queries()["ded11_greedy"](spark, path).count() == standins.standin(spark, path, "issues").count()
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(1, 2), (2, 3), (3, 1), (5, 6), (None, 7)], [(i, i + 1) for i in range(200)], [(0, i) for i in range(1, 300)]])
 def test_components(spark, edges):
     got = dict(found(components.connected_components(spark.createDataFrame(edges, "u long, v long")), "node", "component"))

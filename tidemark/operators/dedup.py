@@ -94,24 +94,40 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def greedy(rows: DataFrame, by: str, ratio: float = 0.88) -> DataFrame:
-    """In order of seq, a finding is absorbed by the first kept one with the same anchor and a like reason, or the same title and place.
+    """In order of seq, a finding is absorbed by the first kept one of its file with the same title and reason, or with the same line and a like reason.
 
-    Order decides, so the findings of one line (or of none) of a file are one fold (applyInPandas).
+    rows (by, seq, line, reason, and title, if there is one).  Texts are compared as lower-cased
+    words; without a title only the line's rule applies.  Findings without a line share one.
+    Order decides, so the findings of a file are one fold; reasons are only compared in pairs
+    within a line, once each.
     """
     import difflib
+    import re
+
+    def plain(text) -> str:
+        return " ".join(re.findall(r"[A-Za-z0-9_$]+", text or "")).casefold()
 
     def run(group: list) -> list[tuple]:
-        kept, into = {}, []  # the first finding of each reason
-        for r in group:
-            like = kept.get(r.reason)
-            if like is None:
-                like = next((seq for reason, seq in kept.items() if difflib.SequenceMatcher(None, reason, r.reason).ratio() >= ratio), None)
-            if like is None:
-                kept[r.reason] = r.seq
-            into.append((r.seq, r.seq if like is None else like))
+        narratives, lines, into = {}, {}, []  # the place and seq of the first kept finding of each
+        for at, r in enumerate(group):
+            title, reason, line = plain(getattr(r, "title", None)), plain(r.reason), None if r.line != r.line else r.line
+            near, found = lines.setdefault(line, {}), []
+            if title and reason and (title, reason) in narratives:
+                found.append(narratives[title, reason])
+            if reason in near:
+                found.append(near[reason])
+            for other, kept in near.items():
+                if reason and other and other != reason and (not found or kept < min(found)) and difflib.SequenceMatcher(None, other, reason).ratio() >= ratio:
+                    found.append(kept)
+                    break
+            if not found:
+                narratives[title, reason] = narratives.get((title, reason), (at, r.seq))
+                if reason:
+                    near[reason] = (at, r.seq)
+            into.append((r.seq, min(found)[1] if found else r.seq))
         return into
 
-    return fold(rows, [by, "line"], ["seq"], run, "seq long, kept_seq long")
+    return fold(rows, [by], ["seq"], run, "seq long, kept_seq long")
 
 
 def flatten_groups(rows: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def _(issues):
 
 @query("ded11_greedy", None, "issues")
 def _(issues):
-    return D.greedy(issues.where("project_id < 10").select(F.col("id").alias("seq"), "path", F.col("line").cast("double"), "reason"), "path")
+    return D.greedy(issues.select(F.col("id").alias("seq"), "path", F.col("line").cast("double"), "title", "reason"), "path")
 
 
 @query("ded12_stale", "WITH c AS (SELECT DISTINCT path FROM chunks WHERE id % 3 = 2), f AS (SELECT DISTINCT path FROM chunks WHERE branch = 'feature/search' AND score > 0.4) SELECT id, path IN (SELECT path FROM c) AS stale FROM chunks WHERE branch = 'main' AND (path NOT IN (SELECT path FROM c) OR path NOT IN (SELECT path FROM f)) UNION ALL SELECT id, false FROM chunks WHERE branch = 'feature/search' AND score > 0.4 AND path IN (SELECT path FROM c)", "chunks")
