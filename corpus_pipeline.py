@@ -23,9 +23,12 @@ ORACLE_SQL = None
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or with no language that stands out, go."""
+    """Documents without letters, or with no language that stands out, go; where no row has a language to learn from, only the former."""
     bounded_batches(spark)
-    seen = langid.predict(docs, langid.fit(docs), pred_col="_lang_pred", score_col="_lang_score")
+    model = langid.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    seen = langid.predict(docs, model, pred_col="_lang_pred", score_col="_lang_score")
     return seen.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= MIN_SCORE)).drop("_lang_pred", "_lang_score")
 
 

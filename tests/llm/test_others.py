@@ -321,3 +321,12 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(kept["near_duplicates"]) == clean | {102}
     assert set(kept["decontamination"]) == set(kept["mixing"]) == clean
     assert {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, path).collect()} == {d: r["taken"] for d, r in kept["mixing"].items()}
+
+
+def test_pipeline_without_languages_keeps_texts(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "été", None, "s", 3), (3, "12 !!", None, "s", 5), (4, None, None, "s", 0)], schema)
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2]
