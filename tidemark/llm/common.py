@@ -56,6 +56,10 @@ class Bitmap:
             raw[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
         self.shared = keys.sparkSession.sparkContext.broadcast(raw)
 
+    def close(self) -> None:
+        """Frees it everywhere; to be called when what used it has been written."""
+        self.shared.destroy()
+
     def maybe(self, *columns: np.ndarray) -> np.ndarray:
         place = _key(columns) >> np.uint64(64 - (self.bits.bit_length() - 1))
         return (self.shared.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text that one slice holds (a single longer document is a slice of its own).
 SLICE_BYTES = 1 << 20
+#: Rows that one slice holds at most.
+SLICE_ROWS = 1 << 12
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
@@ -53,7 +55,7 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        to = max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1)
+        to = min(max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1), row + SLICE_ROWS)
         yield row, data[at[row] : at[to]], at[row : to + 1] - at[row]
         row = to
 

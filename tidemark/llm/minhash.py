@@ -4,23 +4,36 @@ A document's set holds its distinct shingles of so many words.  Its sketch has o
 for each of REGISTERS buckets: the leading zeros and MANTISSA following bits of the least
 hash in the bucket.  Bands of registers (empty ones borrow from the next bucket that has
 something) bring candidates together; the Jaccard estimate, corrected for registers that
-agree by chance, drops hopeless ones; the rest are confirmed on the full sets.
+agree by chance, drops hopeless pairs; the rest are confirmed on the full sets.  Bands are as
+long as they can be with under MISSED of pairs at the threshold sharing none, so that
+unrelated documents seldom meet.
 
-No group is ever expanded into its pairs.  Equal sets are one class.  In each band bucket
-all members are held against one pivot, in ROUNDS rounds with other pivots, members already
-in the pivot's component excepted.  What is left open after that, members of one bucket in
-different components, is compared exhaustively: blocks of sketches inside tasks, which give
-out only pairs whose estimate passes.  So a link between different components is never
-missed for the size of its bucket; a pair that shares no band at all is (under 1e-7 of pairs
-at the threshold).
+Equal sets are one class.  No group is expanded into its pairs:
+
+1. All members of a band bucket are held against its least id.
+2. Members of buckets that still have several components are held against another pivot of
+   each bucket, by one pair at most for a member and a foreign component.
+3. What is open then is settled on full sets.  A shingle that no other open document has
+   can't be shared; documents with too many of those are out (two aggregations of shingles).
+   The others of a bucket meet in blocks, strays of its main component against all its
+   members, and a block gives out only the links that join two components, a forest.
+
+Each step's links are contracted to the components known before it.  So no link between
+different components is lost for the size of its bucket; a pair that shares no band, or whose
+estimate lies SLACK deviations low against the only pivot, can be (about one in a million of
+pairs at the threshold).
 
 Cases: null text, or text without words, has an empty set, linked with nothing; with fewer
-words than a shingle the whole sequence is the one shingle; equal rows are one document;
-rows without an id are left out; other columns are not read.
+words than a shingle the whole sequence is the one shingle; repeated rows are one document
+and each get its row; rows of one id with different texts are one document too, linked by
+what any of its texts is linked with; a row without an id is counted, linked with nothing
+and kept (its component is null); other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,14 +43,24 @@ from ..operators.components import connected_components
 from . import kernels as K
 from .common import Bitmap, saved
 
-REGISTERS = 128
-BAND = 4
+REGISTERS = 256
 MANTISSA = 10
-ROUNDS = 3
+#: Share of pairs exactly at the threshold that may share no band.
+MISSED = 1e-5
 #: Standard deviations that an estimate may lie below the threshold.
-SLACK = 4.0
-#: Members of a side of a block in the exhaustive step.
+SLACK = 5.0
+#: Members, and shingles, of a side of a block in the last step (one larger set is a side of its own).
 BLOCK = 1024
+BLOCK_SHINGLES = 1 << 18
+
+
+def band_size(share: float) -> int:
+    """Registers of a band for this similarity."""
+    most = 1
+    for r in range(2, 33):
+        if REGISTERS // r * math.log1p(-(share**r)) <= math.log(MISSED):
+            most = r
+    return most
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,35 +87,34 @@ def sketch(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     h = K.mix(values + np.uint64(0x632BE59BD9B4E019))
     least = np.full(n * REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     np.minimum.at(least, rows * REGISTERS + (h >> np.uint64(64 - bits)).astype(np.int64), h << np.uint64(bits) >> np.uint64(bits))
-    empty = least == np.iinfo(np.uint64).max
+    full = np.flatnonzero(least != np.iinfo(np.uint64).max)
+    least = least[full]
     width = 64 - bits
     top = np.zeros(len(least), np.int64)  # number of significant bits
     rest = least.copy()
-    rest[empty] = 0
     for s in (32, 16, 8, 4, 2, 1):
         big = rest >> np.uint64(s) > 0
         top[big] += s
         rest[big] >>= np.uint64(s)
     top += rest > 0
-    zeros = width - top
     down = np.maximum(top - 1 - MANTISSA, 0).astype(np.uint64)
     mantissa = (least >> down) & np.uint64((1 << MANTISSA) - 1)
-    code = 1 + np.minimum(zeros, 50) * (1 << MANTISSA) + mantissa.astype(np.int64)
-    code[empty] = 0
-    return code.astype(np.uint16).reshape(n, REGISTERS)
+    out = np.zeros(n * REGISTERS, np.uint16)
+    out[full] = (1 + np.minimum(width - top, 50) * (1 << MANTISSA) + mantissa.astype(np.int64)).astype(np.uint16)
+    return out.reshape(n, REGISTERS)
 
 
-def band_keys(registers: np.ndarray) -> np.ndarray:
+def band_keys(registers: np.ndarray, band: int) -> np.ndarray:
     """One key for each row and band; rows must have some register."""
-    n, m = registers.shape
+    m = registers.shape[1]
     place = np.where(registers > 0, np.arange(m), 2 * m)
     place = np.minimum.accumulate(place[:, ::-1], axis=1)[:, ::-1]
     place = np.where(place < m, place, place[:, :1])  # past the last: the first of all
-    full = np.take_along_axis(registers, np.minimum(place, m - 1), axis=1).astype(np.uint64)
-    out = np.zeros((n, m // BAND), np.uint64)
-    for j in range(BAND):
-        out = K.mix(out + full[:, j::BAND] + np.uint64(j + 1))
-    return K.mix(out ^ K.mix(np.arange(m // BAND, dtype=np.uint64) + np.uint64(77)))
+    full = np.take_along_axis(registers, np.minimum(place, m - 1), axis=1)[:, : m // band * band].astype(np.uint64)
+    out = np.zeros((len(registers), m // band), np.uint64)
+    for j in range(band):
+        out = K.mix(out + full[:, j::band] + np.uint64(j + 1))
+    return K.mix(out ^ K.mix(np.arange(m // band, dtype=np.uint64) + np.uint64(77)))
 
 
 def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +141,12 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
 
 
+def _row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(n, np.uint64)
+    np.add.at(out, rows, values)
+    return out
+
+
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """(id, n, a, b, registers): size and 128-bit hash of the set, and its sketch (null for an empty set).  docs: (id, text)."""
 
@@ -128,167 +156,221 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 n = len(at) - 1
                 values, rows = shingle_sets(data, at, k)
                 size = np.bincount(rows, minlength=n)
-                a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                np.add.at(a, rows, K.mix(values))
-                np.add.at(b, rows, K.mix(values ^ np.uint64(0x9FB21C651E98DF25)))
-                regs = sketch(values, rows, n)
-                raw = pa.array([r.tobytes() if s else None for r, s in zip(regs, size)], pa.binary())
+                a, b = _row_sums(K.mix(values), rows, n), _row_sums(K.mix(values ^ np.uint64(0x9FB21C651E98DF25)), rows, n)
+                raw = pa.array([r.tobytes() if s else None for r, s in zip(sketch(values, rows, n), size)], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), raw], ["id", "n", "a", "b", "registers"])
 
     return docs.mapInArrow(run, "id long, n long, a long, b long, registers binary")
 
 
-def bands(reps: DataFrame) -> DataFrame:
+def bands(reps: DataFrame, band: int) -> DataFrame:
     """(key, id): the band buckets of each class."""
 
     def run(batches):
-        for batch in batches:
-            if len(batch):
-                keys = band_keys(_registers(batch.column(1)))
+        for whole in batches:
+            for i in range(0, len(whole), 2048):
+                batch = whole.slice(i, 2048)
+                keys = band_keys(_registers(batch.column(1)), band)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], ["key", "id"])
 
     return reps.select("id", "registers").mapInArrow(run, "key long, id long")
 
 
-def _confirm(k: int, of: int, at_least: int):
-    """(u, v) rows whose full sets reach the similarity at_least / of."""
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, s, n, set) of the documents with these ids: their sets as sorted hashes; s tells sets of one id apart.  docs: (id, text)."""
+    wanted = Bitmap(ids, "id")
 
     def run(batches):
         for batch in batches:
-            us, vs, left, right = (batch.column(i) for i in range(4))
-            for s in range(0, len(batch), 256):
-                a, b = left.slice(s, 256), right.slice(s, 256)
-                sets = []
-                for column in (a, b):
-                    parts = [(row, *shingle_sets(data, at, k)) for row, data, at in K.slices(column)]
-                    rows = np.concatenate([row + r for row, _, r in parts])
-                    sets.append((np.concatenate([v for _, v, _ in parts]), rows))
-                (x, rx), (y, ry) = sets
-                key_x, key_y = x ^ K.mix(rx.astype(np.uint64)), y ^ K.mix(ry.astype(np.uint64))
-                _, common, _ = np.intersect1d(key_x, key_y, assume_unique=True, return_indices=True)
-                n = len(a)
-                inter = np.bincount(rx[common], minlength=n)
-                union = np.bincount(rx, minlength=n) + np.bincount(ry, minlength=n) - inter
-                yield pa.RecordBatch.from_arrays([us.slice(s, 256), vs.slice(s, 256)], ["u", "v"]).filter(pa.array((of * inter >= at_least * union) & (inter > 0)))
+            batch = batch.filter(pa.array(wanted.maybe(batch.column(0).to_numpy())))
+            for row, data, at in K.slices(batch.column(1)):
+                n = len(at) - 1
+                values, rows = shingle_sets(data, at, k)
+                values = values[np.lexsort((values, rows))]
+                size = np.bincount(rows, minlength=n)
+                own = K.mix(_row_sums(K.mix(values), np.sort(rows), n) ^ K.mix(batch.column(0).slice(row, n).to_numpy().view(np.uint64)))
+                raw, cut = values.tobytes(), np.concatenate(([0], np.cumsum(8 * size))).tolist()
+                sets = pa.array([raw[x:y] for x, y in zip(cut, cut[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(own.view(np.int64)), pa.array(size), sets], ["id", "s", "n", "set"]).filter(pa.array(size > 0))
+
+    made = docs.mapInArrow(run, "id long, s long, n long, set binary").join(ids, "id", "left_semi")
+    made = saved(made.groupBy("id", "s").agg(F.first("n").alias("n"), F.first("set").alias("set")), "candidate-sets")
+    wanted.close()
+    return made
+
+
+def _flat(column: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the sets one after another, and their rows."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64), np.repeat(np.arange(len(n)), n)
+
+
+def _confirm(at_least: int, of: int):
+    """(u, v) of rows whose sets reach the similarity at_least / of."""
+
+    def run(batches):
+        for whole in batches:
+            for i in range(0, len(whole), 256):
+                batch = whole.slice(i, 256)
+                nx, ny = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                (x, rx), (y, ry) = _flat(batch.column(4), nx), _flat(batch.column(5), ny)
+                _, common, _ = np.intersect1d(x ^ K.mix(rx.astype(np.uint64)), y ^ K.mix(ry.astype(np.uint64)), assume_unique=True, return_indices=True)
+                inter = np.bincount(rx[common], minlength=len(batch))
+                yield batch.select([0, 1]).filter(pa.array((of * inter >= at_least * (nx + ny - inter)) & (inter > 0)))
 
     return run
 
 
 def _promising(share: float):
     def run(batches):
-        for batch in batches:
-            if len(batch):
-                u, v, nu, nv, x, y = batch.columns
+        for whole in batches:
+            for i in range(0, len(whole), 4096):
+                batch = whole.slice(i, 4096)
+                id_, pivot, u, v, nu, nv, x, y = batch.columns
                 ok = passes(_registers(x), _registers(y), nu.to_numpy().astype(float), nv.to_numpy().astype(float), share)
-                yield pa.RecordBatch.from_arrays([u, v], ["u", "v"]).filter(pa.array(ok))
+                yield pa.RecordBatch.from_arrays([id_, pivot, u, v], ["id", "pivot", "u", "v"]).filter(pa.array(ok))
 
     return run
 
 
-def links(pairs: DataFrame, reps: DataFrame, texts: DataFrame, k: int, of: int, at_least: int, estimated: bool = False) -> DataFrame:
-    """Those of pairs (u, v) whose sets reach the similarity."""
-    if not estimated:
-        side = lambda i: reps.select(F.col("id").alias(i), F.col("n").alias(f"n{i}"), F.col("registers").alias(f"r{i}"))
-        pairs = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "nu", "nv", "ru", "rv").mapInArrow(_promising(at_least / of), "u long, v long")
-    side = lambda i: texts.select(F.col("id").alias(i), F.col("text").alias(f"t{i}"))
-    return pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "tu", "tv").mapInArrow(_confirm(k, of, at_least), "u long, v long")
+def links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, at_least: int, of: int) -> DataFrame:
+    """(u, v) of those rows (id, pivot, u, v) whose sets reach the similarity."""
+    sketched = lambda i: reps.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("registers").alias(f"r_{i}"))
+    pairs = pairs.join(sketched("pivot"), "pivot").join(sketched("id"), "id").select("id", "pivot", "u", "v", "n_id", "n_pivot", "r_id", "r_pivot")
+    pairs = pairs.mapInArrow(_promising(at_least / of), "id long, pivot long, u long, v long")
+    full = lambda i: sets.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("set").alias(f"s_{i}"))
+    pairs = pairs.join(full("pivot"), "pivot").join(full("id"), "id").select("u", "v", "n_id", "n_pivot", "s_id", "s_pivot")
+    return pairs.mapInArrow(_confirm(at_least, of), "u long, v long").distinct()
+
+
+def _shingles(batches):
+    for batch in batches:
+        s, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        values, rows = _flat(batch.column(2), n)
+        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(s[rows])], ["shingle", "s"])
 
 
-def _exhaust(share: float):
-    """Blocks (key, members): pairs of a stray and a member of another component whose estimate passes and whose first common band this is."""
-    # both-empty registers count as equal here, which only lets more through
-    screen = share * REGISTERS - SLACK * np.sqrt(share * (1 - share) * REGISTERS)
+def hopeful(sets: DataFrame, at_least: int, of: int) -> DataFrame:
+    """Those of the sets whose shingles found in another of them too are enough for the similarity."""
+    alone = sets.select("s", "n", "set").mapInArrow(_shingles, "shingle long, s long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("s").alias("s")).where("k = 1")
+    alone = alone.groupBy("s").agg(F.count("*").alias("alone"))
+    return sets.join(alone, "s", "left").where(of * (F.col("n") - F.coalesce("alone", F.lit(0))) >= at_least * F.col("n")).select(sets.columns)
+
+
+def _meet(at_least: int, of: int):
+    """Lists of (stray, component, n, set): links of strays and others that join components, as a forest."""
 
     def run(batches):
         for batch in batches:
-            keys, lists = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
+            lists = batch.column(0)
             rows, cut = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            stray, ids, comps, sizes, registers = (rows.field(i) for i in range(5))
-            stray, ids, comps, sizes = stray.to_numpy(zero_copy_only=False), ids.to_numpy(), comps.to_numpy(), sizes.to_numpy()
+            stray, comps, sizes, sets = (rows.field(i) for i in range(4))
+            stray, comps, sizes = stray.to_numpy(zero_copy_only=False), comps.to_numpy(), sizes.to_numpy()
             us, vs = [], []
-            for key, lo, hi in zip(keys, cut[:-1], cut[1:]):
-                x, y = np.flatnonzero(stray[lo:hi]) + lo, np.flatnonzero(~stray[lo:hi]) + lo
-                if not len(x) or not len(y):
+            for lo, hi in zip(cut[:-1].tolist(), cut[1:].tolist()):
+                who = stray[lo:hi]
+                if who.all() or not who.any():
                     continue
-                y = y[np.argsort(sizes[y], kind="stable")]
-                low, high = np.searchsorted(sizes[y], share * sizes[x] - 1e-9), np.searchsorted(sizes[y], sizes[x] / share + 1e-9, side="right")
-                rx, ry = _registers(registers.take(pa.array(x))), _registers(registers.take(pa.array(y)))
-                left, right = [], []
-                for i in range(len(x)):
-                    near = slice(low[i], high[i])
-                    hit = np.flatnonzero((np.count_nonzero(ry[near] == rx[i], axis=1) >= screen) & (comps[y[near]] != comps[x[i]])) + low[i]
-                    left.append(np.full(len(hit), i))
-                    right.append(hit)
-                left, right = np.concatenate(left), np.concatenate(right)
-                if not len(left):
-                    continue
-                kx, ky = band_keys(rx), band_keys(ry)
-                band = int(np.flatnonzero(kx[0] == key)[0])
-                ok = ~(kx[left, :band] == ky[right, :band]).any(axis=1)
-                left, right = left[ok], right[ok]
-                ok = passes(rx[left], ry[right], sizes[x[left]].astype(float), sizes[y[right]].astype(float), share)
-                a, b = ids[x[left[ok]]], ids[y[right[ok]]]
-                us.append(np.minimum(a, b))
-                vs.append(np.maximum(a, b))
-            none = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us or none)), pa.array(np.concatenate(vs or none))], ["u", "v"])
+                n = sizes[lo:hi]
+                names, root = np.unique(comps[lo:hi], return_inverse=True)
+                values, _ = _flat(sets.slice(lo, hi - lo), n)
+                distinct, number = np.unique(values, return_inverse=True)
+                first = np.concatenate(([0], np.cumsum(n)))
+                mine, others = np.flatnonzero(who), np.flatnonzero(~who)
+                flat, starts = np.concatenate([number[first[j] : first[j + 1]] for j in others]), np.concatenate(([0], np.cumsum(n[others])[:-1]))
+                mark = np.zeros(len(distinct), bool)
+                for i in mine.tolist():
+                    can = (root[others] != root[i]) & (of * np.minimum(n[others], n[i]) >= at_least * np.maximum(n[others], n[i]))
+                    if not can.any():
+                        continue
+                    own = number[first[i] : first[i + 1]]
+                    mark[own] = True
+                    inter = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+                    mark[own] = False
+                    hits = can & (of * inter >= at_least * (n[others] + n[i] - inter)) & (inter > 0)
+                    for j in others[hits].tolist():
+                        if (old := root[j]) != root[i]:
+                            us.append(names[root[i]])
+                            vs.append(names[old])
+                            root[root == old] = root[i]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
 
+def met(members: DataFrame, at_least: int, of: int) -> DataFrame:
+    """(u, v): components linked by members (key, id, component, n, set) of one bucket, held against each other in blocks."""
+    stray = F.col("component") != F.col("main")
+    parts = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1))
+    main = members.groupBy("key", "component").agg(F.count("*").alias("k"), F.sum("n").alias("size")).groupBy("key").agg(
+        F.max_by("component", F.struct("k", "component")).alias("main"), F.max_by("k", F.struct("k", "component")).alias("k0"), F.max_by("size", F.struct("k", "component")).alias("size0"), F.sum("k").alias("k"), F.sum("size").alias("size")
+    )
+    main = main.where("k > k0").select("key", "main", parts(F.col("k") - F.col("k0"), F.col("size") - F.col("size0")).alias("ps"), parts(F.col("k"), F.col("size")).alias("qs"))
+    each = members.join(main, "key")
+    part = lambda many: F.pmod(F.xxhash64("id"), F.col(many))
+    dealt = lambda many: F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+    one = ["key", "p", "q", "stray", "component", "n", "set"]
+    strays = each.where(stray).withColumn("p", part("ps")).withColumn("q", dealt("qs")).withColumn("stray", F.lit(True)).select(one)
+    others = each.withColumn("q", part("qs")).withColumn("p", dealt("ps")).withColumn("stray", F.lit(False)).select(one)
+    blocks = strays.unionByName(others).groupBy("key", "p", "q").agg(F.collect_list(F.struct("stray", "component", "n", "set")).alias("members"))
+    return blocks.select("members").mapInArrow(_meet(at_least, of), "u long, v long").distinct()
+
+
+def mixed(placed: DataFrame, more_than: int) -> DataFrame:
+    """Rows (key, id, component) of buckets with several components and more than so many members."""
+    keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("k")).where((F.col("c0") < F.col("c1")) & (F.col("k") > more_than)).select("key")
+    return saved(placed.join(keys, "key", "left_semi"), "open-buckets")
+
+
+def contracted(comps: DataFrame, found: DataFrame) -> DataFrame:
+    """comps (id, component) after links (u, v) between components."""
+    if found.isEmpty():
+        return comps
+    joined = connected_components(found).select(F.col("node").alias("component"), F.col("component").alias("now"))
+    return saved(comps.join(joined, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "components")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, at_least: int = 80, of: int = 100) -> DataFrame:
     """Per document: id, n_shingles, component_id, kept (it is the smallest id of its component)."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketch_table = saved(sketches(rows, k), "sketches")
-    classes = saved(sketch_table.where("n > 0").groupBy("a", "b").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
-    firsts = sketch_table.join(classes.select("a", "b", F.col("rep").alias("id")), ["a", "b", "id"]).dropDuplicates(["id"]).select("id", "n", "registers")
-    buckets = bands(firsts)
-    shared = Bitmap(buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sketched = saved(sketches(rows, k), "sketches")
+    classes = sketched.where("n > 0 and id is not null").groupBy("a", "b").agg(F.min(F.struct("id", "n", "registers")).alias("least"))
+    classes = saved(classes.select("a", "b", "least.*"), "classes")
+    placed = saved(sketched.select("id", "n", "a", "b").join(classes.select("a", "b", F.col("id").alias("class")), ["a", "b"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("class")).alias("class")), "placed")
+
+    buckets = bands(classes, band_size(at_least / of))
+    several = Bitmap(buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key")
 
     def maybe(batches):
         for batch in batches:
-            yield batch.filter(pa.array(shared.maybe(batch.column(0).to_numpy())))
+            yield batch.filter(pa.array(several.maybe(batch.column(0).to_numpy())))
 
     buckets = saved(buckets.mapInArrow(maybe, buckets.schema), "buckets")
+    several.close()
     ids = saved(buckets.select("id").distinct(), "candidates")
-    wanted = Bitmap(ids, "id")
-    reps = saved(firsts.join(ids, "id", "left_semi"), "candidate-sketches")
-
-    def chosen(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(wanted.maybe(batch.column(0).to_numpy())))
-
-    texts = saved(rows.mapInArrow(chosen, rows.schema).join(ids, "id", "left_semi").dropDuplicates(["id"]), "candidate-texts")
-    found, comps = None, ids.select("id", F.col("id").alias("component"))
-    for turn in range(ROUNDS + 1):
-        placed = buckets.join(comps, "id")
-        if turn:
-            # the first pivot and the second cover all pairs of two or three members
-            mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("size"))
-            mixed = mixed.where((F.col("c0") < F.col("c1")) & (F.col("size") > min(turn + 1, 3))).select("key")
-            placed = placed.join(mixed, "key")
-        placed = saved(placed, "placed")
-        if turn < ROUNDS:
-            order = F.col("id") if turn == 0 else -F.col("id") if turn == 1 else F.xxhash64(F.lit(turn), "id")
-            pivots = placed.groupBy("key").agg(F.min_by("id", order).alias("pivot"), F.min_by("component", order).alias("pivot_component"))
-            pairs = placed.join(pivots, "key").where("component <> pivot_component").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-            more = links(pairs, reps, texts, k, of, at_least)
-        else:
-            main = placed.groupBy("key", "component").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.sum("size").alias("size"))
-            members = placed.join(main, "key").join(reps, "id").withColumn("parts", F.ceil(F.col("size") / BLOCK))
-            part = lambda salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col("parts"))
-            spread = lambda df, own, other: df.withColumn(own, part(own)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-            strays = spread(members.where("component <> main"), "p", "q").withColumn("stray", F.lit(True))
-            others = spread(members, "q", "p").withColumn("stray", F.lit(False))
-            blocks = strays.unionByName(others).groupBy("key", "p", "q").agg(F.collect_list(F.struct("stray", "id", "component", "n", "registers")).alias("members"))
-            pairs = blocks.select("key", "members").mapInArrow(_exhaust(at_least / of), "u long, v long").distinct()
-            more = links(pairs, reps, texts, k, of, at_least, estimated=True)
-        more = saved(more, "links")
-        if turn and more.isEmpty() and turn == ROUNDS:
-            break
-        found = more if found is None else found.unionByName(more)
-        comps = connected_components(found).select(F.col("node").alias("id"), "component")
-        comps = saved(ids.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "components")
-    whole = classes.join(comps, F.col("rep") == F.col("id"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
-    out = sketch_table.join(whole, ["a", "b"], "left").withColumn("component_id", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("component_id") == F.col("id")).alias("kept"))
+    reps = saved(classes.select("id", "n", "registers").join(ids, "id", "left_semi"), "candidate-sketches")
+    sets = full_sets(rows.where("id is not null"), ids, k)
+
+    # classes that share an id are one document
+    several_texts = placed.where("class is not null").groupBy("id").agg(F.min("class").alias("u"), F.max("class").alias("v")).where("u < v").select("id")
+    found = placed.join(several_texts, "id").select(F.col("id").alias("u"), F.col("class").alias("v"))
+
+    comps, now = None, buckets.withColumn("component", F.col("id"))
+    for turn in range(2):
+        order = F.col("id") if turn == 0 else F.xxhash64("id", "key")
+        pivots = now.groupBy("key").agg(F.min_by(F.struct("id", "component"), order).alias("pivot"))
+        pairs = now.join(pivots, "key").where(F.col("component") != F.col("pivot.component")).select("id", F.col("component").alias("u"), F.col("pivot.component").alias("v"), F.col("pivot.id").alias("pivot"))
+        pairs = pairs.groupBy("id", "u", "v").agg(F.min("pivot").alias("pivot"))
+        more = links(pairs, reps, sets, at_least, of)
+        more = saved(more.unionByName(found) if turn == 0 else more, "links")
+        if turn == 0:
+            every = ids.union(found.select("u")).union(found.select("v")).distinct()
+            comps = every.select("id", F.col("id").alias("component"))
+        comps = contracted(comps, more)
+        now = mixed(buckets.join(comps, "id").select("key", "id", "component"), 2)
+    open_sets = saved(hopeful(sets.join(now.select("id").distinct(), "id", "left_semi"), at_least, of), "open-sets")
+    open_buckets = mixed(now.join(open_sets.select("id").distinct(), "id", "left_semi"), 1)
+    comps = contracted(comps, saved(met(open_buckets.join(open_sets.select("id", "n", "set"), "id"), at_least, of), "links"))
+
+    out = placed.join(comps.select(F.col("id").alias("class"), "component"), "class", "left")
+    component = F.when(F.col("class").isNotNull(), F.coalesce("component", "class")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
