@@ -1,12 +1,14 @@
 """Operators 2, 5, 7 and 10 against brute force."""
 
 import hashlib
+import random
 from collections import defaultdict
 
 import pytest
 
-from tests.llm.common import LOWER, SCHEMA, WORD, corpus, frame
+from tests.llm.common import LOWER, SCHEMA, WORD, corpus, frame, prose
 from tidemark.llm import debruijn, line_dedup, minhash, suffix_dedup
+from tidemark.llm import kernels as K
 
 
 def brute_windows(rows, k):
@@ -29,17 +31,30 @@ def test_debruijn(spark, seed, window, anchor, letters):
     assert got == brute_windows(rows, window)
 
 
-def test_debruijn_repeated_rows_and_null_ids(spark):
-    rows = [(1, "a b c d e f", *[None] * 7)] * 2 + [(2, "x a b c d y", *[None] * 7), (None, "a b c d", *[None] * 7)]
-    got = sorted(tuple(r) for r in debruijn.remove_repeats(frame(spark, rows), window=4, anchor=2).collect())
-    assert got == [(1, 6, 0, "a b c d e f"), (1, 6, 0, "a b c d e f"), (2, 6, 4, "x y")]
+def test_debruijn_repeated_rows_and_ids(spark):
+    rows = [(1, "a b c d e f", *[None] * 7)] * 2 + [(2, "x a b c d y", *[None] * 7), (None, "a b\t c d", *[None] * 7), (2, "p q r s", *[None] * 7), (3, "p q r s c d e f", *[None] * 7)]
+    got = sorted(tuple(r) for r in debruijn.remove_repeats(frame(spark, rows).na.drop(subset=["doc_id"]), window=4, anchor=2).collect())
+    assert got == [(1, 6, 0, "a b c d e f"), (1, 6, 0, "a b c d e f"), (2, 4, 0, "p q r s"), (2, 6, 4, "x y"), (3, 8, 8, "")]
+    alone = [tuple(r) for r in debruijn.remove_repeats(frame(spark, rows), window=4, anchor=2).collect() if r[0] is None]
+    assert alone == [(None, 4, 0, "a b c d")]
 
 
 def test_debruijn_wrong_span_is_found(spark):
     """verify() holds words against those at the source."""
-    span = "array<struct<start:int,size:int,src:bigint,src_start:int>>"
-    work = spark.createDataFrame([(1, "a b c d", [(0, 3, 1, 0)]), (2, "a b x d", [(0, 3, 1, 0)]), (3, "q a b c", [(1, 3, 1, 0)])], f"id long, text string, spans {span}")
-    assert [tuple(r) for r in debruijn.verify(work).collect()] == [(2, 0, 1, 0)]
+    span = "array<struct<start:int,size:int,src:bigint,src_copy:bigint,src_start:int>>"
+    mine = (0, 3, 1, 5, 0)
+    work = spark.createDataFrame([(1, 5, "a b c d", [mine]), (2, 5, "a b x d", [mine]), (3, 5, "q a b  c", [(1, 3, 1, 5, 0)])], f"id long, copy long, text string, spans {span}")
+    assert [tuple(r) for r in debruijn.verify(work).collect()] == [(2, 5, 0, 1, 5, 0)]
+
+
+def test_debruijn_of_texts_longer_than_a_slice(spark):
+    rng = random.Random(5)
+    words = prose(rng, 130_000, "abcdefgh")
+    long = " \n".join(words)
+    assert len(long) > 2 * K.SLICE_BYTES
+    rows = [(1, " ".join(words[40_000:90_000]), *[None] * 7), (2, long, *[None] * 7), (3, "x " + long + " y", *[None] * 7), (4, "short one", *[None] * 7)]
+    got = {r[0]: tuple(r)[1:] for r in debruijn.remove_repeats(frame(spark, rows)).collect()}
+    assert got == brute_windows(rows, 13)
 
 
 def brute_bytes(rows, k):

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that one slice holds (a single longer document is a slice of its own).
-SLICE_BYTES = 1 << 20
+#: Bytes of text that one slice holds; pieces() and word_pieces() cut longer documents, slices() leaves them whole.
+SLICE_BYTES = 1 << 18
 #: Rows that one slice holds at most.
 SLICE_ROWS = 1 << 12
 
@@ -60,6 +60,64 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
         row = to
 
 
+def pieces(texts: pa.Array, overlap: int, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """As slices(), but longer rows in pieces: (first row, bytes of it before the piece, bytes, offsets, own bytes).
+
+    A piece stands for its own bytes; up to ``overlap`` bytes of the next follow them.  The
+    cuts are at multiples of ``limit``, so they don't depend on what other rows there are.
+    """
+    for row, data, at in slices(texts, limit):
+        for base in range(0, len(data), limit) if len(data) > limit else (0,):
+            part = data[base : base + limit + overlap] if len(data) > limit else data
+            yield row, base, part, np.array([0, len(part)]) if len(data) > limit else at, min(limit, len(data) - base)
+
+
+def word_pieces(texts: pa.Array, overlap: int = 0, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+    """As pieces(), cut between words: (first row, words of it before the piece, bytes, offsets, own bytes); ``overlap`` counts words.
+
+    A word is never cut, however long it is.
+    """
+    for row, data, at in slices(texts, limit):
+        if len(data) <= limit:
+            yield row, 0, data, at, len(data)
+            continue
+        base = pos = 0
+        while pos < len(data):
+            cut = _next_space(data, pos + limit)
+            end, n = cut, 0
+            while end < len(data) and n < overlap:  # overlap words beyond the cut
+                end = _next_space(data, end + 16 * (overlap - n))
+                n = _count(data[cut:end])
+            yield row, base, data[pos:end], np.array([0, end - pos]), cut - pos
+            base += _count(data[pos:cut])
+            pos = cut
+
+
+def _next_space(data: np.ndarray, at: int) -> int:
+    """The first place from ``at`` on that is white space, or the end."""
+    while at < len(data):
+        found = np.flatnonzero(_SPACE[data[at : at + 4096]])
+        if len(found):
+            return at + int(found[0])
+        at += 4096
+    return len(data)
+
+
+def _count(data: np.ndarray) -> int:
+    """Words in these bytes, which begin and end between words."""
+    ink = ~_SPACE[data]
+    return int(ink[:1].sum() + (ink[1:] & ~ink[:-1]).sum())
+
+
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each word and a space after each; where each word begins in them (one more at the end)."""
+    size = end - start + 1
+    out = np.append(data, np.uint8(32))[spread(start, size)]
+    at = np.concatenate(([0], np.cumsum(size)))
+    out[at[1:] - 1] = 32
+    return out, at
+
+
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word ``[^\\x20\\x09-\\x0D]+``, and the index of each row's first word (one more at the end)."""
     if not len(data):
@@ -80,11 +138,14 @@ _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of _M and of its inverse, up to the n-th at least (kept for the life of the worker)."""
-    if 0 not in _tables or len(_tables[0][0]) < n:
-        size = max(n, SLICE_BYTES + 1)
-        _tables[0] = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, m, np.uint64)))) for m in (_M, pow(_M, -1, 1 << 64)))
-    return _tables[0]
+    """Powers of _M and of its inverse, up to the n-th at least (those for a slice are kept for the life of the worker)."""
+    size = max(n, SLICE_BYTES + 4096)
+    if 0 in _tables and len(_tables[0][0]) >= size:
+        return _tables[0]
+    made = tuple(np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size - 1, m, np.uint64)))) for m in (_M, pow(_M, -1, 1 << 64)))
+    if size <= 4 * SLICE_BYTES:
+        _tables[0] = made
+    return made
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
