@@ -86,6 +86,29 @@ def test_suffix_repeated_rows(spark):
     assert got == brute_bytes(rows, 20)
 
 
+def test_suffix_rows_without_id_and_one_id_with_two_texts(spark):
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(1, alphabet, *[None] * 7), (1, "0123" + alphabet, *[None] * 7), (None, alphabet * 2, *[None] * 7), (2, None, *[None] * 7)]
+    got = {(r[0], r[1], r[2], r[3], bytes(r[4])) for r in suffix_dedup.remove_repeated(frame(spark, rows), threshold=20, gram=5, steps=(32, 4, 1)).collect()}
+    assert got == {(1, 26, 26, 1, b""), (1, 30, 26, 1, b"0123"), (None, 52, 0, 0, alphabet.encode() * 2), (2, 0, 0, 0, b"")}
+
+
+def test_suffix_of_texts_longer_than_a_slice(spark):
+    rng = random.Random(5)
+    long = " ".join(prose(rng, 150_000, "abcdefgh"))
+    assert len(long) > 2 * K.SLICE_BYTES
+    rows = [(1, long[100_000:400_000], *[None] * 7), (2, long, *[None] * 7), (3, "xx" + long[: K.SLICE_BYTES + 300], *[None] * 7)]
+    got = sorted(tuple(r[:4]) + (bytes(r[4]),) for r in suffix_dedup.remove_repeated(frame(spark, rows)).collect())
+    assert got == brute_bytes(rows, 400)
+
+
+def test_suffix_equal_hashes_of_other_bytes_stay(spark):
+    """unlike() finds runs that only a hash brought together."""
+    spans = "array<struct<start:bigint,n:int,span:bigint>>"
+    work = spark.createDataFrame([(1, 1, "abcdef", [(0, 2, 9)]), (2, 2, "xabcdefg", [(1, 2, 9), (3, 1, 8)]), (3, 3, "qbcdef", [(0, 2, 9)])], f"id long, copy long, text string, spans {spans}")
+    assert sorted(map(tuple, suffix_dedup.unlike(work, 3).collect())) == [(2, 2, 3, 1), (3, 3, 0, 2)]
+
+
 def brute_lines(rows, sites):
     blanks = " \t\r\f\x0b"
     where, first = defaultdict(set), {}

@@ -16,15 +16,23 @@ So ranks are refined at growing lengths until unique or past the threshold, as i
 prefix doubling, but a row stands for up to some hundred positions that agree so far.
 Ranking all positions one by one would shuffle some 50 times the input.
 
+Spans are known by hashes up to here; before anything is removed the bytes themselves are
+digested, and a run of positions whose digest no other has stays.
+
 Bit maps of fixed size leave out what surely doesn't matter; nothing else is broadcast.
+Texts longer than a slice are read in pieces that overlap by THRESHOLD - 1 bytes, so a task's
+arrays have the size of a slice however long a text is.
 
 Cases: null text is empty; texts of less than THRESHOLD bytes stay whole; equal rows count
-as different places, so each of them loses what the other has; rows without an id are left
-out; rows of one id are told apart by a hash of their text; other columns are passed by.
+as different places, so each of them loses what the other has; rows of one id are told apart
+by a hash of their text; rows without an id stay whole and match nothing; other columns are
+passed by.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,13 +45,12 @@ THRESHOLD = 400
 GRAM = 40
 #: Positions of a block at most, round by round; the first takes all positions of an anchor.
 STEPS = (512, 32, 4, 1)
-SLICE = 1 << 20
 
 
 class Blocks:
-    """The blocks of a slice: first position, number of positions, row; and the hashes of their cores and spans."""
+    """The blocks of a piece: first position (one of its own bytes), number of positions, row; and the hashes of their cores and spans."""
 
-    def __init__(self, data: np.ndarray, at: np.ndarray, threshold: int, gram: int):
+    def __init__(self, data: np.ndarray, at: np.ndarray, own: int, threshold: int, gram: int):
         self.threshold, self.gram, self.at, n = threshold, gram, at, len(data)
         self.sums = K.prefix_sums(data)
         self.places = np.zeros(0, np.int64)
@@ -52,7 +59,7 @@ class Blocks:
         keys = K.sliding_hashes(self.sums, gram)
         anchor = K.minimizers(keys, threshold - gram + 1)
         room = np.repeat(at[1:], np.diff(at))[: n - threshold + 1]
-        self.places = np.flatnonzero(np.arange(threshold, n + 1) <= room)
+        self.places = np.flatnonzero((np.arange(threshold, n + 1) <= room)[:own])
         self.anchor = anchor[self.places]
 
     def cut(self, step: int):
@@ -85,15 +92,15 @@ def _blocks(docs: DataFrame, threshold: int, gram: int, step: int, parent: int =
             if ids_with is not None:
                 batch = batch.filter(pa.array(ids_with.maybe(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
             ids, copies = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for row, data, at in K.slices(batch.column(2), SLICE):
-                blocks = Blocks(data, at, threshold, gram)
+            for row, base, data, at, own in K.pieces(batch.column(2), threshold - 1):
+                blocks = Blocks(data, at, own, threshold, gram)
                 if chosen is not None:
                     start, size, rows, _, _ = blocks.cut(parent)
-                    keep = np.repeat(chosen.maybe(ids[row + rows], copies[row + rows], start - at[rows]), size)
+                    keep = np.repeat(chosen.maybe(ids[row + rows], copies[row + rows], base + start - at[rows]), size)
                     blocks.places = blocks.places[keep]
                     blocks.anchor = blocks.anchor[keep] if len(keep) else keep
                 start, size, rows, core, span = blocks.cut(step)
-                columns = [pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row + rows]), pa.array(copies[row + rows]), pa.array(start - at[rows]), pa.array(size.astype(np.int32))]
+                columns = [pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row + rows]), pa.array(copies[row + rows]), pa.array(base + start - at[rows]), pa.array(size.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["core", "span", "id", "copy", "start", "n"])
 
     return docs.mapInArrow(run, ROWS)
@@ -110,54 +117,103 @@ def _where(rows: DataFrame, maybe: Bitmap, column: str) -> DataFrame:
 
 
 def repeated_strings(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, steps=STEPS) -> DataFrame:
-    """(id, copy, start, n): runs of positions whose string is found elsewhere too.  docs: (id, copy, text)."""
+    """(span, id, copy, start, n): runs of positions whose string is found elsewhere too, and the hash of their bytes.  docs: (id, copy, text)."""
     settled, chosen, ids_with, before = None, None, None, 0
     for step in steps:
         rows = _blocks(docs, threshold, gram, step, before, chosen, ids_with)
         if before == 0:
             rows = saved(rows, "suffix-blocks")
-            rows = _where(rows, Bitmap(rows.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "core"), "core")
+            several = Bitmap(rows.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "core")
+            rows = _where(rows, several, "core")
         spans = rows.groupBy("span").agg(F.count("*").alias("k"), F.min("core").alias("core"), F.min(F.struct("id", "copy", "start")).alias("rank"))
         spans = saved(spans, "suffix-ranks")
-        more = rows.select("span", "id", "copy", "start", "n").join(spans.where("k > 1").select("span"), "span").drop("span")
-        settled = saved(more, "suffix-settled") if settled is None else settled.unionByName(saved(more, "suffix-settled"))
+        more = saved(rows.select("span", "id", "copy", "start", "n").join(spans.where("k > 1").select("span"), "span"), "suffix-settled")
+        settled = more if settled is None else settled.unionByName(more)
+        if before == 0:
+            several.close()
+        else:
+            chosen.close()
+            ids_with.close()
         if step == steps[-1]:
             break
-        cores = spans.groupBy("core").agg(F.count("*").alias("spans")).where("spans > 1").select("core")
+        # written by itself, so that a core of many spans can be split in the join
+        cores = saved(spans.groupBy("core").agg(F.count("*").alias("spans")).where("spans > 1").select("core"), "suffix-cores")
         open_ = saved(spans.join(cores, "core", "left_semi").select("rank.*"), "suffix-open")
         chosen, ids_with, before = Bitmap(open_, "id", "copy", "start"), Bitmap(open_.select("id", "copy").distinct(), "id", "copy"), step
     return settled
 
 
+def _digests(threshold: int):
+    """(span, digest, id, copy, start, n) of each run of positions of documents (id, copy, text, spans)."""
+
+    def run(batches):
+        for batch in batches:
+            ids, copies, texts, spans = batch.columns
+            for row, data, at in K.slices(texts):
+                mine = spans.slice(row, len(at) - 1)
+                flat, owner = mine.flatten(), np.repeat(np.arange(len(mine)), np.diff(mine.offsets.to_numpy()))
+                begin = at[owner] + flat.field("start").to_numpy()
+                end = begin + flat.field("n").to_numpy() + threshold - 1
+                raw = pa.array([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
+                where = pa.array(row + owner)
+                yield pa.RecordBatch.from_arrays([flat.field("span"), raw, ids.take(where), copies.take(where), flat.field("start"), flat.field("n")], ["span", "digest", "id", "copy", "start", "n"])
+
+    return run
+
+
+def unlike(work: DataFrame, threshold: int) -> DataFrame:
+    """(id, copy, start, n) of runs of positions whose bytes no other run of their span has.  work: (id, copy, text, spans)."""
+    each = work.mapInArrow(_digests(threshold), "span long, digest binary, id long, copy long, start long, n int")
+    return each.groupBy("span", "digest").agg(F.count("*").alias("k"), F.min(F.struct("id", "copy", "start", "n")).alias("one")).where("k = 1").select("one.*")
+
+
 SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
+def _merged(start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs that the ranges of each row make up."""
+    order = np.lexsort((start, row))
+    start, end, row = start[order], np.maximum.accumulate(end[order]), row[order]
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] > end[:-1]) | (row[1:] != row[:-1])
+    last = np.append(new[1:], True)
+    return start[new], end[last], row[new]
+
+
 def _remove(threshold: int):
+    """Without the bytes of the spans."""
+
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            spans = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * len(ids)
+            ids, texts, spans = batch.columns
             for row, data, at in K.slices(texts):
-                n, gone = np.diff(at), np.zeros(len(data), bool)
-                where = [(i, s["start"], s["n"] + threshold - 1) for i, x in enumerate(spans[row : row + len(at) - 1]) for s in x or ()]
-                if where:
-                    r, s, z = np.array(where).T
-                    gone = K.covered(at, r, s, z)
-                starts, _ = K.runs(gone, at[at <= len(data)])
-                removed = np.concatenate(([0], np.cumsum(gone)))
-                kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-                many = np.bincount(np.searchsorted(at, starts, side="right") - 1, minlength=len(n))
-                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n), pa.array(removed[at[1:]] - removed[at[:-1]]), pa.array(many), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+                mine = spans.slice(row, len(at) - 1).fill_null([])
+                flat, owner = mine.flatten(), np.repeat(np.arange(len(mine)), np.diff(mine.offsets.to_numpy()))
+                begin = at[owner] + flat.field("start").to_numpy()
+                low, high, owner = _merged(begin, begin + flat.field("n").to_numpy() + threshold - 1, owner)
+                n, kept, cut = np.diff(at), [], np.searchsorted(owner, np.arange(len(at)))
+                for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+                    edges = [a, *np.stack([low[cut[r] : cut[r + 1]], high[cut[r] : cut[r + 1]]], axis=1).ravel().tolist(), b]
+                    kept.append(b"".join(data[x:y].tobytes() for x, y in zip(edges[::2], edges[1::2])))
+                removed = np.bincount(owner, high - low, len(n)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(row, len(n)), pa.array(n), pa.array(removed), pa.array(np.diff(cut)), pa.array(kept, pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """SCHEMA rows of documents that lose nothing, without Python."""
+    raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return docs.select("id", F.octet_length(raw).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), raw.alias("kept"))
+
+
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, steps=STEPS) -> DataFrame:
     """Per document: id, n_bytes, n_removed, n_spans, and kept, its bytes without the repeated strings."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    every = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("copy"), F.col(text_col).alias("text"))
+    rows = every.where("id is not null")
     settled = repeated_strings(rows, threshold, gram, steps)
-    lists = settled.groupBy("id", "copy").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    maybe = Bitmap(settled.select("id", "copy").distinct(), "id", "copy")
+    lists = saved(settled.groupBy("id", "copy").agg(F.collect_set(F.struct("start", "n", "span")).alias("spans")), "suffix-lists")
+    maybe = Bitmap(lists, "id", "copy")
 
     def split(hit):
         def run(batches):
@@ -167,6 +223,12 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         return rows.mapInArrow(run, rows.schema)
 
-    none = split(False).select("id", "text").mapInArrow(_remove(threshold), SCHEMA)
-    some = split(True).join(lists, ["id", "copy"], "left").select("id", "text", "spans").mapInArrow(_remove(threshold), SCHEMA)
-    return none.unionByName(some).withColumnRenamed("id", id_col)
+    work = saved(split(True).join(lists, ["id", "copy"], "left"), "suffix-texts")
+    wrong = saved(unlike(work.where("spans is not null").select("id", "copy", "text", "spans"), threshold), "suffix-wrong")
+    some = work.select("id", "copy", "text", "spans")
+    if not wrong.isEmpty():
+        bad = wrong.groupBy("id", "copy").agg(F.collect_set(F.struct("start", "n")).alias("bad"))
+        good = F.filter("spans", lambda s: ~F.coalesce(F.array_contains("bad", F.struct(s["start"].alias("start"), s["n"].alias("n"))), F.lit(False)))
+        some = some.join(bad, ["id", "copy"], "left").select("id", "copy", "text", good.alias("spans"))
+    out = _whole(split(False)).unionByName(_whole(every.where("id is null"))).unionByName(some.select("id", "text", "spans").mapInArrow(_remove(threshold), SCHEMA))
+    return out.withColumnRenamed("id", id_col)
