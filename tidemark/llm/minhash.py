@@ -163,19 +163,31 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, a long, b long, registers binary")
 
 
-def bands(reps: DataFrame, band: int) -> DataFrame:
-    """(key, id): the band buckets of each class."""
+def bands(reps: DataFrame, band: int, maybe: Bitmap | None = None) -> DataFrame:
+    """(key, id): the band buckets of each class; with maybe, those whose keys it doesn't rule out."""
 
     def run(batches):
         for whole in batches:
             for i in range(0, len(whole), 2048):
                 batch = whole.slice(i, 2048)
                 keys = band_keys(_registers(batch.column(1)), band)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], ["key", "id"])
+                ids = np.repeat(batch.column(0).to_numpy(), keys.shape[1])
+                keys = keys.reshape(-1)
+                keep = maybe.maybe(keys) if maybe else slice(None)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), pa.array(ids[keep])], ["key", "id"])
 
     return reps.select("id", "registers").mapInArrow(run, "key long, id long")
 
 
+def shared_buckets(reps: DataFrame, band: int) -> DataFrame:
+    """(key, id) of the band buckets of two classes or more."""
+    several = saved(bands(reps, band).groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "band-keys")
+    maybe = Bitmap(several, "key")
+    out = saved(bands(reps, band, maybe).join(several, "key", "left_semi"), "buckets")
+    maybe.close()
+    return out
+
+
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(id, s, n, set) of the documents with these ids: their sets as sorted hashes; s tells sets of one id apart.  docs: (id, text)."""
     wanted = Bitmap(ids, "id")
@@ -337,15 +349,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = saved(classes.select("a", "b", "least.*"), "classes")
     placed = saved(sketched.select("id", "n", "a", "b").join(classes.select("a", "b", F.col("id").alias("class")), ["a", "b"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("class")).alias("class")), "placed")
 
-    buckets = bands(classes, band_size(at_least / of))
-    several = Bitmap(buckets.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"), "key")
-
-    def maybe(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(several.maybe(batch.column(0).to_numpy())))
-
-    buckets = saved(buckets.mapInArrow(maybe, buckets.schema), "buckets")
-    several.close()
+    buckets = shared_buckets(classes, band_size(at_least / of))
     ids = saved(buckets.select("id").distinct(), "candidates")
     reps = saved(classes.select("id", "n", "registers").join(ids, "id", "left_semi"), "candidate-sketches")
     sets = full_sets(rows.where("id is not null"), ids, k)
