@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.common import LOWER, SCHEMA, WORD, corpus, frame, prose
 from tidemark.llm import debruijn, line_dedup, minhash, suffix_dedup
@@ -134,6 +135,16 @@ def test_lines(spark, sites):
     assert {r["doc_id"]: (r["_lines"]["n_lines"], r["_lines"]["n_removed"], r["text"]) for r in got.collect()} == brute_lines(rows, sites)
 
 
+def test_lines_of_rows_with_one_id_and_clashing_names(spark):
+    common = [(i + 10, "other\nmine %d" % i, None, f"s{i}", None) for i in range(5)]
+    rows = [(50, "precious\nother", None, "s1", "x"), (50, "other\nprecious", None, "s1", "y"), (None, "other\nz", None, "s2", "z"), (51, None, None, "s2", "w"), *common]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone string, source string, _lines string").withColumn("_gone_id", F.lit(1)).withColumn("copy", F.lit("c")).withColumn("gone", F.lit(2))
+    got = line_dedup.remove_boilerplate(docs)
+    assert got.columns == ["doc_id", "text", "_gone", "source", "_gone_id", "copy", "gone", "_lines"]
+    assert sorted(r["text"] for r in got.collect() if r["doc_id"] == 50) == ["precious", "precious"]
+    assert {r["doc_id"]: r["text"] for r in got.collect() if r["doc_id"] in (None, 10, 11, 51)} == {None: "other\nz", 10: "other\nmine 0", 11: "mine 1", 51: None}
+
+
 def brute_components(rows, k, at_least):
     sets = {}
     for d, text, *_ in rows:

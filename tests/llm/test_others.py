@@ -216,28 +216,41 @@ def test_lm_empty_and_untrained(spark):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (1, 0, 0, 0.0, 0.0)
 
 
-def test_fill():
-    got = mixing.fill([100, 100, 100, 0], [3, 1, 2, 3], 450, 2)
-    assert got == [200.0, pytest.approx(250 / 3), pytest.approx(500 / 3), 0.0]
-    assert mixing.fill([10], [3], 15, 2) == [15.0] and mixing.fill([], [], 0, 2) == []
+def brute_targets(size: dict, share=1.5, cap=2.0) -> dict:
+    """Targets by bisection of the level under which each source has weight times level, or its cap."""
+    order = sorted(s for s in size if s is not None) + [s for s in size if s is None]
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(order)}
+    total, low, high = share * sum(size.values()), 0.0, 1e12
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (level, high) if sum(min(cap * size[s], weight[s] * level) for s in size) < total else (low, level)
+    return {s: min(cap * size[s], weight[s] * high) for s in size}
+
+
+@pytest.mark.parametrize("size", [{"a": 100, "b": 100, "é": 100, None: 0}, {"a": 10}, {"b": 1, "a": 1000, "c": 5, "d": 7, None: 900, "zz": 3}, {f"s{i}": i % 7 for i in range(40)}, {}])
+def test_targets(spark, size):
+    stats = spark.createDataFrame(list(size.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.with_targets(stats, (3.0, 1.0, 2.0), 1.5, 2.0).collect()}
+    assert got == {s: pytest.approx(t, abs=1e-6) for s, t in brute_targets(size).items()}
 
 
 @pytest.mark.parametrize("block", [mixing.BLOCK, 16])
 def test_mixing_balance(spark, block, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", block)
     rng = random.Random(3)
-    rows = [(d, None if d % 50 == 0 else " ".join("w" * rng.randint(1, 200)), None, rng.choice(["b", "a", None, "c", "a", "a", "é"]), 1, 1, 1, "n", 0.0) for d in range(900)]
-    rows += rows[:3]
+    rows = [(d if d % 9 else None, None if d % 50 == 0 else " ".join("w" * rng.randint(1, 200)), None, rng.choice(["b", "a", None, "c", "a", "a", "é"]), 1, 1, 1, "n", 0.0) for d in range(900)]
+    rows += rows[:3] + [(None, "one and the same text", None, "a", 1, 1, 1, "n", 0.0)] * 2500
     docs = frame(spark, rows)
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows)
-    sources = sorted({r[3] for r in rows} - {None}) + [None]
+    sources = {r[3] for r in rows}
     size = {s: sum(len(WORD.findall(r[1] or "")) for r in rows if r[3] == s) for s in sources}
-    target = dict(zip(sources, mixing.fill([size[s] for s in sources], [(3, 1, 2)[i % 3] for i in range(len(sources))], 1.5 * sum(size.values()), 2)))
+    target = brute_targets(size)
     for s in sources:
         mine = [r for r in out if r["source"] == s]
-        assert {(r["source_size"], round(r["target"], 6)) for r in mine} == {(size[s], round(target[s], 6))}
-        assert abs(sum(r["taken"] for r in mine) - target[s]) <= 60
+        assert {r["source_size"] for r in mine} == {size[s]} and all(math.isclose(r["target"], target[s], abs_tol=1e-6) for r in mine)
+        # the landing can't be nearer than half of the largest document in any case
+        assert abs(sum(r["taken"] for r in mine) - target[s]) <= 100
         # documents are balanced too
         assert abs(sum(r["copies"] for r in mine) - len(mine) * target[s] / size[s]) <= 3
     assert all(0 <= r["taken"] <= 2 * r["size"] and r["taken"] == r["copies"] * r["size"] for r in out)

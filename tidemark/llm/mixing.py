@@ -8,9 +8,13 @@ probabilities become 0 or 1.  A block ends with two open documents at most; the
 of all blocks meet in the next, a thousand times smaller round, and the one or two that a
 source has left land on the nearest token total.
 
+Sources are ranked and their targets found by Spark as well (a few aggregations of the table
+of sources), so their number is not bounded; the driver holds sums only.
+
 Cases: null text counts as size 0; a null source is a source of its own, last in order;
-documents of size 0 take nothing; repeated rows are documents of their own; other columns
-are not read; an empty table gives an empty result.
+documents of size 0 take nothing; repeated rows are documents of their own, however many they
+are (they go to blocks by parts of PART); rows without an id are mixed like others; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,28 +23,50 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, saved
 
 #: Documents of a block; the open ones after a round are 2 in so many.
 BLOCK = 4096
-#: Sources are planned on the driver; more than this is no list of sources.
-MAX_SOURCES = 1_000_000
-
-
-def fill(sizes: list[int], weights: list[float], total: float, cap: float) -> list[float]:
-    """Shares of total by weight, none above cap * size; what is cut off is shared anew by weight."""
-    targets, free = [0.0] * len(sizes), set(range(len(sizes)))
-    while free:
-        left = total - sum(targets[i] for i in range(len(sizes)) if i not in free)
-        whole = sum(weights[i] for i in free)
-        over = {i for i in free if left * weights[i] / whole > cap * sizes[i]}
-        for i in over or free:
-            targets[i] = cap * sizes[i] if over else left * weights[i] / whole
-        free -= over or free
-    return targets
+#: Equal rows (id, text) of a source that go to a block together at most.
+PART = 1024
+#: Documents that the last round leaves to the landing, besides those its flight can't settle.
+LANDING = 8
+
+
+def ranked(stats: DataFrame) -> DataFrame:
+    """stats (source, …) with rank: its number by code point, from 0, null last.  Only the number of rows of each range goes to the driver."""
+    order = [F.col("source").isNull(), F.col("source")]
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = saved(stats.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "source-ranges")
+    before, at = [], 0
+    for part, n in sorted(map(tuple, ranges.groupBy("part").count().collect())):
+        before.append((part, at))
+        at += n
+    before = stats.sparkSession.createDataFrame(before, "part int, before long")
+    own = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    return ranges.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + own - 1).drop("part", "before")
+
+
+def with_targets(stats: DataFrame, weights, share: float, cap: float) -> DataFrame:
+    """stats (source, source_size, …) with target: shares of the total by weight, none above cap times the size; what is cut off is shared anew by weight.
+
+    A source, once cut, stays so, since the others' shares only grow: each round is one
+    aggregation, until none is above.
+    """
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    plan = saved(ranked(stats).withColumn("weight", weight), "sources")
+    total = share * (plan.agg(F.sum("source_size")).first()[0] or 0)
+    most, level, cut = F.lit(float(cap)) * F.col("source_size"), 0.0, -1
+    while True:
+        over = F.lit(level) * F.col("weight") > most
+        n, taken, free = plan.agg(F.count_if(over), F.coalesce(F.sum(F.when(over, most)), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0))).first()
+        if n == cut or not free:
+            break
+        cut, level = n, (total - taken) / free
+    return plan.withColumn("target", F.when(over, most).otherwise(F.lit(level) * F.col("weight"))).drop("rank", "weight")
 
 
 def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
@@ -77,26 +103,35 @@ def flight(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def land(size: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """The few open probabilities of a source become 0 or 1, nearest to the tokens they stand for (then the fewest documents)."""
+    """The few open probabilities of a source become 0 or 1: about as many documents as they stand for, nearest to their tokens."""
     open_ = np.flatnonzero((p > 0) & (p < 1))
-    want, best = float((size[open_] * p[open_]).sum()), None
-    for pick in range(1 << len(open_)):
-        take = np.array([(pick >> j) & 1 for j in range(len(open_))], float)
-        key = (abs(float((size[open_] * take).sum()) - want), take.sum(), pick)
-        if best is None or key < best[0]:
-            best = (key, take)
+    pick = np.arange(1 << len(open_))
+    take = (pick[:, None] >> np.arange(len(open_)) & 1).astype(float)
+    off = np.abs(take @ size[open_] - size[open_] @ p[open_])
+    many = take.sum(axis=1)
+    best = np.lexsort((pick, many, np.round(off, 6), np.abs(many - p[open_].sum()) > 1))[0]
     p = p.copy()
-    if len(open_):
-        p[open_] = best[1]
+    p[open_] = take[best]
     return p
 
 
+def settle(size: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The last flight: LANDING documents of different sizes stay out of it, so that the landing has a choice."""
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    _, kinds = np.unique(size[open_], return_index=True)
+    stay = kinds[np.unique(np.linspace(0, len(kinds) - 1, LANDING).astype(int))] if len(kinds) else kinds
+    flown = np.delete(open_, stay)
+    p = p.copy()
+    p[flown] = flight(size[flown], p[flown], rng)
+    return land(size, p)
+
+
 def _round(seed: int, level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_id", "size"], kind="stable", na_position="last")
+        pdf = pdf.sort_values(["_id", "size", "copy", "part"], kind="stable", na_position="last")
+        pdf = pdf.loc[pdf.index.repeat(pdf["many"])].assign(many=1)
         key = zlib.crc32(f"{seed}/{level}/{pdf['source'].iloc[0]}/{pdf['block'].iloc[0]}".encode())
-        size, p = pdf["size"].to_numpy(float), flight(pdf["size"].to_numpy(float), pdf["p"].to_numpy(float), np.random.default_rng(key))
-        pdf["p"] = land(size, p) if last else p
+        pdf["p"] = (settle if last else flight)(pdf["size"].to_numpy(float), pdf["p"].to_numpy(float), np.random.default_rng(key))
         return pdf
 
     return run
@@ -108,27 +143,22 @@ def size_column(text: str = "text"):
 
 def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float = 2.0, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Per document: its id, source, size, source_size, target (of its source), copies and taken words."""
-    base = saved(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_column(text_col).alias("size")), "mix-sizes")
-    spark = base.sparkSession
-    stats = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(stats) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    stats.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-    sizes, total = [r["source_size"] for r in stats], share * sum(r["source_size"] for r in stats)
-    targets = fill(sizes, [weights[i % len(weights)] for i in range(len(stats))], total, cap)
-    plan = []
-    for r, t in zip(stats, targets):
-        per = min(cap, t / r["source_size"]) if r["source_size"] else 0.0
-        plan.append((r["source"], r["source_size"], float(t), int(per), per - int(per), -(-r["n"] // BLOCK)))
-    plan = spark.createDataFrame(plan, "s string, source_size long, target double, whole int, p double, blocks long")
-    units = base.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    schema = "_id long, source string, size long, source_size long, target double, whole int, p double, blocks long, block long"
-    left, level, done = max([r["n"] for r in stats], default=0), 0, None
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size_column(text_col).alias("size"), F.xxhash64(text_col).alias("copy"))
+    base = saved(rows.groupBy("_id", "source", "size", "copy").agg(F.count("*").alias("n")), "mix-sizes")
+    stats = base.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).cast("long").alias("source_size"), F.sum("n").alias("docs"))
+    per = F.when(F.col("source_size") > 0, F.least(F.lit(float(cap)), F.col("target") / F.col("source_size"))).otherwise(0.0)
+    plan = with_targets(stats, weights, share, cap).select(F.col("source").alias("s"), "source_size", "target", F.floor(per).cast("int").alias("whole"), (per - F.floor(per)).alias("p"), F.ceil(F.col("docs") / BLOCK).alias("blocks"), "docs")
+    plan = saved(plan, "mix-plan")
+    units = base.join(plan.drop("docs"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    # equal rows by parts, so that not all of them meet in one block
+    units = units.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART)))).withColumn("many", F.least(F.lit(PART), F.col("n") - F.col("part") * PART).cast("int")).drop("n")
+    schema = "_id long, source string, size long, copy long, source_size long, target double, whole int, p double, blocks long, part long, many int, block long"
+    names = [x.split()[0] for x in schema.split(", ")]
+    left, level, done = plan.agg(F.max("docs")).first()[0] or 0, 0, None
     while True:
-        blocks = -(-left // BLOCK)
-        last = blocks <= 1
-        spot = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("_id", "size", F.lit(level)), F.greatest(F.lit(1), F.ceil(F.col("blocks") / F.lit((BLOCK // 2) ** level))))
-        moved = units.withColumn("block", spot).groupBy("source", "block").applyInPandas(_round(seed, level, last), schema)
+        last = left <= BLOCK
+        spot = F.lit(0).cast("long") if last else F.pmod(F.xxhash64("_id", "size", "copy", "part", F.lit(level)), F.greatest(F.lit(1), F.ceil(F.col("blocks") / F.lit((BLOCK // 2) ** level))))
+        moved = units.withColumn("block", spot).select(names).groupBy("source", "block").applyInPandas(_round(seed, level, last), schema)
         if last:
             done = moved if done is None else done.unionByName(moved)
             break
@@ -136,7 +166,7 @@ def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, cap: float
         fixed = moved.where(~((F.col("p") > 0) & (F.col("p") < 1)))
         done = fixed if done is None else done.unionByName(fixed)
         units = moved.where((F.col("p") > 0) & (F.col("p") < 1)).drop("block")
-        left = max([r["count"] for r in units.groupBy("source").count().collect()], default=0)
+        left = units.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         level += 1
     copies = F.col("whole") + F.when(F.col("p") >= 0.5, 1).otherwise(0)
     return done.select(F.col("_id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))

@@ -52,14 +52,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = r"""
-WITH parts AS (SELECT doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
-l AS (SELECT doc_id, source, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM parts),
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT r, doc_id, source, unnest(parts) AS raw, generate_subscripts(parts, 1) AS pos FROM rows),
 t AS (SELECT *, trim(raw, ' ' || chr(9) || chr(13) || chr(12) || chr(11)) AS line FROM l),
 b AS (SELECT line, min(doc_id) AS first FROM t WHERE line <> '' AND doc_id IS NOT NULL GROUP BY line HAVING count(DISTINCT source) >= 5),
-m AS (SELECT t.doc_id, t.pos, t.raw, (b.line IS NOT NULL AND t.doc_id > b.first) AS gone FROM t LEFT JOIN b ON t.line = b.line),
-g AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS r, string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
+m AS (SELECT t.r, t.doc_id, t.pos, t.raw, coalesce(t.doc_id > b.first, false) AS gone FROM t LEFT JOIN b ON t.line = b.line),
+g AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE gone) AS n_gone, string_agg(raw, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM rows d LEFT JOIN g ON d.r = g.r
 """
 
 
