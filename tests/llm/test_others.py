@@ -5,6 +5,7 @@ import hashlib
 import io
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -95,7 +96,7 @@ def test_decontamination_empty(spark):
 
 
 def segmentations(word: bytes, p: dict[bytes, float]) -> float:
-    return 1.0 if not word else sum(p[word[:i]] * segmentations(word[i:], p) for i in range(1, min(len(word), langid.MAX_PIECE) + 1) if word[:i] in p)
+    return 1.0 if not word else sum(p[word[:i]] * segmentations(word[i:], p) for i in range(1, len(word) + 1) if word[:i] in p)
 
 
 def test_forward_sums_all_segmentations():
@@ -108,7 +109,7 @@ def test_forward_sums_all_segmentations():
     words = sorted([bytes(rng.choice(b"abc") for _ in range(n)) for n in (1, 2, 5, 9, 14)], key=len)
     data, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
     start = end - [len(w) for w in words]
-    table = np.append([p[n] for n in names], 0)
+    table = np.array([p[n] for n in names])
     got = langid.forward(pieces, table[:, None], K.prefix_sums(data), start, end)[:, 0]
     assert np.allclose(np.exp(got), [segmentations(w, p) for w in words])
     # expected counts: the lengths of the pieces used make up the words
@@ -116,6 +117,30 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(sum(u * len(n) for u, n in zip(uses, names)), sum(map(len, words)))
 
 
+def log_segmentations(word: bytes, p: dict[bytes, float]) -> float:
+    """As segmentations(), by a plain sum in logarithms over the ends of the last piece, for long words."""
+    logs = [0.0]
+    for i in range(1, len(word) + 1):
+        terms = [logs[j] + math.log(p[word[j:i]]) for j in range(max(0, i - 12), i) if word[j:i] in p]
+        most = max(terms)
+        logs.append(most + math.log(sum(math.exp(t - most) for t in terms)))
+    return logs[-1]
+
+
+def test_prediction_is_the_posterior_over_whole_words(spark):
+    """Pieces of any length, words of any length: prediction and score against the definition."""
+    rng = random.Random(14)
+    names = sorted({bytes([b]) for b in range(256)} | {"".join(rng.choice("abcé") for _ in range(rng.randint(2, 6))).encode() for _ in range(60)})
+    model = langid.Model(["l0", "l1", "l2"], langid.Pieces(names), np.random.default_rng(1).dirichlet(np.full(len(names), 0.3), 3).T + 1e-9)
+    texts = [" ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(3)) for _ in range(30)] + ["abcé" * 700, "Abc, bca", "ab" * 40 + "1" + "ca" * 33]
+    got = [(r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), model).collect()]
+    for text, (lang, score) in zip(texts, got):
+        words = [w for w in re.split(rb"[^a-z\x80-\xff]+", text.lower().encode()) if w]
+        logs = [sum(log_segmentations(w, dict(zip(names, model.p[:, x]))) for w in words) for x in range(3)]
+        assert lang == f"l{int(np.argmax(logs))}"
+        assert math.isclose(score, 1 / sum(math.exp(v - max(logs)) for v in logs), rel_tol=1e-6)
+
+
 def languages(n=120):
     rng = random.Random(8)
     kinds = {"aa": ["ing", "the", "and", "ed", "wh"], "bb": ["que", "eau", "é", "oi", "les"], "cc": ["sch", "ung", "ü", "der", "ei"]}

@@ -1,20 +1,22 @@
 """Operator 4: language identification by segmentation-marginalised unigrams.
 
-The pieces are a fixed public vocabulary (lower-cased letter pieces of up to MAX_PIECE
-bytes, and single bytes, so every word has a segmentation).  Each language has a
-probability for each piece.  A word's probability under a language is the sum over all its
-segmentations, by the forward algorithm; a text's is the product over its words; the
+The pieces are a fixed public vocabulary (its letter pieces in lower case, of any length, and
+single bytes, so every word has a segmentation).  Each language has a probability for each
+piece.  A word's probability under a language is the sum over all its segmentations, by the
+forward algorithm, which keeps as many places as the longest piece has bytes and rescales
+them, so words of any length are summed whole; a text's is the product over its words; the
 prediction is the language with the largest, and the score its posterior.  Piece
 probabilities come from a few EM rounds (forward and backward sums) over a bounded sample
-of labelled documents: TRAIN_DOCS for each language, chosen by a hash of the id.
+of labelled documents: TRAIN_DOCS for each language, chosen by a hash of the id, and their
+words of FIT_BYTES at most.
 
-Words are runs of ASCII letters and non-ASCII bytes, A-Z in lower case; words of more than
-CUT bytes are scored in parts.
+Words are runs of ASCII letters and non-ASCII bytes, A-Z in lower case.  The number of
+languages isn't limited; the model's size, pieces by languages, grows with it.
 
 Cases: null text, or text without a letter, gives ``und`` with score 0; so does everything
 if nothing is labelled.  Ties go to the first language by code point.  Rows without an id
-are predicted, never learned from.  Repeated rows are predicted alike.  Other columns are
-not read.
+are predicted, never learned from.  Repeated rows are predicted alike.  Texts longer than a
+slice are read in pieces cut at white space.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,12 +31,15 @@ from . import kernels as K
 from .common import saved
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_PIECE = 8
 #: Labelled documents for each language that the fit reads, about.
 TRAIN_DOCS = 1500
-MAX_LANGUAGES = 1000
+#: Words of more bytes are not learned from (predictions take all words).
+FIT_BYTES = 96
 ROUNDS = 3
-CUT = 24
+#: Numbers that the forward sums of a chunk of words hold, about.
+CELLS = 1 << 21
+#: Steps after which the forward sums are rescaled.
+RESCALE = 16
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
@@ -49,7 +54,7 @@ def vocabulary(path: str = VOCABULARY) -> list[bytes]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
             raw = model.id_to_piece(i).replace("▁", "").encode()
             raw = bytes(K.LOWER[np.frombuffer(raw, np.uint8)]) if raw else raw
-            if 0 < len(raw) <= MAX_PIECE and all(_LETTER[b] for b in raw):
+            if raw and all(_LETTER[b] for b in raw):
                 pieces.add(raw)
     return sorted(pieces)
 
@@ -64,7 +69,7 @@ class Pieces:
         size = np.array([len(p) for p in pieces])
         end = np.cumsum(size)
         hashes = K.range_hashes(K.prefix_sums(data), end - size, end)
-        self.n = len(pieces)
+        self.n, self.lengths = len(pieces), sorted({len(p) for p in pieces})
         self.hashes, self.ids = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, self.n, np.int32)
         self.probes = 1
         for i, h in enumerate(hashes):
@@ -85,31 +90,55 @@ class Pieces:
 
 
 def letter_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each letter word; words above CUT bytes in parts."""
+    """Start, end and row of each letter word."""
     start, end = K.runs(_LETTER[data], at[at <= len(data)])
-    parts = np.maximum(1, -(-(end - start) // CUT))
-    begin = K.spread(np.zeros(len(start), np.int64), parts) * CUT + np.repeat(start, parts)
-    end = np.minimum(begin + CUT, np.repeat(end, parts))
-    return begin, end, np.searchsorted(at, begin, side="right") - 1
+    return start, end, np.searchsorted(at, start, side="right") - 1
 
 
 def lattice(pieces: Pieces, sums: np.ndarray, start: np.ndarray, end: np.ndarray):
-    """For each end place i and piece length l in words sorted by size: (i, l, first word, piece numbers)."""
+    """For each end place i and piece length l in words sorted by size: (i, l, words that have such a piece there, their piece numbers)."""
     size = end - start
     for i in range(1, int(size.max(initial=0)) + 1):
         first = int(np.searchsorted(size, i))
-        for l in range(1, min(MAX_PIECE, i) + 1):
-            yield i, l, first, pieces.find(K.range_hashes(sums, start[first:] + i - l, start[first:] + i))
+        for l in pieces.lengths:
+            if l > i:
+                break
+            ids = pieces.find(K.range_hashes(sums, start[first:] + i - l, start[first:] + i))
+            hit = np.flatnonzero(ids != pieces.n)
+            if len(hit):
+                yield i, l, first + hit, ids[hit]
 
 
 def forward(pieces: Pieces, p: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Log probability of each word under each language (words sorted by size); p: pieces + 1 by languages, its last row 0."""
+    """Log probability of each word under each language (words sorted by size); p: pieces by languages."""
     size = end - start
-    alpha = np.zeros((int(size.max(initial=0)) + 1, len(start), p.shape[1]))
-    alpha[0] = 1
-    for i, l, first, ids in lattice(pieces, sums, start, end):
-        alpha[i, first:] += alpha[i - l, first:] * p[ids]
-    return np.log(alpha[size, np.arange(len(start))])
+    ring, logs = np.zeros((pieces.lengths[-1] + 1, len(start), p.shape[1])), np.zeros((len(start), p.shape[1]))
+    ring[0], now, done = 1, 0, 0
+    for i, l, words, ids in lattice(pieces, sums, start, end):
+        if i != now:  # a new place: words that ended before it are out
+            done = _ended(ring, logs, size, now, done)
+            now = i
+            ring[i % len(ring), done:] = 0
+        ring[i % len(ring), words] += ring[(i - l) % len(ring), words] * p[ids]
+    _ended(ring, logs, size, now, done)
+    return logs
+
+
+def _ended(ring: np.ndarray, logs: np.ndarray, size: np.ndarray, i: int, done: int) -> int:
+    """Closes the words of i bytes, rescales the others now and then; gives the first word that goes on."""
+    to = int(np.searchsorted(size, i, side="right"))
+    logs[done:to] += np.log(ring[i % len(ring), done:to])
+    if i and i % RESCALE == 0 and to < len(size):
+        most = ring[:, to:].max(axis=0)
+        ring[:, to:] /= most
+        logs[to:] += np.log(most)
+    return to
+
+
+def in_chunks(size: np.ndarray, wide: int):
+    """Slices of words, each of about CELLS numbers, if a word takes so many."""
+    step = max(1, CELLS // wide)
+    return (slice(i, i + step) for i in range(0, len(size), step))
 
 
 def expected(pieces: Pieces, p: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -119,13 +148,13 @@ def expected(pieces: Pieces, p: np.ndarray, sums: np.ndarray, start: np.ndarray,
     alpha, beta = np.zeros((top + 1, len(start))), np.zeros((top + 1, len(start)))
     alpha[0], beta[size, np.arange(len(start))] = 1, 1
     steps = list(lattice(pieces, sums, start, end))
-    for i, l, first, ids in steps:
-        alpha[i, first:] += alpha[i - l, first:] * p[ids]
-    whole, counts = alpha[size, np.arange(len(start))], np.zeros(pieces.n + 1)
-    for i, l, first, ids in reversed(steps):
-        use = p[ids] * beta[i, first:]
-        beta[i - l, first:] += use
-        counts += np.bincount(ids, alpha[i - l, first:] * use * weight[first:] / whole[first:], pieces.n + 1)
+    for i, l, words, ids in steps:
+        alpha[i, words] += alpha[i - l, words] * p[ids]
+    whole, counts = alpha[size, np.arange(len(start))], np.zeros(pieces.n)
+    for i, l, words, ids in reversed(steps):
+        use = p[ids] * beta[i, words]
+        beta[i - l, words] += use
+        counts += np.bincount(ids, alpha[i - l, words] * use * weight[words] / whole[words], pieces.n)
     return counts
 
 
@@ -151,40 +180,41 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """EM over TRAIN_DOCS documents a language; the tables between are pieces by languages."""
     pieces, spark = Pieces(vocabulary(path)), labelled.sparkSession
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    counts = rows.groupBy(lang_col).count().collect()
     languages = sorted(r[0] for r in counts)
     if not languages:
-        return Model([], pieces, np.zeros((pieces.n + 1, 0)))
+        return Model([], pieces, np.zeros((pieces.n, 0)))
     share = spark.createDataFrame([(languages.index(r[0]), r[0], int(min(1, TRAIN_DOCS / r[1]) * 2**32)) for r in counts], "number int, l string, below long")
     chosen = rows.join(F.broadcast(share), F.col(lang_col) == F.col("l")).where(F.shiftrightunsigned(F.xxhash64(F.lit(4), id_col), 32) < F.col("below"))
     sample = saved(chosen.select("number", F.col(text_col).alias("text")), "langid-sample").repartition(2 * spark.sparkContext.defaultParallelism)
     p = np.full((pieces.n, len(languages)), 1 / pieces.n)
     for _ in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((pieces, np.vstack([p, np.zeros((1, len(languages)))])))
+        shared = spark.sparkContext.broadcast((pieces, p))
 
         def run(batches):
             pieces, p = shared.value
             total = np.zeros_like(p)
             for batch in batches:
                 number = batch.column(0).to_numpy()
-                for row, data, at in K.slices(batch.column(1)):
+                for row, _, data, at, _ in K.word_pieces(batch.column(1)):
                     data = K.LOWER[data]
                     start, end, owner = letter_words(data, at)
+                    short = end - start <= FIT_BYTES
+                    start, end, owner = start[short], end[short], owner[short]
                     sums, lang = K.prefix_sums(data), number[row + owner]
                     for x in np.unique(lang):
                         s, e, _, n = _unique(data, sums, start[lang == x], end[lang == x])
-                        total[:, x] += expected(pieces, p[:, x], sums, s, e, n)
+                        for part in in_chunks(s, 8 * FIT_BYTES):
+                            total[:, x] += expected(pieces, p[:, x], sums, s[part], e[part], n[part])
             at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at[1].astype(np.int32)), pa.array(at[0].astype(np.int32)), pa.array(total[at])], ["lang", "piece", "uses"])
 
         total = np.full((pieces.n, len(languages)), 0.05)
         for r in sample.mapInArrow(run, "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toLocalIterator():
-            if r["piece"] < pieces.n:
-                total[r["piece"], r["lang"]] += r["uses"]
+            total[r["piece"], r["lang"]] += r["uses"]
         p = total / total.sum(axis=0)
-    return Model(languages, pieces, np.vstack([p, np.zeros((1, len(languages)))]))
+        shared.destroy()
+    return Model(languages, pieces, p)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
@@ -199,21 +229,21 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
             text, known = batch.column(batch.schema.get_field_index(text_col)), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            best, score = np.full(len(text), len(m.languages)), np.zeros(len(text))
-            for row, data, at in K.slices(text):
+            total = np.zeros((len(text), len(m.languages)))
+            for row, _, data, at, _ in K.word_pieces(text):
                 data = K.LOWER[data]
                 start, end, owner = letter_words(data, at)
                 if not len(start):
                     continue
                 sums = K.prefix_sums(data)
                 s, e, back, _ = _unique(data, sums, start, end)
-                logs = np.concatenate([forward(m.pieces, m.p, sums, s[i : i + 50_000], e[i : i + 50_000]) for i in range(0, len(s), 50_000)])
-                total = np.stack([np.bincount(owner, logs[back, x], len(at) - 1) for x in range(logs.shape[1])], axis=1)
-                total -= total.max(axis=1, keepdims=True)
-                top = total.argmax(axis=1)
-                here = slice(row, row + len(top))
-                best[here] = np.where(known[here], top, len(m.languages))
-                score[here] = np.where(known[here], 1 / np.exp(total).sum(axis=1), 0)
+                wide = (m.pieces.lengths[-1] + 1) * len(m.languages)
+                logs = np.concatenate([forward(m.pieces, m.p, sums, s[part], e[part]) for part in in_chunks(s, wide)])
+                for x in range(logs.shape[1]):
+                    total[row : row + len(at) - 1, x] += np.bincount(owner, logs[back, x], len(at) - 1)
+            total -= total.max(axis=1, keepdims=True, initial=-np.inf)
+            best = np.where(known, total.argmax(axis=1), len(m.languages))
+            score = np.where(known, 1 / np.exp(total).sum(axis=1), 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score)], [*batch.schema.names[:-1], pred_col, score_col])
 
     return docs.select("*", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(letters)).mapInArrow(run, schema)
