@@ -89,6 +89,56 @@ def test_decontamination_recall(spark):
     assert len(got) >= 0.95 * len(want)
 
 
+def test_decontamination_recall_by_length_and_edits(spark):
+    """Of edited items alone, at every length and share of edits, 9 of 10 are met at least."""
+    rng = random.Random(21)
+    vocab = prose(rng, 500, "abcdefghijkl")
+    items, docs, kinds = [], [], {}
+    for low, high in ((10, 20), (20, 60), (60, 150)):
+        for edits in (0.1, 0.2):
+            for _ in range(150):
+                d = len(items)
+                item = [rng.choice(vocab) for _ in range(rng.randint(low, high))]
+                items.append((d, " ".join(item)))
+                kinds[d] = (low, edits)
+                for at in rng.sample(range(len(item)), int(edits * len(item))):
+                    item[at] = f"new{at}"
+                docs.append((d, " ".join([*(rng.choice(vocab) for _ in range(30)), *item, *(rng.choice(vocab) for _ in range(30))]), *[None] * 7))
+    got = {r["doc_id"] for r in decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect() if r["doc_id"] == r["item_id"]}
+    recall = {kind: sum(k == kind and d in got for d, k in kinds.items()) / 150 for kind in set(kinds.values())}
+    print(sorted(recall.items()))
+    assert min(recall.values()) >= 0.9
+
+
+def test_decontamination_of_scripts_without_blanks_and_of_short_items(spark):
+    rng = random.Random(3)
+    chinese, thai = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(40)), "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(50))
+    items = [(1, chinese), (2, thai), (3, "one two"), (4, "ONE, two!"), (5, "solitary"), (6, "a b c d e"), (6, "f g h i j k l m")]
+    edited = "".join(chr(0x3041 + i) if i % 10 == 3 else c for i, c in enumerate(chinese))
+    docs = [(1, "前文" + chinese + "後文です"), (2, "x" + thai + "กข"), (3, "zero one two three"), (4, "now a solitary word"), (5, "z a b c d e"), (6, "f g h i j k l m n"), (7, "前" + edited), (8, "clean text of no item, 文字")]
+    for lead in range(4):
+        docs.append((20 + lead, "w " * lead + "one two"))
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(frame(spark, [(*d, *[None] * 7) for d in docs]), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(1, 1): 0, (2, 2): 0, (4, 5): 0, (5, 6): 0, (6, 6): 0, (7, 1): 4} | {(d, i): 0 for d in (3, 20, 21, 22, 23) for i in (3, 4)}
+
+
+def test_decontamination_in_pieces():
+    """A text longer than a slice, with an item across a cut."""
+    import pyarrow as pa
+
+    from tidemark.llm import kernels as K
+
+    rng = random.Random(9)
+    item = " ".join(prose(rng, 30, "stuvw"))
+    words = prose(rng, 90_000, "abcdefgh")
+    text = " ".join(words)
+    before = text[: K.SLICE_BYTES - 60].rsplit(" ", 1)[0]
+    text = before + " " + item + " " + text[len(before) :].strip()
+    assert len(text) > K.SLICE_BYTES + 1000
+    found = decontaminate._best_matches(decontaminate.Items([7], [item]), pa.array(["no", text, item]), 0.2)
+    assert found == {(1, 0): (0, len(before.split()), 30), (2, 0): (0, 0, 30)}
+
+
 def test_decontamination_empty(spark):
     docs, none = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs, none).collect() == []

@@ -72,10 +72,10 @@ def pieces(texts: pa.Array, overlap: int, limit: int = SLICE_BYTES) -> Iterator[
             yield row, base, part, np.array([0, len(part)]) if len(data) > limit else at, min(limit, len(data) - base)
 
 
-def word_pieces(texts: pa.Array, overlap: int = 0, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
+def word_pieces(texts: pa.Array, overlap: int = 0, limit: int = SLICE_BYTES, gap: np.ndarray = _SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, int]]:
     """As pieces(), cut between words: (first row, words of it before the piece, bytes, offsets, own bytes); ``overlap`` counts words.
 
-    A word is never cut, however long it is.
+    A word, a run of bytes that are no gap, is never cut, however long it is.
     """
     for row, data, at in slices(texts, limit):
         if len(data) <= limit:
@@ -83,29 +83,29 @@ def word_pieces(texts: pa.Array, overlap: int = 0, limit: int = SLICE_BYTES) ->
             continue
         base = pos = 0
         while pos < len(data):
-            cut = _next_space(data, pos + limit)
+            cut = _next_gap(data, pos + limit, gap)
             end, n = cut, 0
             while end < len(data) and n < overlap:  # overlap words beyond the cut
-                end = _next_space(data, end + 16 * (overlap - n))
-                n = _count(data[cut:end])
+                end = _next_gap(data, end + 16 * (overlap - n), gap)
+                n = _count(data[cut:end], gap)
             yield row, base, data[pos:end], np.array([0, end - pos]), cut - pos
-            base += _count(data[pos:cut])
+            base += _count(data[pos:cut], gap)
             pos = cut
 
 
-def _next_space(data: np.ndarray, at: int) -> int:
-    """The first place from ``at`` on that is white space, or the end."""
+def _next_gap(data: np.ndarray, at: int, gap: np.ndarray) -> int:
+    """The first place from ``at`` on that is a gap, or the end."""
     while at < len(data):
-        found = np.flatnonzero(_SPACE[data[at : at + 4096]])
+        found = np.flatnonzero(gap[data[at : at + 4096]])
         if len(found):
             return at + int(found[0])
         at += 4096
     return len(data)
 
 
-def _count(data: np.ndarray) -> int:
+def _count(data: np.ndarray, gap: np.ndarray) -> int:
     """Words in these bytes, which begin and end between words."""
-    ink = ~_SPACE[data]
+    ink = ~gap[data]
     return int(ink[:1].sum() + (ink[1:] & ~ink[:-1]).sum())
 
 
@@ -177,6 +177,20 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return range_hashes(prefix_sums(data), start, end)
 
 
+def hashed_words(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, hashes of the words with A-Z in lower case, index of each row's first word), slice by slice.
+
+    Of a text longer than a slice no more than 8 bytes a word are held at once.
+    """
+    for row, data, at in slices(texts):
+        parts = []
+        for part in [(data, at)] if len(data) <= SLICE_BYTES else (x[2:4] for x in word_pieces(pa.array([data.tobytes()], pa.large_binary()))):
+            low = LOWER[part[0]]
+            start, end, first = words(low, part[1])
+            parts.append(word_hashes(low, start, end))
+        yield row, parts[0] if len(parts) == 1 else np.concatenate(parts), first if len(data) <= SLICE_BYTES else np.array([0, sum(map(len, parts))])
+
+
 def grams(hashes: np.ndarray, first: np.ndarray, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each run of k words that starts at a word, and whether it lies inside one row."""
     n = len(hashes)

@@ -18,8 +18,8 @@ base_score takes exact counts: the HEAD most frequent words come by broadcast, a
 through a join.
 
 Cases: null or empty text is the end token alone; without training documents N = V = 0 and
-every p is 1; rows without an id are left out; repeated rows are scored, and learned from,
-each on its own; other columns are not read.
+every p is 1; rows without an id are scored and learned from like others (they are not held
+out); repeated rows are scored, and learned from, each on its own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,12 +38,12 @@ from .common import saved
 
 #: Tokens of training text that a range of keys stands for in the mean, and that a unit of documents has (but for longer documents).
 RANGE_TOKENS = 1 << 19
-UNIT_TOKENS = 1 << 20
+UNIT_TOKENS = 1 << 19
 #: Blocks of ranges that units ask: FEW_BLOCKS (or one a range) until a block would have more than BLOCK_RANGES ranges.
 FEW_BLOCKS = 64
 BLOCK_RANGES = 32
 #: Keys that a task gathers before it sends their counts on.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 BITS_EACH = 10
 PROBES = 3
 HEAD = 1 << 20
@@ -54,13 +54,11 @@ CODEC = pa.Codec("zstd", compression_level=1)
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
-def tokens(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes (words of the lower-cased text, an end after each row), first token of each row."""
-    data = K.LOWER[data]
-    start, end, first = K.words(data, at)
-    rows = len(at) - 1
-    out = np.empty(len(start) + rows, np.uint64)
-    out[np.arange(len(start)) + K.rows_of(first)] = K.word_hashes(data, start, end)
+    rows = len(first) - 1
+    out = np.empty(len(hashes) + rows, np.uint64)
+    out[np.arange(len(hashes)) + K.rows_of(first)] = hashes
     first = first + np.arange(rows + 1)
     out[first[1:] - 1] = END
     return out, first
@@ -129,12 +127,12 @@ def units(rows: DataFrame) -> DataFrame:
         task, seen, size, parts = TaskContext.get().partitionId(), 0, 0, []
         for batch in batches:
             ids, held, text = batch.columns
-            for row, data, at in K.slices(text):
-                token, first = tokens(data, at)
+            for row, hashes, first in K.hashed_words(text):
+                token, first = tokens(hashes, first)
                 if parts and size + len(token) > UNIT_TOKENS:
                     yield made(task, seen, parts)
                     seen, size, parts = seen + sum(len(x[3]) for x in parts), 0, []
-                parts.append((ids.slice(row, len(at) - 1), held.slice(row, len(at) - 1), token, np.diff(first)))
+                parts.append((ids.slice(row, len(first) - 1), held.slice(row, len(first) - 1), token, np.diff(first)))
                 size += len(token)
         if parts:
             yield made(task, seen, parts)
@@ -322,7 +320,7 @@ SCHEMA = "uid long, id long, held_out boolean, n_tokens long, base double, known
 def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score; learned from those not held out."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
     made = saved(units(rows), "lm-units")
     sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
     n_docs, all_tokens = made.agg(sums(F.size(F.filter("held_out", lambda h: ~h))), sums(F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, b: a + b))).first()

@@ -63,11 +63,8 @@ def band_size(share: float) -> int:
     return most
 
 
-def shingle_sets(data: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of all rows, with their rows (in no order)."""
-    data = K.LOWER[data]
-    start, end, first = K.words(data, at)
-    hashes = K.word_hashes(data, start, end)
+def shingle_sets(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of all rows of word hashes, with their rows (in no order)."""
     gram, ok = K.grams(hashes, first, k)
     owner, n = K.rows_of(first), np.diff(first)
     short = np.flatnonzero((n > 0) & (n < k))
@@ -152,9 +149,9 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row, data, at in K.slices(batch.column(1)):
-                n = len(at) - 1
-                values, rows = shingle_sets(data, at, k)
+            for row, hashes, first in K.hashed_words(batch.column(1)):
+                n = len(first) - 1
+                values, rows = shingle_sets(hashes, first, k)
                 size = np.bincount(rows, minlength=n)
                 a, b = _row_sums(K.mix(values), rows, n), _row_sums(K.mix(values ^ np.uint64(0x9FB21C651E98DF25)), rows, n)
                 raw = pa.array([r.tobytes() if s else None for r, s in zip(sketch(values, rows, n), size)], pa.binary())
@@ -195,9 +192,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(wanted.maybe(batch.column(0).to_numpy())))
-            for row, data, at in K.slices(batch.column(1)):
-                n = len(at) - 1
-                values, rows = shingle_sets(data, at, k)
+            for row, hashes, first in K.hashed_words(batch.column(1)):
+                n = len(first) - 1
+                values, rows = shingle_sets(hashes, first, k)
                 values = values[np.lexsort((values, rows))]
                 size = np.bincount(rows, minlength=n)
                 own = K.mix(_row_sums(K.mix(values), np.sort(rows), n) ^ K.mix(batch.column(0).slice(row, n).to_numpy().view(np.uint64)))
