@@ -8,12 +8,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that tell nothing about a finding.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "from", "has", "have", "if", "in", "is", "it", "may", "not", "of", "on", "or", "should", "that", "the", "this", "to", "was", "when", "will", "with"]
+#: Words that tell nothing about the root of a finding (token sets and overlaps).
+ROOT_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "because", "by", "can", "could", "for", "from", "has", "have", "if", "in", "into", "is", "it", "may", "of", "on", "or",
+    "that", "the", "their", "this", "to", "was", "were", "will", "with", "would",
+]
+#: Words that tell nothing about a task (task terms).
+TASK_STOP_WORDS = [
+    "about", "acceptance", "add", "added", "adding", "after", "against", "also", "another", "before", "being", "branch", "change", "changes", "code", "context", "could",
+    "create", "criteria", "description", "does", "enable", "ensure", "from", "have", "implement", "implementation", "into", "issue", "must", "new", "only", "pull", "request",
+    "requested", "return", "review", "should", "support", "task", "that", "their", "then", "there", "these", "they", "this", "through", "update", "using", "when", "where",
+    "which", "with", "without",
+]
 #: File extensions of languages.
 LANGUAGES = {"py": "python", "java": "java", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "csharp", "cpp": "cpp", "c": "c", "kt": "kotlin", "scala": "scala", "swift": "swift", "md": "markdown", "sql": "sql"}
-#: Phrases that try to turn a prompt.
-INJECTIONS = ["ignore (all )?(previous|prior|above) instructions", "disregard (the )?(above|previous)", "you are now", "system prompt", "act as (an? )?", "pretend (to be|you are)", "reveal (your|the) (instructions|prompt)", "jailbreak", "developer mode"]
+#: Patterns, whatever the case, of texts that try to turn a prompt.
+INJECTIONS = [
+    r"\b(ignore|disregard|forget)\s+(all\s+)?(previous|above|prior)\s+(instructions?|prompts?|rules?)",
+    r"\b(new|different|change)\s+(system\s+)?(prompt|instructions?|rules?)",
+    r"\byou\s+are\s+(now|a)\b",
+    r"\b(act|behave|pretend)\s+(as|like)\s+",
+    r"\brole\s*[:=]",
+    r"\b(output|print|write|return)\s+(only|just|exactly)",
+    r"\bformat\s*[:=]\s*(json|xml|raw)",
+    r"###\s*(system|assistant|user)",
+    r"<\|?(system|assistant|user|endof)\|?>",
+    r"\[\s*(INST|SYS)\s*\]",
+    r"\b(reveal|show|display|tell)\s+(me\s+)?(your|the)\s+(system|initial|original)\s+(prompt|instructions?)",
+    r"\bwhat\s+(are|is)\s+your\s+(system\s+)?(prompt|instructions?|rules?)",
+    r"\bexec(ute)?\s*\(",
+    r"\beval\s*\(",
+    r"\bos\s*\.\s*(system|popen|exec)",
+    r"\bsubprocess\s*\.",
+    r"\bimport\s+(os|sys|subprocess)",
+]
 
 
 def normal_line(line: Column) -> Column:
@@ -89,7 +117,7 @@ def task_terms(text: Column, most: int = 80) -> Column:
     """Lower-case words of three letters or more, camel case split, without stop words; longest first, then by name."""
     apart = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
     words = F.array_distinct(F.regexp_extract_all(F.lower(apart), F.lit("([a-z]{3,})"), F.lit(1)))
-    keep = F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
+    keep = F.array_except(words, F.array(*[F.lit(w) for w in TASK_STOP_WORDS]))
     ordered = F.array_sort(F.transform(keep, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     return F.slice(F.transform(ordered, lambda x: x["w"]), 1, most)
 
@@ -100,9 +128,15 @@ def relation_token(token: Column) -> Column:
     return F.when(F.length(bare) > 1, bare)
 
 
+def narrative(text: Column) -> Column:
+    """The words ``[A-Za-z0-9_$]+`` of a text in lower case, joined by one space, without lines that list further places; empty for null."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), lambda x: ~F.lower(F.trim(x)).startswith("also affects:"))
+    return F.lower(F.array_join(F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(r"([A-Za-z0-9_$]+)"), F.lit(1)), " "))
+
+
 def token_set(text: Column) -> Column:
-    """Distinct lower-case tokens of more than one character that aren't stop words."""
-    return F.array_except(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda w: F.length(w) > 1)), F.array(*[F.lit(w) for w in STOP_WORDS]))
+    """Distinct words of narrative() of more than one character that aren't stop words."""
+    return F.array_except(F.array_distinct(F.filter(F.split(narrative(text), " "), lambda w: F.length(w) > 1)), F.array(*[F.lit(w) for w in ROOT_STOP_WORDS]))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -120,14 +154,17 @@ def split_also_affects(text: Column) -> Column:
 
 
 def blocked(text: Column) -> Column:
-    return F.coalesce(F.lower(text).rlike("|".join(f"(?:{p})" for p in INJECTIONS)), F.lit(False))
+    return F.coalesce(text.rlike("(?i)" + "|".join(f"(?:{p})" for p in INJECTIONS)), F.lit(False))
 
 
 def sanitised(text: Column, most: int = 2000) -> Column:
-    """Without control characters, role markers and long blanks; cut to a length.  Null if it is blocked."""
-    clean = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
-    clean = F.regexp_replace(clean, r"(?i)</?(system|assistant|user)>", "")
-    return F.when(~blocked(text), F.substring(F.trim(F.regexp_replace(clean, " {3,}", "  ")), 1, most))
+    """A text with long blanks cut, markers of delimiters set apart and control characters taken out.  Null if it is empty, too long, or blocked."""
+    bare = F.trim(F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", ""))
+    clean = F.regexp_replace(bare, r"\s{3,}", "  ")
+    for mark, apart in (("###", "# # #"), ("<|", "< |"), ("|>", "| >")):
+        clean = F.replace(clean, F.lit(mark), F.lit(apart))
+    clean = F.regexp_replace(clean, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")
+    return F.when((F.length(bare) > 0) & (F.length(bare) <= most) & ~blocked(bare), F.trim(clean))
 
 
 def redacted(json: Column) -> Column:
@@ -172,9 +209,16 @@ def context_hash(lines: DataFrame, radius: int) -> DataFrame:
     return lines.withColumn("context", F.md5(F.array_join(F.collect_list("hash").over(w), "")))
 
 
+def at_places(ranges: DataFrame, lines: DataFrame) -> DataFrame:
+    """ranges (doc, first, last, …) with one row for each pos inside that the document has."""
+    ends = lines.groupBy("doc").agg(F.max("pos").alias("_end"))
+    cut = ranges.join(ends, "doc").withColumn("_last", F.least("last", "_end")).where("first <= _last")
+    return cut.withColumn("pos", F.explode(F.sequence(F.greatest(F.col("first"), F.lit(1)).cast("int"), F.col("_last").cast("int")))).drop("_last", "_end")
+
+
 def range_hash(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     """ranges (id, doc, first, last) with the hash of the line hashes inside, cut to the document."""
-    hit = ranges.join(lines.select("doc", "pos", "hash"), "doc").where(F.col("pos").between(F.col("first"), F.col("last")))
+    hit = at_places(ranges, lines).join(lines.select("doc", "pos", "hash"), ["doc", "pos"])
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "hash"))), lambda x: x["hash"]), "")
     return hit.groupBy("id").agg(F.md5(ordered).alias("range_hash"))
 
@@ -187,12 +231,14 @@ def locate(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     exact = w.where(~F.col("many")).join(lines, ["doc", "hash"]).groupBy("id").agg(F.min("pos").alias("pos")).select("id", "pos", F.lit("HASH_EXACT").alias("how"), F.lit(1.0).alias("confidence"))
     size = F.size(lines_of(F.col("snippet")))
     spans = w.where("many").join(lines, ["doc", "hash"]).select("id", "doc", F.col("pos").alias("first"), (F.col("pos") + size - 1).alias("last"), F.transform(lines_of(F.col("snippet")), line_hash).alias("want"))
-    got = spans.join(lines.select("doc", "pos", F.col("hash").alias("h")), "doc").where(F.col("pos").between(F.col("first"), F.col("last")))
+    got = at_places(spans, lines).join(lines.select("doc", "pos", F.col("hash").alias("h")), ["doc", "pos"])
     multi = got.groupBy("id", "first").agg(F.first("want").alias("want"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "h"))), lambda x: x["h"]).alias("have")).where("want = have")
     multi = multi.groupBy("id").agg(F.min("first").alias("pos")).select("id", "pos", F.lit("MULTI_LINE").alias("how"), F.lit(0.85).alias("confidence"))
     a, b = normal_line(F.col("snippet")), normal_line(F.col("line"))
     near = (F.least(F.length(a), F.length(b)) >= 8) & (F.least(F.length(a), F.length(b)) >= 0.5 * F.greatest(F.length(a), F.length(b))) & (F.contains(a, b) | F.contains(b, a))
-    part = w.where(~F.col("many")).drop("hash").join(lines.select("doc", "pos", "line"), "doc").where(near).groupBy("id").agg(F.min("pos").alias("pos")).select("id", "pos", F.lit("TRIMMED_CONTAINS").alias("how"), F.lit(0.75).alias("confidence"))
+    # only what no equal line was found for is held against the other lines of its document
+    left = w.where(~F.col("many")).drop("hash").join(exact.select("id"), "id", "left_anti")
+    part = left.join(lines.select("doc", "pos", "line"), "doc").where(near).groupBy("id").agg(F.min("pos").alias("pos")).select("id", "pos", F.lit("TRIMMED_CONTAINS").alias("how"), F.lit(0.75).alias("confidence"))
     best = exact.unionByName(multi).unionByName(part).groupBy("id").agg(F.max_by(F.struct("pos", "how", "confidence"), "confidence").alias("best"))
     return wanted.select("id").join(best, "id", "left").select("id", F.coalesce("best.pos", F.lit(-1)).alias("pos"), F.coalesce("best.how", F.lit("NOT_FOUND")).alias("how"), F.coalesce("best.confidence", F.lit(0.0)).alias("confidence"))
 

@@ -69,15 +69,23 @@ def evaluate_gate(metrics: DataFrame, conditions: DataFrame) -> DataFrame:
     A condition fails when its comparison is true; a run with a failing condition is FAILED, one
     without enabled conditions SKIPPED, any other PASSED.  A metric that a run lacks counts 0.
     """
-    active = conditions.where("enabled").drop("enabled")
-    runs = metrics.select("id").distinct()
-    pairs = runs.join(F.broadcast(active), F.lit(True), "left")
-    pairs = pairs.join(metrics.withColumnRenamed("metric", "m").withColumnRenamed("severity", "s").withColumnRenamed("category", "c"), (F.col("m") == F.col("metric")) & F.col("s").eqNullSafe(F.col("severity")) & F.col("c").eqNullSafe(F.col("category")) & (runs["id"] == metrics["id"]), "left").drop(metrics["id"])
-    value, fails = F.coalesce("value", F.lit(0)), F.lit(None).cast("boolean")
-    for name, compare in COMPARATORS.items():
-        fails = F.when(F.col("comparator") == name, compare(value, F.col("threshold"))).otherwise(fails)
-    out = pairs.groupBy("id").agg(F.coalesce(F.bool_or(fails), F.lit(False)).alias("failed"), F.count("comparator").alias("n_conditions"), count_where(fails).alias("n_failed"))
-    return out.select("id", F.when(F.col("n_conditions") == 0, "SKIPPED").when(F.col("failed"), "FAILED").otherwise("PASSED").alias("result"), "n_failed")
+
+
+    def fails(value: Column) -> Column:
+        out = F.lit(None).cast("boolean")
+        for name, compare in COMPARATORS.items():
+            out = F.when(F.col("comparator") == name, compare(value, F.col("threshold"))).otherwise(out)
+        return F.coalesce(out, F.lit(False)).cast("long")
+
+    # every condition counts as if the metric were 0; those that a run has are set right by the difference
+    active = conditions.where("enabled").withColumn("_zero", fails(F.lit(0)))
+    n, zero = active.agg(F.count("*"), F.coalesce(F.sum("_zero"), F.lit(0))).first()
+    wanted = active.select(*(F.col(c).alias(f"_{c}") for c in ("metric", "severity", "category")), "comparator", "threshold", "_zero")
+    same = (F.col("metric") == F.col("_metric")) & F.col("severity").eqNullSafe(F.col("_severity")) & F.col("category").eqNullSafe(F.col("_category"))
+    met = metrics.join(wanted, same, "left")
+    more = F.when(F.col("comparator").isNotNull(), fails(F.coalesce("value", F.lit(0))) - F.col("_zero")).otherwise(0)
+    out = met.groupBy("id").agg((F.sum(more) + F.lit(zero)).alias("n_failed"))
+    return out.select("id", F.when(F.lit(n) == 0, "SKIPPED").when(F.col("n_failed") > 0, "FAILED").otherwise("PASSED").alias("result"), "n_failed")
 
 
 def trend(series: DataFrame, by: str, at: str, value: str, tie: str) -> DataFrame:
@@ -155,7 +163,25 @@ def evenly_spaced(rows: DataFrame, order: str, most: int = 100) -> DataFrame:
     return at.where(F.floor(k * n / most) == F.col("index")).drop("index")
 
 
+#: Hexadecimal digits of a member's own digest that name its leaf, from the finest level to the root.
+LEVELS = (4, 2, 0)
+
+
+def digest_tree(rows: DataFrame, frame: Column, *by: str) -> DataFrame:
+    """by, seal, members: an order-independent digest of all frames of a group, however many they are.
+
+    A tree of digests: frames meet by the first digits of their own digests, are sorted and
+    digested there, and so on with the digests of a level, which meet by fewer digits.  No list
+    holds more than a 65536th of a group, or the 256 digests of a branch.
+    """
+    now = rows.select(*by, frame.alias("_frame"), F.lit(1).cast("long").alias("_n")).withColumn("_at", F.sha2("_frame", 256))
+    for digits in LEVELS:
+        at = F.substring("_at", 1, digits).alias("_at")
+        now = now.groupBy(*by, at).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_frame")), ";"), 256).alias("_frame"), F.sum("_n").alias("_n"))
+    return now.select(*by, F.col("_frame").alias("seal"), F.col("_n").alias("members"))
+
+
 def merkle(rows: DataFrame, id_col: str, digest: str, *by: str) -> DataFrame:
-    """Order-independent digest of members: sorted by id, each framed by its length."""
+    """Order-independent digest of members, each framed by its length."""
     frame = F.concat(F.length(F.col(id_col).cast("string")).cast("string"), F.lit(":"), F.col(id_col).cast("string"), F.lit("="), F.col(digest))
-    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(frame)), ";"), 256).alias("seal"), F.count("*").alias("members"))
+    return digest_tree(rows, frame, *by)

@@ -15,6 +15,12 @@ from .ranking import first_rows
 NARRATIVE = 40
 
 
+def ordered_distinct(rows: DataFrame, by: str, value: str, order: str) -> DataFrame:
+    """by, seen: the distinct values of a group in order of their first appearance; repeated ones are combined before they meet."""
+    first = rows.groupBy(by, value).agg(F.min(order).alias("_at"))
+    return first.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_all")).select(by, F.transform("_all", lambda x: x[value]).alias("seen"))
+
+
 def keep_best(rows: DataFrame, path: str = "path", text: str = "text", score: str = "score", tie: str = "id") -> DataFrame:
     """Of equal texts of a file the one with the best score."""
     return first_rows(rows.withColumn("_h", F.sha2(text, 256)), [F.col(path), F.col("_h")], [F.desc(score), F.col(tie)]).drop("_h")

@@ -26,6 +26,12 @@ def glob_regex(pattern: str) -> str:
     return f"^{out}$"
 
 
+def contract_glob(path: Column, pattern: str) -> Column:
+    """Whether a whole path matches a plug-in's glob: ``**`` crosses segments, but the slashes beside it must be there."""
+    marks = {"**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return path.rlike("^" + "".join(marks.get(x) or re.escape(x) for x in re.findall(r"\*\*|.", pattern)) + "$")
+
+
 def matches_any(path: Column, patterns: list[str]) -> Column:
     """Whether a path matches some glob; ``dir/`` stands for all below it, and the path without its first segment counts too."""
     if not patterns:

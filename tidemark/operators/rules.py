@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .filters import matches_any
+from .filters import contract_glob, matches_any
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,7 @@ def select_plugins(files: DataFrame, plugins: list[Plugin], evidence: int = 5) -
     if not conditions:
         return files.sparkSession.createDataFrame([], "plugin string, alternative int, paths array<string>")
     hits = [
-        F.when(matches_any(F.col("path"), [glob]) & (F.contains("text", F.lit(marker)) if marker else F.lit(True)), F.struct(F.lit(name).alias("plugin"), F.lit(a).alias("alternative"), F.lit(i).alias("condition")))
+        F.when(contract_glob(F.col("path"), glob) & (F.contains("text", F.lit(marker)) if marker else F.lit(True)), F.struct(F.lit(name).alias("plugin"), F.lit(a).alias("alternative"), F.lit(i).alias("condition")))
         for name, a, i, glob, marker in conditions
     ]
     found = files.select("path", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("path", "hit.*")

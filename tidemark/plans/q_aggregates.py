@@ -235,7 +235,7 @@ def _(audit, issues):
     return known.select("project_id", F.when(F.col("u") == 0, "FULL").when(F.col("u") == F.col("n"), "NOT_ANALYZED").otherwise("PARTIAL").alias("coverage"))
 
 
-@query("agg36_merkle", "SELECT branch, sha256(string_agg(f, ';' ORDER BY f)) AS seal, CAST(count(*) AS BIGINT) AS members FROM (SELECT branch, CAST(length(CAST(id AS STRING)) AS STRING) || ':' || CAST(id AS STRING) || '=' || sha256(text) AS f FROM chunks) GROUP BY branch", "chunks")
+@query("agg36_merkle", "WITH r AS (SELECT branch, CAST(length(CAST(id AS STRING)) AS STRING) || ':' || CAST(id AS STRING) || '=' || sha256(text) AS f FROM chunks), t1 AS (SELECT branch, substr(a, 1, 4) AS a, sha256(string_agg(f, ';' ORDER BY f)) AS f, count(*) AS n FROM (SELECT *, sha256(f) AS a FROM r) GROUP BY branch, substr(a, 1, 4)), t2 AS (SELECT branch, substr(a, 1, 2) AS a, sha256(string_agg(f, ';' ORDER BY f)) AS f, sum(n) AS n FROM t1 GROUP BY branch, substr(a, 1, 2)) SELECT branch, sha256(string_agg(f, ';' ORDER BY f)) AS seal, CAST(sum(n) AS BIGINT) AS members FROM t2 GROUP BY branch", "chunks")
 def _(chunks):
     return A.merkle(chunks.withColumn("digest", F.sha2("text", 256)), "id", "digest", "branch")
 

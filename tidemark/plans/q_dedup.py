@@ -10,8 +10,7 @@ from .registry import query
 
 @query("set01_ordered_distinct", "SELECT conv_id, first_seen FROM (SELECT conv_id, list(role ORDER BY turn) AS first_seen FROM (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2) GROUP BY conv_id)", "t:conversations")
 def _(conversations):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    return conversations.groupBy("conv_id").agg(F.array_distinct(ordered).alias("first_seen"))
+    return D.ordered_distinct(conversations, "conv_id", "role", "turn").withColumnRenamed("seen", "first_seen")
 
 
 @query("set02_subtraction", "SELECT DISTINCT id FROM audit WHERE id NOT IN (SELECT id FROM issues WHERE resolved)", "audit", "issues")
@@ -132,11 +131,11 @@ def _(chunks):
     return G.imports(rows.where("id % 2 = 0").select("path", "name"), rows.where("id % 2 = 1 or id % 4 = 0").select("path", "name"))
 
 
-@query("grf07_contracts", "WITH f AS (SELECT DISTINCT path, id FROM chunks WHERE id < 400) SELECT DISTINCT b.path AS source, a.path AS target, 's' || a.id AS name FROM f a JOIN f b ON b.id = a.id + 1 WHERE a.path <> b.path", "chunks")
+@query("grf07_contracts", "WITH f AS (SELECT DISTINCT path, id FROM chunks) SELECT DISTINCT b.path AS source, a.path AS target, 's' || a.id AS name FROM f a JOIN f b ON b.id = a.id + 1 WHERE a.path <> b.path", "chunks")
 def _(chunks):
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
     text = F.concat(F.lit('{"$id": "'), name(F.col("id")), F.lit('", "items": {"$ref": "'), name(F.col("id") - 1), F.lit('#/x"}}'))
-    return G.contract_references(chunks.where("id < 400").select("path", text.alias("text")))
+    return G.contract_references(chunks.select("path", text.alias("text")))
 
 
 @query("grf08_focus", "SELECT id, [path] AS paths FROM chunks WHERE path IN ('src/src1/en/part1.java', 'src/src2/en/part2.ts')", "chunks")

@@ -121,7 +121,7 @@ def _(part):
     return part.where(O.generated_asset(name)).select(F.col("p_brand").alias("brand"), k.alias("k")).distinct()
 
 
-@query("src05_tree_identity", "SELECT source, sha256(string_agg(path || ':' || sha256(text) || chr(10), '' ORDER BY path || ':' || sha256(text))) AS identity FROM (SELECT DISTINCT source, path, text FROM chunks) GROUP BY source", "chunks")
+@query("src05_tree_identity", "WITH r AS (SELECT DISTINCT source, path || ':' || sha256(text) AS f FROM chunks), t1 AS (SELECT source, substr(a, 1, 4) AS a, sha256(string_agg(f, ';' ORDER BY f)) AS f FROM (SELECT *, sha256(f) AS a FROM r) GROUP BY source, substr(a, 1, 4)), t2 AS (SELECT source, substr(a, 1, 2) AS a, sha256(string_agg(f, ';' ORDER BY f)) AS f FROM t1 GROUP BY source, substr(a, 1, 2)) SELECT source, sha256(string_agg(f, ';' ORDER BY f)) AS identity FROM t2 GROUP BY source", "chunks")
 def _(chunks):
     from ..sources.files import tree_identity
 

@@ -47,10 +47,10 @@ def _(documents):
     return J.closest_line(wanted, lines)
 
 
-@query("jn08_range_overlap", "SELECT a.id AS a, b.id AS b FROM chunks a JOIN issues b ON b.project_id = a.id % 50 AND a.start_line * 11 <= b.line + 6 AND a.start_line * 11 + 30 >= b.line AND b.id < 3000", "chunks", "issues")
+@query("jn08_range_overlap", "SELECT a.id AS a, b.id AS b FROM chunks a JOIN issues b ON b.project_id = a.id % 50 AND a.start_line * 11 <= b.line + 6 AND a.start_line * 11 + 30 >= b.line", "chunks", "issues")
 def _(chunks, issues):
     a = chunks.select(F.col("id").alias("a"), (F.col("id") % 50).alias("key"), (F.col("start_line") * 11).alias("a_start"), (F.col("start_line") * 11 + 30).alias("a_end"))
-    b = issues.where("id < 3000 and line is not null").select(F.col("id").alias("b"), F.col("project_id").alias("key"), F.col("line").alias("b_start"), (F.col("line") + 6).alias("b_end"))
+    b = issues.where("line is not null").select(F.col("id").alias("b"), F.col("project_id").alias("key"), F.col("line").alias("b_start"), (F.col("line") + 6).alias("b_end"))
     return J.overlapping(a, b, "key", 32).select("a", "b")
 
 
@@ -77,10 +77,10 @@ def _(chunks):
     return J.resolve(refs, (F.col("name"), table(full)), (F.col("name"), table(F.col("primary_name"))), (F.lower("name"), table(F.lower("primary_name")))).select("id", "target", "rule")
 
 
-@query("jn11_same_package_pairs", "SELECT DISTINCT a.path AS a, b.path AS b FROM (SELECT DISTINCT path, regexp_extract(path, '^(.*)/', 1) AS dir FROM issues) a JOIN (SELECT DISTINCT path, regexp_extract(path, '^(.*)/', 1) AS dir FROM issues) b ON a.dir = b.dir AND a.path < b.path WHERE a.dir IN ('pkg1', 'pkg2')", "issues")
+@query("jn11_same_package_pairs", "SELECT DISTINCT a.path AS a, b.path AS b FROM (SELECT DISTINCT path, regexp_extract(path, '^(.*)/', 1) AS dir FROM issues) a JOIN (SELECT DISTINCT path, regexp_extract(path, '^(.*)/', 1) AS dir FROM issues) b ON a.dir = b.dir AND a.path < b.path", "issues")
 def _(issues):
-    # pairs are what is asked for here: directories are small, and only those asked for are paired
-    files = issues.select("path", F.regexp_extract("path", "^(.*)/", 1).alias("dir")).distinct().where(F.col("dir").isin("pkg1", "pkg2"))
+    # pairs of the files of a directory are what is asked for here
+    files = issues.select("path", F.regexp_extract("path", "^(.*)/", 1).alias("dir")).distinct()
     return files.select("dir", F.col("path").alias("a")).join(files.select("dir", F.col("path").alias("b")), "dir").where("a < b").select("a", "b")
 
 
@@ -151,7 +151,7 @@ def _(documents):
     return J.paired(rows, "mode", "case_id", "src0")
 
 
-@query("jn22_receipts", "WITH c AS (SELECT id, CASE WHEN resolved THEN 'published' ELSE 'rejected' END AS state, unnest([id % 301, (id * 3) % 301]) AS hunk FROM issues WHERE id % 41 = 0), d AS (SELECT DISTINCT * FROM c), g AS (SELECT hunk, count(*) AS n, bool_or(state = 'published') AS p FROM d GROUP BY hunk) SELECT h.hunk, CAST(coalesce(g.n, 0) AS BIGINT) AS candidates, CASE WHEN g.p THEN 'published' WHEN g.n > 0 THEN 'rejected' ELSE 'none' END AS state FROM (SELECT unnest(range(0, 301)) AS hunk) h LEFT JOIN g USING (hunk)", "issues")
+@query("jn22_receipts", "WITH c AS (SELECT id, CASE WHEN resolved THEN 'published' ELSE 'rejected' END AS state, unnest([id % 301, (id * 3) % 301]) AS hunk FROM issues), d AS (SELECT DISTINCT * FROM c), g AS (SELECT hunk, count(*) AS n, bool_or(state = 'published') AS p FROM d GROUP BY hunk) SELECT h.hunk, CAST(coalesce(g.n, 0) AS BIGINT) AS candidates, CASE WHEN g.p THEN 'published' WHEN g.n > 0 THEN 'rejected' ELSE 'none' END AS state FROM (SELECT unnest(range(0, 301)) AS hunk) h LEFT JOIN g USING (hunk)", "issues")
 def _(issues):
-    c = issues.where("id % 41 = 0").select("id", F.when(F.col("resolved"), "published").otherwise("rejected").alias("state"), F.array(F.col("id") % 301, (F.col("id") * 3) % 301).alias("hunks"))
+    c = issues.select("id", F.when(F.col("resolved"), "published").otherwise("rejected").alias("state"), F.array(F.col("id") % 301, (F.col("id") * 3) % 301).alias("hunks"))
     return J.receipts(issues.sparkSession.range(301).withColumnRenamed("id", "hunk"), c)

@@ -1,8 +1,7 @@
-"""Queries of rules, plug-in selection and the audit table, and of two matches by meaning."""
+"""Queries of rules, plug-in selection and the audit table."""
 
 from pyspark.sql import functions as F
 
-from ..operators import joins as J
 from ..operators import rules as R
 from ..sources import sinks
 from .registry import query
@@ -30,19 +29,6 @@ def _(audit):
     return R.cleanup(done, "received_at", 20, F.lit("2024-01-31").cast("timestamp")).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("jn07_closest_line", "WITH l AS (SELECT path AS doc, title AS hash, id AS pos FROM issues), w AS (SELECT id, path AS doc, title AS hash, id + 3 AS line FROM issues), c AS (SELECT doc, hash, count(*) AS n FROM l GROUP BY 1, 2), j AS (SELECT w.id, l.pos, row_number() OVER (PARTITION BY w.id ORDER BY abs(w.line - l.pos), l.pos) AS r FROM w JOIN l USING (doc, hash)) SELECT id, CASE WHEN n > 5 THEN -1 ELSE pos END AS pos FROM w JOIN c USING (doc, hash) JOIN j USING (id) WHERE r = 1", "issues")
-def _(issues):
-    doc, mark = F.col("path").alias("doc"), F.col("title").alias("hash")
-    return J.closest_line(issues.select("id", doc, mark, (F.col("id") + 3).alias("line")), issues.select(doc, mark, F.col("id").alias("pos")))
-
-
-@query("jn10_reference_resolution", "WITH a AS (SELECT primary_name AS k, max(path) AS t FROM chunks GROUP BY 1), b AS (SELECT namespace AS k, max(path) AS t FROM chunks GROUP BY 1), r AS (SELECT src, dst, 'name' || (dst % 200) AS x, 'ns' || (dst % 20) AS y FROM edges) SELECT src, dst, coalesce(a.t, b.t) AS target, CASE WHEN a.t IS NOT NULL THEN 1 WHEN b.t IS NOT NULL THEN 2 END AS rule FROM r LEFT JOIN a ON a.k = x LEFT JOIN b ON b.k = y", "edges", "chunks")
-def _(edges, chunks):
-    by = lambda c: chunks.select(F.col(c).alias("key"), F.col("path").alias("target"))
-    number = lambda head, n: F.concat(F.lit(head), (F.col("dst") % n).cast("string"))
-    return J.resolve(edges.select("src", "dst"), (number("name", 200), by("primary_name")), (number("ns", 20), by("namespace")))
-
-
 @query("snk02_pack_batches", None, "chunks")
 def _(chunks):
     return sinks.pack_batches(chunks.select("id", "path", F.octet_length("text").alias("bytes")), "path", "id", "bytes", 65536)

@@ -48,6 +48,6 @@ def _(events):
     return S.sessions(events, "user_id", "ts", 7200).groupBy("user_id").agg(F.count("*").alias("sessions"))
 
 
-@query("str18_seal", "SELECT CAST(count(*) AS BIGINT) AS members FROM chunks", "chunks")
+@query("str18_seal", "WITH r AS (SELECT CAST(length(CAST(id AS STRING)) AS STRING) || ':' || CAST(id AS STRING) || '=' || sha256('{\"id\":' || id || ',\"branch\":\"' || branch || '\",\"score\":\"' || CAST(score AS DECIMAL(6, 3)) || '\"}') AS f FROM chunks), t1 AS (SELECT substr(a, 1, 4) AS a, sha256(string_agg(f, ';' ORDER BY f)) AS f, count(*) AS n FROM (SELECT *, sha256(f) AS a FROM r) GROUP BY substr(a, 1, 4)), t2 AS (SELECT substr(a, 1, 2) AS a, sha256(string_agg(f, ';' ORDER BY f)) AS f, sum(n) AS n FROM t1 GROUP BY substr(a, 1, 2)) SELECT sha256(string_agg(f, ';' ORDER BY f)) AS seal, CAST(sum(n) AS BIGINT) AS members FROM t2", "chunks")
 def _(chunks):
-    return S.seal(chunks.select("id", "path", "text")).select("members")
+    return S.seal(chunks.select("id", "branch", F.col("score").cast("decimal(6, 3)").cast("string").alias("score")))

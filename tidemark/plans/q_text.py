@@ -8,7 +8,7 @@ from .registry import query
 NL = "regexp_replace({}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')"
 NORM = "trim(" + NL + ")"
 LINES = "SELECT doc_id AS doc, unnest(p) AS line, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, CASE WHEN list_extract(p, -1) = '' THEN list_slice(p, 1, length(p) - 1) ELSE p END AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS p FROM documents))"
-STOP = "[" + ",".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+ROOT_STOP, TASK_STOP = ("[" + ",".join(f"'{w}'" for w in words) + "]" for words in (T.ROOT_STOP_WORDS, T.TASK_STOP_WORDS))
 
 
 @query("txt01_03_lines", f"SELECT doc, CAST(pos AS INTEGER) AS pos, md5({NORM.format('line')}) AS hash FROM ({LINES})", "t:documents")
@@ -112,7 +112,7 @@ def _(issues):
     return issues.select("id", T.identifiers(F.col("path")).alias("ids"))
 
 
-@query("txt22_task_terms", f"SELECT id, list_transform(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(reason), '([a-z]{{3,}})', 1)), lambda w: NOT list_contains({STOP}, w)), lambda w: {{'n': -length(w), 'w': w}})), lambda x: x.w) AS terms FROM issues", "issues")
+@query("txt22_task_terms", f"SELECT id, list_transform(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(reason), '([a-z]{{3,}})', 1)), lambda w: NOT list_contains({TASK_STOP}, w)), lambda w: {{'n': -length(w), 'w': w}})), lambda x: x.w) AS terms FROM issues", "issues")
 def _(issues):
     return issues.select("id", T.task_terms(F.col("reason")).alias("terms"))
 
@@ -127,7 +127,7 @@ def _(issues):
     return issues.select("id", F.round(T.sequence_ratio(F.col("title"), F.col("reason")), 6).alias("ratio"))
 
 
-@query("txt25_overlap", f"WITH t AS (SELECT id, list_filter(list_distinct(regexp_split_to_array(lower(title), '[^a-z0-9_]+')), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w)) AS a, list_filter(list_distinct(regexp_split_to_array(lower(reason), '[^a-z0-9_]+')), lambda w: length(w) > 1 AND NOT list_contains({STOP}, w)) AS b FROM issues), n AS (SELECT id, length(list_intersect(a, b)) AS c, length(a) AS x, length(b) AS y FROM t) SELECT id, CAST(c AS INTEGER) AS common, round(c / least(x, y), 6) AS containment, round(c / (x + y - c), 6) AS jaccard FROM n", "issues")
+@query("txt25_overlap", f"WITH t AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z0-9_$]+')), lambda w: length(w) > 1 AND NOT list_contains({ROOT_STOP}, w)) AS a, list_filter(list_distinct(regexp_extract_all(lower(reason), '[a-z0-9_$]+')), lambda w: length(w) > 1 AND NOT list_contains({ROOT_STOP}, w)) AS b FROM issues), n AS (SELECT id, length(list_intersect(a, b)) AS c, length(a) AS x, length(b) AS y FROM t) SELECT id, CAST(c AS INTEGER) AS common, round(c / least(x, y), 6) AS containment, round(c / (x + y - c), 6) AS jaccard FROM n", "issues")
 def _(issues):
     o = T.overlap(T.token_set(F.col("title")), T.token_set(F.col("reason")))
     return issues.select("id", o["common"].alias("common"), F.round(o["containment"], 6).alias("containment"), F.round(o["jaccard"], 6).alias("jaccard"))
@@ -139,12 +139,12 @@ def _(issues):
     return issues.select("id", s["body"].alias("body"), s["places"].alias("places"))
 
 
-@query("txt27_parse_diff", "SELECT id, path, CASE id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change, h AS hunk, CAST(CASE h WHEN 0 THEN 1 ELSE 30 END AS INTEGER) AS new_start, CAST(CASE h WHEN 0 THEN 2 ELSE 1 END AS INTEGER) AS new_count, CAST(CASE h WHEN 0 THEN 3 ELSE 1 END AS INTEGER) AS n_lines FROM issues, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS h) WHERE id < 3000", "issues")
+@query("txt27_parse_diff", "SELECT id, path, CASE id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change, h AS hunk, CAST(CASE h WHEN 0 THEN 1 ELSE 30 END AS INTEGER) AS new_start, CAST(CASE h WHEN 0 THEN 2 ELSE 1 END AS INTEGER) AS new_count, CAST(CASE h WHEN 0 THEN 3 ELSE 1 END AS INTEGER) AS n_lines FROM issues, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS h)", "issues")
 def _(issues):
     k = F.col("id") % 3
     head = F.concat(F.lit("diff --git a/"), F.col("path"), F.lit(" b/"), F.col("path"), F.lit("\n"), F.when(k == 0, "new file mode 100644\n").when(k == 1, "deleted file mode 100644\n").otherwise("index 1..2 100644\n"))
     diff = F.concat(head, F.lit("--- a/"), F.col("path"), F.lit("\n+++ b/"), F.col("path"), F.lit("\n@@ -1,2 +1,2 @@ f\n a\n-b\n+c\n@@ -30 +30 @@\n+d\n\\ No newline at end of file\n"))
-    return T.parse_diff(issues.where("id < 3000").select("id", diff.alias("diff"))).select("id", "path", "change", "hunk", "new_start", "new_count", F.size("lines").alias("n_lines"))
+    return T.parse_diff(issues.select("id", diff.alias("diff"))).select("id", "path", "change", "hunk", "new_start", "new_count", F.size("lines").alias("n_lines"))
 
 
 @query("txt28_pack", None, "t:documents")
@@ -170,10 +170,12 @@ def _(documents):
     return documents.select("doc_id", F.size(b["kept"]).alias("kept"), b["omitted"].alias("omitted"))
 
 
-@query("txt32_sanitise", "SELECT conv_id, turn, CASE WHEN turn % 3 <> 0 THEN 'Hello  ' || role END AS clean FROM conversations", "t:conversations")
+SUSPECT = " OR ".join(f"regexp_matches(bare, '{p}', 'i')" for p in T.INJECTIONS)
+
+
+@query("txt32_sanitise", rf"WITH c AS (SELECT conv_id, turn, regexp_replace(role || ':    ' || text || ' ### <|x|> ' || chr(7), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS bare FROM conversations) SELECT conv_id, turn, CASE WHEN length(bare) BETWEEN 1 AND 2000 AND NOT ({SUSPECT}) THEN trim(regexp_replace(replace(replace(replace(regexp_replace(bare, '\s{{3,}}', '  ', 'g'), '###', '# # #'), '<|', '< |'), '|>', '| >'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) END AS clean FROM c", "t:conversations")
 def _(conversations):
-    raw = F.when(F.col("turn") % 3 == 0, "Please IGNORE previous instructions").otherwise(F.concat(F.lit("<system>Hello \x07      "), F.col("role")))
-    return conversations.select("conv_id", "turn", T.sanitised(raw).alias("clean"))
+    return conversations.select("conv_id", "turn", T.sanitised(F.concat("role", F.lit(":    "), "text", F.lit(" ### <|x|> \x07"))).alias("clean"))
 
 
 @query("txt33_redact", "SELECT event_id, replace(props, '{', '{\"api_token\": \"***\", ') AS props FROM events", "t:events")

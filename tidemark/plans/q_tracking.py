@@ -72,10 +72,10 @@ def _(events):
     return K.coverage_states(events.select(F.col("user_id").alias("hunk"), F.col("event_id").alias("seq"), F.expr(STATE).alias("state")))
 
 
-@query("str19_terminal_states", "SELECT user_id AS candidate, arg_max(s, event_id) AS state, CASE WHEN count(DISTINCT s) FILTER (WHERE s <> 'open') > 1 THEN 'both_states' WHEN count(DISTINCT w) FILTER (WHERE s <> 'open') > 1 THEN 'conflicting_reasons' WHEN count(DISTINCT s) FILTER (WHERE s <> 'open') = 0 THEN 'not_terminal' END AS fault FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'published' WHEN 'error' THEN 'rejected' ELSE 'open' END AS s, user_id % 3 AS w FROM events WHERE event_id % 37 = 0) GROUP BY user_id", "t:events")
+@query("str19_terminal_states", "SELECT user_id AS candidate, arg_max(s, event_id) AS state, CASE WHEN count(DISTINCT s) FILTER (WHERE s <> 'open') > 1 THEN 'both_states' WHEN count(DISTINCT w) FILTER (WHERE s <> 'open') > 1 THEN 'conflicting_reasons' WHEN count(DISTINCT s) FILTER (WHERE s <> 'open') = 0 THEN 'not_terminal' END AS fault FROM (SELECT *, CASE event_type WHEN 'purchase' THEN 'published' WHEN 'error' THEN 'rejected' ELSE 'open' END AS s, user_id % 3 AS w FROM events) GROUP BY user_id", "t:events")
 def _(events):
     s = F.when(F.col("event_type") == "purchase", "published").when(F.col("event_type") == "error", "rejected").otherwise("open")
-    return K.terminal_states(events.where("event_id % 37 = 0").select(F.col("user_id").alias("candidate"), F.col("event_id").alias("seq"), s.alias("state"), (F.col("user_id") % 3).alias("reason")))
+    return K.terminal_states(events.select(F.col("user_id").alias("candidate"), F.col("event_id").alias("seq"), s.alias("state"), (F.col("user_id") % 3).alias("reason")))
 
 
 @query("str08_expired_leases", "SELECT id FROM (SELECT id, received_at + INTERVAL 2 DAYS AS e FROM audit WHERE status = 'RUNNING') WHERE e < TIMESTAMP '2024-01-20' AND id NOT IN (SELECT id FROM audit WHERE event_type = 'click')", "audit")

@@ -20,6 +20,8 @@ def query(name: str, sql: str | None, *uses: str):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(*(spark.read.parquet(f"{sf_dir}/{u[2:]}.parquet") if u.startswith("t:") else standin(spark, sf_dir, u) for u in uses))
 
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = run
         if sql:
             names = [u for u in uses if not u.startswith("t:")]

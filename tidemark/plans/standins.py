@@ -47,7 +47,7 @@ STANDINS = {
     "edges": """
         SELECT p_partkey AS src, (p_partkey * 7 + 3) % 2000 AS dst, CASE p_size % 3 WHEN 0 THEN 'imports' WHEN 1 THEN 'calls' ELSE 'extends' END AS kind,
                CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 ELSE 1.5 END AS weight
-        FROM part WHERE p_partkey % 5 < 2""",
+        FROM part""",
 }
 
 

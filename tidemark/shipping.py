@@ -17,7 +17,8 @@ def ship(spark: SparkSession) -> None:
     """Sends the package to the executors once a session, unless their import path holds it already."""
     app = spark.sparkContext.applicationId
     paths = {os.path.realpath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
-    if app in _shipped or str(ROOT) in paths:
+    # the workers of a local session see the driver's folders; those of a cluster have none of them
+    if app in _shipped or (str(ROOT) in paths and spark.sparkContext.master.startswith("local[")):
         return
     where = Path(tempfile.mkdtemp(prefix="tidemark-code-")) / "tidemark.zip"
     with zipfile.ZipFile(where, "w") as out:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import filters
+from ..operators.aggregates import digest_tree
 
 MAX_BYTES = 1 << 20
 
@@ -31,12 +32,8 @@ def load_files(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def tree_identity(files: DataFrame, *by: str, path: str = "path", text: str = "text") -> DataFrame:
-    """One digest for each tree, whatever the order of its files: a digest over the sorted lines path:digest.
-
-    The lines are small (a digest a file); a tree's list must fit in a task, as a tree of files does.
-    """
-    line = F.concat(F.col(path), F.lit(":"), F.sha2(F.col(text), 256))
-    return files.groupBy(*by).agg(F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(line)), lambda x: F.concat(x, F.lit("\n")))), 256).alias("identity"))
+    """One digest for each tree, whatever the order and number of its files: a digest tree over path:digest."""
+    return digest_tree(files, F.concat(F.col(path), F.lit(":"), F.sha2(F.col(text), 256)), *by).withColumnRenamed("seal", "identity").drop("members")
 
 
 def scroll(df: DataFrame, order: list[str], most: int, after: Column | None = None) -> DataFrame:
