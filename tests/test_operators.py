@@ -1,10 +1,14 @@
 """Golden rows for operators that order decides, sources, sinks, graphs and streams."""
 
+import difflib
 import itertools
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import text
 from tidemark.operators import components, dedup, rules, tracking
 from tidemark.sources import files, sinks
 from tidemark.streaming import streams
@@ -38,7 +42,7 @@ def test_match_of_empty_tables(spark):
 
 def test_greedy_keeps_the_first(spark):
     rows = spark.createDataFrame([("f", 1, 3, "value may be null here"), ("f", 2, 3, "value may be null there"), ("f", 3, 4, "value may be null here"), ("f", 4, None, "a"), ("f", 5, None, "a")], "file string, seq long, line int, reason string")
-    assert found(dedup.greedy(rows, "file"), "seq", "kept_seq") == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
+    assert found(dedup.greedy(rows, "file"), "seq", "kept_seq") == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
 
 
 def test_greedy_absorbs_equal_narratives_anywhere_in_a_file(spark):
@@ -48,6 +52,110 @@ def test_greedy_absorbs_equal_narratives_anywhere_in_a_file(spark):
     assert got == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5), (6, 1), (7, 7), (8, 7)]
 
 
+FINDING = "seq long, file string, line int, snippet string, title string, reason string"
+
+
+def a_conservative(a, b):
+    """Two findings that are one, told pair by pair."""
+    if not a[1] or a[1] != b[1]:
+        return False
+    t, r = (plain_words(a[4]), plain_words(b[4])), (plain_words(a[5]), plain_words(b[5]))
+    if t[0] and t[0] == t[1] and r[0] and r[0] == r[1]:
+        return True
+    s = [" ".join((x[3] or "").split()) for x in (a, b)]
+    anchor = s[0] == s[1] if all(s) else (a[2] or 0) > 0 and a[2] == b[2]
+    return bool(anchor and r[0] and r[1] and difflib.SequenceMatcher(None, *r).ratio() >= 0.88)
+
+
+def plain_words(text):
+    lines = [x for x in (text or "").splitlines() if not x.strip().lower().startswith("also affects:")]
+    return " ".join(re.findall(r"[A-Za-z0-9_$]+", "\n".join(lines))).lower()
+
+
+def a_candidate(a, b):
+    if a_conservative(a, b):
+        return True
+    if not a[1] or not b[1]:
+        return False
+    t, r = (plain_words(a[4]), plain_words(b[4])), (plain_words(a[5]), plain_words(b[5]))
+    like = lambda x: (1.0 if x[0] == x[1] else difflib.SequenceMatcher(None, *x).ratio()) if all(x) else 0.0
+    sets = lambda x: [{w for w in v.split() if len(w) > 1} - set(text.ROOT_STOP_WORDS) for v in x]
+
+    def shared(x):
+        p, q = sets(x)
+        n = len(p & q)
+        return (n, n / min(len(p), len(q)), n / len(p | q)) if p and q else (0, 0.0, 0.0)
+
+    same_title, (tn, tc, tj), (rn, rc, rj), ts, rs = bool(t[0]) and t[0] == t[1], shared(t), shared(r), like(t), like(r)
+    if a[1] != b[1]:
+        return same_title and len(sets(t)[0]) >= 4 and rn >= 4 and rc >= 0.5 and rj >= 0.25
+    s = [" ".join((x[3] or "").split()) for x in (a, b)]
+    anchor = s[0] == s[1] if all(s) else (a[2] or 0) > 0 and a[2] == b[2]
+    near = (a[2] or 0) > 0 and (b[2] or 0) > 0 and abs(a[2] - b[2]) <= 3
+    title_like = ts >= 0.48 or (tn >= 3 and tc >= 0.55) or tj >= 0.42
+    reason_like = rs >= 0.46 or (rn >= 4 and rc >= 0.5) or rj >= 0.36
+    return bool(same_title and (rs >= 0.5 or (rn >= 3 and rc >= 0.45)) or title_like and (rs >= 0.7 or (rn >= 5 and rc >= 0.65)) or (anchor or near) and title_like and reason_like)
+
+
+def some_findings(n, seed):
+    rng = random.Random(seed)
+    nouns, verbs = "value lock handle record cache index cursor buffer session token".split(), "leaks is never released|may be null here|is read after close|overflows on large input|is shared between threads".split("|")
+    rows = []
+    for i in range(n):
+        noun, verb = rng.choice(nouns), rng.choice(verbs)
+        reason = f"The {noun} of the {rng.choice(nouns)} {verb} when {rng.choice(nouns)} {rng.randint(1, 4)} is missing"
+        title = rng.choice([f"{noun} {verb}", f"Unsafe {noun} access in request handler", "Bug", None])
+        rows.append((i, rng.choice(["a.py", "b.py", "c.py", "", None]), rng.choice([None, 0, 1, 5, 6, 9, 30, 31]), rng.choice([None, "", "x = 1", " x  = 1", "y()"]), title, rng.choice([reason, reason + "\nAlso affects: a.py:3", reason.upper(), None, ""])))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_duplicates_and_candidates_by_brute_force(spark, seed):
+    rows = some_findings(110, seed)
+    df = spark.createDataFrame(rows, FINDING).repartition(3)
+    for pairs, holds in ((dedup.duplicates(df), a_conservative), (dedup.similar_pairs(df), a_candidate)):
+        parent = {}
+        for x, y in itertools.combinations(rows, 2):
+            if holds(x, y):
+                u, v = (group_of(parent, z[0]) for z in (x, y))
+                parent[max(u, v)] = min(u, v)
+        assert dict(found(dedup.clusters(pairs), "node", "component")) == {i: group_of(parent, i) for i in list(parent)}
+
+
+def group_of(parent, i):
+    parent.setdefault(i, i)
+    while parent[i] != i:
+        i = parent[i]
+    return i
+
+
+def test_greedy_by_brute_force_with_nulls(spark):
+    rows = some_findings(120, 5)
+    got = dict(found(dedup.greedy(spark.createDataFrame(rows, FINDING).repartition(3), "file"), "seq", "kept_seq"))
+    kept, want = [], {}
+    for r in rows:
+        into = next((k for k in kept if a_conservative(r, k)), None)
+        want[r[0]] = r[0] if into is None else into[0]
+        kept += [r] * (into is None)
+    named = {r[0] for r in rows if r[1]}
+    assert {k: v for k, v in got.items() if k in named} == {k: v for k, v in want.items() if k in named}
+
+
+def test_ingest_three_passes(spark):
+    schema = "seq long, file string, title string, reason string, severity string, category string, line int, snippet string, line_hash string, resolved boolean, diff string"
+    long = "the value that is read here may be null at times"
+    rows = [
+        (1, "f", "Null value", long, "LOW", "bug", 1, None, None, False, None), (2, "f", "null  VALUE", long.upper() + "\nAlso affects: f:9", "HIGH", "bug", 40, "x", None, False, "d"),  # one narrative; the second stands for both
+        (3, "f", "Null value", long, "LOW", "bug", 50, None, None, True, None),  # resolved: stays
+        (4, "f", "Short", "same", "LOW", "bug", 3, None, "h", False, None), (5, "f", "Short at line 7", "same", "LOW", "bug", 7, None, "h", False, "dd"),  # too short a reason, but one fingerprint
+        (6, "f", "Short", "other", "INFO", "style", 9, None, "h", False, None),  # another category: by content
+        (7, "f", "Short", "same", "LOW", "bug", 3, None, None, False, None), (8, "f", "Short", None, "LOW", None, None, None, None, False, None),  # no anchor: stay
+    ]
+    out = {r["seq"]: r for r in dedup.ingest(spark.createDataFrame(rows, schema)).collect()}
+    assert set(out) == {2, 3, 5, 7, 8}
+    assert out[2]["severity"] == "HIGH" and out[2]["places"] == [1]
+
+
 def test_greedy_query_covers_all_findings(spark):
     from tidemark.plans import registry, standins
 

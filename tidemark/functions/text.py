@@ -128,10 +128,15 @@ def relation_token(token: Column) -> Column:
     return F.when(F.length(bare) > 1, bare)
 
 
+def root_reason(text: Column) -> Column:
+    """A description without its lines that list further places."""
+    lines = F.filter(F.split(text, r"\r\n|[\n\r]"), lambda x: ~F.lower(F.trim(x)).startswith("also affects:"))
+    return F.trim(F.array_join(lines, "\n"))
+
+
 def narrative(text: Column) -> Column:
     """The words ``[A-Za-z0-9_$]+`` of a text in lower case, joined by one space, without lines that list further places; empty for null."""
-    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\r\n|[\n\r]"), lambda x: ~F.lower(F.trim(x)).startswith("also affects:"))
-    return F.lower(F.array_join(F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(r"([A-Za-z0-9_$]+)"), F.lit(1)), " "))
+    return F.lower(F.array_join(F.regexp_extract_all(root_reason(F.coalesce(text, F.lit(""))), F.lit(r"([A-Za-z0-9_$]+)"), F.lit(1)), " "))
 
 
 def token_set(text: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import saved
 from .aggregates import severity_rank
 from .components import connected_components
 from .folds import fold
@@ -57,23 +58,34 @@ def absorb(rows: DataFrame, key: Column, rank: Column) -> DataFrame:
     return merged.select(*rows.columns, "places").unionByName(alone.select(*rows.columns, F.array().cast("array<bigint>").alias("places")))
 
 
+def representation_rank(snippet: Column, line: Column, diff: Column, reason: Column) -> Column:
+    """How well a finding stands for its duplicates: by a snippet, then a line (the first line counts little), then the lengths of diff and reason."""
+    at = F.when(line > 1, 100_000_000).when(line > 0, 10_000_000).otherwise(0)
+    size = lambda c, most: F.least(F.coalesce(F.length(c), F.lit(0)), F.lit(most))
+    return F.when(F.length(F.trim(snippet)) > 0, 1_000_000_000).otherwise(0) + at + size(diff, 1_000_000) + size(reason, 100_000)
+
+
 def ingest(findings: DataFrame) -> DataFrame:
     """findings (seq, file, title, reason, severity, category, line, snippet, line_hash, resolved, diff): three passes, by narrative, by fingerprint, by content.
 
-    The last two only merge anchored findings.  One row a group, with ``places``.
+    The first takes equal titles and complete reasons (NARRATIVE characters at least, lines of
+    further places apart) of a file; the other two only merge anchored findings.  Resolved
+    findings, and those without an identity, stay.  One row a group, with ``places``.
     """
-    rank = F.when(F.length(F.col("snippet")) > 0, 1_000_000_000).otherwise(0) + F.when(F.col("line").isNotNull(), 100_000).otherwise(0) + F.least(F.length(F.coalesce("diff", F.lit(""))), F.lit(9999)) + F.least(F.length("reason"), F.lit(9999))
-    title, reason = T.normal_title(F.col("title")), T.normal_line(F.lower("reason"))
-    narrative = F.when(F.length(reason) >= NARRATIVE, F.concat_ws("\u0001", "file", title, reason))
-    fp = T.fingerprint(F.col("category"), F.col("line_hash"), F.col("title"))
-    anchored = T.anchored_identity(fp, F.col("line_hash"), F.lit("line"), F.col("line"), F.col("snippet"))
-    content = F.when(F.col("line_hash").isNotNull(), T.content_fingerprint(F.col("line_hash"), F.col("title")))
-    out, places = findings, []
-    for i, key in enumerate((narrative, F.concat_ws("\u0001", "file", anchored), F.concat_ws("\u0001", "file", content))):
-        real = key if i == 0 else F.when((anchored if i == 1 else content).isNotNull(), key)
-        out = absorb(out, real, rank).withColumnRenamed("places", f"_p{i}")
+    rank = representation_rank(F.col("snippet"), F.col("line"), F.col("diff"), F.col("reason"))
+    title, reason = T.normal_line(F.lower("title")), T.normal_line(F.lower(T.root_reason(F.col("reason"))))
+    narrative = F.when((F.length(title) > 0) & (F.length(reason) >= NARRATIVE), F.concat_ws("\u0001", "file", title, reason))
+
+    def anchored(fp: Column) -> Column:
+        identity = T.anchored_identity(fp, F.col("line_hash"), F.lit("line"), F.col("line"), F.col("snippet"))
+        return F.when(identity.isNotNull(), F.concat_ws("\u0001", "file", identity))
+
+    keys = (narrative, anchored(T.fingerprint(F.col("category"), F.col("line_hash"), F.col("title"))), anchored(T.content_fingerprint(F.col("line_hash"), F.col("title"))))
+    out = findings
+    for i, key in enumerate(keys):
         # the column of an earlier pass belongs to the row that stands for its group
-        places.append(f"_p{i}")
+        out = absorb(out, key, rank).withColumnRenamed("places", f"_p{i}")
+    places = [f"_p{i}" for i in range(len(keys))]
     return out.withColumn("places", F.sort_array(F.array_distinct(F.concat(*places)))).drop(*places)
 
 
@@ -81,17 +93,120 @@ def prompt_fingerprint(path: Column, line: Column, severity: Column, reason: Col
     return F.concat_ws("::", path, F.coalesce(F.floor(line / 3), F.lit(0)).cast("string"), severity, F.substring(F.lower(reason), 1, 50))
 
 
-def similar_pairs(rows: DataFrame, block: list[str], most_apart: int = 3) -> DataFrame:
-    """Candidate duplicates: pairs of a block whose lines are near and whose words overlap, with their measures.
+#: Narratives of a file that share a word; a word that more of them have brings none together.
+RARE = 50
+_PLACE = ["file", "title_n", "reason_n", "anchor", "at"]
+
+
+def prepared(rows: DataFrame) -> DataFrame:
+    """rows (seq, file, line, snippet, title, reason) with their narratives, token sets, anchor (snippet without blanks, or null) and place (line, or null)."""
+    anchor = T.normal_line(F.col("snippet"))
+    return rows.select(
+        "seq", "file", T.narrative(F.col("title")).alias("title_n"), T.narrative(F.col("reason")).alias("reason_n"), F.when(anchor != "", anchor).alias("anchor"), F.when(F.col("line") > 0, F.col("line")).alias("at")
+    ).where("file <> ''")
+
+
+def _stars(rows: DataFrame, *by: str) -> DataFrame:
+    """(a, b): each row beside the first of those that agree with it."""
+    return rows.join(rows.groupBy(*by).agg(F.min("seq").alias("a")), list(by)).where("a < seq").select("a", F.col("seq").alias("b"))
+
+
+def _beside(reps: DataFrame, on: list[str]) -> DataFrame:
+    """Pairs of rows that agree in ``on``, as structs a and b, the first of them as a."""
+    side = lambda n: reps.select(*on, F.struct(*reps.columns).alias(n))
+    return side("a").join(side("b"), on).where("a.seq < b.seq").select("a", "b")
+
+
+def _measured(pairs: DataFrame) -> DataFrame:
+    """pairs with title_s and reason_s (sequence similarity, each pair of texts compared once), and title_o and reason_o (token overlap)."""
+    pairs = pairs.dropDuplicates(["a", "b"])
+    texts = pairs.select(F.inline(F.array(*(F.struct(F.col(f"a.{c}").alias("x"), F.col(f"b.{c}").alias("y")) for c in ("title_n", "reason_n"))))).where("x <> '' and y <> ''").distinct()
+    ratios = texts.withColumn("ratio", F.when(F.col("x") == F.col("y"), 1.0).otherwise(T.sequence_ratio(F.col("x"), F.col("y"))))
+    for c in ("title", "reason"):
+        r = ratios.select(F.col("x").alias(f"_x{c}"), F.col("y").alias(f"_y{c}"), F.col("ratio").alias(f"{c}_s"))
+        pairs = pairs.join(r, (F.col(f"a.{c}_n") == F.col(f"_x{c}")) & (F.col(f"b.{c}_n") == F.col(f"_y{c}")), "left").withColumn(f"{c}_s", F.coalesce(f"{c}_s", F.lit(0.0)))
+        pairs = pairs.withColumn(f"{c}_o", T.overlap(T.token_set(F.col(f"a.{c}_n")), T.token_set(F.col(f"b.{c}_n"))))
+    return pairs
 
-    rows (seq, line, title, reason, block columns).  Pairs are sought by shared line buckets, not
-    within whole blocks; a block's pairs are those of neighbouring lines.
+
+def _same_anchor() -> Column:
+    both = F.col("a.anchor").isNotNull() & F.col("b.anchor").isNotNull()
+    return F.when(both, F.col("a.anchor") == F.col("b.anchor")).otherwise(F.coalesce(F.col("a.at") == F.col("b.at"), F.lit(False)))
+
+
+def _same(c: str) -> Column:
+    return (F.col(f"a.{c}") == F.col(f"b.{c}")) & (F.col(f"a.{c}") != "")
+
+
+def _conservative() -> Column:
+    """Same narrative, or same anchor and reasons that are equal or nearly so (nearer still under another title)."""
+    reason = _same("reason_n") | (F.col("reason_s") >= 0.88) | (_same("title_n") & (F.col("reason_s") >= 0.94))
+    return (_same("title_n") & _same("reason_n")) | (_same_anchor() & reason)
+
+
+def _candidate() -> Column:
+    """A pair of a file that may be one finding in other words."""
+    title, reason = (lambda k: F.col(f"title_o.{k}")), (lambda k: F.col(f"reason_o.{k}"))
+    near = F.coalesce(F.abs(F.col("a.at") - F.col("b.at")) <= 3, F.lit(False))
+    by_title = _same("title_n") & ((F.col("reason_s") >= 0.50) | ((reason("common") >= 3) & (reason("containment") >= 0.45)))
+    title_like = (F.col("title_s") >= 0.48) | ((title("common") >= 3) & (title("containment") >= 0.55)) | (title("jaccard") >= 0.42)
+    reason_like = (F.col("reason_s") >= 0.46) | ((reason("common") >= 4) & (reason("containment") >= 0.50)) | (reason("jaccard") >= 0.36)
+    strong = (F.col("reason_s") >= 0.70) | ((reason("common") >= 5) & (reason("containment") >= 0.65))
+    return _conservative() | by_title | (title_like & strong) | ((_same_anchor() | near) & title_like & reason_like)
+
+
+def duplicates(rows: DataFrame) -> DataFrame:
+    """(a, b): findings (seq, file, line, snippet, title, reason) that are one without doubt.
+
+    Findings of one file with the same title and reason, or at one anchor (equal snippets; equal
+    lines where one has no snippet) with the same reason or reasons of a similarity of .88.  Equal
+    ones are linked with the first of them, and only distinct ones of an anchor are compared, so
+    the pairs' components are the duplicates; pairs are those of representatives.  Nulls are
+    empty texts, which equal nothing; findings without a file stay alone.
+    """
+    p = saved(prepared(rows), "findings")
+    reps = p.groupBy(*_PLACE).agg(F.min("seq").alias("seq"))
+    anchored = _beside(reps.where("anchor is not null"), ["file", "anchor"]).unionByName(_beside(reps.where("at is not null"), ["file", "at"]).where("a.anchor is null or b.anchor is null"))
+    close = _measured(anchored).where(_conservative()).select("a.seq", F.col("b.seq").alias("b")).withColumnRenamed("seq", "a")
+    told = p.where("title_n <> '' and reason_n <> ''")
+    known = p.where("reason_n <> '' and (anchor is not null or at is not null)")
+    return _stars(told, "file", "title_n", "reason_n").unionByName(_stars(known, *_PLACE)).unionByName(close).distinct()
+
+
+def similar_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): findings that may be one, for a judgement by meaning; the pairs' components are the groups to judge.
+
+    Beside the duplicates, pairs of a file with equal titles, at one anchor, on lines three apart
+    or less, or with a word in their reasons that few others of the file have (RARE: the one
+    place where a pair that shares but common words is not brought up), if their titles and
+    reasons are like enough; and findings of different files with an equal title of four words
+    and like reasons.  Only distinct narratives are compared; equal ones hang on the first.
     """
-    r = rows.withColumn("_t", T.token_set(F.concat_ws(" ", "title", "reason"))).withColumn("_b", F.floor(F.col("line") / (most_apart + 1)))
-    a = r.select(*block, F.explode(F.array(F.col("_b") - 1, F.col("_b"), F.col("_b") + 1)).alias("_b"), F.col("seq").alias("a"), F.col("line").alias("_la"), F.col("_t").alias("_ta"))
-    b = r.select(*block, "_b", F.col("seq").alias("b"), F.col("line").alias("_lb"), F.col("_t").alias("_tb"))
-    pairs = a.join(b, [*block, "_b"]).where((F.col("a") < F.col("b")) & (F.abs(F.col("_la") - F.col("_lb")) <= most_apart))
-    return pairs.select("a", "b", T.overlap(F.col("_ta"), F.col("_tb")).alias("o")).select("a", "b", "o.common", "o.containment", "o.jaccard")
+    p = saved(prepared(rows), "findings")
+    reps = saved(p.groupBy(*_PLACE).agg(F.min("seq").alias("seq")), "representatives")
+    words = reps.select("file", "seq", F.explode(T.token_set(F.col("reason_n"))).alias("word"))
+    rare = words.join(words.groupBy("file", "word").agg(F.count("*").alias("k")).where(F.col("k").between(2, RARE)), ["file", "word"]).select("file", "word", "seq")
+    by_word = _beside(rare, ["file", "word"]).select(F.col("a.seq").alias("x"), F.col("b.seq").alias("y")).distinct()
+    whole = F.struct(*reps.columns)
+    by_word = by_word.join(reps.select(F.col("seq").alias("x"), whole.alias("a")), "x").join(reps.select(F.col("seq").alias("y"), whole.alias("b")), "y").select("a", "b")
+    bucket = F.floor(F.col("at") / 4)
+    placed = reps.where("at is not null")
+    side = lambda n, b: placed.select("file", b.alias("_b"), F.struct(*reps.columns).alias(n))
+    near = side("a", F.explode(F.array(bucket - 1, bucket, bucket + 1))).join(side("b", bucket), ["file", "_b"]).where("a.seq < b.seq and abs(a.at - b.at) <= 3").select("a", "b")
+    pairs = near.unionByName(by_word).unionByName(_beside(reps.where("title_n <> ''"), ["file", "title_n"])).unionByName(_beside(reps.where("anchor is not null"), ["file", "anchor"]))
+    like = _measured(pairs).where(_candidate()).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
+    return duplicates(rows).unionByName(like).unionByName(_across(p)).distinct()
+
+
+def _across(p: DataFrame) -> DataFrame:
+    """(a, b) of findings in different files with an equal title of four words and like reasons."""
+    signed = p.where((F.size(T.token_set(F.col("title_n"))) >= 4) & (F.size(T.token_set(F.col("reason_n"))) >= 4))
+    first = signed.groupBy("title_n", "reason_n").agg(F.min("seq").alias("seq"), F.min("file").alias("f0"), F.max("file").alias("f1"))
+    many = first.where("f0 < f1").select("title_n", "reason_n")
+    o = T.overlap(T.token_set(F.col("a.reason_n")), T.token_set(F.col("b.reason_n")))
+    apart = (F.col("a.f0") != F.col("a.f1")) | (F.col("b.f0") != F.col("b.f1")) | (F.col("a.f0") != F.col("b.f0"))
+    other = _beside(first, ["title_n"]).where(apart & (o["common"] >= 4) & (o["containment"] >= 0.50) & (o["jaccard"] >= 0.25)).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
+    return _stars(signed.join(many, ["title_n", "reason_n"], "left_semi"), "title_n", "reason_n").unionByName(other)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
@@ -100,40 +215,44 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def greedy(rows: DataFrame, by: str, ratio: float = 0.88) -> DataFrame:
-    """In order of seq, a finding is absorbed by the first kept one of its file with the same title and reason, or with the same line and a like reason.
+    """In order of seq, a finding is absorbed by the first kept one of its file with the same title and reason, or at the same anchor with a like reason.
 
-    rows (by, seq, line, reason, and title, if there is one).  Texts are compared as lower-cased
-    words; without a title only the line's rule applies.  Findings without a line share one.
-    Order decides, so the findings of a file are one fold; reasons are only compared in pairs
-    within a line, once each.
+    rows (by, seq, line, reason, and title and snippet, if there are such columns).  Texts are
+    compared as narratives; nulls are empty and equal nothing.  Anchors are equal snippets, or
+    equal lines where one of two has no snippet.  Order decides, so the findings of a file are
+    one fold; only distinct reasons of an anchor are compared, once each.
     """
     import difflib
-    import re
 
-    def plain(text) -> str:
-        return " ".join(re.findall(r"[A-Za-z0-9_$]+", text or "")).casefold()
+    texts = [F.coalesce(T.narrative(F.col(c)) if c in rows.columns else F.lit(""), F.lit("")).alias(c) for c in ("title", "reason")]
+    anchor = F.coalesce(T.normal_line(F.col("snippet")), F.lit("")) if "snippet" in rows.columns else F.lit("")
+    plain = rows.select(by, "seq", F.coalesce(F.when(F.col("line") > 0, F.col("line")), F.lit(0)).cast("long").alias("line"), *texts, anchor.alias("snippet"))
 
     def run(group: list) -> list[tuple]:
-        narratives, lines, into = {}, {}, []  # the place and seq of the first kept finding of each
+        narratives, anchors, into = {}, {}, []  # the place and seq of the first kept finding of each
         for at, r in enumerate(group):
-            title, reason, line = plain(getattr(r, "title", None)), plain(r.reason), None if r.line != r.line else r.line
-            near, found = lines.setdefault(line, {}), []
-            if title and reason and (title, reason) in narratives:
-                found.append(narratives[title, reason])
-            if reason in near:
-                found.append(near[reason])
-            for other, kept in near.items():
-                if reason and other and other != reason and (not found or kept < min(found)) and difflib.SequenceMatcher(None, other, reason).ratio() >= ratio:
-                    found.append(kept)
-                    break
+            near = [anchors.get(("snippet", r.snippet), {})] if r.snippet else []
+            if r.line:
+                # by line only those of whom one has no snippet
+                near += [anchors.get(("line", r.line, False), {})] + ([] if r.snippet else [anchors.get(("line", r.line, True), {})])
+            found = [x for x in [narratives.get((r.title, r.reason))] if x]
+            for reasons in near if r.reason else ():
+                if r.reason in reasons:
+                    found.append(reasons[r.reason])
+                for other, kept in reasons.items():
+                    if other != r.reason and (not found or kept < min(found)) and difflib.SequenceMatcher(None, r.reason, other).ratio() >= ratio:
+                        found.append(kept)
+                        break
             if not found:
-                narratives[title, reason] = narratives.get((title, reason), (at, r.seq))
-                if reason:
-                    near[reason] = (at, r.seq)
+                if r.title and r.reason:
+                    narratives[r.title, r.reason] = (at, r.seq)
+                for key in [("snippet", r.snippet)] * bool(r.snippet) + [("line", r.line, bool(r.snippet))] * bool(r.line):
+                    if r.reason:
+                        anchors.setdefault(key, {}).setdefault(r.reason, (at, r.seq))
             into.append((r.seq, min(found)[1] if found else r.seq))
         return into
 
-    return fold(rows, [by], ["seq"], run, "seq long, kept_seq long")
+    return fold(plain, [by], ["seq"], run, "seq long, kept_seq long")
 
 
 def flatten_groups(rows: DataFrame) -> DataFrame:

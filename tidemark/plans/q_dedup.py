@@ -66,20 +66,51 @@ def _(issues):
     return issues.select("id", D.prompt_fingerprint(F.col("path"), F.col("line"), F.col("severity"), F.col("reason")).alias("fp"))
 
 
-@query("ded09_similar_pairs", "SELECT a.id AS a, b.id AS b FROM issues a JOIN issues b ON a.path = b.path AND a.project_id = b.project_id AND a.id < b.id AND abs(a.line - b.line) <= 3", "issues")
+def _findings(issues):
+    """Findings with a snippet at every third line."""
+    snippet = F.when(F.col("line") % 3 == 0, F.concat(F.lit("call("), (F.col("line") % 40).cast("string"), F.lit(")")))
+    return issues.select(F.col("id").alias("seq"), F.col("path").alias("file"), "line", snippet.alias("snippet"), "title", "reason")
+
+
+#: The three passes in order; of equal ones the best by snippet, line and length, then the first.
+_TIER = "{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN NOT resolved THEN {key} END, CASE WHEN resolved OR {key} IS NULL THEN id END ORDER BY rank DESC, id) AS r_{name} FROM {source}) WHERE r_{name} = 1)"
+_SNIPPET = "CASE WHEN line % 3 = 0 THEN 'call(' || CAST(line % 40 AS STRING) || ')' END"
+_FP = "sha256({head}coalesce(h, 'no_hash') || ':' || t)"
+_IDENTITY = "CASE WHEN h IS NOT NULL THEN path || chr(1) || {fp} || ':line-hash:' || h WHEN s IS NOT NULL THEN path || chr(1) || {fp} || ':snippet:line:' || coalesce(CAST(line AS STRING), '') || ':' || s END"
+
+
+@query(
+    "ded05_ingest",
+    r"WITH f AS (SELECT id, path, line, resolved, category, reason, lower(title) AS title, " + _SNIPPET + r" AS s, CASE WHEN line % 5 < 2 THEN md5(CAST(line % 9 AS STRING)) END AS h, trim(regexp_replace(regexp_replace(lower(title), '\b(at |on |in )?lines? \d+\b', ' ', 'g'), '(^|\s)\d+(\s|$)', ' \2', 'g')) AS t FROM issues), "
+    "k AS (SELECT *, CASE WHEN s IS NOT NULL THEN 1000000000 ELSE 0 END + CASE WHEN line > 1 THEN 100000000 WHEN line > 0 THEN 10000000 ELSE 0 END + 1 + length(reason) AS rank FROM f), "
+    + _TIER.format(name="t1", key="path || chr(1) || title || chr(1) || lower(reason)", source="k") + ", " + _TIER.format(name="t2", key=_IDENTITY.format(fp=_FP.format(head="coalesce(upper(category), 'UNKNOWN') || ':' || ")), source="t1") + ", "
+    + _TIER.format(name="t3", key=_IDENTITY.format(fp=_FP.format(head="")), source="t2") + " SELECT id FROM t3",
+    "issues",
+)
 def _(issues):
-    return D.similar_pairs(issues.withColumnRenamed("id", "seq").where("line is not null"), ["path", "project_id"]).select("a", "b")
+    rows = _findings(issues).join(issues.select(F.col("id").alias("seq"), "severity", "category", "resolved"), "seq")
+    hash_ = F.when(F.col("line") % 5 < 2, F.md5((F.col("line") % 9).cast("string")))
+    return D.ingest(rows.withColumn("line_hash", hash_).withColumn("diff", F.lit("d"))).select(F.col("seq").alias("id"))
 
 
-@query("ded10_clusters", "WITH RECURSIVE e AS (SELECT a.id AS a, b.id AS b FROM issues a JOIN issues b ON a.path = b.path AND a.id < b.id AND abs(a.line - b.line) <= 3 WHERE a.project_id < 10 AND b.project_id < 10), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node", "issues")
+@query("ded08_duplicates", None, "issues")
 def _(issues):
-    rows = issues.where("project_id < 10 and line is not null").withColumnRenamed("id", "seq")
-    return D.clusters(D.similar_pairs(rows, ["path"]))
+    return D.duplicates(_findings(issues))
+
+
+@query("ded09_similar_pairs", None, "issues")
+def _(issues):
+    return D.similar_pairs(_findings(issues))
+
+
+@query("ded10_clusters", None, "issues")
+def _(issues):
+    return D.clusters(D.similar_pairs(_findings(issues)))
 
 
 @query("ded11_greedy", None, "issues")
 def _(issues):
-    return D.greedy(issues.select(F.col("id").alias("seq"), "path", F.col("line").cast("double"), "title", "reason"), "path")
+    return D.greedy(_findings(issues), "file")
 
 
 @query("ded12_stale", "WITH c AS (SELECT DISTINCT path FROM chunks WHERE id % 3 = 2), f AS (SELECT DISTINCT path FROM chunks WHERE branch = 'feature/search' AND score > 0.4) SELECT id, path IN (SELECT path FROM c) AS stale FROM chunks WHERE branch = 'main' AND (path NOT IN (SELECT path FROM c) OR path NOT IN (SELECT path FROM f)) UNION ALL SELECT id, false FROM chunks WHERE branch = 'feature/search' AND score > 0.4 AND path IN (SELECT path FROM c)", "chunks")
