@@ -21,7 +21,8 @@ def test_warc_round_trip(spark):
     rows = [(1, "http://a", big), (2, None, big), (3, "http://c\r\nX: y", "short"), (4, "http://d", "short"), (5, "http://e", None), (6, "", ""), (7, "http://g", other), (0, "http://h", other), (None, "http://i", big), (8, "http://j", "WARC/1.0\r\n\r\nnot a record\r\n\r\n" * 20)]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string").repartition(3)
     got = {r["page_id"]: r for r in warc.archive_round_trip(pages).collect()}
-    assert set(got) == set(range(9)) and all(r["whole"] for r in got.values())
+    assert set(got) == {*range(9), None} and all(r["whole"] for r in got.values())
+    assert (got[None]["record_type"], got[None]["refers_to"], got[None]["payload_bytes"]) == ("response", None, len(big))
     for i, _, html in rows:
         if i is not None:
             raw = (html or "").encode()
@@ -363,6 +364,47 @@ def test_fertility_base(spark):
         assert r["kept"] <= (not r["base_failed"])
 
 
+def test_fertility_bands_by_brute_force(spark):
+    rng = random.Random(4)
+    common = "the house of a good man was in this old town and they all went by".split()
+    rows = []
+    for i in range(150):
+        words = [rng.choice(common) if rng.random() < rng.choice([0.3, 0.9]) else "".join(rng.choice("zxqwvk" if i % 9 else "ᚠᚢᚦ") for _ in range(rng.randint(2, 9 if i % 11 else 40))) for _ in range(rng.randint(40, 120))]
+        words = ["".join(rng.choice("ᚠᚢᚦᚨᚱ") for _ in w) for w in words] if i % 50 == 7 else words
+        rows.append((i, " ".join(words), ["en", "fr", None][i % 3], "s", 1, 1, 1, "n", 0.0))
+    out = fertility.judge(fertility.measure(frame(spark, rows))).collect()
+    for band in {r["band"] for r in out}:
+        mine = [r for r in out if r["band"] == band]
+        full, inside = [r for r in mine if r["n_words"] >= 50], {r["doc_id"]: True for r in mine}
+        for c, least in fertility.LEAST.items():
+            cells = sorted(math.floor(r[c] / fertility.GRID[c]) for r in full)
+            low, high = (cells[math.ceil(q * len(cells)) - 1] * fertility.GRID[c] for q in (0.25, 0.75))
+            reach = fertility.REACH * max(least, high - low)
+            for r in mine:
+                inside[r["doc_id"]] &= low - reach <= r[c] <= high + reach
+        assert {r["doc_id"]: r["verdict"] for r in mine} == inside
+        assert all(r["kept"] == (not r["base_failed"] and inside[r["doc_id"]]) for r in mine)
+    assert 0 < sum(not r["verdict"] for r in out) < len(out)
+
+
+def test_fertility_of_a_long_text_is_that_of_its_whole(spark):
+    import pyarrow as pa
+    import sentencepiece
+
+    from tidemark.llm import kernels as K
+
+    rng = random.Random(6)
+    text = "\n".join(" ".join(prose(rng, rng.randint(1, 12), "abé")) + rng.choice(["", " #", "  "]) for _ in range(90_000))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    assert len(raw) > fertility.SLICE
+    model = sentencepiece.SentencePieceProcessor(model_file=fertility.VOCABULARY)
+    base, measures, _ = fertility.long_row(model, pa.array([text]))
+    want, parts = fertility.base_counts(raw, np.array([0, len(raw)]))
+    assert base == tuple(int(x[0]) for x in want)
+    assert np.allclose(measures, [x[0] for x in fertility.token_stats(model, raw, *parts)])
+    assert K.SLICE_BYTES < fertility.SLICE
+
+
 def test_fertility_measures_and_verdict(spark):
     import sentencepiece
 

@@ -11,8 +11,10 @@ hold the task attempt; only what a successful attempt reports is read later, so
 executor leaves at worst an unused file.
 
 Cases: null or empty html is a record with an empty payload (always a response); null url
-is ``urn:page:<id>``; rows without page_id are left out; equal rows are records of their
-own; other columns are not read.
+is ``urn:page:<id>``; a row without page_id is a response named ``urn:page:None``; equal rows
+are records of their own; other columns are not read.  A payload that doesn't match its digest
+when it is read back is an error.  The shared folder must be one that pyarrow's filesystems
+know (a path, or file, hdfs, s3 or s3a, gs, abfs or abfss).
 """
 
 from __future__ import annotations
@@ -39,7 +41,11 @@ LEVEL = 4
 _DATE = "2024-01-01T00:00:00Z"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _files(uri: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.0 record: a response, or a revisit that keeps the HTTP head alone."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head + (payload if refers_to is None else b"")
@@ -134,9 +140,9 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def with_revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """page_id, url, payload, digest, refers_to.  Only digests are shuffled to find the revisits, not payloads."""
-    rows = pages.where(F.col("page_id").isNotNull()).select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    keys = rows.where(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
+    """page_id, url, payload, digest, refers_to.  Revisits are found by digests alone; payloads are shuffled only if the revisits are too many to be broadcast."""
+    rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    keys = rows.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("_last")).where("_last > refers_to").drop("_last")
     again = saved(keys.join(firsts, "digest").where("page_id > refers_to").distinct(), "revisits")
     return rows.join(again, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
@@ -147,7 +153,7 @@ def write_archives(records: DataFrame, where: str, roll: int = ROLL_BYTES) -> Da
     schema = pa.schema([("archive", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches):
-        files, base = pafs.FileSystem.from_uri(where)
+        files, base = _files(where)
         task, done, sink, n, size = TaskContext.get(), [], None, 0, 0
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "url", "payload", "digest", "refers_to")]
@@ -178,13 +184,13 @@ def normalise(archives: DataFrame, where: str) -> DataFrame:
     schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string())])
 
     def run(batches):
-        files, base = pafs.FileSystem.from_uri(where)
+        files, base = _files(where)
         attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             for archive in batch.column(0).to_pylist():
                 files.create_dir(base)
                 name, rows = f"{archive.rpartition('/')[2].removesuffix('.warc.gz')}-{attempt}.warc.gz", []
-                with files.open_input_stream(pafs.FileSystem.from_uri(archive)[1], compression=None) as source, files.open_output_stream(f"{base}/{name}", compression=None) as sink:
+                with files.open_input_stream(_files(archive)[1], compression=None) as source, files.open_output_stream(f"{base}/{name}", compression=None) as sink:
                     with files.open_output_stream(f"{base}/{name}.cdx", compression=None) as index:
                         for offset, length, got in normalise_stream(source, sink):
                             rows.append((f"{where}/{name}", offset, length, got["warc-record-id"], got["warc-type"], got["warc-target-uri"]))
@@ -209,7 +215,7 @@ def read_records(index: DataFrame) -> DataFrame:
             rows = []
             for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if archive != at:
-                    files, path = pafs.FileSystem.from_uri(archive)
+                    files, path = _files(archive)
                     at, source = archive, files.open_input_file(path)
                 raw = zlib.decompress(source.read_at(length, offset), 31)
                 head, _, block = raw.partition(b"\r\n\r\n")
@@ -218,7 +224,10 @@ def read_records(index: DataFrame) -> DataFrame:
                 kind, refers, digest = got["warc-type"], got.get("warc-refers-to"), got["warc-payload-digest"].partition(":")[2]
                 size = int(fields_of(http)["content-length"])
                 whole = kind == "revisit" or (len(payload) == size and hashlib.sha256(payload).hexdigest() == digest)
-                rows.append((int(number.search(got["warc-record-id"])[1]), size, digest, kind, int(number.search(refers)[1]) if refers else None, whole))
+                if not whole:
+                    raise ValueError(f"{archive}, offset {offset}: the payload isn't what its digest says")
+                page = number.search(got["warc-record-id"])
+                rows.append((int(page[1]) if page else None, size, digest, kind, int(number.search(refers)[1]) if refers else None, whole))
             yield _table(rows, schema)
 
     many = max(1, index.sparkSession.sparkContext.defaultParallelism)
