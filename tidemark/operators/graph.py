@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .folds import fold
 
 
 def review_groups(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -31,24 +31,54 @@ def undirected(edges: DataFrame, cap: float = 8.0) -> DataFrame:
     return e.groupBy("a", "b", "kind").agg(F.least(w, F.lit(cap)).alias("weight"))
 
 
-def batches(files: DataFrame, most_files: int = 15, most_tokens: int = 60_000) -> DataFrame:
-    """files (component, path, strength, priority, chars): each component's files by strength, cut into batches by count and tokens.
+#: Priorities of files, the most urgent first.
+PRIORITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
 
-    Budgets start anew with each batch, so a component is one fold; components are reviews' file groups.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_s=-pdf["strength"]).sort_values(["_s", "priority", "path"], kind="stable").drop(columns="_s")
-        out, batch, n, used = [], 0, 0, 0
-        for c in pdf["chars"]:
-            t = c // 4 + 1000
-            if n and (n >= most_files or used + t > most_tokens):
-                batch, n, used = batch + 1, 0, 0
-            n, used = n + 1, used + t
-            out.append(batch)
-        return pd.DataFrame({"component": pdf["component"], "path": pdf["path"], "batch": out})
+def batches(files: DataFrame, most_files: int = 15, most_tokens: int = 200_000) -> DataFrame:
+    """files (review, path, component or null, strength, priority, tokens) of reviews: (review, path, batch).
+
+    Components, the largest first (then the most urgent), are cut by number of files and tokens,
+    their strongest files first; files without a component make one more line, by urgency; then
+    batches of the same prevailing priority are put together as long as they fit.  Order decides,
+    so a review is one fold (its files are bounded by what one request may change).
+    """
 
-    return files.groupBy("component").applyInPandas(run, "component long, path string, batch int")
+    def cut(line: list) -> list[list]:
+        out, now, used = [], [], 0
+        for f in line:
+            if now and (len(now) >= most_files or used + f.tokens > most_tokens):
+                out.append(now)
+                now, used = [], 0
+            now.append(f)
+            used += f.tokens
+        return out + [now] * bool(now)
+
+    def run(group: list) -> list[tuple]:
+        urgency = {p: i for i, p in enumerate(PRIORITIES)}
+        components: dict = {}
+        for f in group:
+            components.setdefault(None if f.component != f.component else f.component, []).append(f)
+        alone = components.pop(None, [])
+        line = []
+        for files in sorted(components.values(), key=lambda c: (-len(c), min(urgency[f.priority] for f in c), min(f.path for f in c))):
+            line += cut(sorted(files, key=lambda f: (-f.strength, urgency[f.priority], f.path)))
+        line += cut(sorted(alone, key=lambda f: (urgency[f.priority], f.path)))
+        merged, by_priority = [], {p: [] for p in PRIORITIES}
+        for batch in line:
+            names = [f.priority for f in batch]
+            by_priority[min(set(names), key=lambda p: (-names.count(p), urgency[p]))].append(batch)
+        for same in by_priority.values():
+            now: list = []
+            for batch in same:
+                if now and (len(now) + len(batch) > most_files or sum(f.tokens for f in now + batch) > most_tokens):
+                    merged.append(now)
+                    now = []
+                now = now + batch
+            merged += [now] * bool(now)
+        return [(f.review, f.path, i) for i, batch in enumerate(merged) for f in batch]
+
+    return fold(files.select("review", "path", F.col("component").cast("double").alias("component"), F.col("strength").cast("double").alias("strength"), "priority", "tokens"), ["review"], ["path"], run, "review long, path string, batch long")
 
 
 def imports(exports: DataFrame, uses: DataFrame) -> DataFrame:
@@ -81,7 +111,3 @@ def virtual_nodes(members: DataFrame, least: int, most: int, keep: int, order: C
     sizes = members.groupBy("key").agg(F.count_distinct("node").alias("size")).where(F.col("size").between(least, most))
     chosen = sizes.orderBy(order, "key").limit(keep)
     return members.distinct().join(chosen, "key").select("key", "node", "size")
-
-
-def rank_within(rows: DataFrame, by: str, *order: Column) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))

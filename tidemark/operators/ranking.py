@@ -123,3 +123,9 @@ def tiers(rows: DataFrame, order: list[Column]) -> DataFrame:
     two = 16 + F.greatest(64 - F.col("_n1"), F.lit(0))
     three = 8 + F.greatest(two - F.col("_n2"), F.lit(0))
     return r.where((F.col("tier") == 1) | ((F.col("tier") == 2) & (F.col("_r") <= two)) | ((F.col("tier") == 3) & (F.col("_r") <= three))).drop("_r", "_n1", "_n2")
+
+
+def completeness(parts: dict[str, float], types: dict[str, str]) -> Column:
+    """The sum of the weights of those columns that say something: no nulls, empty texts or empty lists."""
+    full = lambda c: F.size(c) > 0 if types[c].startswith("array") else F.length(F.col(c)) > 0
+    return sum((F.when(full(c), w).otherwise(0.0) for c, w in parts.items()), F.lit(0.0))

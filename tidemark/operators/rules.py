@@ -102,11 +102,11 @@ def transform(name: str):
     return take
 
 
-def run_transforms(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """df through the named transforms; each outcome is handled, abstained (unknown, or gave None) or failed (it raised; df goes on as it was)."""
+def run_transforms(df: DataFrame, names: list[str], known: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """df through the named transforms (of TRANSFORMS, or of those given); each outcome is handled, abstained (unknown, or gave None) or failed (it raised; df goes on as it was)."""
     outcomes = {}
     for name in names:
-        f, got = TRANSFORMS.get(name), None
+        f, got = (TRANSFORMS if known is None else known).get(name), None
         try:
             got = f(df) if f else None
             outcomes[name] = "handled" if got is not None else "abstained"

@@ -143,17 +143,30 @@ def _(edges):
     return G.build(edges.withColumn("weight", F.col("weight").cast("double")), edges.select(F.col("src").alias("node")))
 
 
-@query("grf04_batches", None, "edges", "chunks")
-def _(edges, chunks):
-    files = chunks.groupBy((F.col("id") % 25).alias("component"), "path").agg(F.sum("score").alias("strength"), F.min("id").alias("priority"), F.sum(F.length("text")).alias("chars"))
-    return G.batches(files)
+@query("grf04_batches", None, "chunks")
+def _(chunks):
+    return G.batches(review_files(chunks))
+
+
+def review_files(chunks):
+    """Reviews of forty chunks each: their files, a third of them in no component."""
+    each = chunks.select(F.floor(F.col("id") / 40).alias("review"), F.concat("path", F.lit("#"), (F.col("id") % 3).cast("string")).alias("path"), "id", "score", F.length("text").alias("chars"))
+    files = each.groupBy("review", "path").agg(F.sum("score").alias("strength"), F.min("id").alias("first"), F.sum("chars").alias("chars"))
+    k = F.col("first") % 9
+    priority = F.when(k == 0, "CRITICAL").when(k < 3, "HIGH").when(k < 6, "MEDIUM").otherwise("LOW")
+    return files.select("review", "path", F.when(F.col("first") % 3 > 0, F.col("first") % 4).alias("component"), "strength", priority.alias("priority"), (F.floor(F.col("chars") / 4) + 1000).alias("tokens"))
 
 
-@query("grf05_undirected", "SELECT a, b, kind, round(least(max(w) + 0.2 * (sum(w) - max(w)), 8.0), 6) AS weight FROM (SELECT least(src, dst) % 100 AS a, greatest(src, dst) % 100 AS b, kind, CAST(weight AS DOUBLE) AS w FROM edges) GROUP BY 1, 2, 3", "edges")
+@query("grf05_undirected", "SELECT a, b, kind, round(least(max(w) + 0.2 * (sum(w) - max(w)), 8.0), 6) AS weight FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, kind, CAST(weight AS DOUBLE) AS w FROM (SELECT src, dst, kind, weight FROM edges UNION ALL SELECT dst, src, kind, weight * 2 FROM edges WHERE src % 3 = 0)) GROUP BY 1, 2, 3", "edges")
 def _(edges):
-    e = edges.select((F.least("src", "dst") % 100).alias("x"), (F.greatest("src", "dst") % 100).alias("y"), "kind", F.col("weight").cast("double").alias("w"))
-    both = F.max("w") + 0.2 * (F.sum("w") - F.max("w"))
-    return e.groupBy(F.col("x").alias("a"), F.col("y").alias("b"), "kind").agg(F.round(F.least(both, F.lit(8.0)), 6).alias("weight"))
+    e = edges.withColumn("weight", F.col("weight").cast("double"))
+    back = e.where("src % 3 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind", (F.col("weight") * 2).alias("weight"))
+    return G.undirected(e.unionByName(back)).withColumn("weight", F.round("weight", 6))
+
+
+@query("grf05_virtual_nodes", "WITH m AS (SELECT DISTINCT coalesce(parent_class, namespace) AS key, path AS node FROM chunks), s AS (SELECT key, count(*) AS size FROM m GROUP BY key HAVING count(*) BETWEEN 2 AND 80), c AS (SELECT * FROM s ORDER BY size DESC, key LIMIT 12) SELECT key, node, CAST(size AS BIGINT) AS size FROM m JOIN c USING (key)", "chunks")
+def _(chunks):
+    return G.virtual_nodes(chunks.select(F.coalesce("parent_class", "namespace").alias("key"), F.col("path").alias("node")), 2, 80, 12, F.desc("size"))
 
 
 @query("grf06_imports", "WITH e AS (SELECT DISTINCT path, primary_name || namespace || parent_class AS name FROM chunks WHERE id % 2 = 0), o AS (SELECT name, min(path) AS target FROM e WHERE name IS NOT NULL GROUP BY name HAVING count(*) = 1), u AS (SELECT DISTINCT path AS source, primary_name || namespace || parent_class AS name FROM chunks WHERE id % 2 = 1 OR id % 4 = 0) SELECT source, target, name FROM u JOIN o USING (name) WHERE source <> target", "chunks")

@@ -177,3 +177,44 @@ def _(chunks):
 
     blobs, references = content_store(chunks.select("path", "id", "text"), "text")
     return references.groupBy("hash").agg(F.count("*").alias("uses")).join(blobs, "hash").select("hash", "uses", F.octet_length("text").cast("long").alias("bytes"))
+
+
+@query("flt04_plugin_globs", "SELECT id, regexp_full_match(path, 'src/.*/[^/]*\\.py') AS deep, regexp_full_match(path, 'src/[^/]*/e[^/]/[^/]*') AS two, regexp_full_match(path, '[^/]*\\.py') AS top FROM chunks", "chunks")
+def _(chunks):
+    globs = {"deep": "src/**/*.py", "two": "src/*/e?/*", "top": "*.py"}
+    return chunks.select("id", *(O.contract_glob(F.col("path"), g).alias(n) for n, g in globs.items()))
+
+
+@query("src02_load_files", "SELECT 'f' || id AS path, id % 3 <> 1 AS intact, CAST(octet_length(encode(text)) AS BIGINT) AS size FROM chunks WHERE id % 7 <> 0 AND octet_length(encode(text)) <= 1048576", "chunks")
+def _(chunks):
+    from ..sources.files import load_files
+
+    path = F.concat(F.lit("f"), F.col("id").cast("string")).alias("path")
+    files = chunks.where("id % 7 <> 0").select(path, F.encode("text", "UTF-8").alias("content"))
+    k = F.col("id") % 3
+    wanted = chunks.select(path, F.when(k == 0, F.sha2("text", 256)).when(k == 1, "0000").alias("digest"))
+    return load_files(files, wanted).select("path", "intact", "size")
+
+
+@query("src10_csv", "SELECT CAST(id AS STRING) AS id, title || ', \"' || author || '\"' AS note FROM issues", "issues")
+def _(issues):
+    from ..shared import new_path
+    from ..sources.files import read_csv
+
+    spark, path = issues.sparkSession, new_path(issues.sparkSession, "cohort")
+    note = F.concat("title", F.lit(', "'), "author", F.lit('"'))
+    issues.select("id", note.alias("note")).write.csv(path, header=True, escape='"')
+    return read_csv(spark, path, ["id", "note"])
+
+
+@query("snk03_versions", "SELECT id FROM issues WHERE id % 2 = 0", "issues")
+def _(issues):
+    """A generation of half of the rows, one of all rows, and back again."""
+    from ..sources.sinks import Versions
+
+    table = Versions(issues.sparkSession)
+    half = issues.where("id % 2 = 0").select("id")
+    table.publish(half, half.count())
+    table.publish(issues.select("id"))
+    table.roll_back()
+    return table.current()

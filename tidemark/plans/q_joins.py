@@ -102,13 +102,17 @@ def _(chunks):
     return peers("parent_class = 'Class3'", "class", 20).unionByName(peers("namespace = 'ns4'", "namespace", 10))
 
 
-@query("jn15_suffix_fallback", "WITH w AS (SELECT DISTINCT path AS want, CASE WHEN id % 2 = 0 THEN path ELSE 'moved/' || path END AS asked FROM issues) SELECT asked, coalesce((SELECT max(i.path) FROM issues i WHERE i.path = asked), (SELECT max(i.path) FROM issues i WHERE i.path = regexp_replace(asked, '^[^/]*/', '') AND contains(i.path, '/'))) AS found FROM w", "issues")
+@query(
+    "jn15_suffix_fallback",
+    "WITH w AS (SELECT DISTINCT CASE id % 4 WHEN 0 THEN path WHEN 1 THEN 'moved/' || path WHEN 2 THEN 'a/b/' || path ELSE 'none/' || regexp_replace(path, '^.*/', '') END AS path FROM issues), f AS (SELECT DISTINCT path FROM issues), "
+    "e AS (SELECT path, cut, array_to_string(list_slice(string_split(path, '/'), cut, 99), '/') AS tail FROM (SELECT path, unnest(range(1, greatest(length(string_split(path, '/')), 2))) AS cut FROM w)), "
+    "g AS (SELECT path, arg_min(tail, cut) AS found FROM e WHERE tail IN (SELECT path FROM f) GROUP BY path) SELECT w.path, g.found FROM w LEFT JOIN g USING (path)",
+    "issues",
+)
 def _(issues):
-    files = issues.select("path").distinct()
-    asked = issues.select(F.when(F.col("id") % 2 == 0, F.col("path")).otherwise(F.concat(F.lit("moved/"), F.col("path"))).alias("asked")).distinct()
-    table = files.select(F.col("path").alias("key"), F.col("path").alias("target"))
-    tail = F.regexp_replace("asked", "^[^/]*/", "")
-    return J.resolve(asked, (F.col("asked"), table), (tail, table.where(F.contains("key", F.lit("/"))))).select("asked", F.col("target").alias("found"))
+    k = F.col("id") % 4
+    moved = F.when(k == 0, F.col("path")).when(k == 1, F.concat(F.lit("moved/"), "path")).when(k == 2, F.concat(F.lit("a/b/"), "path")).otherwise(F.concat(F.lit("none/"), F.regexp_replace("path", "^.*/", "")))
+    return J.resolve_suffix(issues.select(moved.alias("path")).distinct(), issues)
 
 
 @query("jn16_graph_neighbours", "SELECT DISTINCT dst AS node FROM edges WHERE src IN (SELECT dst FROM edges WHERE src < 100) UNION SELECT dst FROM edges WHERE src < 100", "edges")

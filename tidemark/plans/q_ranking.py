@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import ranking as R
+from ..operators.dedup import representation_rank
+from ..operators.graph import strength
 from .registry import query
 
 NEAREST = "SELECT query, point, similarity, rank FROM (SELECT q.vec_id AS query, p.vec_id AS point, round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, p.vec_id) AS rank FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0{where}) WHERE rank <= {k}"
@@ -127,21 +129,23 @@ def _(chunks):
 
 @query("scr11_relation_strength", "SELECT node, round(least(sum(weight), 5.0), 6) AS strength FROM (SELECT src AS node, CAST(weight AS DOUBLE) AS weight FROM edges UNION ALL SELECT dst, CAST(weight AS DOUBLE) FROM edges) GROUP BY node", "edges")
 def _(edges):
-    w = F.col("weight").cast("double").alias("weight")
-    both = edges.select(F.col("src").alias("node"), w).unionByName(edges.select(F.col("dst").alias("node"), w))
-    return both.groupBy("node").agg(F.round(F.least(F.sum("weight"), F.lit(5.0)), 6).alias("strength"))
+    return strength(edges.withColumn("weight", F.col("weight").cast("double"))).withColumn("strength", F.round("strength", 6))
 
 
-@query("scr12_representation", "SELECT path, arg_max(id, (CASE WHEN line IS NOT NULL THEN 1000000000 ELSE 0 END) + length(reason) * 1000 - CAST(id AS DOUBLE) / 1000000) AS id FROM issues GROUP BY path", "issues")
+@query("scr12_representation", "SELECT path, arg_max(id, rank * 10000000 - id) AS id, max(rank) AS rank FROM (SELECT id, path, CAST(CASE WHEN line % 3 = 0 THEN 1000000000 ELSE 0 END + CASE WHEN line > 1 THEN 100000000 WHEN line > 0 THEN 10000000 ELSE 0 END + CASE WHEN id % 2 = 0 THEN length(title) ELSE 0 END + length(reason) AS BIGINT) AS rank FROM issues) GROUP BY path", "issues")
 def _(issues):
-    rank = F.when(F.col("line").isNotNull(), 1000000000).otherwise(0) + F.length("reason") * 1000
-    return issues.groupBy("path").agg(F.max_by("id", F.struct(rank, -F.col("id"))).alias("id"))
+    snippet, diff = F.when(F.col("line") % 3 == 0, "x = 1"), F.when(F.col("id") % 2 == 0, F.col("title"))
+    ranked = issues.select("id", "path", representation_rank(snippet, F.col("line"), diff, F.col("reason")).cast("long").alias("rank"))
+    return ranked.groupBy("path").agg(F.max_by("id", F.struct("rank", -F.col("id"))).alias("id"), F.max("rank").alias("rank"))
 
 
-@query("scr13_completeness", "SELECT id, round(CASE WHEN path IS NOT NULL THEN 0.2 ELSE 0 END + CASE WHEN parent_class IS NOT NULL THEN 0.3 ELSE 0 END + CASE WHEN length(text) > 1000 THEN 0.5 ELSE 0 END, 6) AS completeness FROM chunks", "chunks")
+PARTS = {"path": 0.2, "language": 0.1, "semantic_names": 0.2, "primary_name": 0.2, "content_type": 0.1, "parent_class": 0.1, "docstring": 0.1}
+
+
+@query("scr13_completeness", "SELECT id, round(CASE WHEN length(path) > 0 THEN 0.2 ELSE 0 END + CASE WHEN length(language) > 0 THEN 0.1 ELSE 0 END + CASE WHEN id % 4 > 0 THEN 0.2 ELSE 0 END + CASE WHEN length(primary_name) > 0 THEN 0.2 ELSE 0 END + CASE WHEN length(content_type) > 0 THEN 0.1 ELSE 0 END + CASE WHEN length(parent_class) > 0 THEN 0.1 ELSE 0 END + CASE WHEN id % 3 = 0 THEN 0.1 ELSE 0 END, 6) AS completeness FROM chunks", "chunks")
 def _(chunks):
-    part = lambda c, w: F.when(c, w).otherwise(0.0)
-    return chunks.select("id", F.round(part(F.col("path").isNotNull(), 0.2) + part(F.col("parent_class").isNotNull(), 0.3) + part(F.length("text") > 1000, 0.5), 6).alias("completeness"))
+    known = chunks.withColumn("semantic_names", F.when(F.col("id") % 4 > 0, F.array("primary_name")).otherwise(F.array().cast("array<string>"))).withColumn("docstring", F.when(F.col("id") % 3 == 0, "what it does").otherwise(""))
+    return known.select("id", F.round(R.completeness(PARTS, dict(known.dtypes)), 6).alias("completeness"))
 
 
 @query("scr14_tiers", "WITH t AS (SELECT id, CASE WHEN id % 50 = 0 THEN 1 WHEN score >= 0.88 THEN 2 ELSE 3 END AS tier, score FROM chunks), n AS (SELECT count(*) FILTER (WHERE tier = 1) AS a, count(*) FILTER (WHERE tier = 2) AS b FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY score DESC, id) AS r FROM t) SELECT id, tier FROM r, n WHERE tier = 1 OR (tier = 2 AND r <= 16 + greatest(64 - a, 0)) OR (tier = 3 AND r <= 8 + greatest(16 + greatest(64 - a, 0) - b, 0))", "chunks")

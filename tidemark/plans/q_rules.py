@@ -32,3 +32,13 @@ def _(audit):
 @query("snk02_pack_batches", None, "chunks")
 def _(chunks):
     return sinks.pack_batches(chunks.select("id", "path", F.octet_length("text").alias("bytes")), "path", "id", "bytes", 65536)
+
+
+@query("udf01_transforms", "SELECT id, upper(title) AS title FROM issues WHERE NOT resolved", "issues")
+def _(issues):
+    """Of four transforms one abstains and one fails; the rows go through the other two."""
+    plugins = {"open": lambda df: df.where("not resolved"), "upper": lambda df: df.withColumn("title", F.upper("title")), "silent": lambda df: None, "broken": lambda df: df.select("nothing")}
+    df, outcomes = R.run_transforms(issues, list(plugins), plugins)
+    if [outcomes[n].split(":")[0] for n in plugins] != ["handled", "handled", "abstained", "failed"]:
+        raise ValueError(f"unexpected outcomes: {outcomes}")
+    return df.select("id", "title")

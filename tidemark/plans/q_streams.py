@@ -51,3 +51,17 @@ def _(events):
 @query("str18_seal", "WITH r AS (SELECT CAST(length(CAST(id AS STRING)) AS STRING) || ':' || CAST(id AS STRING) || '=' || sha256('{\"id\":' || id || ',\"branch\":\"' || branch || '\",\"score\":\"' || CAST(score AS DECIMAL(6, 3)) || '\"}') AS f FROM chunks), t1 AS (SELECT substr(a, 1, 4) AS a, sha256(string_agg(f, ';' ORDER BY f)) AS f, count(*) AS n FROM (SELECT *, sha256(f) AS a FROM r) GROUP BY substr(a, 1, 4)), t2 AS (SELECT substr(a, 1, 2) AS a, sha256(string_agg(f, ';' ORDER BY f)) AS f, sum(n) AS n FROM t1 GROUP BY substr(a, 1, 2)) SELECT sha256(string_agg(f, ';' ORDER BY f)) AS seal, CAST(sum(n) AS BIGINT) AS members FROM t2", "chunks")
 def _(chunks):
     return S.seal(chunks.select("id", "branch", F.col("score").cast("decimal(6, 3)").cast("string").alias("score")))
+
+
+@query("str01_admitted_stream", "SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(max(event_id) AS BIGINT) AS last FROM events GROUP BY event_type", "t:events")
+def _(events):
+    """The events as a stream of files, two admitted to a batch; each batch writes its own folder, so one that comes twice counts once."""
+    from ..shared import new_path
+
+    spark = events.sparkSession
+    queue, done = new_path(spark, "queue"), new_path(spark, "done")
+    events.select("event_id", "event_type").repartition(6).write.parquet(queue)
+    count = lambda df: df.groupBy("event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+    S.run_batches(S.read(spark, queue, "event_id long, event_type string", per_trigger=2), lambda df, batch: count(df).write.mode("overwrite").parquet(f"{done}/batch={batch}"))
+    parts = spark.read.parquet(done)
+    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
