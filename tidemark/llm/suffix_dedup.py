@@ -84,8 +84,8 @@ class Blocks:
 ROWS = "core long, span long, id long, copy long, start long, n int"
 
 
-def _blocks(docs: DataFrame, threshold: int, gram: int, step: int, parent: int = 0, chosen: Bitmap | None = None, ids_with: Bitmap | None = None) -> DataFrame:
-    """The blocks of one round as ROWS; with chosen, those inside chosen blocks of the round before.  docs: (id, copy, text)."""
+def _blocks(docs: DataFrame, threshold: int, gram: int, step: int, parent: int = 0, chosen: Bitmap | None = None, ids_with: Bitmap | None = None, spans: Bitmap | None = None) -> DataFrame:
+    """The blocks of one round as ROWS; with chosen, those inside chosen blocks of the round before; with spans, those of such spans.  docs: (id, copy, text)."""
 
     def run(batches):
         for batch in batches:
@@ -100,6 +100,9 @@ def _blocks(docs: DataFrame, threshold: int, gram: int, step: int, parent: int =
                     blocks.places = blocks.places[keep]
                     blocks.anchor = blocks.anchor[keep] if len(keep) else keep
                 start, size, rows, core, span = blocks.cut(step)
+                if spans is not None:
+                    keep = spans.maybe(span)
+                    start, size, rows, core, span = start[keep], size[keep], rows[keep], core[keep], span[keep]
                 columns = [pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row + rows]), pa.array(copies[row + rows]), pa.array(base + start - at[rows]), pa.array(size.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["core", "span", "id", "copy", "start", "n"])
 
@@ -120,21 +123,25 @@ def repeated_strings(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GR
     """(span, id, copy, start, n): runs of positions whose string is found elsewhere too, and the hash of their bytes.  docs: (id, copy, text)."""
     settled, chosen, ids_with, before = None, None, None, 0
     for step in steps:
+        last = step == steps[-1]
         rows = _blocks(docs, threshold, gram, step, before, chosen, ids_with)
         if before == 0:
-            rows = saved(rows, "suffix-blocks")
-            several = Bitmap(rows.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "core")
-            rows = _where(rows, several, "core")
-        spans = rows.groupBy("span").agg(F.count("*").alias("k"), F.min("core").alias("core"), F.min(F.struct("id", "copy", "start")).alias("rank"))
-        spans = saved(spans, "suffix-ranks")
-        more = saved(rows.select("span", "id", "copy", "start", "n").join(spans.where("k > 1").select("span"), "span"), "suffix-settled")
-        settled = more if settled is None else settled.unionByName(more)
-        if before == 0:
-            several.close()
+            first = saved(rows, "suffix-blocks")
+            several = Bitmap(first.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "core")
+            rows = _where(first, several, "core")
+        if last:  # nothing is cut finer after this: counts are enough
+            twice = saved(rows.groupBy("span").agg(F.count("*").alias("k")).where("k > 1").select("span"), "suffix-twice")
         else:
-            chosen.close()
-            ids_with.close()
-        if step == steps[-1]:
+            spans = rows.groupBy("span").agg(F.count("*").alias("k"), F.min("core").alias("core"), F.min(F.struct("id", "copy", "start")).alias("rank"))
+            spans = saved(spans, "suffix-ranks")
+            twice = spans.where("k > 1").select("span")
+        hits = Bitmap(twice, "span")
+        more = _where(first, hits, "span") if before == 0 else _blocks(docs, threshold, gram, step, before, chosen, ids_with, hits)
+        more = saved(more.select("span", "id", "copy", "start", "n").join(twice, "span", "left_semi"), "suffix-settled")
+        settled = more if settled is None else settled.unionByName(more)
+        for used in (hits, *((several,) if before == 0 else (chosen, ids_with))):
+            used.close()
+        if last:
             break
         # written by itself, so that a core of many spans can be split in the join
         cores = saved(spans.groupBy("core").agg(F.count("*").alias("spans")).where("spans > 1").select("core"), "suffix-cores")
@@ -154,7 +161,8 @@ def _digests(threshold: int):
                 flat, owner = mine.flatten(), np.repeat(np.arange(len(mine)), np.diff(mine.offsets.to_numpy()))
                 begin = at[owner] + flat.field("start").to_numpy()
                 end = begin + flat.field("n").to_numpy() + threshold - 1
-                raw = pa.array([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())], pa.binary())
+                raw = b"".join(hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist()))
+                raw = pa.array(np.frombuffer(raw, np.int64))
                 where = pa.array(row + owner)
                 yield pa.RecordBatch.from_arrays([flat.field("span"), raw, ids.take(where), copies.take(where), flat.field("start"), flat.field("n")], ["span", "digest", "id", "copy", "start", "n"])
 
@@ -163,8 +171,11 @@ def _digests(threshold: int):
 
 def unlike(work: DataFrame, threshold: int) -> DataFrame:
     """(id, copy, start, n) of runs of positions whose bytes no other run of their span has.  work: (id, copy, text, spans)."""
-    each = work.mapInArrow(_digests(threshold), "span long, digest binary, id long, copy long, start long, n int")
-    return each.groupBy("span", "digest").agg(F.count("*").alias("k"), F.min(F.struct("id", "copy", "start", "n")).alias("one")).where("k = 1").select("one.*")
+    each = work.mapInArrow(_digests(threshold), "span long, digest long, id long, copy long, start long, n int")
+    alone = saved(each.groupBy("span", "digest").agg(F.count("*").alias("k")).where("k = 1").drop("k"), "suffix-alone")
+    if alone.isEmpty():
+        return each.limit(0).select("id", "copy", "start", "n")
+    return each.join(alone, ["span", "digest"], "left_semi").select("id", "copy", "start", "n")
 
 
 SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
