@@ -453,6 +453,20 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r["doc_id"]: r["taken"] for r in corpus_pipeline.run(spark, path).collect()} == {d: r["taken"] for d, r in kept["mixing"].items()}
 
 
+def test_pipeline_keeps_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(1, "some words of text", "en", "s", 9), (2, "other words of text", "en", "t", 9)], schema)
+    for name in ("_lang_pred", "_lang_score", "_has_letter", "_lines", "id", "copy", "gone", "component_id", "kept"):
+        docs = docs.withColumn(name, F.lit(name))
+    spark.createDataFrame([(1, "no such item here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and {(r["_lang_pred"], r["_lines"], r["gone"]) for r in out.collect()} == {("_lang_pred", "_lines", "gone")}
+
+
 def test_pipeline_without_languages_keeps_texts(spark):
     import corpus_pipeline
 
