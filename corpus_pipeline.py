@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 and read again as the next stage's docs.  All but the last return the columns of documents.
 
 Rows without a doc_id can't be named by a decision: they pass the stages that remove whole
-documents by id, and are mixed like others.
+documents by id, and are mixed like others.  Columns that the input has beside those of
+documents pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,21 +23,30 @@ MIN_SCORE = 0.5
 ORACLE_SQL = None
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or a longer one that no column has."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or with no language that stands out, go; where no row has a language to learn from, only the former."""
     bounded_batches(spark)
     model = langid.fit(docs)
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    seen = langid.predict(docs, model, pred_col="_lang_pred", score_col="_lang_score")
-    return seen.where((F.col("_lang_pred") != "und") & (F.col("_lang_score") >= MIN_SCORE)).drop("_lang_pred", "_lang_score")
+    pred, score = _free("_lang_pred", docs), _free("_lang_score", docs)
+    seen = langid.predict(docs, model, pred_col=pred, score_col=score)
+    return seen.where((F.col(pred) != "und") & (F.col(score) >= MIN_SCORE)).drop(pred, score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, but where they are first; documents that were nothing else go."""
-    kept = line_dedup.remove_boilerplate(docs)
-    some = (F.col("_lines.n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return kept.where(some).drop("_lines").withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    counts = _free("_lines", docs)
+    kept = line_dedup.remove_boilerplate(docs, counts_col=counts)
+    some = (F.col(counts)["n_removed"] == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(some).drop(counts).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
