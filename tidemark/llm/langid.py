@@ -223,6 +223,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str
     if not model.languages:
         return docs.select("*", F.lit("und").alias(pred_col), F.lit(0.0).alias(score_col))
     shared, letters = docs.sparkSession.sparkContext.broadcast(model), "_has_letter"
+    while letters in {c.lower() for c in docs.columns}:
+        letters += "_"
 
     def run(batches):
         m = shared.value
