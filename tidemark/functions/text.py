@@ -208,10 +208,19 @@ def explode_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return rows.select("doc", (F.col("p") + 1).alias("pos"), "line", line_hash(F.col("line")).alias("hash"))
 
 
-def context_hash(lines: DataFrame, radius: int) -> DataFrame:
-    """lines with the hash of the hashes within so many lines."""
-    w = Window.partitionBy("doc").orderBy("pos").rowsBetween(-radius, radius)
-    return lines.withColumn("context", F.md5(F.array_join(F.collect_list("hash").over(w), "")))
+def context_hash(lines: DataFrame, radius: int, block: int = 4096) -> DataFrame:
+    """lines with the hash of the hashes within so many lines.
+
+    Windows run over blocks of lines, each with the few of its neighbours that it needs, so a
+    long document isn't one task's.
+    """
+    if radius >= block:
+        raise ValueError("the radius must be less than a block")
+    of = lambda shift: F.floor((F.col("pos") + shift) / block)
+    spread = lines.withColumn("_block", F.explode(F.array_distinct(F.array(of(-radius), of(0), of(radius)))))
+    w = Window.partitionBy("doc", "_block").orderBy("pos").rowsBetween(-radius, radius)
+    hashed = spread.withColumn("context", F.md5(F.array_join(F.collect_list("hash").over(w), "")))
+    return hashed.where(F.col("_block") == of(0)).drop("_block")
 
 
 def at_places(ranges: DataFrame, lines: DataFrame) -> DataFrame:

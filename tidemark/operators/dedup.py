@@ -46,16 +46,16 @@ def absorb(rows: DataFrame, key: Column, rank: Column) -> DataFrame:
 
     Rows with a null key, and resolved rows, stay as they are.
     """
-    named = rows.withColumn("_k", F.when(~F.col("resolved"), key)).withColumn("_rank", rank)
-    alone, grouped = named.where("_k is null"), named.where("_k is not null")
-    best = F.max_by(F.struct("seq", "line"), F.struct("_rank", -F.col("seq"))).alias("_best")
-    one = grouped.groupBy("_k").agg(
-        best, F.min_by("severity", F.struct(severity_rank(F.col("severity")), F.col("seq"))).alias("severity"), F.max_by("diff", F.struct(F.length("diff"), -F.col("seq"))).alias("diff"),
+    named = rows.withColumn("_k", F.when(~F.col("resolved"), F.md5(key))).withColumn("_rank", rank)
+    # the row that stands for a group comes out of the one aggregation as a whole
+    grouped = named.where("_k is not null").groupBy("_k").agg(
+        F.max_by(F.struct(*rows.columns), F.struct("_rank", -F.col("seq"))).alias("_best"),
+        F.min_by("severity", F.struct(severity_rank(F.col("severity")), F.col("seq"))).alias("severity"), F.max_by("diff", F.struct(F.length("diff"), -F.col("seq"))).alias("diff"),
         F.sort_array(F.collect_set("line")).alias("_lines"),
     )
-    merged = grouped.join(one.select("_k", "_best", F.col("severity").alias("_sev"), F.col("diff").alias("_diff"), "_lines"), "_k").where(F.col("seq") == F.col("_best.seq"))
-    merged = merged.withColumn("severity", F.col("_sev")).withColumn("diff", F.col("_diff")).withColumn("places", F.array_except("_lines", F.array("line")))
-    return merged.select(*rows.columns, "places").unionByName(alone.select(*rows.columns, F.array().cast("array<bigint>").alias("places")))
+    columns = [F.col(c) if c in ("severity", "diff") else F.col(f"_best.{c}").alias(c) for c in rows.columns]
+    merged = grouped.select(*columns, F.array_except("_lines", F.array("_best.line")).alias("places"))
+    return merged.unionByName(named.where("_k is null").select(*rows.columns, F.array().cast(merged.schema["places"].dataType).alias("places")))
 
 
 def representation_rank(snippet: Column, line: Column, diff: Column, reason: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,10 @@ from pyspark.sql import functions as F
 TYPE_BOOST = {"functions_classes": 1.1, "simplified_code": 1.0, "fallback": 0.95, "oversized_split": 0.8}
 GROUP_SCORE = {"changed_files": 0.95, "definitions": 0.92, "class_context": 0.86, "namespace_context": 0.84}
 OVERSIZE = 16000
-#: Query vectors that one join broadcasts; more are searched in blocks of so many.
+#: Query vectors that are broadcast at once; more are searched in blocks of so many.
 QUERY_BLOCK = 1000
+#: Points that a matrix product takes.
+POINT_ROWS = 2048
 
 
 def lookup(table: dict, key: Column, default) -> Column:
@@ -31,33 +35,79 @@ def size_factor(length: Column, limit: int = OVERSIZE) -> Column:
     return F.when(length > limit, F.greatest(F.lit(0.5), 1 - (F.least(length / limit, F.lit(3.0)) - 1) * 0.5 / 2)).otherwise(1.0)
 
 
-def cosine(a: str, b: str) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
+def _query_blocks(queries: DataFrame, block: int):
+    """(ids, unit vectors as a matrix) of a stated set of queries (query, q_vector), so many at a time; zero vectors are left out."""
+    ids, rows = [], []
+    for r in queries.select(F.col("query").cast("long"), "q_vector").where("q_vector is not null").toLocalIterator():
+        v = np.array(r[1], float)
+        if (size := np.linalg.norm(v)) > 0:
+            ids.append(r[0])
+            rows.append(v / size)
+        if len(ids) == block:
+            yield np.array(ids, np.int64), np.array(rows)
+            ids, rows = [], []
+    if ids:
+        yield np.array(ids, np.int64), np.array(rows)
 
 
-def similarities(queries: DataFrame, points: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
-    """queries (query, q_vector) and points (point, vector): (query, point, similarity) of all.
+def _searched(queries: DataFrame, points: DataFrame, block: int, found, schema: str) -> DataFrame:
+    """found(query ids, an iterator of (point ids, similarities of points by queries)) over all points (point, vector), one block of queries after another.
 
-    The queries are a stated set: they are broadcast in blocks of a fixed size against all points.
-    Zero vectors are like nothing.
+    The products run on Arrow batches, a matrix for each; zero vectors and vectors of another
+    size are like nothing.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    p = points.withColumn("_pn", norm("vector")).where("_pn > 0")
-    q = queries.withColumn("_qn", norm("q_vector")).where("_qn > 0")
-    blocks = max(1, -(-q.count() // block))
-    dot = F.aggregate(F.zip_with("vector", "q_vector", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    out = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
-        scored = p.join(F.broadcast(part), F.lit(True)).select("query", "point", F.round(dot / (F.col("_pn") * F.col("_qn")), 6).alias("similarity"))
-        out = scored if out is None else out.unionByName(scored)
-    return out
-
-
-def top_k(queries: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """The k most similar points of each query; Spark's window-group limit keeps k rows a query in each task before the shuffle."""
-    return _k_best(similarities(queries, points), k)
+    spark, out = queries.sparkSession, None
+    names = [x.split()[0] for x in schema.split(", ")]
+    for ids, matrix in _query_blocks(queries, block):
+        shared = spark.sparkContext.broadcast((ids, matrix))
+
+        def run(batches, shared=shared):
+            mine, vectors = shared.value
+
+            def products():
+                for whole in batches:
+                    for i in range(0, len(whole), POINT_ROWS):
+                        batch = whole.slice(i, POINT_ROWS)
+                        v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, vectors.shape[1])
+                        size = np.linalg.norm(v, axis=1)
+                        some = size > 0
+                        yield batch.column(0).to_numpy()[some], np.round((v[some] @ vectors.T) / size[some, None], 6)
+
+            for columns in found(mine, products()):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+        whole = points.where((F.size("vector") == matrix.shape[1]) & ~F.exists("vector", lambda x: x.isNull()))
+        part = whole.select(F.col("point").cast("long"), "vector").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def best_similarities(queries: DataFrame, points: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(point, similarity) with the most similar of the queries (query, q_vector), exactly; one row a point."""
+
+    def found(ids, products):
+        for point, s in products:
+            yield point, s.max(axis=1)
+
+    each = _searched(queries, points, block, found, "point long, similarity double")
+    return each.groupBy("point").agg(F.max("similarity").alias("similarity"))
+
+
+def top_k(queries: DataFrame, points: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, point, similarity, rank): the k nearest points of each query by cosine, exactly (recall 1); equal ones by point.
+
+    A task gives out k rows a query at most.
+    """
+
+    def found(ids, products):
+        points_, best = np.zeros((0, len(ids)), np.int64), np.zeros((0, len(ids)))
+        for point, s in products:
+            points_, best = np.concatenate((points_, np.repeat(point[:, None], len(ids), axis=1))), np.concatenate((best, s))
+            order = np.lexsort((points_, -best), axis=0)[:k]
+            points_, best = np.take_along_axis(points_, order, axis=0), np.take_along_axis(best, order, axis=0)
+        yield np.repeat(ids, len(best)), points_.T.reshape(-1), best.T.reshape(-1)
+
+    return _k_best(_searched(queries, points, block, found, "query long, point long, similarity double"), k)
 
 
 def _k_best(scored: DataFrame, k: int) -> DataFrame:

@@ -170,6 +170,6 @@ def _(embeddings, chunks):
     """Search by a stated set of query vectors, then merge, adjust, threshold and cap."""
     queries = embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector"))
     points = embeddings.select(F.col("vec_id").alias("point"), F.col("embedding").alias("vector"))
-    hits = R.similarities(queries, points).groupBy(F.col("point").alias("id")).agg(F.max("similarity").alias("score"))
+    hits = R.best_similarities(queries, points).select(F.col("point").alias("id"), F.col("similarity").alias("score"))
     rows = hits.join(chunks.drop("score"), "id").withColumn("family", F.col("language"))
     return R.merge_and_rank(rows, "en").select("id", "path", "score")
