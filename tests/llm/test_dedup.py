@@ -208,3 +208,45 @@ def test_estimate_is_near_jaccard():
     got, n = minhash.estimate(regs[:1], regs[1:], np.array([5000.0]), np.array([5000.0]))
     assert n[0] == minhash.REGISTERS and abs(got[0] - 4000 / 6000) < 0.2
     assert hashlib.sha256(regs.tobytes()).hexdigest() == hashlib.sha256(minhash.sketch(both, np.repeat([0, 1], 5000), 2).tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize("share", [0.8, 0.85])
+def test_pairs_at_the_threshold_meet_and_pass(share):
+    """Sketches alone: of pairs exactly at the threshold all share a band and pass the estimate (2000 pairs; fewer than one in 10,000 may not)."""
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    n, union = 2000, 300
+    both = round(share * union)
+    own = (union - both) // 2
+    values = rng.integers(0, 2**64, (n, union), dtype=np.uint64)
+    left, right = values[:, : both + own], np.concatenate((values[:, :both], values[:, both + own :]), axis=1)
+    x, y = (minhash.sketch(v.reshape(-1), np.repeat(np.arange(n), v.shape[1]), n) for v in (left, right))
+    band = minhash.band_size(share)
+    assert (minhash.band_keys(x, band) == minhash.band_keys(y, band)).any(axis=1).all()
+    assert minhash.passes(x, y, np.full(n, float(left.shape[1])), np.full(n, float(right.shape[1])), share).all()
+    # unrelated documents, and half-alike ones, seldom meet
+    z = minhash.sketch(rng.integers(0, 2**64, n * 260, dtype=np.uint64), np.repeat(np.arange(n), 260), n)
+    assert (minhash.band_keys(x, band) == minhash.band_keys(z, band)).any(axis=1).mean() < 0.01
+
+
+def test_a_group_just_below_the_threshold(spark):
+    """Near copies of one text that are .7 to .84 alike: nothing is linked, and full sets meet in blocks without a pair coming out."""
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(240)]
+    rows = []
+    for d in range(150):
+        w = list(base)
+        for at in range(rng.randrange(12), 240, 26):
+            w[at] = f"x{d}" if rng.random() < 0.3 else f"y{rng.randrange(9)}"
+        rows.append((d, " ".join(w), *[None] * 7))
+    got = {r[0]: tuple(r)[1:] for r in minhash.components(frame(spark, rows), k=3, at_least=85).collect()}
+    want = brute_components(rows, 3, 85)
+    assert got == want and sum(v[2] for v in want.values()) > 100
+
+
+def test_components_of_rows_without_id_and_one_id_with_two_texts(spark):
+    a, b, c = (" ".join(prose(random.Random(i), 60)) for i in (1, 2, 3))
+    rows = [(1, a, *[None] * 7), (5, a, *[None] * 7), (5, b, *[None] * 7), (7, b + " end", *[None] * 7), (9, c, *[None] * 7), (None, a, *[None] * 7), (9, c, *[None] * 7), (4, "", *[None] * 7)]
+    got = sorted(minhash.components(frame(spark, rows), k=3, at_least=85).select("doc_id", "component_id", "kept").collect(), key=str)
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True), (9, 9, True), (None, None, True), (4, 4, True)], key=str)
