@@ -81,9 +81,12 @@ def _(chunks):
     return chunks.select("id", T.embedding_header(File=F.col("path"), In=F.col("parent_class"), Namespace=F.col("namespace")).alias("header"))
 
 
-@query("txt16_archive_path", "SELECT id, path AS clean FROM chunks", "chunks")
+@query("txt16_archive_path", "SELECT id, CASE id % 4 WHEN 2 THEN 'repo-xyz/' || path WHEN 3 THEN 'a-0a1b2c3/' || path ELSE path END AS clean FROM chunks", "chunks")
 def _(chunks):
-    return chunks.select("id", T.clean_archive_path(F.concat(F.lit("repo-0a1b2c3d/"), F.col("path"))).alias("clean"))
+    k = F.col("id") % 4
+    # an archive's root, none, a name that is no root, and a root below a root, of which the first goes
+    head = F.when(k == 0, F.concat(F.lit("repo-"), F.substring(F.md5("path"), 1, 12), F.lit("/"))).when(k == 2, "repo-xyz/").when(k == 3, "b-0a1b2c3d4e/a-0a1b2c3/").otherwise("")
+    return chunks.select("id", T.clean_archive_path(F.concat(head, "path")).alias("clean"))
 
 
 @query("txt17_language", "SELECT id, CASE regexp_extract(path, '\\.([a-z]+)$', 1) WHEN 'py' THEN 'python' WHEN 'java' THEN 'java' WHEN 'ts' THEN 'typescript' WHEN 'md' THEN 'markdown' ELSE 'text' END AS lang FROM chunks", "chunks")
@@ -133,18 +136,34 @@ def _(issues):
     return issues.select("id", o["common"].alias("common"), F.round(o["containment"], 6).alias("containment"), F.round(o["jaccard"], 6).alias("jaccard"))
 
 
-@query("txt26_also_affects", "SELECT id, reason AS body, [path, 'x.py'] AS places FROM issues", "issues")
+@query("txt26_also_affects", "SELECT id, CASE WHEN id % 3 = 2 THEN '' ELSE reason END AS body, CASE id % 3 WHEN 0 THEN [path, 'x.py'] WHEN 1 THEN [] ELSE [author, path, title] END AS places FROM issues", "issues")
 def _(issues):
-    s = T.split_also_affects(F.concat(F.col("reason"), F.lit("\nAlso affects:\n- "), F.col("path"), F.lit("\n- x.py\n")))
+    k = F.col("id") % 3
+    listed = F.concat(F.col("reason"), F.lit("\nAlso affects:\n- "), F.col("path"), F.lit("\n- x.py\n"))
+    s = T.split_also_affects(F.when(k == 0, listed).when(k == 1, F.col("reason")).otherwise(F.concat(F.lit("ALSO affects: "), F.concat_ws(", ", "author", "path", "title"))))
     return issues.select("id", s["body"].alias("body"), s["places"].alias("places"))
 
 
-@query("txt27_parse_diff", "SELECT id, path, CASE id % 3 WHEN 0 THEN 'added' WHEN 1 THEN 'deleted' ELSE 'modified' END AS change, h AS hunk, CAST(CASE h WHEN 0 THEN 1 ELSE 30 END AS INTEGER) AS new_start, CAST(CASE h WHEN 0 THEN 2 ELSE 1 END AS INTEGER) AS new_count, CAST(CASE h WHEN 0 THEN 3 ELSE 1 END AS INTEGER) AS n_lines FROM issues, (SELECT CAST(unnest([0, 1]) AS INTEGER) AS h)", "issues")
+#: A kind of change by id % 7: its head, its hunks, and what the parser must find (change, then for each hunk its number, new start, new count and lines).
+CHANGES = [
+    ("new file mode 100644\nindex 0..1\n--- /dev/null\n+++ b/{p}\n@@ -0,0 +1,2 @@\n+a\n+b\n", "added", [(0, 1, 2, 2)]),
+    ("deleted file mode 100644\n--- a/{p}\n+++ /dev/null\n@@ -1,2 +0,0 @@\n-a\n-b", "deleted", [(0, 0, 0, 2)]),
+    ("index 1..2 100644\n--- a/{p}\n+++ b/{p}\n@@ -1,2 +1,2 @@ f\n a\n-b\n+c\n@@ -30 +30 @@\n+d\n\\ No newline at end of file\n", "modified", [(0, 1, 2, 3), (1, 30, 1, 1)]),
+    ("similarity index 100%\nrename from old/{p}\nrename to {p}\n", "renamed", []),
+    ("index 1..2 100644\nBinary files a/{p} and b/{p} differ\n", "binary", []),
+    ("index 1..2 160000\n--- a/{p}\n+++ b/{p}\n@@ -1 +1 @@\n-Subproject commit 1\n+Subproject commit 2\n", "gitlink", [(0, 1, 1, 2)]),
+    ("--- a/{p}\n+++ b/{p}\n@@ -x,2 +y @@\n+a\n", "modified", []),
+]
+EXPECTED = ", ".join(str((k, change, *h)).replace("None", "NULL") for k, (_, change, hunks) in enumerate(CHANGES) for h in hunks or [(None,) * 4])
+
+
+@query("txt27_parse_diff", f"SELECT id, path, change, CAST(hunk AS INTEGER) AS hunk, CAST(new_start AS INTEGER) AS new_start, CAST(new_count AS INTEGER) AS new_count, CAST(n_lines AS INTEGER) AS n_lines FROM issues JOIN (VALUES {EXPECTED}) AS e(k, change, hunk, new_start, new_count, n_lines) ON k = id % 7", "issues")
 def _(issues):
-    k = F.col("id") % 3
-    head = F.concat(F.lit("diff --git a/"), F.col("path"), F.lit(" b/"), F.col("path"), F.lit("\n"), F.when(k == 0, "new file mode 100644\n").when(k == 1, "deleted file mode 100644\n").otherwise("index 1..2 100644\n"))
-    diff = F.concat(head, F.lit("--- a/"), F.col("path"), F.lit("\n+++ b/"), F.col("path"), F.lit("\n@@ -1,2 +1,2 @@ f\n a\n-b\n+c\n@@ -30 +30 @@\n+d\n\\ No newline at end of file\n"))
-    return T.parse_diff(issues.select("id", diff.alias("diff"))).select("id", "path", "change", "hunk", "new_start", "new_count", F.size("lines").alias("n_lines"))
+    body = F.element_at(F.array(*(F.lit(x) for x, *_ in CHANGES)), (F.col("id") % 7 + 1).cast("int"))
+    old = F.when(F.col("id") % 7 == 3, F.concat(F.lit("old/"), "path")).otherwise(F.col("path"))
+    diff = F.concat(F.lit("diff --git a/"), old, F.lit(" b/"), F.col("path"), F.lit("\n"), F.replace(body, F.lit("{p}"), F.col("path")))
+    hunks = T.parse_diff(issues.select("id", diff.alias("diff")))
+    return hunks.select("id", "path", "change", "hunk", "new_start", "new_count", F.when(F.col("lines").isNotNull(), F.size("lines")).alias("n_lines"))
 
 
 @query("txt28_pack", None, "t:documents")

@@ -49,12 +49,12 @@ def _(issues):
     return K.sweep(rows)
 
 
-@query("str15_remap", "SELECT id, CAST(CASE WHEN line < 100 THEN line WHEN line = 100 THEN 100 WHEN line = 101 THEN 101 WHEN line = 102 THEN 103 ELSE line + 1 END AS BIGINT) AS new_line FROM issues WHERE line IS NOT NULL", "issues")
+@query("str15_remap", "SELECT id, CAST(CASE WHEN line < s + 2 THEN line ELSE line + 1 END AS BIGINT) AS new_line FROM (SELECT id, line, 90 + 5 * (CAST(regexp_extract(path, 'file([0-9]+)', 1) AS BIGINT) % 60) AS s FROM issues WHERE line IS NOT NULL)", "issues")
 def _(issues):
-    spark = issues.sparkSession
-    # 100 kept, 101 replaced by two lines, 102 kept
-    hunk = issues.select("path").distinct().crossJoin(F.broadcast(spark.createDataFrame([(100, 3, 100, [" a", "-b", "+c", "+d", " e"])], "old_start int, old_count int, new_start int, lines array<string>")))
-    return K.remap(issues.where("line is not null").select("id", "path", "line"), hunk)
+    # each path has a hunk of its own: a line kept, one replaced by two, one kept
+    start = (90 + 5 * (F.regexp_extract("path", "file([0-9]+)", 1).cast("int") % 60)).alias("start")
+    hunks = issues.select("path", start).distinct().select("path", F.col("start").alias("old_start"), F.lit(3).alias("old_count"), F.col("start").alias("new_start"), F.array(*map(F.lit, (" a", "-b", "+c", "+d", " e"))).alias("lines"))
+    return K.remap(issues.where("line is not null").select("id", "path", "line"), hunks)
 
 
 @query("str16_map_upsert", "WITH b AS (SELECT id AS origin, title AS identity FROM issues WHERE id % 10 = 0), f AS (SELECT id AS origin, CASE WHEN id % 13 > 0 THEN title || author END AS identity, id AS seq FROM issues WHERE id % 10 < 3) SELECT origin FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(identity, '#' || seq) ORDER BY seq) AS r FROM f WHERE origin NOT IN (SELECT origin FROM b) AND (identity IS NULL OR identity NOT IN (SELECT identity FROM b))) WHERE r = 1", "issues")
