@@ -104,24 +104,52 @@ def alive_on(created: Column, resolved: Column, resolved_at: Column, day: Column
     return F.coalesce(created <= day, F.lit(True)) & ~(resolved & F.coalesce(resolved_at <= day, F.lit(False)))
 
 
-def daily_snapshots(issues: DataFrame, first: str, last: str) -> DataFrame:
-    """Open and resolved findings on each day, from daily changes and running sums.
+def daily_snapshots(issues: DataFrame, start: str, now: str, limit: int = 0) -> DataFrame:
+    """Open and resolved findings at start and each day after it, and at the moment now; the last so many points (0: all).
 
-    A finding adds one on the day it is created and moves over on the day it is resolved, so the
-    days are joined with sums, never with all findings.
+    A finding adds one at the first point after it was created and moves over at the first after
+    it was resolved, so points are joined with sums, never with all findings.  One without a
+    creation date was always there.
     """
-    start, end = F.lit(first).cast("date"), F.lit(last).cast("date")
-    up = lambda ts: F.when(ts == F.date_trunc("day", ts), ts.cast("date")).otherwise(F.date_add(ts.cast("date"), 1))
-    day0 = F.greatest(F.coalesce(up(F.col("created_at")), start), start)
-    gone = F.when(F.col("resolved") & F.col("resolved_at").isNotNull(), F.greatest(up(F.col("resolved_at")), day0))
+    day = 86_400_000_000
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    first, last = micros(F.lit(start)), micros(F.lit(now))
+    whole = F.floor((last - first) / day)  # the last point a whole number of days after the start
+    end = whole + F.when(first + whole * day < last, 1).otherwise(0)
+    after = lambda c: F.when(micros(c) <= last, F.greatest(F.lit(0), F.least(F.ceil((micros(c) - first) / day), end)))
+    came = F.when(F.col("created_at").isNull(), 0).otherwise(after(F.col("created_at")))
+    gone = F.when(F.col("resolved") & F.col("resolved_at").isNotNull(), F.greatest(after(F.col("resolved_at")), came))
     sev = [("high", "HIGH"), ("medium", "MEDIUM"), ("low", "LOW")]
-    plus = issues.select(day0.alias("day"), F.lit(1).alias("open"), F.lit(0).alias("done"), *[(F.col("severity") == s).cast("int").alias(n) for n, s in sev])
-    minus = issues.where(gone.isNotNull()).select(gone.alias("day"), F.lit(-1).alias("open"), F.lit(1).alias("done"), *[(-(F.col("severity") == s).cast("int")).alias(n) for n, s in sev])
+    is_ = lambda s: F.coalesce((F.col("severity") == s).cast("int"), F.lit(0))
+    plus = issues.select(came.alias("at"), F.lit(1).alias("open"), F.lit(0).alias("done"), *[is_(s).alias(n) for n, s in sev])
+    minus = issues.where(gone.isNotNull() & came.isNotNull() & after(F.col("resolved_at")).isNotNull()).select(gone.alias("at"), F.lit(-1).alias("open"), F.lit(1).alias("done"), *[(-is_(s)).alias(n) for n, s in sev])
     names = ["open", "done", *[n for n, _ in sev]]
-    days = issues.sparkSession.range(1).select(F.explode(F.sequence(start, end)).alias("day"))
-    changes = plus.unionByName(minus).where(F.col("day") <= end).groupBy("day").agg(*[F.sum(n).alias(n) for n in names])
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)  # a row a day
-    return days.join(changes, "day", "left").select("day", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names])
+    points = issues.sparkSession.range(1).select(F.explode(F.sequence(F.lit(0).cast("long"), end)).alias("at"))
+    changes = plus.unionByName(minus).where(F.col("at").isNotNull()).groupBy("at").agg(*[F.sum(n).alias(n) for n in names])
+    w = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # a row a point
+    out = points.join(changes, "at", "left").select("at", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in names])
+    if limit:
+        out = out.where(F.col("at") > end - limit)
+    return out.select(F.timestamp_micros(F.least(first + F.col("at") * day, last)).alias("day"), *names)
+
+
+#: How far above the baseline a mode may be in tokens, cost a case and 95th percentile of cost.
+MOST = 1.10
+
+
+def accepted(metrics: DataFrame, baseline: str) -> DataFrame:
+    """metrics (mode, precision, recall, tokens, case_cost, p95_cost): for each mode what of the acceptance rules holds beside the baseline's."""
+    b = metrics.where(F.col("mode") == baseline).select(*(F.col(c).alias(f"_{c}") for c in metrics.columns if c != "mode"))
+    at_most = lambda c: (F.col(c) <= MOST * F.col(f"_{c}")).alias(f"{c}_ok")
+    return metrics.join(F.broadcast(b.limit(1)), F.lit(True)).select(
+        "mode", (F.col("precision") >= 0.6).alias("precision_ok"), (F.col("recall") >= 0.6).alias("recall_ok"),
+        (F.col("precision") - F.col("_precision") >= -0.05).alias("precision_held"), (F.col("recall") - F.col("_recall") >= -0.05).alias("recall_held"), *map(at_most, ("tokens", "case_cost", "p95_cost")),
+    )
+
+
+def below(percent: Column, least: Column) -> Column:
+    """Whether a share misses its threshold, rounding apart."""
+    return percent + 1e-12 < least
 
 
 def precision_recall(cases: DataFrame, *by: str) -> DataFrame:
@@ -132,10 +160,12 @@ def precision_recall(cases: DataFrame, *by: str) -> DataFrame:
 
 
 def frequencies(rows: DataFrame, **counters: tuple[Column, int]) -> DataFrame:
-    """The most frequent values of several columns: (counter, value, n), by count, then value."""
+    """The most frequent values of several columns: (counter, value, n), by count, then value.  Of a list its first five count."""
     parts = []
     for name, (column, most) in counters.items():
-        counted = rows.select(column.cast("string").alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+        if rows.select(column).schema[0].dataType.typeName() == "array":
+            column = F.explode(F.slice(column, 1, 5))
+        counted = rows.select(column.alias("value")).select(F.col("value").cast("string")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
         parts.append(counted.orderBy(F.desc("n"), "value").limit(most).select(F.lit(name).alias("counter"), "value", "n"))
     out = parts[0]
     for p in parts[1:]:

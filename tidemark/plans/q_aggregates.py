@@ -106,9 +106,12 @@ def _(analyses):
     return A.trend(analyses, "project_id", "created_at", "total", "id")
 
 
-@query("agg17_daily_snapshots", "SELECT CAST(CAST(d AS DATE) AS STRING) AS day, CAST(count(*) FILTER (WHERE created_at <= d AND NOT (resolved AND resolved_at <= d)) AS BIGINT) AS open, CAST(count(*) FILTER (WHERE created_at <= d AND resolved AND resolved_at <= d) AS BIGINT) AS done, CAST(count(*) FILTER (WHERE severity = 'HIGH' AND created_at <= d AND NOT (resolved AND resolved_at <= d)) AS BIGINT) AS high, CAST(count(*) FILTER (WHERE severity = 'MEDIUM' AND created_at <= d AND NOT (resolved AND resolved_at <= d)) AS BIGINT) AS medium, CAST(count(*) FILTER (WHERE severity = 'LOW' AND created_at <= d AND NOT (resolved AND resolved_at <= d)) AS BIGINT) AS low FROM (SELECT unnest(generate_series(TIMESTAMP '1996-03-01', TIMESTAMP '1996-05-31', INTERVAL 1 DAY)) AS d), issues GROUP BY d", "issues")
+FROM, NOW = "1996-03-01 06:30:00", "1996-05-31 18:00:00"
+
+
+@query("agg17_daily_snapshots", f"SELECT CAST(d AS STRING) AS day, CAST(count(*) FILTER (WHERE created_at <= d AND NOT (resolved AND resolved_at <= d)) AS BIGINT) AS open, CAST(count(*) FILTER (WHERE created_at <= d AND resolved AND resolved_at <= d) AS BIGINT) AS done, CAST(count(*) FILTER (WHERE severity = 'HIGH' AND created_at <= d AND NOT (resolved AND resolved_at <= d)) AS BIGINT) AS high, CAST(count(*) FILTER (WHERE severity = 'MEDIUM' AND created_at <= d AND NOT (resolved AND resolved_at <= d)) AS BIGINT) AS medium, CAST(count(*) FILTER (WHERE severity = 'LOW' AND created_at <= d AND NOT (resolved AND resolved_at <= d)) AS BIGINT) AS low FROM (SELECT d FROM (SELECT unnest(generate_series(TIMESTAMP '{FROM}', TIMESTAMP '{NOW}', INTERVAL 1 DAY)) AS d UNION SELECT TIMESTAMP '{NOW}') ORDER BY d DESC LIMIT 60), issues GROUP BY d", "issues")
 def _(issues):
-    return A.daily_snapshots(issues, "1996-03-01", "1996-05-31").withColumn("day", F.col("day").cast("string"))
+    return A.daily_snapshots(issues, FROM, NOW, 60).withColumn("day", F.date_format("day", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("agg18_resolved_rate", "SELECT project_id, id, rate FROM (SELECT project_id, id, created_at, round(CASE WHEN total > 0 THEN resolved / total ELSE 0 END, 6) AS rate, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, id DESC) AS r FROM analyses) WHERE r <= 12", "analyses")
@@ -156,19 +159,25 @@ def _(labels):
     return labels.groupBy("toxic").agg(A.count_where(q & p).alias("tp"), A.count_where(~q & p).alias("fp"), A.count_where(q & ~p).alias("fn"), A.count_where(~q & ~p).alias("tn"))
 
 
-@query("agg23_acceptance_gate", f"WITH m AS ({PR.format(by='mode', by_sql='source AS mode')}), b AS (SELECT * FROM m WHERE mode = 'src0') SELECT m.mode, m.precision >= 0.6 AS precision_ok, m.recall >= 0.6 AS recall_ok, m.precision - b.precision >= -0.05 AS precision_held, m.recall - b.recall >= -0.05 AS recall_held FROM m, b", "t:documents", "t:labels")
+COST = "SELECT mode, CAST(sum(cost) AS DOUBLE) AS tokens, sum(cost) / count(*) AS case_cost, CAST(quantile_disc(cost, 0.95) AS DOUBLE) AS p95_cost FROM (SELECT source AS mode, doc_id % 25 AS case_id, sum(n_chars) AS cost FROM documents GROUP BY 1, 2) GROUP BY mode"
+
+
+@query("agg23_acceptance_gate", f"WITH m AS (SELECT * FROM ({PR.format(by='mode', by_sql='source AS mode')}) JOIN ({COST}) USING (mode)), b AS (SELECT * FROM m WHERE mode = 'src0') SELECT m.mode, m.precision >= 0.6 AS precision_ok, m.recall >= 0.6 AS recall_ok, m.precision - b.precision >= -0.05 AS precision_held, m.recall - b.recall >= -0.05 AS recall_held, m.tokens <= 1.1 * b.tokens AS tokens_ok, m.case_cost <= 1.1 * b.case_cost AS case_cost_ok, m.p95_cost <= 1.1 * b.p95_cost AS p95_cost_ok FROM m, b", "t:documents", "t:labels")
 def _(documents, labels):
-    m = rounded(A.precision_recall(cases(documents, labels), "mode"))
-    b = m.where("mode = 'src0'").select(F.col("precision").alias("bp"), F.col("recall").alias("br"))
-    return m.join(F.broadcast(b), F.lit(True)).select("mode", (F.col("precision") >= 0.6).alias("precision_ok"), (F.col("recall") >= 0.6).alias("recall_ok"), (F.col("precision") - F.col("bp") >= -0.05).alias("precision_held"), (F.col("recall") - F.col("br") >= -0.05).alias("recall_held"))
+    costs = documents.groupBy(F.col("source").alias("mode"), F.col("doc_id") % 25).agg(F.sum("n_chars").alias("cost")).groupBy("mode")
+    costs = costs.agg(F.sum("cost").cast("double").alias("tokens"), F.avg("cost").alias("case_cost"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY cost)").alias("p95_cost"))
+    return A.accepted(rounded(A.precision_recall(cases(documents, labels), "mode")).join(costs, "mode").select("mode", "precision", "recall", "tokens", "case_cost", "p95_cost"), "src0")
 
 
 TOP = lambda c, n, k: f"(SELECT '{n}' AS counter, CAST({c} AS STRING) AS value, CAST(count(*) AS BIGINT) AS n FROM chunks WHERE {c} IS NOT NULL GROUP BY 2 ORDER BY n DESC, value LIMIT {k})"
 
 
-@query("agg24_overview", " UNION ALL ".join([TOP("branch", "branch", 80), TOP("language", "language", 40), TOP("path", "file", 120), TOP("primary_name", "name", 120), TOP("source", "pr", 80)]), "chunks")
+NAMES = "(SELECT 'name' AS counter, value, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([primary_name, parent_class, namespace, branch, language]) AS value FROM chunks) WHERE value IS NOT NULL GROUP BY value ORDER BY n DESC, value LIMIT 120)"
+
+
+@query("agg24_overview", " UNION ALL ".join([TOP("branch", "branch", 80), TOP("language", "language", 40), TOP("path", "file", 120), NAMES, TOP("source", "pr", 80)]), "chunks")
 def _(chunks):
-    return A.frequencies(chunks, branch=(F.col("branch"), 80), language=(F.col("language"), 40), file=(F.col("path"), 120), name=(F.col("primary_name"), 120), pr=(F.col("source"), 80))
+    return A.frequencies(chunks, branch=(F.col("branch"), 80), language=(F.col("language"), 40), file=(F.col("path"), 120), name=(F.array("primary_name", "parent_class", "namespace", "branch", "language", "source"), 120), pr=(F.col("source"), 80))
 
 
 @query("agg25_index_stats", "SELECT branch, CAST(count(*) AS BIGINT) AS points, CAST(count(DISTINCT path) AS BIGINT) AS files FROM chunks GROUP BY branch", "chunks")
@@ -223,10 +232,12 @@ def _(chunks):
     return A.evenly_spaced(chunks.select("id", "text"), "id").agg(F.count("*").alias("sampled"), F.round(F.avg(F.length("text")) * n).cast("long").alias("estimate"))
 
 
-@query("agg34_coverage_rollup", "SELECT source AS target, CAST(sum(c) AS BIGINT) AS covered, CAST(sum(m) AS BIGINT) AS missed, round(100.0 * sum(c) / (sum(c) + sum(m)), 6) AS percent FROM (SELECT source, doc_id % 17 AS c, doc_id % 5 AS m FROM documents) GROUP BY ROLLUP (source)", "t:documents")
+@query("agg34_coverage_rollup", "SELECT target, covered, missed, percent, percent + 1e-12 < CASE WHEN target IS NULL THEN 79.0 WHEN target = 'src1' THEN 85.0 ELSE 75.0 END AS below FROM (SELECT source AS target, CAST(sum(c) AS BIGINT) AS covered, CAST(sum(m) AS BIGINT) AS missed, round(100.0 * sum(c) / (sum(c) + sum(m)), 6) AS percent FROM (SELECT source, doc_id % 17 AS c, doc_id % 5 AS m FROM documents) GROUP BY ROLLUP (source))", "t:documents")
 def _(documents):
     c, m = F.sum(F.col("doc_id") % 17), F.sum(F.col("doc_id") % 5)
-    return documents.rollup(F.col("source").alias("target")).agg(c.alias("covered"), m.alias("missed"), F.round(100.0 * c / (c + m), 6).alias("percent"))
+    rolled = documents.rollup(F.col("source").alias("target")).agg(c.alias("covered"), m.alias("missed"), F.round(100.0 * c / (c + m), 6).alias("percent"))
+    least = F.when(F.col("target").isNull(), 79.0).when(F.col("target") == "src1", 85.0).otherwise(75.0)
+    return rolled.withColumn("below", A.below(F.col("percent"), least))
 
 
 @query("agg35_commit_coverage", "SELECT project_id, CASE WHEN u = 0 THEN 'FULL' WHEN u = n THEN 'NOT_ANALYZED' ELSE 'PARTIAL' END AS coverage FROM (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE id NOT IN (SELECT id FROM issues)) AS u FROM audit GROUP BY project_id)", "audit", "issues")
