@@ -62,19 +62,25 @@ def _(issues):
     return issues.where(alive_on(F.col("created_at"), F.col("resolved"), F.col("resolved_at"), day)).groupBy("project_id").agg(F.count("*").alias("open"))
 
 
+REFERENCE = r"CASE id % 6 WHEN 0 THEN regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', '') WHEN 1 THEN replace(regexp_replace(path, '\.[^.]*$', ''), '/', '.') WHEN 2 THEN 'com.other.' || regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', '') WHEN 3 THEN 'lib::' || upper(regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', '')) WHEN 4 THEN replace(regexp_replace(path, '^[^/]*/(.*)/[^/]*$', '\1'), '/', '.') ELSE 'nothing' END"
+
+
 @query(
     "jn10_reference_resolution",
-    "WITH d AS (SELECT DISTINCT primary_name || '.' || namespace AS full_name, primary_name AS simple, path FROM chunks), r AS (SELECT id, CASE id % 4 WHEN 0 THEN primary_name || '.' || namespace WHEN 1 THEN primary_name WHEN 2 THEN upper(primary_name) ELSE 'nothing' END AS name FROM chunks), "
-    "m AS (SELECT id, (SELECT max(path) FROM d WHERE full_name = name) AS a, (SELECT max(path) FROM d WHERE simple = name) AS b, (SELECT max(path) FROM d WHERE lower(simple) = lower(name)) AS c FROM r) "
-    "SELECT id, coalesce(a, b, c) AS target, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 END AS rule FROM m",
+    rf"WITH f AS (SELECT DISTINCT path, regexp_replace(path, '\.[^.]*$', '') AS whole, regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', '') AS bare FROM chunks), n AS (SELECT key, max(path) AS target FROM (SELECT path, unnest([bare, lower(bare), replace(whole, '/', '.')]) AS key FROM f) GROUP BY key), "
+    rf"r AS (SELECT id, {REFERENCE} AS reference FROM chunks), s AS (SELECT *, CASE WHEN contains(reference, '.') THEN regexp_extract(reference, '([^.]*)$', 1) WHEN contains(reference, '/') THEN regexp_extract(reference, '([^/]*)$', 1) ELSE regexp_replace(reference, '^.*::', '') END AS simple FROM r), "
+    "d AS (SELECT reference, max(path) AS target FROM (SELECT DISTINCT reference FROM s) JOIN f ON contains('/' || whole || '/', '/' || replace(reference, '.', '/') || '/') GROUP BY reference) "
+    "SELECT s.id, coalesce(a.target, b.target, c.target, d.target) AS target, CASE WHEN a.target IS NOT NULL THEN 1 WHEN b.target IS NOT NULL THEN 2 WHEN c.target IS NOT NULL THEN 3 WHEN d.target IS NOT NULL THEN 4 END AS rule FROM s LEFT JOIN n a ON a.key = s.reference LEFT JOIN n b ON b.key = s.simple LEFT JOIN n c ON c.key = lower(s.simple) LEFT JOIN d ON d.reference = s.reference",
     "chunks",
 )
 def _(chunks):
-    full = F.concat_ws(".", "primary_name", "namespace")
-    k = F.col("id") % 4
-    refs = chunks.select("id", F.when(k == 0, full).when(k == 1, F.col("primary_name")).when(k == 2, F.upper("primary_name")).otherwise("nothing").alias("name"))
-    table = lambda key: chunks.select(key.alias("key"), F.col("path").alias("target"))
-    return J.resolve(refs, (F.col("name"), table(full)), (F.col("name"), table(F.col("primary_name"))), (F.lower("name"), table(F.lower("primary_name")))).select("id", "target", "rule")
+    bare = F.regexp_replace(F.regexp_replace("path", "^.*/", ""), r"\.[^.]*$", "")
+    k = F.col("id") % 6
+    reference = (
+        F.when(k == 0, bare).when(k == 1, F.replace(F.regexp_replace("path", r"\.[^.]*$", ""), F.lit("/"), F.lit("."))).when(k == 2, F.concat(F.lit("com.other."), bare))
+        .when(k == 3, F.concat(F.lit("lib::"), F.upper(bare))).when(k == 4, F.replace(F.regexp_replace("path", "^[^/]*/(.*)/[^/]*$", "$1"), F.lit("/"), F.lit("."))).otherwise("nothing")
+    )
+    return J.resolve_references(chunks.select("id", reference.alias("reference")), chunks).select("id", "target", "rule")
 
 
 @query("jn11_same_package_pairs", "SELECT DISTINCT a.path AS a, b.path AS b FROM (SELECT DISTINCT path, regexp_extract(path, '^(.*)/', 1) AS dir FROM issues) a JOIN (SELECT DISTINCT path, regexp_extract(path, '^(.*)/', 1) AS dir FROM issues) b ON a.dir = b.dir AND a.path < b.path", "issues")
