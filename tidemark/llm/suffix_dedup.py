@@ -84,8 +84,8 @@ class Blocks:
 ROWS = "core long, span long, id long, copy long, start long, n int"
 
 
-def _blocks(docs: DataFrame, threshold: int, gram: int, step: int, parent: int = 0, chosen: Bitmap | None = None, ids_with: Bitmap | None = None, spans: Bitmap | None = None) -> DataFrame:
-    """The blocks of one round as ROWS; with chosen, those inside chosen blocks of the round before; with spans, those of such spans.  docs: (id, copy, text)."""
+def _blocks(docs: DataFrame, threshold: int, gram: int, step: int, parent: int = 0, chosen: Bitmap | None = None, ids_with: Bitmap | None = None, cores: Bitmap | None = None, spans: Bitmap | None = None) -> DataFrame:
+    """The blocks of one round as ROWS; with chosen, those inside chosen blocks of the round before; with cores or spans, those of such cores or spans.  docs: (id, copy, text)."""
 
     def run(batches):
         for batch in batches:
@@ -100,8 +100,10 @@ def _blocks(docs: DataFrame, threshold: int, gram: int, step: int, parent: int =
                     blocks.places = blocks.places[keep]
                     blocks.anchor = blocks.anchor[keep] if len(keep) else keep
                 start, size, rows, core, span = blocks.cut(step)
-                if spans is not None:
-                    keep = spans.maybe(span)
+                for wanted in (cores, spans):
+                    if wanted is None:
+                        continue
+                    keep = wanted.maybe(core if wanted is cores else span)
                     start, size, rows, core, span = start[keep], size[keep], rows[keep], core[keep], span[keep]
                 columns = [pa.array(core.view(np.int64)), pa.array(span.view(np.int64)), pa.array(ids[row + rows]), pa.array(copies[row + rows]), pa.array(base + start - at[rows]), pa.array(size.astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(columns, ["core", "span", "id", "copy", "start", "n"])
@@ -109,26 +111,14 @@ def _blocks(docs: DataFrame, threshold: int, gram: int, step: int, parent: int =
     return docs.mapInArrow(run, ROWS)
 
 
-def _where(rows: DataFrame, maybe: Bitmap, column: str) -> DataFrame:
-    at = rows.columns.index(column)
-
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(maybe.maybe(batch.column(at).to_numpy())))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
 def repeated_strings(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GRAM, steps=STEPS) -> DataFrame:
     """(span, id, copy, start, n): runs of positions whose string is found elsewhere too, and the hash of their bytes.  docs: (id, copy, text)."""
-    settled, chosen, ids_with, before = None, None, None, 0
+    settled, chosen, ids_with, several, before = None, None, None, None, 0
     for step in steps:
         last = step == steps[-1]
-        rows = _blocks(docs, threshold, gram, step, before, chosen, ids_with)
-        if before == 0:
-            first = saved(rows, "suffix-blocks")
-            several = Bitmap(first.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "core")
-            rows = _where(first, several, "core")
+        if before == 0:  # texts are read again rather than their many blocks written
+            several = Bitmap(saved(_blocks(docs, threshold, gram, step).groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core"), "suffix-several"), "core")
+        rows = _blocks(docs, threshold, gram, step, before, chosen, ids_with, several)
         if last:  # nothing is cut finer after this: counts are enough
             twice = saved(rows.groupBy("span").agg(F.count("*").alias("k")).where("k > 1").select("span"), "suffix-twice")
         else:
@@ -136,11 +126,13 @@ def repeated_strings(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GR
             spans = saved(spans, "suffix-ranks")
             twice = spans.where("k > 1").select("span")
         hits = Bitmap(twice, "span")
-        more = _where(first, hits, "span") if before == 0 else _blocks(docs, threshold, gram, step, before, chosen, ids_with, hits)
+        more = _blocks(docs, threshold, gram, step, before, chosen, ids_with, several, hits)
         more = saved(more.select("span", "id", "copy", "start", "n").join(twice, "span", "left_semi"), "suffix-settled")
         settled = more if settled is None else settled.unionByName(more)
-        for used in (hits, *((several,) if before == 0 else (chosen, ids_with))):
-            used.close()
+        for used in (hits, several, chosen, ids_with):
+            if used is not None:
+                used.close()
+        several = None
         if last:
             break
         # written by itself, so that a core of many spans can be split in the join
