@@ -309,3 +309,13 @@ def test_search_in_blocks_with_ties_and_zero_vectors(spark):
         assert got == [(10, 1, 1, 1.0), (10, 2, 2, 1.0), (11, 1, 4, 1.0), (11, 2, 7, 0.707107)]
         assert found(ranking.best_similarities(queries, points, block), "point", "similarity") == [(1, 1.0), (2, 1.0), (4, 1.0), (7, 0.707107)]
     assert ranking.top_k(queries.limit(0), points, 2).collect() == []
+
+
+def test_track_inherits_and_resolves_only_what_is_gone(spark):
+    schema = f"{SIDE}, resolved boolean"
+    previous = spark.createDataFrame([("f", 1, "a", 10, None, True), ("f", 2, "b", 5, "h5", False), ("f", 3, "c", 7, "h7", False), ("f", 4, "d", 8, "h8", False), ("g", 5, "e", 1, "h1", False), ("f", 6, "z", None, None, False)], schema)
+    current = spark.createDataFrame([("f", 21, "a", 99, "x", False), ("f", 22, "b", 5, "h5", False), ("f", 23, "n", 50, "hn", False)], schema)
+    lines = spark.createDataFrame([("f", "h8"), ("f", "h5"), ("f", "x")], "file string, line_hash string")
+    got = found(tracking.track(previous, current, lines, spark.createDataFrame([("f",)], "file string")), "raw_seq", "base_seq", "how", "resolved")
+    want = [(21, 1, "LOOSE", True), (22, 2, "EXACT", False), (23, None, "NEW", False), (None, 3, "GONE", True), (None, 4, "GONE", False), (None, 5, "GONE", False), (None, 6, "GONE", False)]
+    assert got == sorted(want, key=str)
