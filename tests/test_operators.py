@@ -277,12 +277,34 @@ def test_provenance_takes_the_newest_then_the_nearest(spark):
     assert found(joins.provenance(lines, added), "id", "commit") == [(1, 72), (2, 73), (3, 72)]
 
 
-def test_split_and_pack_golden(spark):
+def test_split_golden(spark):
     df = spark.createDataFrame([("aaaa bbbb cccc\n\ndd ee",), ("",), (None,), ("x" * 12,)], "t string")
-    split = [r[0] for r in df.select(text.split_text(10, 2)(F.col("t"))).collect()]
+    split = [r[0] for r in df.coalesce(1).select(text.split_text(10, 2)(F.col("t"))).collect()]
     assert all(len(p) <= 10 for pieces in split for p in pieces) and split[1] == split[2] == [] and split[3] == ["x" * 10, "xx" + "xx"]
-    packed = [r[0] for r in df.select(text.pack(9)(F.split("t", " "))).collect()]
-    assert packed == [["aaaa bbbb".split()[0] + "\nbbbb", "cccc\n\ndd", "ee"], [], [], ["x" * 12]]
+
+
+def brute_chunks(diff, most):
+    if diff is None or len(diff) <= most:
+        return None if diff is None else [diff]
+    parts = re.split(r"(?=@@ -\d+,?\d* \+\d+,?\d* @@)", diff)
+    head, hunks = ("", parts) if parts[0].startswith("@@") else (parts[0], parts[1:])
+    if not hunks:
+        head, hunks = "", [x + "\n" for x in diff.split("\n")]
+    out, now = [], ""
+    for h in hunks:
+        if now and len(head) + len(now) + len(h) > most:
+            out.append(head + now)
+            now = ""
+        now += h
+    return [x for x in [*out, head + now] if x.strip()]
+
+
+def test_chunks_of_a_diff_by_brute_force(spark):
+    rng = random.Random(2)
+    hunk = lambda: f"@@ -{rng.randint(1, 99)},{rng.randint(1, 9)} +{rng.randint(1, 99)} @@ f\n" + "".join(f"+{'x' * rng.randint(0, 30)}\n" for _ in range(rng.randint(1, 6)))
+    diffs = ["diff --git a/f b/f\n--- a/f\n" + "".join(hunk() for _ in range(n)) for n in (0, 1, 3, 12)] + ["".join(hunk() for _ in range(8)), "no hunks\n" * 40, "", None, "x" * 300]
+    got = [r[0] for r in spark.createDataFrame([(d,) for d in diffs], "t string").coalesce(1).select(text.chunk_diff(F.col("t"), 120)).collect()]
+    assert got == [brute_chunks(d, 120) for d in diffs]
 
 
 def test_sequence_ratio_golden(spark):

@@ -291,6 +291,28 @@ def diff_summary(lines: Column, headers: int = 20, unique: int = 80) -> Column:
     return F.struct(F.size(plus).alias("added"), F.size(minus).alias("deleted"), F.slice(F.array_distinct(F.concat(plus, minus)), 1, unique).alias("sample"))
 
 
+def _packed(pieces: Column, head: Column, most: int) -> Column:
+    """Pieces joined in order, each group within so many characters with the head before it (a larger piece alone)."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def step(acc, x):
+        full = (acc["now"] != "") & (F.length(head) + F.length(acc["now"]) + F.length(x) > most)
+        done = F.when(full, F.concat(acc["done"], F.array(F.concat(head, acc["now"])))).otherwise(acc["done"])
+        return F.struct(done.alias("done"), F.when(full, x).otherwise(F.concat(acc["now"], x)).alias("now"))
+
+    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["now"] != "", F.concat(acc["done"], F.array(F.concat(head, acc["now"])))).otherwise(acc["done"]))
+
+
+def chunk_diff(diff: Column, most: int) -> Column:
+    """A diff in chunks of at most so many characters, whole hunks each, with what stands before the first hunk at the head of each; one without hunks in groups of lines."""
+    parts = F.split(diff, r"(?=@@ -\d+,?\d* \+\d+,?\d* @@)")
+    bare = F.startswith(F.get(parts, F.lit(0)), F.lit("@@"))
+    head = F.when(bare, "").otherwise(F.get(parts, F.lit(0)))
+    hunks = F.when(bare, parts).otherwise(F.slice(parts, 2, F.size(parts)))
+    lines = F.filter(_packed(F.transform(F.split(diff, "\n", -1), lambda x: F.concat(x, F.lit("\n"))), F.lit(""), most), lambda x: F.trim(F.translate(x, "\n\t", "  ")) != "")
+    return F.when(F.length(diff) <= most, F.array(diff)).when(F.size(hunks) > 0, _packed(hunks, head, most)).otherwise(lines)
+
+
 # --- what needs a program: small functions over one value, in Arrow batches
 
 
@@ -336,26 +358,6 @@ def split_text(size: int, overlap_: int = 200, separators=("\n\n", "\n", " ")):
     return run
 
 
-def pack(size: int):
-    """A column function: pieces packed in order into groups of at most size characters (a larger one alone)."""
-
-    @F.pandas_udf("array<string>")
-    def run(lists: pd.Series) -> pd.Series:
-        out = []
-        for pieces in lists:
-            groups, now = [], ""
-            for p in pieces if pieces is not None else []:
-                if now and len(now) + 1 + len(p) > size:
-                    groups.append(now)
-                    now = p
-                else:
-                    now = f"{now}\n{p}" if now else p
-            out.append(groups + ([now] if now else []))
-        return pd.Series(out)
-
-    return run
-
-
 def metadata(text: Column) -> Column:
     """Names, base types, signature and first comment of code, by patterns."""
     names = F.slice(F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?:class|interface|def|func|function|struct|trait)\s+([A-Za-z_]\w*)"), F.lit(1))), 1, 30)

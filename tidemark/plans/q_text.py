@@ -166,9 +166,12 @@ def _(issues):
     return hunks.select("id", "path", "change", "hunk", "new_start", "new_count", F.when(F.col("lines").isNotNull(), F.size("lines")).alias("n_lines"))
 
 
-@query("txt28_pack", None, "t:documents")
+@query("txt28_chunk_diff", None, "t:documents")
 def _(documents):
-    return documents.select("doc_id", F.posexplode(T.pack(1000)(F.split("text", "\n"))).alias("index", "chunk"))
+    # every line of a text becomes a hunk
+    hunks = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.lit("@@ -"), i.cast("string"), F.lit(",1 +"), i.cast("string"), F.lit(",1 @@\n+"), x, F.lit("\n")))
+    diff = F.concat(F.lit("diff --git a/"), "source", F.lit(" b/"), "source", F.lit("\n"), F.array_join(hunks, ""))
+    return documents.select("doc_id", F.posexplode(T.chunk_diff(diff, 1000)).alias("index", "chunk"))
 
 
 @query("txt29_diff_summary", "SELECT id, CAST(2 AS INTEGER) AS added, CAST(1 AS INTEGER) AS deleted, ['+a', '-' || author] AS sample FROM issues", "issues")
