@@ -32,4 +32,13 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     """df written to the shared folder and read again: it cuts the lineage and survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of saved() that nothing reads any more: all that came from them has been written itself."""
+    for df in tables:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.saved_path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
