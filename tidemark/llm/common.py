@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import new_path, saved, shared_dir  # noqa: F401
+from ..shared import discard, new_path, saved, shared_dir  # noqa: F401
 from .kernels import mix
 
 #: Words of every contract: runs of anything but the six ASCII white-space characters.

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import kernels as K
-from .common import Bitmap, saved
+from .common import Bitmap, discard, saved
 
 REGISTERS = 256
 MANTISSA = 10
@@ -346,9 +346,11 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = saved(classes.select("a", "b", "least.*"), "classes")
     placed = saved(sketched.select("id", "n", "a", "b").join(classes.select("a", "b", F.col("id").alias("class")), ["a", "b"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("class")).alias("class")), "placed")
 
+    discard(sketched)
     buckets = shared_buckets(classes, band_size(at_least / of))
     ids = saved(buckets.select("id").distinct(), "candidates")
     reps = saved(classes.select("id", "n", "registers").join(ids, "id", "left_semi"), "candidate-sketches")
+    discard(classes)
     sets = full_sets(rows.where("id is not null"), ids, k)
 
     # classes that share an id are one document
@@ -368,6 +370,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             comps = every.select("id", F.col("id").alias("component"))
         comps = contracted(comps, more)
         now = mixed(buckets.join(comps, "id").select("key", "id", "component"), 2)
+    discard(reps)
     open_sets = saved(hopeful(sets.join(now.select("id").distinct(), "id", "left_semi"), at_least, of), "open-sets")
     open_buckets = mixed(now.join(open_sets.select("id").distinct(), "id", "left_semi"), 1)
     comps = contracted(comps, saved(met(open_buckets.join(open_sets.select("id", "n", "set"), "id"), at_least, of), "links"))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import Bitmap, saved
+from .common import Bitmap, discard, saved
 
 THRESHOLD = 400
 GRAM = 40
@@ -138,6 +138,7 @@ def repeated_strings(docs: DataFrame, threshold: int = THRESHOLD, gram: int = GR
         # written by itself, so that a core of many spans can be split in the join
         cores = saved(spans.groupBy("core").agg(F.count("*").alias("spans")).where("spans > 1").select("core"), "suffix-cores")
         open_ = saved(spans.join(cores, "core", "left_semi").select("rank.*"), "suffix-open")
+        discard(spans, cores)
         chosen, ids_with, before = Bitmap(open_, "id", "copy", "start"), Bitmap(open_.select("id", "copy").distinct(), "id", "copy"), step
     return settled
 
