@@ -16,7 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches of some MB, whatever the length of texts: it bounds what a Python worker holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(12 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
