@@ -38,12 +38,12 @@ from .common import saved
 
 #: Tokens of training text that a range of keys stands for in the mean, and that a unit of documents has (but for longer documents).
 RANGE_TOKENS = 1 << 19
-UNIT_TOKENS = 1 << 19
+UNIT_TOKENS = 1 << 20
 #: Blocks of ranges that units ask: FEW_BLOCKS (or one a range) until a block would have more than BLOCK_RANGES ranges.
 FEW_BLOCKS = 64
 BLOCK_RANGES = 32
 #: Keys that a task gathers before it sends their counts on.
-GATHERED = 1 << 20
+GATHERED = 1 << 21
 BITS_EACH = 10
 PROBES = 3
 HEAD = 1 << 20
