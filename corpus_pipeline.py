@@ -38,7 +38,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     pred, score = _free("_lang_pred", docs), _free("_lang_score", docs)
     seen = langid.predict(docs, model, pred_col=pred, score_col=score)
-    return seen.where((F.col(pred) != "und") & (F.col(score) >= MIN_SCORE)).drop(pred, score)
+    return seen.where((F.col(pred) != "und") & F.col(score).between(MIN_SCORE, 1)).drop(pred, score)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

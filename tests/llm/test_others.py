@@ -474,3 +474,37 @@ def test_pipeline_without_languages_keeps_texts(spark):
     docs = spark.createDataFrame([(1, "some text", None, "s", 9), (2, "été", None, "s", 3), (3, "12 !!", None, "s", 5), (4, None, None, "s", 0)], schema)
     out = corpus_pipeline.language_id(spark, docs, "")
     assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 2]
+
+
+def test_langid_words_of_a_foreign_script_leave_the_model_finite(spark):
+    rng = random.Random(3)
+    say = lambda ws: " ".join(rng.choice(ws) for _ in range(40))
+    english, german = "the house and water of with people under long street".split(), "der das und mit haus wasser unter lange straße nicht".split()
+    rows = [(i, say(english), "en") for i in range(30)] + [(100 + i, say(german), "de") for i in range(30)]
+    for size in (29, 32, 170):  # 87, 96 and 510 bytes of single-byte pieces
+        odd = [*rows, (200, "ሀ" * size, "am"), (201, "ለ" * size, "am")]
+        df = spark.createDataFrame(odd, "doc_id long, text string, lang string")
+        model = langid.fit(df)
+        assert np.isfinite(model.p).all() and np.allclose(model.p.sum(axis=0), 1)
+        out = langid.predict(df, model, score_col="s").collect()
+        assert all(r["lang_pred"] == r["lang"] and 0 <= r["s"] <= 1 for r in out)
+
+
+def test_langid_learns_from_words_of_any_length(spark):
+    rng = random.Random(4)
+    rows = [(i, "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(150)), "zh") for i in range(40)]
+    rows += [(100 + i, "".join(chr(rng.randrange(0x3041, 0x3094)) for _ in range(150)), "ja") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.predict(df, langid.fit(df), score_col="s").collect()
+    assert all(r["lang_pred"] == r["lang"] and r["s"] > 0.9 for r in out)
+
+
+def test_langid_windows_cover_each_word_and_cut_no_character():
+    text = "ab " + "é" * 130 + " " + "日" * 77 + " z"
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end, _ = langid.letter_words(data, np.array([0, len(data)]))
+    a, b, word = langid.windows(data, start, end, 96)
+    whole = [b"".join(data[x:y].tobytes() for x, y, w in zip(a, b, word) if w == i) for i in range(len(start))]
+    assert whole == [data[s:e].tobytes() for s, e in zip(start, end)]
+    assert all(data[x:y].tobytes().decode() and 0 < y - x <= 98 for x, y in zip(a, b))
+    assert [len(x) for x in langid.windows(data, start[:0], end[:0])] == [0, 0, 0]

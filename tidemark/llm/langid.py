@@ -6,12 +6,13 @@ piece.  A word's probability under a language is the sum over all its segmentati
 forward algorithm, which keeps as many places as the longest piece has bytes and rescales
 them, so words of any length are summed whole; a text's is the product over its words; the
 prediction is the language with the largest, and the score its posterior.  Piece
-probabilities come from a few EM rounds (forward and backward sums) over a bounded sample
-of labelled documents: TRAIN_DOCS for each language, chosen by a hash of the id, and their
-words of FIT_BYTES at most.
+probabilities come from a few EM rounds (forward and backward sums of logarithms, so no word
+is too long or too improbable for them) over a bounded sample of labelled documents: TRAIN_DOCS
+for each language, chosen by a hash of the id.  Words longer than FIT_WINDOW are learned from
+window by window, all of their bytes.
 
-Words are runs of ASCII letters and non-ASCII bytes, A-Z in lower case.  The number of
-languages isn't limited; the model's size, pieces by languages, grows with it.
+Words are runs of ASCII letters and non-ASCII bytes, A-Z in lower case.  The model, pieces by
+languages, is broadcast; more than MAX_LANGUAGES labels are refused, not cut.
 
 Cases: null text, or text without a letter, gives ``und`` with score 0; so does everything
 if nothing is labelled.  Ties go to the first language by code point.  Rows without an id
@@ -33,8 +34,10 @@ from .common import saved
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Labelled documents for each language that the fit reads, about.
 TRAIN_DOCS = 1500
-#: Words of more bytes are not learned from (predictions take all words).
-FIT_BYTES = 96
+#: Longer words are learned from in windows of so many bytes, cut between characters (predictions take words whole).
+FIT_WINDOW = 96
+#: Labels at most: some 170 MB of model.
+MAX_LANGUAGES = 1000
 ROUNDS = 3
 #: Numbers that the forward sums of a chunk of words hold, about.
 CELLS = 1 << 21
@@ -141,20 +144,32 @@ def in_chunks(size: np.ndarray, wide: int):
     return (slice(i, i + step) for i in range(0, len(size), step))
 
 
+def windows(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = FIT_WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and word of windows of ``most`` bytes, about, that make up each word; no character is cut."""
+    many = np.maximum(-(-(end - start) // most), 1)
+    word = np.repeat(np.arange(len(start)), many)
+    place = K.spread(np.zeros(len(start), np.int64), many)
+    cut = start[word] + place * most
+    for _ in range(3):
+        cut -= (place > 0) & (data[cut] & 0xC0 == 0x80)
+    last = np.append(word[1:] != word[:-1], True) if len(word) else np.zeros(0, bool)
+    return cut, np.where(last, end[word], np.append(cut[1:], 0)[: len(cut)]), word
+
+
 def expected(pieces: Pieces, p: np.ndarray, sums: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece in weighted words of one language; p: its probabilities."""
-    size = end - start
+    """Expected uses of each piece in weighted words of one language (words sorted by size); p: its probabilities."""
+    size, every, logs = end - start, np.arange(len(start)), np.log(p)
     top = int(size.max(initial=0))
-    alpha, beta = np.zeros((top + 1, len(start))), np.zeros((top + 1, len(start)))
-    alpha[0], beta[size, np.arange(len(start))] = 1, 1
+    alpha, beta = np.full((top + 1, len(start)), -np.inf), np.full((top + 1, len(start)), -np.inf)
+    alpha[0], beta[size, every] = 0, 0
     steps = list(lattice(pieces, sums, start, end))
     for i, l, words, ids in steps:
-        alpha[i, words] += alpha[i - l, words] * p[ids]
-    whole, counts = alpha[size, np.arange(len(start))], np.zeros(pieces.n)
+        alpha[i, words] = np.logaddexp(alpha[i, words], alpha[i - l, words] + logs[ids])
+    whole, counts = alpha[size, every], np.zeros(pieces.n)
     for i, l, words, ids in reversed(steps):
-        use = p[ids] * beta[i, words]
-        beta[i - l, words] += use
-        counts += np.bincount(ids, alpha[i - l, words] * use * weight[words] / whole[words], pieces.n)
+        use = logs[ids] + beta[i, words]
+        beta[i - l, words] = np.logaddexp(beta[i - l, words], use)
+        counts += np.bincount(ids, np.exp(alpha[i - l, words] + use - whole[words]) * weight[words], pieces.n)
     return counts
 
 
@@ -182,6 +197,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     counts = rows.groupBy(lang_col).count().collect()
     languages = sorted(r[0] for r in counts)
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"{len(languages)} labels; a model of more than {MAX_LANGUAGES} isn't broadcast")
     if not languages:
         return Model([], pieces, np.zeros((pieces.n, 0)))
     share = spark.createDataFrame([(languages.index(r[0]), r[0], int(min(1, TRAIN_DOCS / r[1]) * 2**32)) for r in counts], "number int, l string, below long")
@@ -199,21 +216,23 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 for row, _, data, at, _ in K.word_pieces(batch.column(1)):
                     data = K.LOWER[data]
                     start, end, owner = letter_words(data, at)
-                    short = end - start <= FIT_BYTES
-                    start, end, owner = start[short], end[short], owner[short]
+                    start, end, word = windows(data, start, end)
+                    owner = owner[word]
                     sums, lang = K.prefix_sums(data), number[row + owner]
                     for x in np.unique(lang):
                         s, e, _, n = _unique(data, sums, start[lang == x], end[lang == x])
-                        for part in in_chunks(s, 8 * FIT_BYTES):
+                        for part in in_chunks(s, 8 * FIT_WINDOW):
                             total[:, x] += expected(pieces, p[:, x], sums, s[part], e[part], n[part])
             at = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(at[1].astype(np.int32)), pa.array(at[0].astype(np.int32)), pa.array(total[at])], ["lang", "piece", "uses"])
 
         total = np.full((pieces.n, len(languages)), 0.05)
-        for r in sample.mapInArrow(run, "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toLocalIterator():
-            total[r["piece"], r["lang"]] += r["uses"]
+        uses = sample.mapInArrow(run, "lang int, piece int, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).toArrow()
+        total[uses["piece"].to_numpy(), uses["lang"].to_numpy()] += uses["uses"].to_numpy()  # a pair once
         p = total / total.sum(axis=0)
         shared.destroy()
+        if not np.isfinite(p).all():
+            raise ArithmeticError("the model isn't finite")
     return Model(languages, pieces, p)
 
 
