@@ -122,6 +122,38 @@ def test_duplicates_and_candidates_by_brute_force(spark, seed):
         assert dict(found(dedup.clusters(pairs), "node", "component")) == {i: group_of(parent, i) for i in list(parent)}
 
 
+def components_of(rows, holds):
+    parent = {}
+    for x, y in itertools.combinations(rows, 2):
+        if holds(x, y):
+            u, v = (group_of(parent, z[0]) for z in (x, y))
+            parent[max(u, v)] = min(u, v)
+    return {i: group_of(parent, i) for i in list(parent)}
+
+
+def test_candidates_with_hot_words_and_a_hot_title(spark):
+    """Hundreds of findings of one file that share their words or their title, beside a pair that shares only such words."""
+    rng = random.Random(7)
+    names = ["".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(9)) for _ in range(260)]
+    rows = [(i, "a.py", 10 * i + 10, None, f"{n} {n[::-1]}", f"cache entry expires early {n}") for i, n in enumerate(names[:130])]
+    rows += [(200 + i, "a.py", 10_000 + 10 * i, None, "Problem in handler", f"{n} {n[::-1]} {n[3:]}") for i, n in enumerate(names[130:])]
+    rows += [(900, "a.py", 50_005, None, "Stale cache read", "cache entry expires early"), (901, "a.py", 60_005, None, "Stale cache reads", "cache entry expires early too")]
+    df = spark.createDataFrame(rows, FINDING).repartition(3)
+    pairs = dedup.similar_pairs(df).collect()
+    got = components_of([(r,) for r in sorted({x for p in pairs for x in p})], lambda x, y, known={tuple(sorted(p)) for p in pairs}: (x[0], y[0]) in known)
+    assert got == components_of(rows, a_candidate) and got[900] == got[901]
+
+
+def test_overlapping_sets_by_brute_force(spark):
+    rng = random.Random(3)
+    words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
+    sets = [(rng.choice("ab"), i, sorted(set(rng.sample(words, rng.randint(0, 12))) | set(rng.sample(["hot", "hotter"], rng.randint(0, 2))))) for i in range(250)]
+    df = spark.createDataFrame(sets, "g string, seq long, words array<string>").repartition(3)
+    for least, share in ((1, 1 / 3), (4, 0.5), (3, 0.45)):
+        want = [(x[1], y[1]) for x, y in itertools.combinations(sets, 2) if x[0] == y[0] and (n := len({*x[2]} & {*y[2]})) >= least and n + 1e-9 >= share * min(len(x[2]), len(y[2]))]
+        assert sorted(tuple(r) for r in dedup.overlapping(df, ["g"], least, share).collect()) == sorted(want)
+
+
 def group_of(parent, i):
     parent.setdefault(i, i)
     while parent[i] != i:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,8 +95,8 @@ def prompt_fingerprint(path: Column, line: Column, severity: Column, reason: Col
     return F.concat_ws("::", path, F.coalesce(F.floor(line / 3), F.lit(0)).cast("string"), severity, F.substring(F.lower(reason), 1, 50))
 
 
-#: Narratives of a file that share a word; a word that more of them have brings none together.
-RARE = 50
+#: Share of the smaller reason's words that brings two narratives of a file together, wherever they stand and whatever their titles.
+WORDS = 1 / 3
 _PLACE = ["file", "title_n", "reason_n", "anchor", "at"]
 
 
@@ -111,10 +113,48 @@ def _stars(rows: DataFrame, *by: str) -> DataFrame:
     return rows.join(rows.groupBy(*by).agg(F.min("seq").alias("a")), list(by)).where("a < seq").select("a", F.col("seq").alias("b"))
 
 
-def _beside(reps: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of rows that agree in ``on``, as structs a and b, the first of them as a."""
-    side = lambda n: reps.select(*on, F.struct(*reps.columns).alias(n))
-    return side("a").join(side("b"), on).where("a.seq < b.seq").select("a", "b")
+def overlapping(sets: DataFrame, by: list[str], least: int, share: float) -> DataFrame:
+    """sets (*by, seq, words): pairs (x, y), x < y, of a group that have ``least`` words in common and ``share`` of the smaller set.
+
+    The smaller set's words are ordered by how many sets of the group have them, the rarest
+    first; of n words, of which t must be common, one of the first n - t + 1 is.  Only these look
+    for partners, so a word that most sets have joins none of them, unless nothing rarer is left.
+    """
+    size = F.size("words")
+    need = F.greatest(F.lit(least), F.ceil(size * share - 1e-9).cast("int"))
+    words = sets.where(size >= least).select(*by, "seq", size.alias("n"), need.alias("need"), F.explode("words").alias("word"))
+    words = saved(words, "words")
+    ranked = words.join(words.groupBy(*by, "word").agg(F.count("*").alias("k")).where("k > 1"), [*by, "word"])
+    order = Window.partitionBy(*by, "seq").orderBy("k", "word")  # the words of one set
+    lone = F.col("n") - F.count("*").over(Window.partitionBy(*by, "seq"))  # the rarest words, which no other set has
+    first = ranked.withColumn("_at", F.row_number().over(order) + lone).where("_at <= n - need + 1")
+    probe = first.select(*by, "word", F.col("seq").alias("p"), F.col("n").alias("np"), "need")
+    met = probe.join(words.select(*by, "word", F.col("seq").alias("q"), "n"), [*by, "word"]).where("p <> q and np <= n").select("p", "q", "need").distinct()
+    both = sets.select("seq", "words")
+    met = met.join(both.select(F.col("seq").alias("p"), F.col("words").alias("_a")), "p").join(both.select(F.col("seq").alias("q"), F.col("words").alias("_b")), "q")
+    return met.where(F.size(F.array_intersect("_a", "_b")) >= F.col("need")).select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).distinct()
+
+
+def _pairs_of(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """(x, y) of seqs as structs a and b."""
+    whole = F.struct(*reps.columns)
+    return found.join(reps.select(F.col("seq").alias("x"), whole.alias("a")), "x").join(reps.select(F.col("seq").alias("y"), whole.alias("b")), "y").select("a", "b")
+
+
+def _linked(rows: DataFrame, on: list[str], holds: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs of rows that agree in ``on`` and fulfil ``holds`` (a filter of pairs a and b, by seq), such that the pairs' components are those of all such pairs.
+
+    Each row is held against the first of its group; only those that this leaves apart are held against all of them.
+    """
+    whole = F.struct(*rows.columns)
+    first = rows.groupBy(*on).agg(F.min_by(whole, "seq").alias("a"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    met = saved(holds(rows.select(*on, whole.alias("b")).join(first, on).where("a.seq < b.seq").select("a", "b")).select("a", "b"), "linked")
+    joined = met.select(F.col("b.seq").alias("seq"), *(F.col(f"b.{c}").alias(c) for c in on)).unionByName(first.select(F.col("a.seq").alias("seq"), *on))
+    strays = saved(rows.join(first.select(*on), on, "left_semi").join(joined, [*on, "seq"], "left_anti").select(rows.columns), "strays")
+    side = rows.join(first.select(*on, F.col("a.seq").alias("_first")), on).where("seq <> _first").join(strays.select(*on, "seq", F.lit(True).alias("_stray")), [*on, "seq"], "left")
+    pairs = strays.select(*on, whole.alias("s")).join(side.select(*on, whole.alias("o"), F.coalesce("_stray", F.lit(False)).alias("_stray")), on).where("(s.seq < o.seq) or (s.seq > o.seq and not _stray)")
+    swap = F.col("s.seq") < F.col("o.seq")
+    return met.unionByName(holds(pairs.select(F.when(swap, F.col("s")).otherwise(F.col("o")).alias("a"), F.when(swap, F.col("o")).otherwise(F.col("s")).alias("b"))).select("a", "b"))
 
 
 def _measured(pairs: DataFrame) -> DataFrame:
@@ -160,14 +200,16 @@ def duplicates(rows: DataFrame) -> DataFrame:
 
     Findings of one file with the same title and reason, or at one anchor (equal snippets; equal
     lines where one has no snippet) with the same reason or reasons of a similarity of .88.  Equal
-    ones are linked with the first of them, and only distinct ones of an anchor are compared, so
+    ones are linked with the first of them, and distinct ones of an anchor as far as components need it, so
     the pairs' components are the duplicates; pairs are those of representatives.  Nulls are
     empty texts, which equal nothing; findings without a file stay alone.
     """
     p = saved(prepared(rows), "findings")
     reps = p.groupBy(*_PLACE).agg(F.min("seq").alias("seq"))
-    anchored = _beside(reps.where("anchor is not null"), ["file", "anchor"]).unionByName(_beside(reps.where("at is not null"), ["file", "at"]).where("a.anchor is null or b.anchor is null"))
-    close = _measured(anchored).where(_conservative()).select("a.seq", F.col("b.seq").alias("b")).withColumnRenamed("seq", "a")
+    sure = lambda pairs: _measured(pairs).where(_conservative())
+    # equal lines count where one of two has no snippet, which the filter looks at
+    anchored = _linked(reps.where("anchor is not null"), ["file", "anchor"], sure).unionByName(_linked(reps.where("at is not null"), ["file", "at"], sure))
+    close = anchored.select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
     told = p.where("title_n <> '' and reason_n <> ''")
     known = p.where("reason_n <> '' and (anchor is not null or at is not null)")
     return _stars(told, "file", "title_n", "reason_n").unionByName(_stars(known, *_PLACE)).unionByName(close).distinct()
@@ -177,35 +219,43 @@ def similar_pairs(rows: DataFrame) -> DataFrame:
     """(a, b): findings that may be one, for a judgement by meaning; the pairs' components are the groups to judge.
 
     Beside the duplicates, pairs of a file with equal titles, at one anchor, on lines three apart
-    or less, or with a word in their reasons that few others of the file have (RARE: the one
-    place where a pair that shares but common words is not brought up), if their titles and
-    reasons are like enough; and findings of different files with an equal title of four words
-    and like reasons.  Only distinct narratives are compared; equal ones hang on the first.
+    or less, or with WORDS of the smaller one's words in common, if their titles and reasons are
+    like enough; and findings of different files with an equal title of four words and like
+    reasons.  Only distinct narratives are compared; equal ones hang on the first.
+
+    Equal titles and anchors are compared such that the components are right (_linked); words in
+    common are found by their rarest (overlapping).  The one pair that is not brought up has other
+    titles, stands on distant lines, and has reasons alike by letters with few words in common.
     """
     p = saved(prepared(rows), "findings")
     reps = saved(p.groupBy(*_PLACE).agg(F.min("seq").alias("seq")), "representatives")
-    words = reps.select("file", "seq", F.explode(T.token_set(F.col("reason_n"))).alias("word"))
-    rare = words.join(words.groupBy("file", "word").agg(F.count("*").alias("k")).where(F.col("k").between(2, RARE)), ["file", "word"]).select("file", "word", "seq")
-    by_word = _beside(rare, ["file", "word"]).select(F.col("a.seq").alias("x"), F.col("b.seq").alias("y")).distinct()
-    whole = F.struct(*reps.columns)
-    by_word = by_word.join(reps.select(F.col("seq").alias("x"), whole.alias("a")), "x").join(reps.select(F.col("seq").alias("y"), whole.alias("b")), "y").select("a", "b")
+    like = lambda pairs: _measured(pairs).where(_candidate())
+    # places don't matter to titles and words: one row a narrative, to which its places hang
+    told = saved(reps.groupBy("file", "title_n", "reason_n").agg(F.min_by(F.struct("anchor", "at", "seq"), "seq").alias("r")).select("file", "title_n", "reason_n", "r.*").select(*_PLACE, "seq"), "narratives")
+    hung = reps.join(told.select("file", "title_n", "reason_n", F.col("seq").alias("a")), ["file", "title_n", "reason_n"]).where("a < seq and title_n <> ''").where("reason_n <> ''").select("a", F.col("seq").alias("b"))
+    by_word = overlapping(told.select("file", "seq", T.token_set(F.col("reason_n")).alias("words")), ["file"], 1, WORDS)
     bucket = F.floor(F.col("at") / 4)
     placed = reps.where("at is not null")
     side = lambda n, b: placed.select("file", b.alias("_b"), F.struct(*reps.columns).alias(n))
-    near = side("a", F.explode(F.array(bucket - 1, bucket, bucket + 1))).join(side("b", bucket), ["file", "_b"]).where("a.seq < b.seq and abs(a.at - b.at) <= 3").select("a", "b")
-    pairs = near.unionByName(by_word).unionByName(_beside(reps.where("title_n <> ''"), ["file", "title_n"])).unionByName(_beside(reps.where("anchor is not null"), ["file", "anchor"]))
-    like = _measured(pairs).where(_candidate()).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
-    return duplicates(rows).unionByName(like).unionByName(_across(p)).distinct()
+    near = side("a", F.explode(F.array(bucket - 1, bucket, bucket + 1))).join(side("b", bucket), ["file", "_b"]).where("a.seq < b.seq and a.at <> b.at and abs(a.at - b.at) <= 3").select("a", "b")
+    pairs = like(near.unionByName(_pairs_of(by_word, told))).select("a", "b")
+    for on in (["file", "anchor"], ["file", "at"]):
+        pairs = pairs.unionByName(_linked(reps.where(f"{on[1]} is not null"), on, like))
+    pairs = pairs.unionByName(_linked(told.where("title_n <> ''"), ["file", "title_n"], like))
+    found = pairs.select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
+    return duplicates(rows).unionByName(hung).unionByName(found).unionByName(_across(p)).distinct()
 
 
 def _across(p: DataFrame) -> DataFrame:
     """(a, b) of findings in different files with an equal title of four words and like reasons."""
-    signed = p.where((F.size(T.token_set(F.col("title_n"))) >= 4) & (F.size(T.token_set(F.col("reason_n"))) >= 4))
-    first = signed.groupBy("title_n", "reason_n").agg(F.min("seq").alias("seq"), F.min("file").alias("f0"), F.max("file").alias("f1"))
+    words = T.token_set(F.col("reason_n"))
+    signed = p.where((F.size(T.token_set(F.col("title_n"))) >= 4) & (F.size(words) >= 4))
+    first = saved(signed.groupBy("title_n", "reason_n").agg(F.min("seq").alias("seq"), F.min("file").alias("f0"), F.max("file").alias("f1")), "titles")
     many = first.where("f0 < f1").select("title_n", "reason_n")
+    pairs = _pairs_of(overlapping(first.select("title_n", "seq", words.alias("words")), ["title_n"], 4, 0.50), first)
     o = T.overlap(T.token_set(F.col("a.reason_n")), T.token_set(F.col("b.reason_n")))
     apart = (F.col("a.f0") != F.col("a.f1")) | (F.col("b.f0") != F.col("b.f1")) | (F.col("a.f0") != F.col("b.f0"))
-    other = _beside(first, ["title_n"]).where(apart & (o["common"] >= 4) & (o["containment"] >= 0.50) & (o["jaccard"] >= 0.25)).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
+    other = pairs.where(apart & (o["jaccard"] >= 0.25)).select(F.col("a.seq").alias("a"), F.col("b.seq").alias("b"))
     return _stars(signed.join(many, ["title_n", "reason_n"], "left_semi"), "title_n", "reason_n").unionByName(other)
 
 
