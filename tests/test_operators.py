@@ -2,6 +2,7 @@
 
 import difflib
 import itertools
+import json
 import random
 import re
 
@@ -373,3 +374,16 @@ def test_track_inherits_and_resolves_only_what_is_gone(spark):
     got = found(tracking.track(previous, current, lines, spark.createDataFrame([("f",)], "file string")), "raw_seq", "base_seq", "how", "resolved")
     want = [(21, 1, "LOOSE", True), (22, 2, "EXACT", False), (23, None, "NEW", False), (None, 3, "GONE", True), (None, 4, "GONE", False), (None, 5, "GONE", False), (None, 6, "GONE", False)]
     assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize(
+    ("document", "want"),
+    [
+        ('{"password": {"a": "x1", "b": "y2"}}', '{"password":"[REDACTED]"}'), ('{"Tokens": ["aa","bb"], "z": 1, "a": 2}', '{"Tokens":["aa","bb"],"a":2,"z":1}'), ('[{"deep": [{"My-API-Key": [1]}, {"secret": []}, {"secret": ""}, {"token": null}, {"token": false}, {"token": 0}]}]', '[{"deep":[{"My-API-Key":"[REDACTED]"},{"secret":[]},{"secret":""},{"token":null},{"token":"[REDACTED]"},{"token":"[REDACTED]"}]}]'),
+        ('{"baseUrl": "https://u:p@H.x:81/a/b?q#f", "url": "https://u:p@h/?q", "BASE_URL": "a/b?x#y", "my_base_url": ["https://u:p@h"], "xBaseUrl": "http://h:bad/"}', '{"BASE_URL":"a/b","baseUrl":"https://h.x:81/a/b","my_base_url":["https://u:p@h"],"url":"https://u:p@h/?q","xBaseUrl":"[REDACTED_INVALID_URL]"}'),
+        ("not json", '"[REDACTED]"'), ("", '"[REDACTED]"'), ('{"a": NaN, "b": "é\\ud800"}', '{"a":null,"b":"é?"}'), ("[" * 100_000, '"[REDACTED]"'), ('{"credential": "x", "credential": ""}', '{"credential":""}'), (None, None),
+    ],
+)
+def test_redaction(spark, document, want):
+    got = spark.createDataFrame([(document,)], "j string").select(text.redacted("j")).first()[0]
+    assert got == want and (got is None or json.loads(got) is not Ellipsis)

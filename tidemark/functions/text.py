@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import difflib
+import json
+import re
+import urllib.parse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -172,12 +175,6 @@ def sanitised(text: Column, most: int = 2000) -> Column:
     return F.when((F.length(bare) > 0) & (F.length(bare) <= most) & ~blocked(bare), F.trim(clean))
 
 
-def redacted(json: Column) -> Column:
-    """JSON text with the values of secret-looking keys masked and credentials in URLs removed, at any depth."""
-    keyed = F.regexp_replace(json, r'(?i)("[^"]*(?:password|secret|token|api_?key|authorization)[^"]*"\s*:\s*)("(?:[^"\\]|\\.)*"|[^,}\]\s]+)', '$1"***"')
-    return F.regexp_replace(keyed, r"(?i)(https?://)[^/@\s\"]+@", "$1")
-
-
 def snippets(added: Column, group: int = 8, most: int = 10) -> Column:
     """Added lines in groups of eight."""
     n = F.ceil(F.size(added) / group)
@@ -369,3 +366,64 @@ def duplication_queries(text: Column) -> Column:
     """Search texts of what a piece of code may repeat: definitions, calls, routes, statements, each with its weight."""
     found = lambda pattern, kind, w: F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("query"), F.lit(w).alias("weight")))
     return F.concat(found(r"(?:def|func|function)\s+([A-Za-z_]\w{2,})", "definition", 1.0), found(r"(?:class|interface)\s+([A-Za-z_]\w{2,})", "type", 0.9), found(r"\b([A-Za-z_]\w{3,})\(", "call", 0.6), found(r"(?i)\b((?:select|insert|update|delete)\s[^;\"]{10,80})", "statement", 0.8), found(r"[\"'](/[a-z0-9_/{}-]{3,})[\"']", "route", 0.7))
+
+
+# Keys whose values are secrets, and ends of keys (without signs) that make them so; what takes their place.
+SECRET_KEYS = {
+    "access_token", "accesstoken", "api_key", "apikey", "authorization", "credential", "credentials", "oauth_client", "oauth_secret",
+    "oauthclient", "oauthsecret", "password", "private_key", "privatekey", "secret", "token", "x-api-key",
+}
+SECRET_ENDS = ("apikey", "accesstoken", "oauthsecret", "privatekey")
+URL_KEY_ENDS = ("baseurl", "base_url")
+MASK, MASKED_URL = "[REDACTED]", "[REDACTED_INVALID_URL]"
+
+
+def is_secret_key(key: str) -> bool:
+    plain = key.strip().casefold()
+    bare = re.sub("[^a-z0-9]", "", plain)
+    return not SECRET_KEYS.isdisjoint((plain, bare)) or bare.endswith(SECRET_ENDS)
+
+
+def _bare_url(url: str) -> str:
+    """Scheme, host, port and path; what has no host loses query and fragment alone."""
+    try:
+        parts = urllib.parse.urlsplit(url)
+        port = parts.port
+    except ValueError:
+        return MASKED_URL
+    if parts.scheme and parts.netloc:
+        return f"{parts.scheme}://{parts.hostname or ''}{f':{port}' if port else ''}{parts.path}"
+    return re.split("[?#]", url, maxsplit=1)[0]
+
+
+def _without_secrets(document: str) -> str:
+    def clean(members: list[tuple[str, object]]) -> dict:
+        # called for the innermost objects first; what stands under a secret key goes as a whole
+        out = {}
+        for key, value in members:
+            if is_secret_key(key):
+                value = value if value in (None, "", {}, []) else MASK
+            elif isinstance(value, str) and key.casefold().endswith(URL_KEY_ENDS):
+                value = _bare_url(value)
+            out[key] = value
+        return out
+
+    try:
+        found = json.loads(document, object_pairs_hook=clean, parse_constant=lambda _: None)
+        return json.dumps(found, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode(errors="replace").decode()
+    except (ValueError, RecursionError):
+        return json.dumps(MASK)
+
+
+def redacted(documents: Column | str) -> Column:
+    """JSON with what stands under secret keys masked at any depth, and URLs under base-URL keys without user, query and fragment.
+
+    Null and empty values of secret keys stay, so they can be told from masked ones.  The result
+    is JSON for every row: keys in order, no blanks, the last of repeated keys; NaN is null.
+    Text that isn't JSON is masked as a whole, null stays null.
+    """
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(_without_secrets, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(documents)

@@ -200,9 +200,12 @@ def _(conversations):
     return conversations.select("conv_id", "turn", T.sanitised(F.concat("role", F.lit(":    "), "text", F.lit(" ### <|x|> \x07"))).alias("clean"))
 
 
-@query("txt33_redact", "SELECT event_id, replace(props, '{', '{\"api_token\": \"***\", ') AS props FROM events", "t:events")
+@query("txt33_redact", """WITH e AS (SELECT *, replace(props, ' ', '') AS p FROM events)
+SELECT event_id, '{"items":[{"apiKey":""},{"deep":[[' || p || ']],"x-api-key":"[REDACTED]"}],"note":"' || event_type || '","service_base_url":"https://host' || user_id % 7 || ':8080/p","token":' || CASE event_id % 3 WHEN 0 THEN '"[REDACTED]"' WHEN 1 THEN 'null' ELSE '{}' END || ',"tokens":["' || event_type || '"],"user":{"Password":' || CASE event_id % 5 WHEN 0 THEN '[]' ELSE '"[REDACTED]"' END || ',"who":' || user_id || '}}' AS props FROM e""", "t:events")
 def _(events):
-    return events.select("event_id", T.redacted(F.concat(F.lit('{"api_token": "abc\\"d", '), F.substring("props", 2, 1000))).alias("props"))
+    secret, password = F.expr("case event_id % 3 when 0 then '\"s\"' when 1 then 'null' else '{}' end"), F.expr("case event_id % 5 when 0 then '[]' else concat('{\"a\": ', props, ', \"b\": \"y2\"}') end")
+    parts = ['{"user": {"Password": ', password, ', "who": ', F.col("user_id").cast("string"), '}, "tokens": ["', F.col("event_type"), '"], "token": ', secret, ', "items": [{"apiKey": ""}, {"x-api-key": ', F.col("event_id").cast("string"), ', "deep": [[', F.col("props"), ']]}], "service_base_url": "https://u:p@host', (F.col("user_id") % 7).cast("string"), ':8080/p?q=1#f", "note": "', F.col("event_type"), '"}']
+    return events.select("event_id", T.redacted(F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))).alias("props"))
 
 
 @query("win07_context_hash", f"WITH l AS (SELECT doc, pos, md5({NORM.format('line')}) AS h FROM ({LINES})) SELECT doc, CAST(pos AS INTEGER) AS pos, md5(string_agg(h, '') OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) AS context FROM l", "t:documents")
