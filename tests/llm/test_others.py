@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.common import LOWER, SCHEMA, WORD, corpus, frame, prose
 from tidemark.llm import decontaminate, fertility, langid, lm, mixing, warc
@@ -266,14 +267,14 @@ def test_lm_keeps_pairs_seen_once_in_any_number_of_ranges(spark, monkeypatch):
             words.update(own)
             pairs.update(zip(["<s>", *own[:-1]], own))
     assert sum(n == 1 for n in pairs.values()) > 1000
-    mid = lambda n: float(lm.counts_of(np.array([n.bit_length()]))[0])
+    least, most = (lambda n: 1 << n.bit_length() - 1 if n else 0), (lambda n: (1 << n.bit_length()) - 1)
     total, known, want = sum(words.values()), len(words), {}
     for d, t, *_ in rows:
         own, score = [*t.split(), None], 0.0
         for h, w in zip(["<s>", *own[:-1]], own):
-            ch, c = n_docs if h == "<s>" else mid(words[h]), mid(words[w])
+            ch, c = n_docs if h == "<s>" else most(words[h]), least(words[w])
             x = lm.WEIGHT * ch / (ch + 4)
-            score += math.log10(x * min(mid(pairs[h, w]), ch) / max(ch, 1) + (1 - x) * (c + 1) / (total + known + 1))
+            score += math.log10(x * min(least(pairs[h, w]), ch) / max(ch, 1) + (1 - x) * (c + 1) / (total + known + 1))
         want[d] = score
     for tokens_each, unit in ((1 << 19, 1 << 20), (20, 200)):  # one range; hundreds of ranges, blocks and units
         monkeypatch.setattr(lm, "RANGE_TOKENS", tokens_each, raising=False)
@@ -285,8 +286,6 @@ def test_lm_keeps_pairs_seen_once_in_any_number_of_ranges(spark, monkeypatch):
 
 
 def test_lm_empty_and_untrained(spark):
-    from pyspark.sql import functions as F
-
     assert lm.score(spark.createDataFrame([], SCHEMA), langid.held_out("doc_id", 7, 2)).collect() == []
     r = lm.score(frame(spark, [(1, None, *[None] * 7)]), F.lit(True)).collect()[0]
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) == (1, 0, 0, 0.0, 0.0)
@@ -508,3 +507,30 @@ def test_langid_windows_cover_each_word_and_cut_no_character():
     assert whole == [data[s:e].tobytes() for s, e in zip(start, end)]
     assert all(data[x:y].tobytes().decode() and 0 < y - x <= 98 for x, y in zip(a, b))
     assert [len(x) for x in langid.windows(data, start[:0], end[:0])] == [0, 0, 0]
+
+
+def test_lm_probabilities_add_up_to_one_at_most(spark):
+    """No score is above 0, and over all texts of one known token or none their probabilities add up to 1 at most."""
+    rng = random.Random(5)
+    vocab = prose(rng, 25, "abcdefghijkl")
+    texts = [" ".join(rng.choice(vocab[: 1 + rng.randrange(25)]) for _ in range(rng.randint(1, 30))) for _ in range(60)]
+    words = sorted({w for t in texts for w in t.split()})
+    rows = [(i, t, *[None] * 7) for i, t in enumerate(texts)]
+    probes = ["", *words, "never", *(f"{h} {t}" for h in words for t in words)]
+    rows += [(1000 + i, p, *[None] * 7) for i, p in enumerate(probes)]
+    out = {r["doc_id"]: r["score"] for r in lm.score(frame(spark, rows), F.col("doc_id") >= 1000).collect()}
+    assert all(s <= 0 for s in out.values())
+    # texts of two words at most are some of all texts
+    assert 0.05 < sum(10 ** out[1000 + i] for i in range(len(probes))) <= 1
+    lone = lm.score(spark.createDataFrame([(i, "", *[None] * 7) for i in range(4)], SCHEMA), F.lit(False)).collect()
+    assert all(r["score"] <= 0 for r in lone)
+
+
+def test_lm_mass_of_levels():
+    """Over any counts after a word: least counts of the levels over the most count of the sum's level."""
+    rng = np.random.default_rng(3)
+    level = lambda n: np.floor(np.log2(n)).astype(int) + 1
+    for _ in range(200):
+        n = rng.geometric(rng.random() * 0.9 + 0.05, rng.integers(1, 60))
+        assert lm.least_of(level(n)).sum() <= lm.most_of(level(n.sum())) and (lm.least_of(level(n)) <= n).all() and (lm.most_of(level(n)) >= n).all()
+    assert lm.least_of(np.array([0]))[0] == lm.most_of(np.array([0]))[0] == 0

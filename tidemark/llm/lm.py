@@ -3,7 +3,7 @@
 Counts of words and word pairs over all training documents are exact, and all of them go
 into the filter, pairs seen once too.  Each n-gram goes in once for every level up to
 1 + floor(log2(count)); probing levels until one is missing gives its count back, to a
-factor of two and never too small a level.
+factor of two and never too small a level: a level stands for counts from least_of() to most_of().
 
 Keys are cut into ranges by their upper bits, so many that the n-grams of a range come from
 RANGE_TOKENS tokens of text in the mean; each range has its own bits, BITS_EACH for a level.
@@ -14,6 +14,8 @@ levels back; corpora of every size take this way.
 
 score: sum over tokens of log10 p, p = w * c(h,t) / c(h) + (1 - w) * (c(t) + 1) / (N + V + 1),
 w = WEIGHT * c(h) / (c(h) + 4), all counts from the filter, h the token before (or the start).
+What is divided is the least count of its level, what divides the most, so the p of all tokens
+after one, known and unknown, add up to 1 at most (but for false hits), and no p exceeds 1.
 base_score takes exact counts: the HEAD most frequent words come by broadcast, all others
 through a join.
 
@@ -34,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import saved
+from .common import discard, saved
 
 #: Tokens of training text that a range of keys stands for in the mean, and that a unit of documents has (but for longer documents).
 RANGE_TOKENS = 1 << 19
@@ -76,8 +78,14 @@ def pair(before: np.ndarray, token: np.ndarray) -> np.ndarray:
     return K.mix(before * np.uint64(0xD6E8FEB86659FD93) + K.mix(token)) & KEY
 
 
+#: Fewer integers are sent as they are: a compressed frame would take more room and time.
+FRAME = 64
+
+
 def packed(values: np.ndarray) -> bytes:
     """Integers by planes of bytes, compressed; keys in order as their differences."""
+    if len(values) < FRAME:
+        return len(values).to_bytes(8, "little") + values.tobytes()
     if values.dtype == np.uint64:
         values = np.diff(values, prepend=np.uint64(0))
     planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T)
@@ -88,6 +96,8 @@ def unpacked(raw: pa.BinaryScalar, kind: type) -> np.ndarray:
     """What packed() was given, of that type."""
     raw, size = raw.as_buffer(), np.dtype(kind).itemsize
     n = int.from_bytes(raw[:8], "little")
+    if n < FRAME:
+        return np.frombuffer(raw[8:], kind)
     planes = np.frombuffer(CODEC.decompress(raw[8:], n * size), np.uint8).reshape(size, n)
     values = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
     return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
@@ -189,9 +199,14 @@ def places(key: np.ndarray, level: int, probe: int, bits: np.ndarray) -> np.ndar
     return (h >> np.uint64(32)) * bits >> np.uint64(32)
 
 
-def counts_of(level: np.ndarray) -> np.ndarray:
-    """The middle of the counts that a level stands for; 0 for level 0."""
-    return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
+def least_of(level: np.ndarray) -> np.ndarray:
+    """The least count that a level stands for; 0 for level 0."""
+    return np.where(level > 0, np.exp2(level - 1.0), 0.0)
+
+
+def most_of(level: np.ndarray) -> np.ndarray:
+    """The largest count that a level stands for; 0 for level 0."""
+    return np.exp2(np.asarray(level, float)) - 1
 
 
 def range_bits(key: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -358,11 +373,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
             logs = np.where(found, head_logs[place], 0.0) if len(head_keys) else np.zeros(len(distinct))
             base = np.bincount(owner, logs[at], n)
             have = found[at]
-            c = counts_of(level[np.searchsorted(key, distinct & KEY)])[at]
-            h = np.empty(len(at))
-            h[1:] = c[:-1]
+            mine = level[np.searchsorted(key, distinct & KEY)][at]
+            c, h = np.minimum(least_of(mine), total), np.empty(len(at))
+            h[1:] = most_of(mine[:-1])
             h[first[:-1]] = n_docs
-            seen = np.minimum(counts_of(level[np.searchsorted(key, both)]), np.maximum(h, 0))
+            seen = np.minimum(least_of(level[np.searchsorted(key, both)]), h)
             w = WEIGHT * h / (h + 4)
             p = w * seen / np.maximum(h, 1) + (1 - w) * (c + 1) / (total + known + 1)
             lists = np.concatenate(([0], np.cumsum(~have)))[first]
@@ -372,6 +387,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
     told = answers(made, built, ranges).groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("block", "levels"))).alias("told"))
     scored = saved(made.join(told, "unit").select(made.columns + ["told"]).mapInArrow(run, SCHEMA), "lm-scores")
+    discard(made)
     each = scored.select("uid", F.explode("rare").alias("key")).groupBy("uid", "key").agg(F.count("*").alias("times"))
     rare = each.join(words.select("key", "n"), "key").groupBy("uid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(float(np.log10(total + known + 1)))
