@@ -195,6 +195,8 @@ def lexicon(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, mos
     discard(counts)
     raw = compiled(entries)
     name = f"tidemark-lexicon-{hashlib.sha256(raw).hexdigest()[:24]}"
+    if any(f.endswith(f"/{name}") for f in docs.sparkSession.sparkContext.listFiles):
+        return name
     where = os.path.join(tempfile.mkdtemp(prefix="tidemark-lexicon-"), name)  # the driver's own; executors get it from the session
     with open(where, "wb") as f:
         f.write(raw)
