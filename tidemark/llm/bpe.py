@@ -23,10 +23,13 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import os
 import re
+import struct
 import tempfile
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +46,14 @@ VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Words of the lexicon at most, and the bytes that each may have: so its file has a fixed bound, too.
 LEXICON_WORDS, LEXICON_BYTES = 1 << 16, 48
 #: Distinct words or chunks that a task keeps at once.
-KEPT = 1 << 17
+KEPT = 1 << 18
 _ASCII = re.compile(rb"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
-#: The split rule that _ASCII stands for on ASCII text in lower case, and the normalisation before it: fixed values of the vocabulary.
+#: Latin letters with marks that are composed already, each with one lower-case form: normal by themselves.
+_LATIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-įĲ-ſ]*")
+_LATIN_WORDS = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ſ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ſ]+")
+#: Words of more symbols are merged by a heap of pairs, shorter ones by a scan.
+SCANNED = 64
+#: The split rule that _ASCII and _LATIN_WORDS stand for on such text in lower case, and the normalisation before it: fixed values of the vocabulary.
 _RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMAL = ["NFC", "Replace", "Lowercase"]
 
@@ -71,10 +79,12 @@ class Vocabulary:
         ids, names, end = model["vocab"], _byte_names(), model["end_of_word_suffix"]
         self.inner = [ids[c] for c in names]
         self.last = [ids[c + end] for c in names]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}  # of pairs of ids
+        self.made = []  # what a pair of a rank becomes
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault(ids[a] << 32 | ids[b], (rank, ids[a + b]))
+            self.ranks.setdefault(ids[a] << 32 | ids[b], rank)
+            self.made.append(ids[a + b])
         special = {t["content"].encode(): t["id"] for t in file["added_tokens"]}
         self.special = {s: np.uint32(i).tobytes() for s, i in special.items()}
         self.find_special = re.compile(b"|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) or rb"(?!)")
@@ -92,32 +102,50 @@ class Vocabulary:
         """The words of a chunk that is no special token, normalised."""
         if chunk.isascii():
             return _ASCII.findall(chunk.lower())
-        return [w.encode() for w, _ in self._split.pre_tokenize_str(self._normal.normalize_str(chunk.decode(errors="replace")))]
+        text = chunk.decode(errors="replace")
+        if _LATIN.fullmatch(text):
+            return [w.encode() for w in _LATIN_WORDS.findall(text.lower())]
+        return [w.encode() for w, _ in self._split.pre_tokenize_str(self._normal.normalize_str(text))]
 
     def merged(self, word: bytes) -> bytes:
         """Ids of a word: of the pairs that merge, the one of least rank and then leftmost, until none is left."""
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
-        n, merges = len(ids), self.merges
+        out = self._scanned(ids) if len(ids) <= SCANNED else self._heaped(ids)
+        return struct.pack(f"<{len(out)}I", *out)
+
+    def _scanned(self, ids: list[int]) -> list[int]:
+        rank, none = self.ranks.get, len(self.made)
+        ranks = [rank(a << 32 | b, none) for a, b in itertools.pairwise(ids)]
+        while ranks and (least := min(ranks)) != none:
+            i = ranks.index(least)
+            ids[i : i + 2] = [new] = [self.made[least]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = rank(new << 32 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = rank(ids[i - 1] << 32 | new, none)
+        return ids
+
+    def _heaped(self, ids: list[int]) -> list[int]:
+        n, rank = len(ids), self.ranks.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            if rule := merges.get(ids[i] << 32 | ids[i + 1]):
-                heap.append((rule[0], i, rule[1]))
+        heap = [(r, i) for i, (a, b) in enumerate(itertools.pairwise(ids)) if (r := rank(a << 32 | b)) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, new = heapq.heappop(heap)
+            least, i = heapq.heappop(heap)
             j = after[i] if ids[i] >= 0 else n
-            if j >= n or (rule := merges.get(ids[i] << 32 | ids[j])) is None or rule[1] != new:
+            if j >= n or rank(ids[i] << 32 | ids[j]) != least:
                 continue  # one of the two has gone into another pair
-            ids[i], ids[j] = new, -1
+            new = ids[i] = self.made[least]
+            ids[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if rule := merges.get(new << 32 | ids[k]):
-                    heapq.heappush(heap, (rule[0], i, rule[1]))
-            if (h := before[i]) >= 0 and (rule := merges.get(ids[h] << 32 | new)):
-                heapq.heappush(heap, (rule[0], h, rule[1]))
-        return np.array([i for i in ids if i >= 0], np.uint32).tobytes()
+                if (r := rank(new << 32 | ids[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank(ids[h] << 32 | new)) is not None:
+                heapq.heappush(heap, (r, h))
+        return [i for i in ids if i >= 0]
 
 
 @functools.lru_cache(2)
@@ -152,7 +180,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY)
     shared = _shared(docs, path)
 
     def run(batches):
-        vocabulary, counts, split = _vocabulary(shared.value), {}, {}
+        vocabulary, counts = _vocabulary(shared.value), Counter()
 
         def flush():
             words: dict[bytes, int] = {}
@@ -165,8 +193,7 @@ def word_counts(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY)
 
         for batch in batches:
             for _, chunks in _rows(vocabulary, batch.column(0)):
-                for c in chunks:
-                    counts[c] = counts.get(c, 0) + 1
+                counts.update(chunks)
                 if len(counts) > KEPT:
                     yield flush()
         yield flush()
@@ -204,8 +231,9 @@ def lexicon(docs: DataFrame, text_col: str = "text", path: str = VOCABULARY, mos
     return name
 
 
-def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str = VOCABULARY, lexicon_name: str | None = None) -> DataFrame:
-    """docs with the ids of each text, little-endian unsigned 32-bit integers as bytes, after its columns."""
+def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str = VOCABULARY, lexicon_name: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs (its columns ``keep``, or all) with the ids of each text, little-endian unsigned 32-bit integers as bytes, after its columns."""
+    kept = docs.columns if keep is None else keep
     name, shared = lexicon_name or lexicon(docs, text_col, path), _shared(docs, path)
 
     def run(batches):
@@ -224,13 +252,13 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
                 known[c] = b"".join([ids[w] for w in ws])
 
         for batch in batches:
-            texts, out = batch.column(batch.schema.get_field_index(text_col)), [[] for _ in range(batch.num_rows)]
+            texts, out = batch.column(batch.num_columns - 1), [[] for _ in range(batch.num_rows)]
             waiting, new = [], set()
 
             def settle(waiting=waiting, new=new, out=out):
                 learn(new)
                 for row, chunks in waiting:
-                    out[row].append(b"".join([known[c] for c in chunks]))
+                    out[row].append(b"".join(map(known.__getitem__, chunks)))
                 waiting.clear()
                 new.clear()
                 if len(known) > KEPT:
@@ -241,15 +269,15 @@ def encode(docs: DataFrame, text_col: str = "text", ids_col: str = "ids", path:
             held = 0
             for row, chunks in _rows(vocabulary, texts):
                 waiting.append((row, chunks))
-                new.update(c for c in chunks if c not in known)
+                new.update(set(chunks).difference(known))
                 held += len(chunks)
                 if held > 1 << 16:
                     settle()
                     held = 0
             settle()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([b"".join(x) for x in out], pa.binary())], [*batch.schema.names, ids_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([b"".join(x) for x in out], pa.binary())], [*kept, ids_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(ids_col, T.BinaryType())]))
+    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, T.StructType([*(docs.schema[c] for c in kept), T.StructField(ids_col, T.BinaryType())]))
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded", path: str = VOCABULARY) -> DataFrame:
@@ -258,9 +286,17 @@ def decode(encoded: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded
 
     def run(batches):
         tokens = _vocabulary(shared.value).tokens
+        table = [tokens.get(i) for i in range(max(tokens) + 1)]
+        holes = None in table
+
+        def joined(ids: bytes | None) -> bytes:
+            numbers = np.frombuffer(ids or b"", np.uint32)
+            if holes or numbers.max(initial=0) >= len(table):
+                return b" ".join([t for i in numbers.tolist() if (t := tokens.get(i)) is not None])
+            return b" ".join(map(table.__getitem__, numbers.tolist()))
+
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index(ids_col))
-            out = [b" ".join([t for i in np.frombuffer(x or b"", np.uint32).tolist() if (t := tokens.get(i)) is not None]).decode() for x in ids.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, decoded_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([joined(x) for x in ids.to_pylist()], pa.binary()).cast(pa.string())], [*batch.schema.names, decoded_col])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(decoded_col, T.StringType())]))

@@ -76,8 +76,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))
-    both = bpe.decode(ids.select("doc_id", "ids"))
+    both = bpe.decode(bpe.encode(documents(spark, sf_dir), keep=["doc_id"]))
     return both.select("doc_id", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
