@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,7 +175,8 @@ def test_components(spark, seed, k, at_least):
     assert got == brute_components(rows, k, at_least)
 
 
-def test_components_in_a_large_group(spark):
+@pytest.mark.parametrize("crowd", [256, 1, 0])
+def test_components_in_a_large_group(spark, monkeypatch, crowd):
     """Many near copies of one text, few of which reach the threshold with the first: no link may be lost."""
     import random
 
@@ -186,10 +188,26 @@ def test_components_in_a_large_group(spark):
         for _ in range(rng.randint(1, 9)):
             w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
         rows.append((d, " ".join(w), *[None] * 7))
+    monkeypatch.setattr(minhash, "CROWD", crowd)  # in pairs; in blocks
     got = {r[0]: tuple(r)[1:] for r in minhash.components(frame(spark, rows), k=3, at_least=85).collect()}
     assert got == brute_components(rows, 3, 85)
 
 
+def test_prefixes_bring_every_similar_pair_together(spark):
+    rng = random.Random(5)
+    sets = []
+    for i in range(120):
+        own = set(rng.sample(range(400), 30)) if i % 4 == 0 else set(rng.sample(sorted(own), 30 - rng.randint(0, 3))) | set(rng.sample(range(400), rng.randint(0, 3)))
+        sets.append((i, i, len(own), np.sort(np.array(sorted(own), np.uint64)).tobytes(), own))
+    df = spark.createDataFrame([r[:4] for r in sets], "id long, s long, n long, set binary")
+    keys = {}
+    for r in minhash.prefixes(df, 85, 100).collect():
+        keys.setdefault(r["id"], set()).add(r["key"])
+    pairs = [(a, b) for a in range(120) for b in range(a) if 100 * len(sets[a][4] & sets[b][4]) >= 85 * len(sets[a][4] | sets[b][4])]
+    assert len(pairs) > 20 and all(keys[a] & keys[b] for a, b in pairs)
+    assert max(len(k) for k in keys.values()) <= 6
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], SCHEMA)
     for df in (debruijn.remove_repeats(docs), suffix_dedup.remove_repeated(docs), line_dedup.remove_boilerplate(docs), minhash.components(docs)):

@@ -15,8 +15,9 @@ Equal sets are one class.  No group is expanded into its pairs:
    each bucket, by one pair at most for a member and a foreign component.
 3. What is open then is settled on full sets.  A shingle that no other open document has
    can't be shared; documents with too many of those are out (two aggregations of shingles).
-   The others of a bucket meet in blocks, strays of its main component against all its
-   members, and a block gives out only the links that join two components, a forest.
+   The others meet where they share one of their rarest shingles, of which two sets of the
+   similarity have one in common: as pairs, or, where more than CROWD documents have a shingle
+   among their rarest, in blocks that give out a forest of links.
 
 Each step's links are contracted to the components known before it.  So no link between
 different components is lost for the size of its bucket; a pair that shares no band, or whose
@@ -52,6 +53,8 @@ SLACK = 5.0
 #: Members, and shingles, of a side of a block in the last step (one larger set is a side of its own).
 BLOCK = 1024
 BLOCK_SHINGLES = 1 << 18
+#: Sets that have a shingle among their rarest; those of a shingle that more have meet in blocks, not in pairs.
+CROWD = 256
 
 
 def band_size(share: float) -> int:
@@ -324,6 +327,38 @@ def met(members: DataFrame, at_least: int, of: int) -> DataFrame:
     return blocks.select("members").mapInArrow(_meet(at_least, of), "u long, v long").distinct()
 
 
+def prefixes(sets: DataFrame, at_least: int, of: int) -> DataFrame:
+    """(key, id, n): for each set its rarest shingles, so many that two sets that reach the similarity have one of them in common.
+
+    Of n shingles at_least * n / of must be common at least, so all but that many, and one more,
+    suffice; shingles are ranked by how many of the sets have them, those in no other set left out.
+    """
+    each = saved(sets.select("s", "n", "set").mapInArrow(_shingles, "shingle long, s long"), "open-shingles")
+    known = each.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = each.join(known, "shingle").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("k", "shingle"))).alias("all"))  # a set's own shingles
+    room = F.col("n") - F.ceil(F.col("n") * at_least / of).cast("long") + 1 - (F.col("n") - F.size("all"))  # those left out are the rarest
+    cut = ranked.join(sets.select("s", "id", "n"), "s").select("id", "n", F.slice("all", F.lit(1), F.greatest(room, F.lit(0)).cast("int")).alias("first"))
+    return cut.select("id", "n", F.explode("first.shingle").alias("key")).distinct()
+
+
+def open_links(sets: DataFrame, comps: DataFrame, reps: DataFrame, at_least: int, of: int) -> DataFrame:
+    """(u, v): components linked by sets (id, s, n, set) that are left after the pivots.
+
+    Sets meet where they share one of their rarest shingles (prefixes), as pairs of ids that
+    sketches thin out before any set moves.  A shingle that is among the rarest of more than
+    CROWD sets has its sets meet in blocks.
+    """
+    placed = saved(prefixes(sets, at_least, of).join(comps, "id"), "prefixes")
+    keys = saved(placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("k")).where("c0 < c1").select("key", "k"), "prefix-keys")
+    few = placed.join(keys.where(F.col("k") <= CROWD).select("key"), "key")
+    a, b = (few.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "n", "component"))) for x in "ab")
+    fits = of * F.least("n_a", "n_b") >= at_least * F.greatest("n_a", "n_b")
+    pairs = a.join(b, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
+    pairs = pairs.groupBy(F.col("id_b").alias("id"), F.col("id_a").alias("pivot")).agg(F.first("component_b").alias("u"), F.first("component_a").alias("v"))
+    crowded = placed.join(keys.where(F.col("k") > CROWD).select("key"), "key").select("key", "id", "component")
+    return links(pairs, reps, sets, at_least, of).unionByName(met(crowded.join(sets.select("id", "n", "set"), "id"), at_least, of))
+
+
 def mixed(placed: DataFrame, more_than: int) -> DataFrame:
     """Rows (key, id, component) of buckets with several components and more than so many members."""
     keys = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("k")).where((F.col("c0") < F.col("c1")) & (F.col("k") > more_than)).select("key")
@@ -370,10 +405,9 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             comps = every.select("id", F.col("id").alias("component"))
         comps = contracted(comps, more)
         now = mixed(buckets.join(comps, "id").select("key", "id", "component"), 2)
-    discard(reps)
     open_sets = saved(hopeful(sets.join(now.select("id").distinct(), "id", "left_semi"), at_least, of), "open-sets")
-    open_buckets = mixed(now.join(open_sets.select("id").distinct(), "id", "left_semi"), 1)
-    comps = contracted(comps, saved(met(open_buckets.join(open_sets.select("id", "n", "set"), "id"), at_least, of), "links"))
+    comps = contracted(comps, saved(open_links(open_sets, comps, reps, at_least, of), "links"))
+    discard(reps)
 
     out = placed.join(comps.select(F.col("id").alias("class"), "component"), "class", "left")
     component = F.when(F.col("class").isNotNull(), F.coalesce("component", "class")).otherwise(F.col("id"))
