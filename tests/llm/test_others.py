@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -534,3 +535,23 @@ def test_lm_mass_of_levels():
         n = rng.geometric(rng.random() * 0.9 + 0.05, rng.integers(1, 60))
         assert lm.least_of(level(n)).sum() <= lm.most_of(level(n.sum())) and (lm.least_of(level(n)) <= n).all() and (lm.most_of(level(n)) >= n).all()
     assert lm.least_of(np.array([0]))[0] == lm.most_of(np.array([0]))[0] == 0
+
+
+def test_decontamination_of_a_beginning_that_all_items_share():
+    """A document with the shared beginning alone has no match and costs no edit distances; one with a whole item has that one."""
+    rng = random.Random(1)
+    some = lambda n: ["".join(rng.choice("abcdefghijklmnopq") for _ in range(6)) for _ in range(n)]
+    head = some(40)
+    block = decontaminate.Items(list(range(300)), [" ".join(head + some(20)) for _ in range(300)])
+    words = block.words
+    item = " ".join(head + some(20))
+    block = decontaminate.Items(list(range(301)), [*(" ".join(head + some(20)) for _ in range(300)), item])
+    edited = item.split()
+    for at in (3, 17, 44, 52):
+        edited[at] = "changed"
+    texts = [" ".join(some(150) + head + some(150)), " ".join(some(90) + [item] + some(40)), " ".join(some(30) + edited), " ".join(some(60))]
+    data, at = np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0].encode())])
+    own, first = decontaminate.item_words(data, at)
+    found = block.candidates(own, first)
+    assert len(words) == 300 * 60 and len(found[0]) > 1000 and not decontaminate._chosen(block, *found, own, first, 0.2)
+    assert decontaminate._best_matches(block, pa.array(texts), 0.2) == {(1, 300): (0, 90, 60), (2, 300): (4, 30, 60)}

@@ -186,6 +186,36 @@ def edit_distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+#: Pairs of an item and a place that a row may have before its items are looked through for those that it can't hold.
+FEW = 16
+
+
+def possible(block: Items, items: np.ndarray, words: np.ndarray, share: float) -> np.ndarray:
+    """Which of the items have as many of their words among these as an edited item must keep."""
+    first, size = block.first[items], np.diff(block.first)[items]
+    held = np.isin(block.words[K.spread(first, size)], words)
+    return np.add.reduceat(held, np.cumsum(size) - size, dtype=np.int64) >= size - (share * size).astype(np.int64)
+
+
+def _chosen(block: Items, item: np.ndarray, place: np.ndarray, words: np.ndarray, first: np.ndarray, share: float) -> list[tuple[int, int, int]]:
+    """Distinct (row, item, place) that are worth an edit distance."""
+    if not len(item):
+        return []
+    # a place belongs to the row that holds most of it
+    owner = np.clip(np.searchsorted(first, place + np.diff(block.first)[item] // 2, side="right") - 1, 0, len(first) - 2)
+    order = np.lexsort((place, item, owner))
+    owner, item, place = owner[order], item[order], place[order]
+    new = np.append(True, (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (place[1:] != place[:-1]))
+    owner, item, place = owner[new], item[new], place[new]
+    cut = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner))
+    keep = np.ones(len(owner), bool)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if b - a > FEW:  # such as a beginning that many items share
+            some, back = np.unique(item[a:b], return_inverse=True)
+            keep[a:b] = possible(block, some, words[first[owner[a]] : first[owner[a] + 1]], share)[back]
+    return np.stack([owner, item, place])[:, keep].T.tolist()
+
+
 SCHEMA = "doc_id long, item_id long, item_words int, edits int, start int, size int"
 _NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
@@ -199,9 +229,7 @@ def _best_matches(block: Items, texts: pa.Array, share: float) -> dict[tuple[int
         base = 0 if row != last or not before else base
         last = row
         item, place = block.candidates(words, first)
-        # a place belongs to the row that holds most of it
-        owner = np.clip(np.searchsorted(first, place + np.diff(block.first)[item] // 2, side="right") - 1, 0, len(at) - 2)
-        for r, i, p in np.unique(np.stack([owner, item, place]), axis=1).T.tolist() if len(item) else ():
+        for r, i, p in _chosen(block, item, place, words, first, share):
             mine = block.words[block.first[i] : block.first[i + 1]]
             most, had, low, high = int(share * len(mine)), best.get((row + r, i)), int(first[r]), int(first[r + 1])
             if had and had[0] == 0:
