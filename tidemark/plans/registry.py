@@ -32,7 +32,7 @@ def query(name: str, sql: str | None, *uses: str):
 
 
 def _load() -> None:
-    from . import q_aggregates, q_contracts, q_dedup, q_filters, q_inspector, q_joins, q_ranking, q_rules, q_sessions, q_streams, q_text, q_tracking  # noqa: F401
+    from . import q_aggregates, q_chunkers, q_contracts, q_dedup, q_filters, q_inspector, q_joins, q_ranking, q_rules, q_sessions, q_streams, q_text, q_tracking  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
