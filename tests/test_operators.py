@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import components, dedup, filters, graph, joins, ranking, rules, tracking
+from tidemark.operators import components, dedup, filters, graph, joins, packing, ranking, rules, tracking
 from tidemark.sources import files, sinks
 from tidemark.streaming import streams
 
@@ -226,6 +226,34 @@ def test_pack_batches(spark):
     assert [n for _, n in found(packed, "id", packed.columns[-1])] == [0, 0, 1, 2, 2, 3]
 
 
+def brute_packing(sizes, max_bytes, max_rows):
+    out, used, n, batch = [], 0, 0, 0
+    for b in sizes:
+        if n and (used + b > max_bytes or n >= max_rows):
+            batch, used, n = batch + 1, 0, 0
+        used, n = used + b, n + 1
+        out.append(batch)
+    return out
+
+
+@pytest.mark.parametrize(("block", "fan", "n"), [(8, 2, 700), (16, 3, 300), (4096, 64, 9000)])
+def test_packing_by_blocks_equals_the_fold(spark, monkeypatch, block, fan, n):
+    monkeypatch.setattr(packing, "BLOCK", block)
+    monkeypatch.setattr(packing, "FAN", fan)
+    rng = random.Random(n)
+    rows = [(g, i, rng.choice([0, 1, 3, 9, 25, None]), "x") for g, many in (("hot", n), ("b", 5), ("one", 1), (None, 40), ("edge", 2 * block)) for i in range(many)]
+    df = spark.createDataFrame(rows, "by string, id long, bytes int, batches string").repartition(5)
+    for max_rows in (1, 5, 7):
+        got = sinks.pack_batches(df, "by", "id", "bytes", 20, max_rows)
+        assert got.columns == [*df.columns, "batch"]
+        want = []
+        for g in ("hot", "b", "one", None, "edge"):
+            mine = [r for r in rows if r[0] == g]
+            want += [(*r, k) for r, k in zip(mine, brute_packing([r[2] or 0 for r in mine], 20, max_rows))]
+        assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
+    assert sinks.pack_batches(df.limit(0), "by", "id", "bytes", 20, 3).collect() == []
+
+
 def test_scan_of_a_directory(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("x = 1\n")

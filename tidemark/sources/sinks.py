@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.packing import pack_batches  # noqa: F401
 from ..shared import new_path
 
 
@@ -29,32 +29,6 @@ def content_store(rows: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return hashed.groupBy("hash").agg(F.first(text).alias(text)), hashed.drop(text)
 
 
-def pack_batches(rows: DataFrame, by: str, order: str, size: str, max_bytes: int, max_rows: int = 128) -> DataFrame:
-    """rows with a batch number within their ``by``: greedy, in order; a batch never exceeds its bytes or rows (a larger row is alone).
-
-    The budget starts anew with each batch, so this is a fold in order, one ``by`` in a task at a
-    time; ``by`` is an upload unit (a file, a partition of the index), not the whole table.
-    """
-
-    def fold(parts):
-        # batches of one group arrive in order; the fold carries on from one to the next
-        batch, used, n = 0, 0, 0
-        for pdf in parts:
-            out = []
-            for b in pdf[size]:
-                if n and (used + b > max_bytes or n >= max_rows):
-                    batch, used, n = batch + 1, 0, 0
-                used, n = used + b, n + 1
-                out.append(batch)
-            yield pdf.assign(batch=out)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return next(fold([pdf.sort_values(order, kind="stable")]), pdf.assign(batch=0))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", batch int"
-    return rows.groupBy(by).applyInPandas(run, schema)
-
-
 class Versions:
     """A table of immutable generations with a pointer to the current one.
 
