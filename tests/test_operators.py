@@ -3,6 +3,7 @@
 import difflib
 import itertools
 import json
+import math
 import random
 import re
 
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import components, dedup, filters, graph, joins, packing, ranking, rules, tracking
+from tidemark.operators import aggregates, components, dedup, filters, graph, joins, packing, ranking, rules, tracking
 from tidemark.sources import files, sinks
 from tidemark.streaming import streams
 
@@ -226,6 +227,83 @@ def test_pack_batches(spark):
     assert [n for _, n in found(packed, "id", packed.columns[-1])] == [0, 0, 1, 2, 2, 3]
 
 
+def test_of_two_publishers_one_fails(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    table = sinks.Versions(spark)
+    table.publish(spark.range(1))
+    seen = table.number()
+
+    def publish(n):
+        try:
+            table.publish(spark.range(n), n, observed=seen)
+            return n
+        except sinks.Conflict:
+            return None
+
+    with ThreadPoolExecutor(4) as pool:
+        won = [n for n in pool.map(publish, (2, 3, 4, 5)) if n]
+    assert len(won) == 1 and table.current().count() == won[0] and table.number() == seen + 1
+    with pytest.raises(sinks.Conflict):
+        table.publish(spark.range(7), observed=seen)
+    # a publisher that claimed the next number and died
+    assert table._claim(table.number() + 1)
+    with pytest.raises(sinks.Conflict):
+        table.publish(spark.range(8))
+    table.recover()
+    table.publish(spark.range(8))
+    assert table.current().count() == 8
+
+
+@pytest.mark.parametrize("most", [4096, 5])
+def test_exact_quantiles(spark, monkeypatch, most):
+    monkeypatch.setattr(aggregates, "SORTED", most)
+    rng = random.Random(1)
+    rows = [(g, v) for g, many in (("hot", 3000), ("few", 3), (None, 41)) for v in [rng.choice([rng.gauss(0, 1e6), 7.0, -7.25, rng.random() * 1e-9]) for _ in range(many)]]
+    rows += [("none", None), ("same", 4.5), ("same", 4.5), ("hot", None)]
+    shares = {"least": 0.0, "p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["g"]: tuple(r)[1:] for r in aggregates.exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(4), "g", "v", shares).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        want[g] = tuple(v[max(math.ceil(len(v) * s - 1e-9), 1) - 1] if v else None for s in shares.values())
+    assert got == want
+    whole = spark.createDataFrame([(1, i * i) for i in range(200)], "g int, v long")
+    assert aggregates.exact_quantiles(whole, "g", "v", {"m": 0.5}).first()["m"] == 99 * 99
+
+
+def brute_remap(line, hunks):
+    shift = 0
+    for start, count, new, body in sorted(hunks):
+        if count and start <= line < start + count:
+            old, at = start, new
+            for x in body:
+                if x[0] != "+" and old == line:
+                    return at
+                old, at = old + (x[0] != "+"), at + (x[0] != "-")
+        if start + max(count, 1) <= line:
+            shift += sum(x[0] == "+" for x in body) - sum(x[0] == "-" for x in body)
+    return line + shift
+
+
+def test_remap_through_hunks_of_any_shape(spark):
+    rng = random.Random(2)
+    hunks, lines = [], [(0, "untouched", 5)]
+    for path in "abc":
+        at = shift = 0
+        for _ in range(9):
+            at += rng.randint(1, 6)
+            body = [rng.choice(" -+") + "x" for _ in range(rng.randint(1, 7))]
+            count = sum(x[0] != "+" for x in body)
+            at -= count == 0  # an insertion is named by the line before it
+            hunks.append((path, at, count, at + shift + (count == 0), body))
+            shift += sum(x[0] == "+" for x in body) - sum(x[0] == "-" for x in body)
+            at += max(count, 1)
+        lines += [(len(lines) + i, path, line) for i, line in enumerate([*range(1, at + 5)] * 2)]
+    got = dict(found(tracking.remap(spark.createDataFrame(lines, "id long, path string, line int"), spark.createDataFrame(hunks, "path string, old_start int, old_count int, new_start int, lines array<string>")), "id", "new_line"))
+    assert got == {i: brute_remap(line, [h[1:] for h in hunks if h[0] == p]) for i, p, line in lines}
+
+
 def brute_packing(sizes, max_bytes, max_rows):
     out, used, n, batch = [], 0, 0, 0
     for b in sizes:

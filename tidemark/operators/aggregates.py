@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 #: Fixed values.
 CATEGORIES = ["security", "performance", "quality", "bug_risk", "style", "documentation", "best_practices", "error_handling", "testing", "architecture"]
 SEVERITY_RANK = {"HIGH": 1, "MEDIUM": 2, "LOW": 3}
@@ -215,3 +217,45 @@ def merkle(rows: DataFrame, id_col: str, digest: str, *by: str) -> DataFrame:
     """Order-independent digest of members, each framed by its length."""
     frame = F.concat(F.length(F.col(id_col).cast("string")).cast("string"), F.lit(":"), F.col(id_col).cast("string"), F.lit("="), F.col(digest))
     return digest_tree(rows, frame, *by)
+
+
+#: Values of a group that are sorted together at the end, and the parts that an interval is cut into before.
+SORTED, PARTS = 4096, 256
+
+
+def exact_quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """by, and for each name the value of rank ceil(share * n) of the group's n values (nulls apart; null if there are none); for numbers.
+
+    Selection by counting: the interval that holds a rank is cut into PARTS, the part that holds
+    it is found by counts, and so on, until it has SORTED values at most or is one value.  So a
+    group of any size is never held or sorted as a whole.
+    """
+    kind = rows.schema[value].dataType
+    v = rows.select(F.col(by).alias("g"), F.col(value).alias("v")).where("v is not null")
+    ends = v.groupBy("g").agg(F.count("*").alias("n"), F.min("v").cast("double").alias("low"), F.max("v").cast("double").alias("high"))
+    ranks = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.ceil(F.col("n") * share - 1e-9), F.lit(1)).alias("rank")) for name, share in shares.items())))
+    # the rank counts from the first value of the interval [low, high]
+    open_ = saved(ends.select("g", "low", "high", "n", ranks.alias("r")).select("g", "low", "high", "n", "r.name", "r.rank"), "quantiles")
+    done = []
+    while True:
+        small = (F.col("n") <= SORTED) | (F.col("low") == F.col("high"))
+        done.append(open_.where(small))
+        open_ = saved(open_.where(~small), "quantiles")
+        if open_.isEmpty():
+            break
+        d = F.col("v").cast("double")
+        met = v.join(open_.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g")) & d.between(F.col("low"), F.col("high")))
+        part = F.least(F.floor((d - F.col("low")) / (F.col("high") - F.col("low")) * PARTS), F.lit(PARTS - 1))
+        counts = met.groupBy("g", "name", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min(d).alias("low"), F.max(d).alias("high"))
+        before = F.sum("n").over(Window.partitionBy("g", "name").orderBy("part")) - F.col("n")  # PARTS rows at most
+        found = counts.withColumn("before", before).where((F.col("rank") > F.col("before")) & (F.col("rank") <= F.col("before") + F.col("n")))
+        open_ = saved(found.select("g", "low", "high", "n", "name", (F.col("rank") - F.col("before")).alias("rank")), "quantiles")
+    last = done[0]
+    for more in done[1:]:
+        last = last.unionByName(more)
+    one = last.where("low = high").select("g", "name", F.col("low").cast(kind).alias("v"))
+    few = v.join(last.where("low < high").withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g")) & F.col("v").cast("double").between(F.col("low"), F.col("high")))
+    few = few.withColumn("at", F.row_number().over(Window.partitionBy("g", "name").orderBy("v"))).where(F.col("at") == F.col("rank")).select("g", "name", "v")
+    picked = one.unionByName(few).groupBy("g").agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
+    groups = rows.select(F.col(by).alias("_g")).distinct()
+    return groups.join(picked, F.col("g").eqNullSafe(F.col("_g")), "left").select(F.col("_g").alias(by), *shares)

@@ -167,12 +167,14 @@ def occurrences(text: Column, term: Column) -> Column:
 
 
 def tiers(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """rows (tier, …): tier 1 whole; of tier 2 the first 16 and what tier 1 left of 64; of tier 3 the first 8 and what tier 2 left."""
-    counts = rows.agg(*[F.count(F.when(F.col("tier") == t, 1)).alias(f"_n{t}") for t in (1, 2)])
-    r = rows.withColumn("_r", F.row_number().over(Window.partitionBy("tier").orderBy(*order))).join(F.broadcast(counts), F.lit(True))
-    two = 16 + F.greatest(64 - F.col("_n1"), F.lit(0))
-    three = 8 + F.greatest(two - F.col("_n2"), F.lit(0))
-    return r.where((F.col("tier") == 1) | ((F.col("tier") == 2) & (F.col("_r") <= two)) | ((F.col("tier") == 3) & (F.col("_r") <= three))).drop("_r", "_n1", "_n2")
+    """rows (tier, …): tier 1 whole; of tier 2 the first 16 and what tier 1 left of 64; of tier 3 the first 8 and what tier 2 left.
+
+    The counts come first, then each tier is a bounded top-n, so none is sorted in one task.
+    """
+    one, two = rows.agg(*[F.count(F.when(F.col("tier") == t, 1)) for t in (1, 2)]).first()
+    room = 16 + max(64 - one, 0)
+    first = lambda tier, n: rows.where(F.col("tier") == tier).orderBy(*order).limit(n)
+    return rows.where("tier = 1").unionByName(first(2, room)).unionByName(first(3, 8 + max(room - two, 0)))
 
 
 def completeness(parts: dict[str, float], types: dict[str, str]) -> Column:

@@ -108,23 +108,24 @@ def remap(lines: DataFrame, hunks: DataFrame) -> DataFrame:
     """lines (id, path, line) of the old file, hunks (path, old_start, old_count, new_start, lines) of the diff: the new line.
 
     Outside hunks a line moves by the difference of all hunks before it; inside, it goes with the
-    hunk's lines, and a deleted one to the next that survives.
+    hunk's lines, and a deleted one to the next that survives.  Hunks become a map of their old
+    lines and running sums of their shifts; the distinct lines of a file and the ends of its
+    hunks are read once, in order, so no line meets all hunks of its file.
     """
-    plus = F.size(F.filter("lines", lambda x: F.startswith(x, F.lit("+"))))
-    minus = F.size(F.filter("lines", lambda x: F.startswith(x, F.lit("-"))))
-    h = hunks.select("path", "old_start", "old_count", "new_start", "lines", (plus - minus).alias("shift"), (F.col("old_start") + F.greatest("old_count", F.lit(1)) - 1).alias("old_end"))
-    pairs = lines.join(h, "path", "left")
-    before = F.when(F.col("old_end") < F.col("line"), F.col("shift")).otherwise(0)
-    inside = (F.col("line") >= F.col("old_start")) & (F.col("line") <= F.col("old_end")) & (F.col("old_count") > 0)
-    step = lambda a, x: (
-        F.when(F.startswith(x, F.lit("+")), F.struct(a["old"].alias("old"), (a["new"] + 1).alias("new"), a["at"].alias("at")))
-        .when(F.startswith(x, F.lit("-")), F.struct((a["old"] + 1).alias("old"), a["new"].alias("new"), F.when((a["old"] == F.col("line")) & (a["at"] < 0), a["new"]).otherwise(a["at"]).alias("at")))
-        .otherwise(F.struct((a["old"] + 1).alias("old"), (a["new"] + 1).alias("new"), F.when((a["old"] == F.col("line")) & (a["at"] < 0), a["new"]).otherwise(a["at"]).alias("at")))
-    )
-    start = F.struct(F.col("old_start").cast("int").alias("old"), F.col("new_start").cast("int").alias("new"), F.lit(-1).alias("at"))
-    walked = F.aggregate("lines", start, step)["at"]
-    out = pairs.groupBy("id", "line").agg(F.sum(before).alias("shift"), F.max(F.when(inside, walked)).alias("in_hunk"))
-    return out.select("id", F.coalesce(F.col("in_hunk"), F.col("line") + F.coalesce("shift", F.lit(0))).cast("long").alias("new_line"))
+    starts = lambda mark: F.size(F.filter("lines", lambda x: F.startswith(x, F.lit(mark))))
+    h = hunks.select("path", "old_start", "old_count", "new_start", "lines", (starts("+") - starts("-")).alias("shift"), (F.col("old_start") + F.greatest("old_count", F.lit(1))).alias("after"))
+    ends = h.groupBy("path", "after").agg(F.sum("shift").alias("shift"))
+    sums = ends.select("path", "after", F.sum("shift").over(Window.partitionBy("path").orderBy("after")).alias("moved"))
+    body = h.where("old_count > 0").select("path", "old_start", "new_start", F.posexplode("lines").alias("p", "x"))
+    earlier = Window.partitionBy("path", "old_start", "new_start").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)  # a hunk
+    before = lambda mark: F.coalesce(F.sum(F.when(F.startswith("x", F.lit(mark)), 0).otherwise(1)).over(earlier), F.lit(0))
+    inside = body.select("path", "x", (F.col("old_start") + before("+")).alias("line"), (F.col("new_start") + before("-")).alias("in_hunk")).where(~F.startswith("x", F.lit("+"))).groupBy("path", "line").agg(F.max("in_hunk").alias("in_hunk"))
+    asked = lines.select("path", "line").distinct()
+    events = asked.select("path", F.col("line").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("moved")).unionByName(sums.select("path", F.col("after").alias("at"), F.lit(0).alias("kind"), F.col("moved").cast("long").alias("moved")))
+    last = F.last("moved", ignorenulls=True).over(Window.partitionBy("path").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    shifted = events.withColumn("shift", last).where("kind = 1").select("path", F.col("at").alias("line"), "shift")
+    moved = shifted.join(inside, ["path", "line"], "left").select("path", "line", F.coalesce("in_hunk", F.col("line") + F.coalesce("shift", F.lit(0))).cast("long").alias("new_line"))
+    return lines.select("id", "path", "line").join(moved, ["path", "line"]).select("id", "new_line")
 
 
 def map_upsert(branch: DataFrame, found: DataFrame) -> DataFrame:

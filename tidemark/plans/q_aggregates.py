@@ -143,7 +143,15 @@ def _(documents, labels):
 
 @query("agg20_median_p95", "SELECT project_id, quantile_disc(total, 0.95) AS p95, round(median(total), 6) AS med FROM analyses GROUP BY project_id", "analyses")
 def _(analyses):
-    return analyses.groupBy("project_id").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY total)").cast("long").alias("p95"), F.round(F.median("total"), 6).alias("med"))
+    # the median of an even number is the middle of its two neighbours: of rank n / 2, and, from above, of the values' negatives
+    low = A.exact_quantiles(analyses, "project_id", "total", {"p95": 0.95, "below": 0.5})
+    high = A.exact_quantiles(analyses.select("project_id", (-F.col("total")).alias("total")), "project_id", "total", {"above": 0.5})
+    return low.join(high, "project_id").select("project_id", "p95", F.round((F.col("below") - F.col("above")) / 2, 6).alias("med"))
+
+
+@query("agg20_quantiles_of_all", "SELECT l_linestatus, quantile_disc(l_extendedprice, 0.5) AS p50, quantile_disc(l_extendedprice, 0.95) AS p95, quantile_disc(l_extendedprice, 0.0001) AS least FROM lineitem GROUP BY l_linestatus", "t:lineitem")
+def _(lineitem):
+    return A.exact_quantiles(lineitem, "l_linestatus", "l_extendedprice", {"p50": 0.5, "p95": 0.95, "least": 0.0001})
 
 
 @query("agg21_stratified", PR.format(by="profile", by_sql="CASE WHEN lang < source THEN lang || '+' || source ELSE source || '+' || lang END AS profile"), "t:documents", "t:labels")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,10 @@ def content_store(rows: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
     return hashed.groupBy("hash").agg(F.first(text).alias(text)), hashed.drop(text)
 
 
+class Conflict(RuntimeError):
+    """Of two publishers that observed the same generation this one came second."""
+
+
 class Versions:
     """A table of immutable generations with a pointer to the current one.
 
@@ -40,16 +47,51 @@ class Versions:
     def __init__(self, spark: SparkSession, where: str | None = None):
         self.spark, self.where = spark, where or new_path(spark, "versions")
 
-    def publish(self, df: DataFrame, expected_rows: int | None = None) -> str:
+    def number(self) -> int:
+        """Of the current entry; 0 before the first."""
+        return self.history().agg(F.max("number")).first()[0] or 0
+
+    def publish(self, df: DataFrame, expected_rows: int | None = None, observed: int | None = None) -> str:
+        """Writes a generation and makes it current, if the current entry is still the one observed (when this began, unless given)."""
+        observed = self.number() if observed is None else observed
         path = f"{self.where}/generation-{new_path(self.spark, 'g').rpartition('-')[2]}"
         df.write.parquet(path)
         n = self.spark.read.parquet(path).count()
         if expected_rows is not None and n != expected_rows:
             raise ValueError(f"{n} rows written, {expected_rows} expected; the current generation stays")
-        number = max((r["number"] for r in self.history().collect()), default=0) + 1
-        self.spark.createDataFrame([(number, path, n)], "number long, path string, rows long").coalesce(1).write.mode("append").parquet(f"{self.where}/pointer")
+        self._swap(observed, path, n)
         return path
 
+    def _swap(self, observed: int, path: str, rows: int) -> None:
+        """Compare and swap: the number after the one observed is claimed by a file that only one publisher can create."""
+        if self.number() != observed or not self._claim(observed + 1):
+            raise Conflict(f"another generation was published after number {observed}; the current one stays")
+        self.spark.createDataFrame([(observed + 1, path, rows)], "number long, path string, rows long").coalesce(1).write.mode("append").parquet(f"{self.where}/pointer")
+
+    def _claim(self, number: int) -> bool:
+        jvm, name = self.spark._jvm, f"{self.where}/claims/{number}"
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        system = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        system.mkdirs(where.getParent())
+        if system.getScheme() == "file":  # whose create() is not atomic
+            try:
+                os.close(os.open(where.toUri().getPath(), os.O_CREAT | os.O_EXCL))
+                return True
+            except FileExistsError:
+                return False
+        try:
+            system.create(where, False).close()
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception):
+                return False
+            raise
+
+    def recover(self) -> None:
+        """Gives up the claim of a publisher that is known to have died before it moved the pointer, so others can go on."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.where}/claims/{self.number() + 1}")
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, False)
+
     def history(self) -> DataFrame:
         schema = "number long, path string, rows long"
         try:
@@ -67,4 +109,4 @@ class Versions:
         last = self.history().orderBy(F.desc("number")).take(2)
         if len(last) < 2:
             raise ValueError("there is no generation to go back to")
-        self.spark.createDataFrame([(last[0]["number"] + 1, last[1]["path"], last[1]["rows"])], "number long, path string, rows long").coalesce(1).write.mode("append").parquet(f"{self.where}/pointer")
+        self._swap(last[0]["number"], last[1]["path"], last[1]["rows"])
