@@ -117,10 +117,11 @@ def identifiers(text: Column, least: int = 3, most: int = 50) -> Column:
 
 
 def task_terms(text: Column, most: int = 80) -> Column:
-    """Lower-case words of three letters or more, camel case split, without stop words; longest first, then by name."""
-    apart = F.regexp_replace(text, "([a-z0-9])([A-Z])", "$1 $2")
-    words = F.array_distinct(F.regexp_extract_all(F.lower(apart), F.lit("([a-z]{3,})"), F.lit(1)))
-    keep = F.array_except(words, F.array(*[F.lit(w) for w in TASK_STOP_WORDS]))
+    """Names of three characters or more in lower case, whole (with digits, dots, underscores and slashes) and by their camel-case parts, without stop words and bare numbers; longest first, then by name."""
+    names = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9_.:$\\/-]{2,})"), F.lit(1))
+    each = F.flatten(F.transform(names, lambda t: F.concat(F.array(t), F.split(t, "(?<=[a-z0-9])(?=[A-Z])"))))
+    bare = F.array_distinct(F.transform(each, lambda w: F.regexp_replace(F.lower(w), r"^[./\\_:-]+|[./\\_:-]+$", "")))
+    keep = F.array_except(F.filter(bare, lambda w: (F.length(w) >= 3) & ~w.rlike("^[0-9]+$")), F.array(*[F.lit(w) for w in TASK_STOP_WORDS]))
     ordered = F.array_sort(F.transform(keep, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     return F.slice(F.transform(ordered, lambda x: x["w"]), 1, most)
 
@@ -282,10 +283,12 @@ def hunk_id(path: Column, header: Column, content: Column) -> Column:
     return F.sha2(F.concat_ws("\n", path, header, content), 256)
 
 
-def diff_summary(lines: Column, headers: int = 20, unique: int = 80) -> Column:
-    """Counts of added and deleted lines, and the first distinct ones."""
-    plus, minus = F.filter(lines, lambda x: F.startswith(x, F.lit("+"))), F.filter(lines, lambda x: F.startswith(x, F.lit("-")))
-    return F.struct(F.size(plus).alias("added"), F.size(minus).alias("deleted"), F.slice(F.array_distinct(F.concat(plus, minus)), 1, unique).alias("sample"))
+def diff_summary(lines: Column, headers: int = 20, sample: int = 80) -> Column:
+    """Of a diff's lines: how many are added and deleted (file headers are neither), the first distinct hunk headers, and the distinct ones of the first changed lines."""
+    one = lambda sign: F.filter(lines, lambda x: F.startswith(x, F.lit(sign)) & ~F.startswith(x, F.lit(3 * sign)))
+    changed = F.filter(lines, lambda x: x.rlike(r"^(\+(?!\+\+)|-(?!--))"))
+    regions = F.array_distinct(F.transform(F.filter(lines, lambda x: F.startswith(x, F.lit("@@"))), lambda x: F.trim(x)))
+    return F.struct(F.size(one("+")).alias("added"), F.size(one("-")).alias("deleted"), F.slice(regions, 1, headers).alias("headers"), F.array_distinct(F.slice(changed, 1, sample)).alias("sample"))
 
 
 def _packed(pieces: Column, head: Column, most: int) -> Column:

@@ -219,6 +219,28 @@ def merkle(rows: DataFrame, id_col: str, digest: str, *by: str) -> DataFrame:
     return digest_tree(rows, frame, *by)
 
 
+# Files, changed lines and bytes that a change of a size class may have.
+SIZE_CLASSES = {"small": (4, 800, 120_000), "medium": (15, 3_000, 450_000)}
+
+
+def size_class(files: Column, lines: Column, size: Column) -> Column:
+    """small, medium or large: the first class whose limits all hold."""
+    out = None
+    for name, limits in SIZE_CLASSES.items():
+        fits = (files <= limits[0]) & (lines <= limits[1]) & (size <= limits[2])
+        out = F.when(fits, name) if out is None else out.when(fits, name)
+    return out.otherwise("large")
+
+
+def fast_check(files: Column, lines: Column, size: Column, enabled: bool = True) -> Column:
+    """Whether a change is small enough for the fast check, and the reason: the first limit that it exceeds."""
+    limits = zip(("file count", "changed lines", "diff bytes"), (files, lines, size), SIZE_CLASSES["small"], strict=True)
+    why = F.lit("within small PR thresholds") if enabled else F.lit("disabled")
+    for what, value, most in reversed(list(limits)) if enabled else ():
+        why = F.when(value > most, F.concat(F.lit(f"{what} "), value.cast("string"), F.lit(f" > {most}"))).otherwise(why)
+    return F.struct((why == "within small PR thresholds").alias("fast"), why.alias("reason"))
+
+
 #: Values of a group that are sorted together at the end, and the parts that an interval is cut into before.
 SORTED, PARTS = 4096, 256
 

@@ -220,11 +220,13 @@ def _(audit):
     return states.join(audit.groupBy(F.col("status").alias("state")).agg(F.count("*").alias("k")), "state", "left").select("state", F.coalesce("k", F.lit(0)).alias("n"))
 
 
-@query("agg31_size_class", "SELECT pr, CASE WHEN files <= 3 AND lines <= 800 THEN 'small' WHEN files <= 20 AND lines <= 3000 THEN 'medium' ELSE 'large' END AS size FROM (SELECT project_id AS pr, count(DISTINCT path) AS files, sum(coalesce(line, 0)) AS lines FROM issues GROUP BY project_id)", "issues")
+@query("agg31_size_class", """WITH t AS (SELECT pr, project_id, count(DISTINCT path) AS files, sum(coalesce(line, 0)) AS lines, sum(strlen(reason)) * 200 AS bytes FROM issues WHERE id % 4 < 3 GROUP BY pr, project_id)
+SELECT pr, project_id, CASE WHEN files <= 4 AND lines <= 800 AND bytes <= 120000 THEN 'small' WHEN files <= 15 AND lines <= 3000 AND bytes <= 450000 THEN 'medium' ELSE 'large' END AS size, files <= 4 AND lines <= 800 AND bytes <= 120000 AS fast,
+  CASE WHEN files > 4 THEN 'file count ' || files || ' > 4' WHEN lines > 800 THEN 'changed lines ' || lines || ' > 800' WHEN bytes > 120000 THEN 'diff bytes ' || bytes || ' > 120000' ELSE 'within small PR thresholds' END AS reason FROM t""", "issues")
 def _(issues):
-    t = issues.groupBy(F.col("project_id").alias("pr")).agg(F.count_distinct("path").alias("files"), F.sum(F.coalesce("line", F.lit(0))).alias("lines"))
-    f, n = F.col("files"), F.col("lines")
-    return t.select("pr", F.when((f <= 3) & (n <= 800), "small").when((f <= 20) & (n <= 3000), "medium").otherwise("large").alias("size"))
+    t = issues.where("id % 4 < 3").groupBy("pr", "project_id").agg(F.count_distinct("path").alias("files"), F.sum(F.coalesce("line", F.lit(0))).alias("lines"), (F.sum(F.octet_length("reason")) * 200).alias("bytes"))
+    sizes = [F.col(c) for c in ("files", "lines", "bytes")]
+    return t.select("pr", "project_id", A.size_class(*sizes).alias("size"), A.fast_check(*sizes).alias("f")).select("pr", "project_id", "size", "f.*")
 
 
 @query("agg32_diff_totals", "SELECT pr, CAST(a AS BIGINT) AS added, CAST(d AS BIGINT) AS deleted, (a > 20 AND d > 20 AND least(a, d) / greatest(a, d) > 0.7) AS refactor FROM (SELECT pr, sum(high + medium) AS a, sum(low + resolved) AS d FROM analyses GROUP BY pr)", "analyses")

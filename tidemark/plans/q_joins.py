@@ -161,7 +161,13 @@ def _(documents):
     return J.paired(rows, "mode", "case_id", "src0")
 
 
-@query("jn22_receipts", "WITH c AS (SELECT id, CASE WHEN resolved THEN 'published' ELSE 'rejected' END AS state, unnest([id % 301, (id * 3) % 301]) AS hunk FROM issues), d AS (SELECT DISTINCT * FROM c), g AS (SELECT hunk, count(*) AS n, bool_or(state = 'published') AS p FROM d GROUP BY hunk) SELECT h.hunk, CAST(coalesce(g.n, 0) AS BIGINT) AS candidates, CASE WHEN g.p THEN 'published' WHEN g.n > 0 THEN 'rejected' ELSE 'none' END AS state FROM (SELECT unnest(range(0, 301)) AS hunk) h LEFT JOIN g USING (hunk)", "issues")
+@query("jn22_receipts", """WITH c AS (SELECT 'c' || id AS id, CASE WHEN id % 7 = 0 THEN 'abstained' WHEN resolved THEN 'published' ELSE 'rejected' END AS state, ['h' || id // 16, 'h' || (id // 16 + 1)] AS shown, CASE WHEN id % 3 > 0 THEN ['h' || id // 16] ELSE [] END AS stood FROM issues),
+h AS (SELECT DISTINCT 'h' || id // 16 AS hunk, 'p' || id // 160 AS path FROM issues), p AS (SELECT hunk, list_sort(list(DISTINCT id)) AS prompt FROM (SELECT id, unnest(shown) AS hunk FROM c) GROUP BY hunk),
+a AS (SELECT hunk, list_sort(list(DISTINCT id)) AS anchored, coalesce(list_sort(list(DISTINCT id) FILTER (WHERE state = 'published')), []) AS published, coalesce(list_sort(list(DISTINCT id) FILTER (WHERE state = 'rejected')), []) AS rejected FROM (SELECT id, state, unnest(stood) AS hunk FROM c) GROUP BY hunk)
+SELECT hunk, path, coalesce(prompt, []) AS prompt, coalesce(anchored, []) AS anchored, coalesce(published, []) AS published, coalesce(rejected, []) AS rejected, CASE WHEN len(published) > 0 THEN 'published' WHEN len(rejected) > 0 THEN 'rejected' ELSE 'no_anchored_candidate' END AS outcome FROM h LEFT JOIN p USING (hunk) LEFT JOIN a USING (hunk)""", "issues")
 def _(issues):
-    c = issues.select("id", F.when(F.col("resolved"), "published").otherwise("rejected").alias("state"), F.array(F.col("id") % 301, (F.col("id") * 3) % 301).alias("hunks"))
-    return J.receipts(issues.sparkSession.range(301).withColumnRenamed("id", "hunk"), c)
+    name = lambda head, of: F.concat(F.lit(head), of.cast("string"))
+    at = F.expr("id div 16")
+    state = F.when(F.col("id") % 7 == 0, "abstained").when(F.col("resolved"), "published").otherwise("rejected")
+    c = issues.select(name("c", F.col("id")).alias("id"), state.alias("state"), F.array(name("h", at), name("h", at + 1)).alias("prompt_hunks"), F.when(F.col("id") % 3 > 0, F.array(name("h", at))).alias("anchor_hunks"))
+    return J.receipts(issues.select(name("h", at).alias("hunk"), name("p", F.expr("id div 160")).alias("path")).distinct(), c)

@@ -8,7 +8,15 @@ from .registry import query
 NL = "regexp_replace({}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')"
 NORM = "trim(" + NL + ")"
 LINES = "SELECT doc_id AS doc, unnest(p) AS line, generate_subscripts(p, 1) AS pos FROM (SELECT doc_id, CASE WHEN list_extract(p, -1) = '' THEN list_slice(p, 1, length(p) - 1) ELSE p END AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\\r?\\n') AS p FROM documents))"
-ROOT_STOP, TASK_STOP = ("[" + ",".join(f"'{w}'" for w in words) + "]" for words in (T.ROOT_STOP_WORDS, T.TASK_STOP_WORDS))
+# Fixed values, written out here so that a slip in the library shows.
+ROOT_STOP = "[" + ", ".join(f"'{w}'" for w in """
+    a an and are as at be because by can could for from has have if in into is it may of on or that the their this to was were will with would
+""".split()) + "]"
+TASK_STOP = "[" + ", ".join(f"'{w}'" for w in """
+    about acceptance add added adding after against also another before being branch change changes code context could create criteria description does enable ensure from
+    have implement implementation into issue must new only pull request requested return review should support task that their then there these they this through update using
+    when where which with without
+""".split()) + "]"
 
 
 @query("txt01_03_lines", f"SELECT doc, CAST(pos AS INTEGER) AS pos, md5({NORM.format('line')}) AS hash FROM ({LINES})", "t:documents")
@@ -115,9 +123,13 @@ def _(issues):
     return issues.select("id", T.identifiers(F.col("path")).alias("ids"))
 
 
-@query("txt22_task_terms", f"SELECT id, list_transform(list_sort(list_transform(list_filter(list_distinct(regexp_extract_all(lower(reason), '([a-z]{{3,}})', 1)), lambda w: NOT list_contains({TASK_STOP}, w)), lambda w: {{'n': -length(w), 'w': w}})), lambda x: x.w) AS terms FROM issues", "issues")
+@query("txt22_task_terms", rf"""WITH t AS (SELECT id, reason || ' ' || path || ': utf8Decoder_v' || id % 5 || ' getHTTPResponse.x1, v2Api/ (' || author || 'Fix) 12345 with' AS t FROM issues),
+w AS (SELECT id, unnest(regexp_extract_all(t, '[A-Za-z][A-Za-z0-9_.:$\\/-]{{2,}}')) AS w FROM t),
+c AS (SELECT DISTINCT id, regexp_replace(lower(unnest(list_concat([w], string_split(regexp_replace(w, '([a-z0-9])([A-Z])', '\1 \2', 'g'), ' ')))), '^[./\\_:-]+|[./\\_:-]+$', '', 'g') AS c FROM w)
+SELECT id, list(c ORDER BY -length(c), c) AS terms FROM c WHERE length(c) >= 3 AND NOT list_contains({TASK_STOP}, c) AND NOT regexp_matches(c, '^[0-9]+$') GROUP BY id""", "issues")
 def _(issues):
-    return issues.select("id", T.task_terms(F.col("reason")).alias("terms"))
+    text = F.concat("reason", F.lit(" "), "path", F.lit(": utf8Decoder_v"), (F.col("id") % 5).cast("string"), F.lit(" getHTTPResponse.x1, v2Api/ ("), "author", F.lit("Fix) 12345 with"))
+    return issues.select("id", T.task_terms(text).alias("terms"))
 
 
 @query("txt23_relation_token", "SELECT id, replace(lower(path), '/', '.') AS token FROM issues", "issues")
@@ -174,11 +186,24 @@ def _(documents):
     return documents.select("doc_id", F.posexplode(T.chunk_diff(diff, 1000)).alias("index", "chunk"))
 
 
-@query("txt29_diff_summary", "SELECT id, CAST(2 AS INTEGER) AS added, CAST(1 AS INTEGER) AS deleted, ['+a', '-' || author] AS sample FROM issues", "issues")
-def _(issues):
-    lines = F.array(F.lit("+a"), F.lit(" b"), F.concat(F.lit("-"), F.col("author")), F.lit("+a"))
-    s = T.diff_summary(lines)
-    return issues.select("id", s["added"].alias("added"), s["deleted"].alias("deleted"), s["sample"].alias("sample"))
+@query("txt29_diff_summary", r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), e AS (SELECT doc_id, unnest(p) AS t, generate_subscripts(p, 1) AS i FROM l),
+m AS (SELECT doc_id, i, CASE WHEN i = 1 THEN '--- a/' || doc_id WHEN i = 2 THEN '+++ b/' || doc_id WHEN i % 5 = 0 THEN '@@ -' || i % 30 || ',3 +1 @@ f ' WHEN i % 3 = 0 THEN '+' || length(t) % 7 WHEN i % 3 = 1 THEN '-' || length(t) % 5 ELSE ' ' || t END AS x FROM e),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM m WHERE (x LIKE '+%' AND x NOT LIKE '+++%') OR (x LIKE '-%' AND x NOT LIKE '---%')),
+h AS (SELECT doc_id, list(x ORDER BY i)[1:20] AS headers FROM (SELECT doc_id, trim(x) AS x, min(i) AS i FROM m WHERE x LIKE '@@%' GROUP BY ALL) GROUP BY doc_id),
+s AS (SELECT doc_id, list(x ORDER BY i) AS sample FROM (SELECT doc_id, x, min(i) AS i FROM c WHERE r <= 80 GROUP BY ALL) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(count(*) FILTER (WHERE x LIKE '+%') AS INTEGER) AS added, CAST(count(*) FILTER (WHERE x LIKE '-%') AS INTEGER) AS deleted FROM c GROUP BY doc_id)
+SELECT l.doc_id, coalesce(added, 0) AS added, coalesce(deleted, 0) AS deleted, coalesce(headers, []) AS headers, coalesce(sample, []) AS sample FROM l LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)""", "t:documents")
+def _(documents):
+    s = lambda head, of: F.concat(F.lit(head), of.cast("string"))
+
+    def line(t, k):
+        i = k + 1
+        return (
+            F.when(i == 1, s("--- a/", F.col("doc_id"))).when(i == 2, s("+++ b/", F.col("doc_id"))).when(i % 5 == 0, F.concat(s("@@ -", i % 30), F.lit(",3 +1 @@ f ")))
+            .when(i % 3 == 0, s("+", F.length(t) % 7)).when(i % 3 == 1, s("-", F.length(t) % 5)).otherwise(F.concat(F.lit(" "), t))
+        )
+
+    return documents.select("doc_id", T.diff_summary(F.transform(F.split("text", "\n", -1), line)).alias("d")).select("doc_id", "d.*")
 
 
 @query("txt30_snippets", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) SELECT doc_id, CAST(i AS INTEGER) AS i, array_to_string(list_slice(p, i * 8 + 1, i * 8 + 8), chr(10)) AS snippet FROM (SELECT doc_id, p, unnest(range(0, least(10, CAST(ceil(length(p) / 8) AS BIGINT)))) AS i FROM l)", "t:documents")
@@ -192,7 +217,26 @@ def _(documents):
     return documents.select("doc_id", F.size(b["kept"]).alias("kept"), b["omitted"].alias("omitted"))
 
 
-SUSPECT = " OR ".join(f"regexp_matches(bare, '{p}', 'i')" for p in T.INJECTIONS)
+# Fixed values, written out here too.
+SUSPECT = " OR ".join(f"regexp_matches(bare, '{p}', 'i')" for p in [
+    r"\b(ignore|disregard|forget)\s+(all\s+)?(previous|above|prior)\s+(instructions?|prompts?|rules?)",
+    r"\b(new|different|change)\s+(system\s+)?(prompt|instructions?|rules?)",
+    r"\byou\s+are\s+(now|a)\b",
+    r"\b(act|behave|pretend)\s+(as|like)\s+",
+    r"\brole\s*[:=]",
+    r"\b(output|print|write|return)\s+(only|just|exactly)",
+    r"\bformat\s*[:=]\s*(json|xml|raw)",
+    r"###\s*(system|assistant|user)",
+    r"<\|?(system|assistant|user|endof)\|?>",
+    r"\[\s*(INST|SYS)\s*\]",
+    r"\b(reveal|show|display|tell)\s+(me\s+)?(your|the)\s+(system|initial|original)\s+(prompt|instructions?)",
+    r"\bwhat\s+(are|is)\s+your\s+(system\s+)?(prompt|instructions?|rules?)",
+    r"\bexec(ute)?\s*\(",
+    r"\beval\s*\(",
+    r"\bos\s*\.\s*(system|popen|exec)",
+    r"\bsubprocess\s*\.",
+    r"\bimport\s+(os|sys|subprocess)",
+])
 
 
 @query("txt32_sanitise", rf"WITH c AS (SELECT conv_id, turn, regexp_replace(role || ':    ' || text || ' ### <|x|> ' || chr(7), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS bare FROM conversations) SELECT conv_id, turn, CASE WHEN length(bare) BETWEEN 1 AND 2000 AND NOT ({SUSPECT}) THEN trim(regexp_replace(replace(replace(replace(regexp_replace(bare, '\s{{3,}}', '  ', 'g'), '###', '# # #'), '<|', '< |'), '|>', '| >'), '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) END AS clean FROM c", "t:conversations")
