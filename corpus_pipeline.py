@@ -6,6 +6,12 @@ and read again as the next stage's docs.  All but the last return the columns of
 Rows without a doc_id can't be named by a decision: they pass the stages that remove whole
 documents by id, and are mixed like others.  Columns that the input has beside those of
 documents pass all stages but the last, whatever their names.
+
+Cases: an empty table passes all stages empty; null texts, and texts without letters, go in the
+first stage; null languages aren't learned from, null sources are a source of their own (the
+last); repeated rows are judged alike, and rows that share an id stay or go together where whole
+documents are named by it; an empty benchmark, or null items, remove nothing; ties of
+near-duplicates go to the smallest id; texts of any length are judged whole.
 """
 
 from __future__ import annotations
