@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import ranking as R
 from ..operators.dedup import representation_rank
 from ..operators.graph import strength
+from ..operators.vector_index import VectorIndex
 from .registry import query
 
 NEAREST = "SELECT query, point, similarity, rank FROM (SELECT q.vec_id AS query, p.vec_id AS point, round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(CAST(p.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) DESC, p.vec_id) AS rank FROM embeddings p, embeddings q WHERE q.vec_id % 50 = 0{where}) WHERE rank <= {k}"
@@ -20,6 +21,12 @@ def _(embeddings):
     return search(embeddings, embeddings, 10)
 
 
+@query("topk01_indexed", NEAREST.format(where="", k=10), "t:embeddings")
+def _(embeddings):
+    index = VectorIndex(embeddings.select(F.col("vec_id").alias("point"), F.col("embedding").alias("vector")))
+    return index.search(embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q_vector")), 10)
+
+
 @query("topk02_branches", NEAREST.format(where=" AND p.label IN (1, 3, 5)", k=5), "t:embeddings")
 def _(embeddings):
     return search(embeddings, embeddings.where(F.col("label").isin(1, 3, 5)), 5)
