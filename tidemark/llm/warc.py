@@ -34,6 +34,8 @@ from .common import bounded_batches, new_path, saved
 
 #: Bytes of records after which a writer begins the next archive.
 ROLL_BYTES = 16 << 20
+#: Compressed bytes of records that a task reads back, about.
+READ_BYTES = 64 << 20
 #: Payloads from this size on are stored once; later equal ones become revisit records.
 MIN_REVISIT = 100
 CHUNK = 1 << 20
@@ -230,7 +232,8 @@ def read_records(index: DataFrame) -> DataFrame:
                 rows.append((int(page[1]) if page else None, size, digest, kind, int(number.search(refers)[1]) if refers else None, whole))
             yield _table(rows, schema)
 
-    many = max(1, index.sparkSession.sparkContext.defaultParallelism)
+    size = index.agg(F.sum("length")).first()[0] or 0
+    many = max(index.sparkSession.sparkContext.defaultParallelism, -(-size // READ_BYTES))
     read = index.select("archive", "offset", "length").repartition(many, "archive", F.shiftright("offset", 22)).sortWithinPartitions("archive", "offset")
     return read.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, whole boolean")
 
