@@ -104,6 +104,14 @@ def test_suffix_of_texts_longer_than_a_slice(spark):
     assert got == brute_bytes(rows, 400)
 
 
+def test_suffix_batches_without_any_span(spark):
+    """The bit map lets some texts through that lose nothing; they can fill a batch of their own."""
+    spans = "array<struct<start:bigint,n:int,span:bigint>>"
+    work = spark.createDataFrame([(1, "abc", None), (2, None, None), (3, "", [])], f"id long, text string, spans {spans}").coalesce(1)
+    got = work.mapInArrow(suffix_dedup._remove(3), suffix_dedup.SCHEMA).collect()
+    assert [tuple(r[:4]) + (bytes(r[4]),) for r in got] == [(1, 3, 0, 0, b"abc"), (2, 0, 0, 0, b""), (3, 0, 0, 0, b"")]
+
+
 def test_suffix_equal_hashes_of_other_bytes_stay(spark):
     """unlike() finds runs that only a hash brought together."""
     spans = "array<struct<start:bigint,n:int,span:bigint>>"
