@@ -146,6 +146,19 @@ def test_candidates_with_hot_words_and_a_hot_title(spark):
     assert got == components_of(rows, a_candidate) and got[900] == got[901]
 
 
+def test_alike_narratives_of_a_file_hang_on_the_first(spark):
+    """Ninety narratives of a file, all alike, and two that only each other are like: a link each, not all pairs."""
+    rows = [(i, "a.py", 10 * i + 10, None, f"Problem {i} at line {i}", f"The value read here may be null when record {i % 7} is missing") for i in range(90)]
+    rows += [(200, "a.py", 5000, None, "Unused import", "Module os imported twice below"), (201, "a.py", 6000, None, "Unused imports", "Module os imported twice below again")]
+    pairs = dedup.similar_pairs(spark.createDataFrame(rows, FINDING).repartition(3)).collect()
+    assert len(pairs) < 2 * len(rows)
+    parent = {}
+    for x, y in pairs:
+        u, v = (group_of(parent, z) for z in (x, y))
+        parent[max(u, v)] = min(u, v)
+    assert {i: group_of(parent, i) for i in list(parent)} == components_of(rows, a_candidate)
+
+
 def test_overlapping_sets_by_brute_force(spark):
     rng = random.Random(3)
     words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(4000)]
