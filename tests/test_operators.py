@@ -506,3 +506,10 @@ def test_track_inherits_and_resolves_only_what_is_gone(spark):
 def test_redaction(spark, document, want):
     got = spark.createDataFrame([(document,)], "j string").select(text.redacted("j")).first()[0]
     assert got == want and (got is None or json.loads(got) is not Ellipsis)
+
+
+def test_ingest_runs_each_pass_once(spark):
+    """Each pass reads what the one before has written, in two branches, not all passes before it again."""
+    schema = "seq long, file string, title string, reason string, severity string, category string, line int, snippet string, line_hash string, resolved boolean, diff string"
+    out = dedup.ingest(spark.createDataFrame([(1, "f", "t", "r", "LOW", "bug", 1, None, "h", False, "d")], schema))
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
