@@ -513,3 +513,19 @@ def test_ingest_runs_each_pass_once(spark):
     schema = "seq long, file string, title string, reason string, severity string, category string, line int, snippet string, line_hash string, resolved boolean, diff string"
     out = dedup.ingest(spark.createDataFrame([(1, "f", "t", "r", "LOW", "bug", 1, None, "h", False, "d")], schema))
     assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
+def test_chunk_diff_of_many_hunks_is_linear(spark):
+    """The head of a diff is cut off once, not at each of thousands of hunks."""
+    import time
+
+    hunks = [f"@@ -{i},1 +{i},1 @@\n+line {i} {'x' * (i % 90)}\n" for i in range(6000)]
+    want, now, head = [], "", "diff --git a/x b/x\n"
+    for h in hunks:
+        if now and len(head) + len(now) + len(h) > 1000:
+            want, now = [*want, head + now], ""
+        now += h
+    df = spark.createDataFrame([(head + "".join(hunks),)], "t string")
+    t = time.time()
+    assert df.select(text.chunk_diff(F.col("t"), 1000)).first()[0] == [*want, head + now]
+    assert time.time() - t < 20
