@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..shared import bounded_batches
 from .registry import query
 
 NL = "regexp_replace({}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')"
@@ -63,6 +64,7 @@ def _(documents):
 
 @query("txt10_split", None, "t:documents")
 def _(documents):
+    bounded_batches(documents.sparkSession)
     return documents.select("doc_id", F.posexplode(T.split_text(2000, 200)(F.col("text"))).alias("index", "chunk"))
 
 
