@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import bounded_batches
+
 #: Fixed values.
 TYPE_BOOST = {"functions_classes": 1.1, "simplified_code": 1.0, "fallback": 0.95, "oversized_split": 0.8}
 GROUP_SCORE = {"changed_files": 0.95, "definitions": 0.92, "class_context": 0.86, "namespace_context": 0.84}
@@ -14,7 +16,7 @@ OVERSIZE = 16000
 #: Query vectors that are broadcast at once; more are searched in blocks of so many.
 QUERY_BLOCK = 1000
 #: Points that a matrix product takes.
-POINT_ROWS = 2048
+POINT_ROWS = 256
 
 
 def lookup(table: dict, key: Column, default) -> Column:
@@ -57,6 +59,7 @@ def _searched(queries: DataFrame, points: DataFrame, block: int, found, schema:
     size are like nothing.
     """
     spark, out = queries.sparkSession, None
+    bounded_batches(spark)
     names = [x.split()[0] for x in schema.split(", ")]
     for ids, matrix in _query_blocks(queries, block):
         shared = spark.sparkContext.broadcast((ids, matrix))
