@@ -277,3 +277,10 @@ def test_components_of_rows_without_id_and_one_id_with_two_texts(spark):
     rows = [(1, a, *[None] * 7), (5, a, *[None] * 7), (5, b, *[None] * 7), (7, b + " end", *[None] * 7), (9, c, *[None] * 7), (None, a, *[None] * 7), (9, c, *[None] * 7), (4, "", *[None] * 7)]
     got = sorted(minhash.components(frame(spark, rows), k=3, at_least=85).select("doc_id", "component_id", "kept").collect(), key=str)
     assert sorted(map(tuple, got), key=str) == sorted([(1, 1, True), (5, 1, False), (5, 1, False), (7, 1, False), (9, 9, True), (9, 9, True), (None, None, True), (4, 4, True)], key=str)
+
+
+def test_full_sets_are_there_once_without_a_shuffle_of_all(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (1, "a b c e"), (2, "a b c d")], "id long, text string")
+    ids = docs.select("id").distinct()
+    sets = minhash.full_sets(docs, ids, ids.where("id = 1"), 3).collect()
+    assert sorted(r["id"] for r in sets) == [1, 1, 2] and len({r["s"] for r in sets}) == 3

@@ -188,8 +188,24 @@ def shared_buckets(reps: DataFrame, band: int) -> DataFrame:
     return out
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, s, n, set) of the documents with these ids: their sets as sorted hashes; s tells sets of one id apart.  docs: (id, text)."""
+def sifted(rows: DataFrame, wanted: Bitmap, *columns: str, others: bool = False) -> DataFrame:
+    """The rows that the prefilter lets through by these columns, or the others; nothing is shuffled."""
+    places = [rows.columns.index(c) for c in columns]
+
+    def run(batches):
+        for batch in batches:
+            mask = wanted.maybe(*(batch.column(i).to_numpy() for i in places))
+            yield batch.filter(pa.array(~mask if others else mask))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def full_sets(docs: DataFrame, ids: DataFrame, repeated: DataFrame, k: int) -> DataFrame:
+    """(id, s, n, set) of the documents with these ids, and of few others: their sets as sorted hashes; s tells sets of one id apart.
+
+    docs: (id, text); repeated: the ids of several rows.  Sets are written where they are made;
+    only those of repeated ids are shuffled, so that each is there once.
+    """
     wanted = Bitmap(ids, "id")
 
     def run(batches):
@@ -205,10 +221,16 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 sets = pa.array([raw[x:y] for x, y in zip(cut, cut[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(own.view(np.int64)), pa.array(size), sets], ["id", "s", "n", "set"]).filter(pa.array(size > 0))
 
-    made = docs.mapInArrow(run, "id long, s long, n long, set binary").join(ids, "id", "left_semi")
-    made = saved(made.groupBy("id", "s").agg(F.first("n").alias("n"), F.first("set").alias("set")), "candidate-sets")
+    made = saved(docs.mapInArrow(run, "id long, s long, n long, set binary"), "candidate-sets")
     wanted.close()
-    return made
+    if repeated.isEmpty():
+        return made
+    several = Bitmap(repeated, "id")
+    once = sifted(made, several, "id").groupBy("id", "s").agg(F.first("n").alias("n"), F.first("set").alias("set"))
+    out = saved(sifted(made, several, "id", others=True).unionByName(once), "candidate-sets")
+    several.close()
+    discard(made)
+    return out
 
 
 def _flat(column: pa.Array, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,13 +267,28 @@ def _promising(share: float):
 
 
 def links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, at_least: int, of: int) -> DataFrame:
-    """(u, v) of those rows (id, pivot, u, v) whose sets reach the similarity."""
-    sketched = lambda i: reps.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("registers").alias(f"r_{i}"))
-    pairs = pairs.join(sketched("pivot"), "pivot").join(sketched("id"), "id").select("id", "pivot", "u", "v", "n_id", "n_pivot", "r_id", "r_pivot")
-    pairs = pairs.mapInArrow(_promising(at_least / of), "id long, pivot long, u long, v long")
-    full = lambda i: sets.select(F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("set").alias(f"s_{i}"))
-    pairs = pairs.join(full("pivot"), "pivot").join(full("id"), "id").select("u", "v", "n_id", "n_pivot", "s_id", "s_pivot")
-    return pairs.mapInArrow(_confirm(at_least, of), "u long, v long").distinct()
+    """(u, v) of those rows (id, pivot, u, v) whose sets reach the similarity.  Only sketches and sets that a pair needs are shuffled."""
+    used = []
+
+    def beside(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
+        for end in ("pivot", "id"):
+            used.append(Bitmap(pairs, end))
+        for end, wanted in zip(("pivot", "id"), used[-2:]):
+            table_of = sifted(table.select("id", "n", what), wanted, "id")
+            pairs = pairs.join(table_of.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col(what).alias(f"{what}_{end}")), end)
+        return pairs
+
+    pairs = saved(pairs.select("id", "pivot", "u", "v"), "pairs")
+    if pairs.isEmpty():
+        return pairs.select("u", "v")
+    seen = beside(pairs, reps, "registers").select("id", "pivot", "u", "v", "n_id", "n_pivot", "registers_id", "registers_pivot")
+    likely = saved(seen.mapInArrow(_promising(at_least / of), "id long, pivot long, u long, v long"), "pairs")
+    seen = beside(likely, sets, "set").select("u", "v", "n_id", "n_pivot", "set_id", "set_pivot")
+    found = saved(seen.mapInArrow(_confirm(at_least, of), "u long, v long").distinct(), "links")
+    for wanted in used:
+        wanted.close()
+    discard(pairs, likely)
+    return found
 
 
 def _shingles(batches):
@@ -262,10 +299,14 @@ def _shingles(batches):
 
 
 def hopeful(sets: DataFrame, at_least: int, of: int) -> DataFrame:
-    """Those of the sets whose shingles found in another of them too are enough for the similarity."""
+    """Those of the sets, and few others, whose shingles found in another of them too are enough for the similarity."""
     alone = sets.select("s", "n", "set").mapInArrow(_shingles, "shingle long, s long").groupBy("shingle").agg(F.count("*").alias("k"), F.min("s").alias("s")).where("k = 1")
     alone = alone.groupBy("s").agg(F.count("*").alias("alone"))
-    return sets.join(alone, "s", "left").where(of * (F.col("n") - F.coalesce("alone", F.lit(0))) >= at_least * F.col("n")).select(sets.columns)
+    left = sets.select("s", "n").join(alone, "s", "left").where(of * (F.col("n") - F.coalesce("alone", F.lit(0))) >= at_least * F.col("n"))
+    wanted = Bitmap(saved(left.select("s"), "hopeful"), "s")
+    out = saved(sifted(sets, wanted, "s"), "open-sets")
+    wanted.close()
+    return out
 
 
 def _meet(at_least: int, of: int):
@@ -386,7 +427,8 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ids = saved(buckets.select("id").distinct(), "candidates")
     reps = saved(classes.select("id", "n", "registers").join(ids, "id", "left_semi"), "candidate-sketches")
     discard(classes)
-    sets = full_sets(rows.where("id is not null"), ids, k)
+    repeated = saved(placed.where("class is not null").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id"), "repeated")
+    sets = full_sets(rows.where("id is not null"), ids, repeated, k)
 
     # classes that share an id are one document
     several_texts = placed.where("class is not null").groupBy("id").agg(F.min("class").alias("u"), F.max("class").alias("v")).where("u < v").select("id")
@@ -405,9 +447,15 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             comps = every.select("id", F.col("id").alias("component"))
         comps = contracted(comps, more)
         now = mixed(buckets.join(comps, "id").select("key", "id", "component"), 2)
-    open_sets = saved(hopeful(sets.join(now.select("id").distinct(), "id", "left_semi"), at_least, of), "open-sets")
+    still = saved(now.select("id").distinct(), "open-ids")
+    wanted = Bitmap(still, "id")
+    near = saved(sifted(sets, wanted, "id"), "near-sets")
+    wanted.close()
+    discard(sets)
+    open_sets = hopeful(near, at_least, of)
+    discard(near)
     comps = contracted(comps, saved(open_links(open_sets, comps, reps, at_least, of), "links"))
-    discard(reps)
+    discard(reps, open_sets, buckets)
 
     out = placed.join(comps.select(F.col("id").alias("class"), "component"), "class", "left")
     component = F.when(F.col("class").isNotNull(), F.coalesce("component", "class")).otherwise(F.col("id"))
