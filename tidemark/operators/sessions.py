@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shared import saved
+from ..shared import bounded_tasks, saved
 
+#: Files that a task parses.
+FILES_A_TASK = 50_000
 #: Imported names that stand for a module as a whole.
 WHOLE = ["", "*", "default"]
 SCHEMAS = {
@@ -92,6 +94,11 @@ def resolve(state: dict[str, DataFrame], imports: DataFrame, calls: DataFrame) -
     return resolution.unionByName(binding).unionByName(called).distinct()
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """files by path in tasks of some FILES_A_TASK, however they are stored: what a task gathers of them to leave out repeats stays bounded."""
+    return files.repartition(max(1, -(-files.count() // FILES_A_TASK)), "path")
+
+
 class Session:
     """The state after some batches, the facts before them, and the paths that they changed.  Sessions don't change; ingest() gives the next."""
 
@@ -115,8 +122,9 @@ class Session:
 
     def ingest(self, batch: DataFrame) -> Session:
         """batch (path, text, deleted), a path once: its files replace those of the same paths, or delete them."""
+        bounded_tasks(batch.sparkSession)
         paths = saved(batch.select("path").distinct(), "session-paths")
-        fresh = parse(batch.where(~F.coalesce("deleted", F.lit(False))).select("path", "text"))
+        fresh = parse(dealt(batch.where(~F.coalesce("deleted", F.lit(False))).select("path", "text")))
         state = {name: saved(self.state[name].join(paths, "path", "left_anti").select(table.columns).unionByName(table), f"session-{name}") for name, table in fresh.items()}
         modules = self.state["files"].join(paths, "path", "left_semi").select("module").union(state["files"].join(paths, "path", "left_semi").select("module"))
         again = state["imports"].join(modules.select(F.col("module").alias("key")).distinct(), "key", "left_semi").select("path")
