@@ -73,3 +73,10 @@ def test_empty_batches(spark):
     none = spark.createDataFrame([], FILES)
     session = S.Session.start(spark).ingest(none)
     assert session.finish().collect() == [] and S.origins(session.state).collect() == []
+
+
+def test_files_are_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(S, "FILES_A_TASK", 2)
+    files = spark.createDataFrame([(f"m{i}.py", "") for i in range(5)], "path string, text string").coalesce(1)
+    got = S.dealt(files)
+    assert got.rdd.getNumPartitions() == 3 and sorted(r["path"] for r in got.collect()) == [f"m{i}.py" for i in range(5)]
