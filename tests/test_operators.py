@@ -169,6 +169,48 @@ def test_overlapping_sets_by_brute_force(spark):
         assert sorted(tuple(r) for r in dedup.overlapping(df, ["g"], least, share).collect()) == sorted(want)
 
 
+def test_overlapping_ranges_by_brute_force(spark):
+    rng = random.Random(5)
+
+    def ranges(n):
+        rows = [(i, rng.choice(["k", "l", None]), s, s + rng.choice([-1, 0, 3, 40]), f"t{i}") for i in range(n) for s in [rng.choice([-70, -5, 0, 31, 32, 33, 90])]]
+        return rows + [(n, "k", None, 5, "x"), (n + 1, "k", 5, None, "y"), *[(n + 2 + i, "k", 31, 34, "z") for i in range(150)]]
+
+    a, b = ranges(200), ranges(300)
+    left = spark.createDataFrame(a, "a long, key string, a_start long, a_end long, a_text string").repartition(3)
+    right = spark.createDataFrame(b, "b long, key string, b_start long, b_end long, b_text string").drop("b_text").repartition(2)
+    fit = lambda r: None not in r[1:4] and r[2] <= r[3]
+    want = [("k" if x[1] == "k" else "l", x[0], x[2], x[3], x[4], y[0], y[2], y[3]) for x in a if fit(x) for y in b if fit(y) and x[1] == y[1] and x[2] <= y[3] and x[3] >= y[2]]
+    for bucket in (7, 32):
+        got = joins.overlapping(left, right, "key", bucket)
+        assert got.columns == ["key", "a", "a_start", "a_end", "a_text", "b", "b_start", "b_end"]
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_overlapping_ranges_leave_in_little_room(spark, tmp_path):
+    """Pairs are as many as the product of both sides: what each takes on disk counts."""
+    a = spark.range(40).select(F.col("id").alias("a"), F.lit(1).alias("key"), F.lit(33).alias("a_start"), F.lit(63).alias("a_end"))
+    b = spark.range(200_000).select(F.col("id").alias("b"), F.lit(1).alias("key"), F.pmod(F.xxhash64("id"), F.lit(400)).alias("b_start"))
+    pairs = joins.overlapping(a, b.withColumn("b_end", F.col("b_start") + 6), "key", 32).select("a", "b")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # tables too large for it are what is meant
+    try:
+        pairs.write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    n = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert n > 500_000
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < n
+
+
+def test_blocks_of_equal_ranges_are_bounded(spark):
+    rows = spark.range(0, 1000, 1, 1).select(F.col("id").alias("a"), F.lit(1).alias("key"), (F.col("id") >= 700).cast("long").alias("s"))
+    found = joins._blocks(rows, ["key", "s"], "ids").collect()
+    assert max(len(r.ids) for r in found) == joins.LIST and len(found) == -(-700 // joins.LIST) + -(-300 // joins.LIST)
+    assert sorted((i, r.s) for r in found for i in r.ids) == [(i, int(i >= 700)) for i in range(1000)]
+
+
 def group_of(parent, i):
     parent.setdefault(i, i)
     while parent[i] != i:
