@@ -211,6 +211,30 @@ def test_blocks_of_equal_ranges_are_bounded(spark):
     assert sorted((i, r.s) for r in found for i in r.ids) == [(i, int(i >= 700)) for i in range(1000)]
 
 
+def test_pairs_of_one_key_are_dealt_to_all_tasks(spark):
+    """One range of one key: its pairs are the product of both sides, which one task must not make."""
+    side = lambda n, name: spark.range(0, n, 1, 8).select(F.col("id").alias(name), F.lit(1).alias("key"), F.lit(40).alias(f"{name}_start"), F.lit(50).alias(f"{name}_end"))
+    pairs = joins.overlapping(side(40, "a"), side(1000, "b"), "key", 32).select("a", "b")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by_task = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by_task) == 40_000 and len(by_task) == min(parts, 64) and max(by_task) < 3 * 40_000 / len(by_task)
+    assert pairs.distinct().count() == 40_000
+
+
+def test_pairs_made_at_once_are_bounded(spark):
+    rows = spark.createDataFrame([(1, list(range(150)), list(range(64))), (2, [7], [8, None]), (3, [1] * 64, [2] * 65), (4, list(range(1500)), list(range(1500)))], "k int, a array<long>, b array<long>").coalesce(1)
+    cut = joins._slices(rows, "a", "b")
+    found = cut.collect()
+    assert max(len(r.a) for r in found) == max(len(r.b) for r in found) == joins.LIST
+    assert [len(r.a) * len(r.b) for r in found if r.k == 1] == [64 * 64, 64 * 64, 22 * 64] and len(found) == 3 + 1 + 2 + 24 * 24
+
+    def told(df):
+        each = df.withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
+        return sorted(tuple(r) for r in each.groupBy("k").agg(F.count("*"), F.count("b"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.hash("b", "a"))).collect())
+
+    assert told(cut) == told(rows)
+
+
 def group_of(parent, i):
     parent.setdefault(i, i)
     while parent[i] != i:
